@@ -140,13 +140,14 @@ def write_tokens(df: DataFrame, scratch: Scratch, tokenizer: str, spaced: bool,
     """Token files of all texts in ascending order of the id; a row is a block of whole documents.
 
     Null texts count as empty; rows that share an id follow each other by their texts; a null id comes first.
-    Columns: shard (ascending through the files), block (within the shard), n_ids, doc_ids, lens, payload.
+    Columns: shard (ascending through the files), before (ids of the shard before this block), n_ids, doc_ids, lens,
+    payload.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, block = TaskContext.get().partitionId(), 0
+        shard, before = TaskContext.get().partitionId(), 0
         memo = shared_memo(tokenizer, spaced)
         docs: list = []
         lens: list[np.ndarray] = []
@@ -156,7 +157,7 @@ def write_tokens(df: DataFrame, scratch: Scratch, tokenizer: str, spaced: bool,
         def flush() -> pa.RecordBatch:
             all_lens = np.concatenate(lens)
             payload = encode(np.concatenate(ids)) if ids else encode(np.zeros(0, np.uint64))
-            return pa.record_batch([pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([int(all_lens.sum())], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([all_lens], pa.list_(pa.int64())), pa.array([payload], pa.binary())], names=["shard", "block", "n_ids", "doc_ids", "lens", "payload"])
+            return pa.record_batch([pa.array([shard], pa.int32()), pa.array([before], pa.int64()), pa.array([int(all_lens.sum())], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([all_lens], pa.list_(pa.int64())), pa.array([payload], pa.binary())], names=["shard", "before", "n_ids", "doc_ids", "lens", "payload"])
 
         for batch in batches:
             buf, offsets = arrow_bytes(batch.column(1))
@@ -180,7 +181,7 @@ def write_tokens(df: DataFrame, scratch: Scratch, tokenizer: str, spaced: bool,
                 held += int(lens[-1][0])
                 if held >= BLOCK_IDS:
                     yield flush()
-                    block, held = block + 1, 0
+                    before, held = before + held, 0
                     docs, lens, ids = [], [], []
         if docs:
             yield flush()
@@ -190,7 +191,7 @@ def write_tokens(df: DataFrame, scratch: Scratch, tokenizer: str, spaced: bool,
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return scratch.save(ordered.mapInArrow(run, "shard int, block int, n_ids long, doc_ids array<long>, lens array<long>, payload binary"), "tokens")
+    return scratch.save(ordered.mapInArrow(run, "shard int, before long, n_ids long, doc_ids array<long>, lens array<long>, payload binary"), "tokens")
 
 
 def read_tokens(tokens: DataFrame) -> DataFrame:
@@ -199,9 +200,8 @@ def read_tokens(tokens: DataFrame) -> DataFrame:
     Only sums per shard, of which there are as many as files, meet in one task.
     """
     sums = tokens.groupBy("shard").agg(F.sum("n_ids").alias("ids"))
-    before = sums.select("shard", (F.sum("ids").over(Window.orderBy("shard")) - F.col("ids")).alias("shard_start"))
-    starts = tokens.select("shard", "block", (F.sum("n_ids").over(Window.partitionBy("shard").orderBy("block")) - F.col("n_ids")).alias("block_start")).join(before, "shard")
-    placed = tokens.join(starts.select("shard", "block", (F.col("shard_start") + F.col("block_start")).alias("start")), ["shard", "block"])
+    shards = sums.select("shard", (F.sum("ids").over(Window.orderBy("shard")) - F.col("ids")).alias("shard_start"))
+    placed = tokens.join(shards, "shard").withColumn("start", F.col("shard_start") + F.col("before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

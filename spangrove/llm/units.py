@@ -81,7 +81,7 @@ def shared_memo(tokenizer: str, spaced: bool, texts: bool = False) -> UnitMemo:
     """The memo of this worker process; tasks that run after each other go on with it."""
     key = tokenizer, spaced, texts
     if key not in _memos:
-        _memos[key] = UnitMemo(tokenizer, spaced, texts, cap=400_000 if texts else 900_000)
+        _memos[key] = UnitMemo(tokenizer, spaced, texts, cap=500_000 if texts else 1_600_000)
     if _memos[key].full():
         _memos[key].clear()
     return _memos[key]
