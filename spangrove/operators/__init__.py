@@ -1 +1 @@
-
+"""Operators over tables: parsing, spans, forests, search, corpora."""

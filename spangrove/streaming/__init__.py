@@ -1 +1 @@
-
+"""Messages as a stream."""
