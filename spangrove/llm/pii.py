@@ -1,8 +1,9 @@
 """Personal data by weak supervision.
 
 Candidates come from regular expressions (email, ip, card, phone: always kept, they are the base), and from looser
-shapes: national phone numbers, social security numbers, IBANs, spelled-out emails, street addresses, and pairs of
-capitalised words whose first is a given name. Labelers (checksum, gazetteer, context before and after, neighbours)
+shapes: phone and card numbers that stand next to other digits, which the base reads as one number that is too long,
+national phone numbers, social security numbers, IBANs, spelled-out emails, street addresses, and pairs of capitalised
+words whose first is a given name. Labelers (checksum, gazetteer, context before and after, neighbours)
 vote -1, 0 or 1 on each candidate. Expectation maximisation over the counts of all vote patterns of the corpus
 estimates the labelers' reliabilities for each kind, and the posteriors train a logistic span classifier, which
 decides about the candidates that are not base.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_limits, table
 
-KINDS = ["email", "ip", "card", "phone", "tel", "ssn", "iban", "mail_words", "street", "person"]
+KINDS = ["email", "ip", "card", "phone", "tel", "ssn", "iban", "mail_words", "street", "person", "pan"]
 BASE = 4
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -91,10 +92,45 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+_GROUP = re.compile(r"[0-9]+")
+
+
+def cut_spans(text: str) -> list[tuple[int, int, int]]:
+    """Numbers inside what the base's patterns take as one number with too many digits: from its start, the longest
+    phone number that ends before a space; and the leftmost, longest runs of whole groups that make a card number."""
+    out = []
+    if "+" in text:
+        for m in _PHONE.finditer(text):
+            if sum(map(str.isdigit, m[0])) > 15:
+                ends = [i for i in range(len(m[0])) if m[0][i] == " " and m[0][i - 1].isdigit() and 10 <= sum(map(str.isdigit, m[0][:i])) <= 15]
+                if ends:
+                    out.append((m.start(), 4, m.start() + ends[-1]))
+    for m in _CARD.finditer(text):
+        if sum(map(str.isdigit, m[0])) > 19:
+            groups = [(g.start(), g.end()) for g in _GROUP.finditer(text, m.start(), m.end())]
+            i = 0
+            while i < len(groups):
+                fits, digits = None, ""
+                for j in range(i, len(groups)):
+                    digits += text[groups[j][0] : groups[j][1]]
+                    if len(digits) > 19:
+                        break
+                    if len(digits) >= 14 and luhn(digits):
+                        fits = j
+                if fits is None:
+                    i += 1
+                else:
+                    out.append((groups[i][0], 10, groups[fits][1]))
+                    i = fits + 1
+    return out
+
+
 def loose_spans(text: str) -> list[tuple[int, int, int]]:
     out = []
     if _DIGIT.search(text):
-        out += [(m.start(), 4, m.end()) for m in _TEL.finditer(text) if 8 <= sum(map(str.isdigit, m[0])) <= 13]
+        out += cut_spans(text)
+        taken = [(a, b) for a, _, b in out]
+        out += [(m.start(), 4, m.end()) for m in _TEL.finditer(text) if 8 <= sum(map(str.isdigit, m[0])) <= 13 and not any(m.start() < b and a < m.end() for a, b in taken)]
         if "-" in text:
             out += [(m.start(), 5, m.end()) for m in _SSN.finditer(text)]
         out += [(m.start(), 6, m.end()) for m in _IBAN.finditer(text)]
@@ -114,7 +150,7 @@ def pattern(text: str, start: int, kind: int, end: int, near: bool) -> int:
     """The labelers' votes (base 3, 1 for none) and below them the features (bits) of a candidate."""
     span, before, after = text[start:end], text[max(0, start - 40) : start], text[end : end + 12]
     name = KINDS[kind]
-    if name in ("card", "phone", "ip", "email"):
+    if name in ("card", "phone", "ip", "email", "pan"):
         shape = 1
     elif name == "iban":
         shape = 1 if _iban(span) else -1
@@ -130,7 +166,7 @@ def pattern(text: str, start: int, kind: int, end: int, near: bool) -> int:
     elif name == "person":
         listed = 1
     elif name == "tel":
-        listed = 1 if span.startswith(("0", "(")) else 0
+        listed = 1 if span.startswith(("0", "(", "+")) else 0
     context = -1 if DENIALS.search(before) else 1 if CUES.search(before) else 0
     votes = (shape, listed, context, int(near))
     clean = not before[-1:].isalnum() and not after[:1].isalnum()

@@ -35,6 +35,17 @@ def test_base_equals_plain_patterns(text):
     assert sorted(pii.base_spans(text)) == plain(text)
 
 
+def test_numbers_next_to_digits():
+    text = "x +1 (826) 555-4081 190.137.2.3 y 4785380592391139 24 z"
+    base, cands = pii.candidates(text)
+    assert base == plain(text)
+    found = {(pii.KINDS[k], text[s:e]) for s, k, e, _ in cands}
+    assert ("tel", "+1 (826) 555-4081") in found and ("ip", "190.137.2.3") in found
+    wide = "4785380592391139 4785380592391139"
+    assert {(pii.KINDS[k], s) for s, k, e, _ in pii.candidates(wide)[1]} == ({("pan", 0), ("pan", 17)} if pii.luhn("4785380592391139") else set())
+    assert pii.candidates("1" * 500)[1] == []
+
+
 def test_luhn():
     assert pii.luhn("4785380592391139") == (sum(int(c) if i % 2 else sum(map(int, str(2 * int(c)))) for i, c in enumerate("4785380592391139")) % 10 == 0)
 

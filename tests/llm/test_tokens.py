@@ -112,3 +112,23 @@ def test_empty_tables(spark, docs):
     assert token_counts.count_tokens(none, "word_bpe_49k.json", False).count() == 0
     assert chunk_bpe.encode_decode(none, "word_bpe_49k.json").count() == 0
     assert simple8b.read_tokens(simple8b.write_tokens(none, Scratch(spark, "t"), "byte_bpe_50k.json", True, 2)).count() == 0
+
+
+def test_queries_equal_the_library(spark):
+    import pyarrow.parquet as pq
+
+    sf = "/root/testdata/sf0.01"
+    rows = sorted((r["doc_id"], r["text"]) for r in pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text"]).to_pylist())
+    word, byte = load_tokenizer("word_bpe_49k.json"), load_tokenizer("byte_bpe_50k.json")
+    counted = {r.doc_id: r for r in token_counts.op6_token_counts(spark, sf).collect()}
+    chunked = {r.doc_id: r for r in chunk_bpe.op7_chunk_bpe(spark, sf).collect()}
+    filed = {r.doc_id: r for r in simple8b.op3_simple8b(spark, sf).collect()}
+    start = 0
+    for doc, text in rows:
+        ids = word.encode(text, add_special_tokens=False).ids
+        assert counted[doc].n_tokens == chunked[doc].n_tokens == len(ids)
+        assert chunked[doc].ids_sha256 == sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert chunked[doc].decoded_sha256 == sha256(word.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+        ids = [*byte.encode(text, add_special_tokens=False).ids, 2]
+        assert (filed[doc].start, filed[doc].n_tokens, filed[doc].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
