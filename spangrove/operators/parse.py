@@ -23,7 +23,7 @@ DIAGNOSTIC = "struct<node: string, message: string, start: int, end: int, candid
 RESULT = f"""accepted boolean, exact boolean, matches int, source_len int, tokens int, descriptors long, duplicates long,
     suppressed long, clusters long, spans long, failed long, furthest int, expected array<string>, pruned long, too_large boolean,
     bsr array<{SPAN}>, commits array<{COMMIT}>, diagnostics array<{DIAGNOSTIC}>, trees array<string>,
-    nodes array<struct<id: string, kind: string, label: string, start: int, end: int>>, edges array<struct<parent: string, child: string, place: int>>"""
+    nodes array<struct<node: string, kind: string, label: string, start: int, end: int>>, edges array<struct<parent: string, child: string, place: int>>"""
 
 _kernels: dict[tuple, Kernel] = {}
 
@@ -66,7 +66,7 @@ def outcome(k: Kernel, text: str | None, resolve: bool, keep: frozenset[str], tr
         out["trees"] = [x.dump() for x in Trees(p).every(trees)]
     if "forest" in keep:
         nodes, edges = sppf(p)
-        out["nodes"] = [dict(zip(("id", "kind", "label", "start", "end"), x, strict=True)) for x in nodes]
+        out["nodes"] = [dict(zip(("node", "kind", "label", "start", "end"), x, strict=True)) for x in nodes]
         out["edges"] = [dict(zip(("parent", "child", "place"), x, strict=True)) for x in edges]
     return out
 

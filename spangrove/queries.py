@@ -53,18 +53,18 @@ _COVER = "[A-Za-z]+|[0-9]+|[ \\t\\n\\r]+|[^A-Za-z0-9 \\t\\n\\r]"
 
 
 def _tokens(spark: SparkSession, sf: str) -> DataFrame:
-    """conv_id, turn, at, token, start, stop over every turn, by lengths of the tokens that cover it."""
-    t = _table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit(_COVER), F.lit(0))).alias("at", "token"))
-    w = Window.partitionBy("conv_id", "turn").orderBy("at")
+    """conv_id, turn, pos, token, start, stop over every turn, by lengths of the tokens that cover it."""
+    t = _table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit(_COVER), F.lit(0))).alias("pos", "token"))
+    w = Window.partitionBy("conv_id", "turn").orderBy("pos")
     stop = F.sum(F.length("token")).over(w)
-    return t.select("conv_id", "turn", F.col("at").cast("long").alias("at"), "token", (stop - F.length("token")).alias("start"), stop.alias("stop"))
+    return t.select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), "token", (stop - F.length("token")).alias("start"), stop.alias("stop"))
 
 
 _TOKENS_SQL = f"""
-t AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '{_COVER}')) AS token, generate_subscripts(regexp_extract_all(text, '{_COVER}'), 1) - 1 AS at FROM conversations),
-tokens AS (SELECT conv_id, turn, CAST(at AS BIGINT) AS at, token,
+t AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '{_COVER}')) AS token, generate_subscripts(regexp_extract_all(text, '{_COVER}'), 1) - 1 AS pos FROM conversations),
+tokens AS (SELECT conv_id, turn, CAST(pos AS BIGINT) AS pos, token,
   CAST(sum(length(token)) OVER w - length(token) AS BIGINT) AS start, CAST(sum(length(token)) OVER w AS BIGINT) AS stop
-  FROM t WINDOW w AS (PARTITION BY conv_id, turn ORDER BY at))
+  FROM t WINDOW w AS (PARTITION BY conv_id, turn ORDER BY pos))
 """
 
 
@@ -75,9 +75,9 @@ def token_offsets(spark: SparkSession, sf: str) -> DataFrame:
 def boundary_gaps(spark: SparkSession, sf: str) -> DataFrame:
     """For each visible token that is not its turn's first: is there space, or a line break, before it?"""
     t = _tokens(spark, sf)
-    before = F.lag("token").over(Window.partitionBy("conv_id", "turn").orderBy("at"))
+    before = F.lag("token").over(Window.partitionBy("conv_id", "turn").orderBy("pos"))
     blank = F.coalesce(before.rlike("^[ \\t\\n\\r]+$"), F.lit(False))
-    return t.withColumn("space", blank).withColumn("line", F.coalesce(blank & before.rlike("[\\n\\r]"), F.lit(False))).where("at > 0 and token not rlike '^[ \\\\t\\\\n\\\\r]+$'").select("conv_id", "turn", "at", "space", "line")
+    return t.withColumn("space", blank).withColumn("line", F.coalesce(blank & before.rlike("[\\n\\r]"), F.lit(False))).where("pos > 0 and token not rlike '^[ \\\\t\\\\n\\\\r]+$'").select("conv_id", "turn", "pos", "space", "line")
 
 
 def munch_literals(spark: SparkSession, sf: str) -> DataFrame:
@@ -219,8 +219,8 @@ def parse_turns(spark: SparkSession, sf: str) -> DataFrame:
 
 def residual_ambiguity(spark: SparkSession, sf: str) -> DataFrame:
     """Signatures of what stays ambiguous, with the expressions as labels."""
-    e = _expressions(spark, sf).where("l_linenumber % 3 <> 0").select("text").distinct()
-    loose = ARITHMETIC.replace("@left ", "").replace('T "*" F', 'T "*" T')
+    e = _expressions(spark, sf).where("l_linenumber % 3 <> 0").select(F.concat("text", F.lit(" + 1 * 2 * 3")).alias("text")).distinct()
+    loose = ARITHMETIC.replace("@left ", "").replace('E "+" T', 'E "+" E').replace('T "*" F', 'T "*" T')
     d = diagnostics(parse(e.withColumn("msg_index", F.xxhash64("text")), loose, keep=("diagnostics",)), "msg_index")
     return corpus.harvest(d).select(F.col("count").cast("long").alias("count"), "node", "kind", "signature")
 
@@ -300,14 +300,14 @@ def _window(order: str, by: str, fn: str, value: str) -> str:
 ORACLE_SQL: dict[str, str] = {
     "doc_fingerprint": "SELECT doc_id, sha256(text) AS sha256, CAST(octet_length(encode(text)) AS BIGINT) AS size, CAST(length(text) AS BIGINT) AS chars FROM documents",
     "chunk_documents": f"WITH {_CHUNKS_SQL} SELECT doc_id, chunk_index, CAST(start_offset AS BIGINT) AS start_offset, CAST(end_offset AS BIGINT) AS end_offset, md5(piece) AS text_md5 FROM chunks",
-    "token_offsets": f"WITH {_TOKENS_SQL} SELECT conv_id, turn, at, token, start, stop FROM tokens",
-    "boundary_gaps": f"""WITH {_TOKENS_SQL}, g AS (SELECT conv_id, turn, at, token, lag(token) OVER (PARTITION BY conv_id, turn ORDER BY at) AS before FROM tokens)
-        SELECT conv_id, turn, at, regexp_full_match(before, '[ \\t\\n\\r]+') AS space, regexp_full_match(before, '[ \\t\\n\\r]+') AND regexp_matches(before, '[\\n\\r]') AS line
-        FROM g WHERE at > 0 AND NOT regexp_full_match(token, '[ \\t\\n\\r]+')""",
+    "token_offsets": f"WITH {_TOKENS_SQL} SELECT conv_id, turn, pos, token, start, stop FROM tokens",
+    "boundary_gaps": f"""WITH {_TOKENS_SQL}, g AS (SELECT conv_id, turn, pos, token, lag(token) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS before FROM tokens)
+        SELECT conv_id, turn, pos, regexp_full_match(before, '[ \\t\\n\\r]+') AS space, regexp_full_match(before, '[ \\t\\n\\r]+') AND regexp_matches(before, '[\\n\\r]') AS line
+        FROM g WHERE pos > 0 AND NOT regexp_full_match(token, '[ \\t\\n\\r]+')""",
     "munch_literals": f"""WITH {_TOKENS_SQL}, l AS (SELECT unnest(['the', 'in', 'of', 'th']) AS literal)
         SELECT conv_id, turn, start, literal FROM tokens, l WHERE starts_with(token, literal) AND NOT (regexp_full_match(token, '[a-z]+') AND length(token) > length(literal))""",
-    "postings": f"""WITH w AS (SELECT doc_id, unnest({_WORDS.format("text")}) AS term, generate_subscripts({_WORDS.format("text")}, 1) - 1 AS at FROM documents)
-        SELECT doc_id, term, count(*) AS tf, CAST(min(at) AS BIGINT) AS first_at FROM w GROUP BY doc_id, term""",
+    "postings": f"""WITH w AS (SELECT doc_id, unnest({_WORDS.format("text")}) AS term, generate_subscripts({_WORDS.format("text")}, 1) - 1 AS pos FROM documents)
+        SELECT doc_id, term, count(*) AS tf, CAST(min(pos) AS BIGINT) AS first_at FROM w GROUP BY doc_id, term""",
     "bm25_topk": f"""WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS words FROM documents), w AS (SELECT doc_id, unnest(words) AS term FROM d),
         p AS (SELECT doc_id, term, count(*) AS tf FROM w WHERE term IN ('the', 'of', 'worthless') GROUP BY doc_id, term),
         f AS (SELECT term, count(*) AS df FROM p GROUP BY term), n AS (SELECT count(*) AS n, avg(len(words)) AS a FROM d),

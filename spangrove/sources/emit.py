@@ -18,7 +18,7 @@ def dot_lines(nodes: DataFrame, edges: DataFrame, *ids: str) -> DataFrame:
     shape = F.coalesce(*(F.when(F.col("kind") == k, v) for k, v in SHAPES.items()), F.lit("box"))
     label = F.replace(F.replace(F.concat_ws(" ", "label", F.concat_ws(",", F.col("start").cast("string"), F.col("end").cast("string"))), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     head = nodes.select(*ids).distinct().select(*ids, F.lit(0).alias("part"), F.lit("").alias("key"), F.lit("digraph {").alias("value"))
-    body = nodes.select(*ids, F.lit(1).alias("part"), F.col("id").alias("key"), F.concat(F.lit('  "'), "id", F.lit('" [label="'), label, F.lit('",shape='), shape, F.lit("]")).alias("value"))
+    body = nodes.select(*ids, F.lit(1).alias("part"), F.col("node").alias("key"), F.concat(F.lit('  "'), "node", F.lit('" [label="'), label, F.lit('",shape='), shape, F.lit("]")).alias("value"))
     arrows = edges.select(*ids, F.lit(2).alias("part"), F.concat_ws(">", "parent", F.col("place").cast("string"), "child").alias("key"), F.concat(F.lit('  "'), "parent", F.lit('" -> "'), "child", F.lit('"')).alias("value"))
     tail = head.select(*ids, F.lit(3).alias("part"), F.lit("").alias("key"), F.lit("}").alias("value"))
     return head.unionByName(body).unionByName(arrows).unionByName(tail).orderBy(*ids, "part", "key").select(*ids, "value")

@@ -23,7 +23,7 @@ def source_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = SUF
     keep = suffix.isin(*suffixes) & ~F.arrays_overlap(F.split(below, "/"), F.array(*map(F.lit, excluded)))
     # The path decides before any content is read.
     kept = files.select("path", "modificationTime", "length", "content").where(keep)
-    return kept.select(below.alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"), F.col("modificationTime").cast("double").alias("mtime"), F.decode("content", "UTF-8").alias("text"))
+    return kept.select(below.alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"), F.col("modificationTime").cast("double").alias("mtime"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def documents(files: DataFrame) -> DataFrame:

@@ -197,3 +197,39 @@ def test_messages_actions_and_limits():
     assert [t.kind for t in tokenize("a // c\n /* b */ = /x/ .")] == ["name", "=", "regex", ".", "end"]
     with pytest.raises(TooLarge):
         Kernel(compile_grammar('S = "b" | S S.'), most_items=50).parse("b" * 40)
+
+
+def test_scan_and_reports():
+    from spangrove.plans import scan as sc
+
+    g = compile_grammar(SPACE + 'id - /[a-z]+/. S = "if" id { "," id } .')
+    assert [(t.kind, t.start, t.end, t.trivia) for t in sc.scan(g, "if  ifx")] == [('"if"', 0, 2, ()), ("id", 4, 7, ((2, 4),)), ("○", 7, 7, ())]
+    with pytest.raises(sc.ScanError):
+        sc.scan(g, "if ?")
+    p = Kernel(g).parse("if x\n, 9")
+    assert sc.explain(p).startswith("no parse at L0P3") or "expected" in sc.explain(p)
+    assert sc.explain(Kernel(g).parse("if x")) == "" and "first" in sc.describe(g)
+    assert sc.literal_content(r'"a\\n\"\n"') == 'a\\n"\n' and sc.line_position("a\r\nbc", 5) == "L1P2"
+    assert sc.keyword_overlaps(compile_grammar('@lexicalClass id - /[a-z]+/. S = "if" id "," .')) == [('"if"', "id")]
+    t = sc.Telemetry()
+    lexer = sc.Timed(p.lexer, t)
+    p.lexer.memo.clear()
+    assert lexer.lex(0, "id") == lexer.lex(0, "id") and t.calls == {"id": 1} and t.report()[0][:2] == ("id", 1) and lexer.text == p.text
+
+
+def test_generated_recognizer():
+    from spangrove.plans import scan as sc
+    from spangrove.sources.codegen import recognizer
+
+    g = compile_grammar(SPACE + 'n - /[0-9]+/. S = T { "+" T } [ ";" ]. T = n | "(" S ")" | "-" < n > .')
+    scope: dict = {}
+    exec(recognizer(g), scope)
+    k = Kernel(g)
+    for text in ("1", "1 + (2 + 3);", "- 1 2 3", "-", "1 +", "(1", "1 2", "1;;"):
+        try:
+            got = scope["parse"]([t.kind for t in sc.scan(g, text)])
+        except ValueError:
+            got = False
+        assert got == k.parse(text).accepted, text
+    with pytest.raises(GrammarError):
+        recognizer(compile_grammar('S = "a" | "a" "b".'))
