@@ -119,6 +119,33 @@ def snippets(files: DataFrame, path_col: str = "path", text_col: str = "text", v
     )
 
 
+_ENTRY = re.compile(r"\b\w*Snippet\(")
+_LABEL = re.compile(r'label:\s*"([^"]+)"')
+_SOURCE = re.compile(r'source:\s*(?=#*")')
+
+
+def labelled(text: str) -> Iterator[tuple[str, str, bool]]:
+    """(label, source, disabled) of each entry of a corpus file; an entry ends where the next begins."""
+    begins = [m.start() for m in _ENTRY.finditer(text)]
+    for a, b in zip(begins, [*begins[1:], len(text)], strict=True):
+        part = text[a:b]
+        label, source = _LABEL.search(part), _SOURCE.search(part)
+        found = first_string(part[source.end() :]) if label and source else None
+        if found:
+            yield label[1], content(found[0]).strip("\n"), "disabledReason:" in found[1].split("),")[0]
+
+
+def corpus_entries(files: DataFrame, text_col: str = "text") -> DataFrame:
+    """label, source, disabled of all entries of all files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [x for t in batch.column(0).to_pylist() for x in labelled(t or "")]
+            yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.bool_())], names=["label", "source", "disabled"])
+
+    return files.select(text_col).mapInArrow(run, "label string, source string, disabled boolean")
+
+
 def harvest(diagnostics: DataFrame, labels: DataFrame | None = None, index_col: str = "msg_index", examples: int = 4) -> DataFrame:
     """count, node, kind, signature, example_tests, most first. labels: (index, label); an index without one is ?n."""
     d = diagnostics.select(F.col(index_col).alias("n"), "node", F.col("message").alias("kind"), "signature")

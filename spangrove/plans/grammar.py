@@ -20,6 +20,8 @@ from dataclasses import dataclass, field
 
 import regex
 
+from ..functions.codepoints import PATTERNS, portable
+
 EOS, EPS = "○", ""
 INDENT, DEDENT = ">>|", "|<<"
 GAPS = ("<s>", ">s<", "<n>", ">n<")
@@ -174,7 +176,7 @@ def unescape(text: str) -> str:
 
 class Reader:
     def __init__(self, text: str, builders: dict[str, str] | None = None):
-        self.text, self.builders = text, builders or {}
+        self.text, self.builders = text, PATTERNS | (builders or {})
         self.tokens, self.at = tokenize(text), 0
         self.grammar = Grammar()
         self.aliases: dict[str, str] = {}
@@ -270,6 +272,7 @@ class Reader:
         return self.pattern(name, self.builders[key], skip)
 
     def pattern(self, name: str, source: str, skip: bool) -> Terminal:
+        source = portable(source)
         try:
             regex.compile(source)
         except regex.error as e:
@@ -368,7 +371,7 @@ BRACKETS = {"group": "( )", "opt": "[ ]", "star": "{ }", "plus": "< >"}
 
 
 def compile_grammar(text: str, builders: dict[str, str] | None = None, start: str = "") -> Grammar:
-    """Read, number and analyse a grammar. builders: patterns by key for @builder."""
+    """Read, number and analyse a grammar. builders: patterns by key for @builder, beside those that are there."""
     from .analysis import analyse
 
     reader = Reader(text, builders)

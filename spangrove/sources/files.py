@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.grammar import Grammar, compile_grammar
 
 #: Which files make the index, and which folders do not.
-SUFFIXES = (".txt", ".md", ".swift", ".apus", ".gv")
+SUFFIXES = (".txt", ".md", ".swift", ".grammar", ".gv")
 EXCLUDED = (".git", ".build", "DerivedData", "Products")
 #: Tried in this order.
 ENCODINGS = ("utf-8", "utf-16", "utf-32", "iso-8859-1", "windows-1252", "iso-2022-jp", "shift_jis", "euc_jp", "mac_roman")

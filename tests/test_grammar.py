@@ -233,3 +233,20 @@ def test_generated_recognizer():
         assert got == k.parse(text).accepted, text
     with pytest.raises(GrammarError):
         recognizer(compile_grammar('S = "a" | "a" "b".'))
+
+
+def test_registered_patterns():
+    import regex
+
+    from spangrove.functions.codepoints import PATTERNS, portable
+
+    def whole(name, *texts):
+        return [bool(regex.fullmatch(PATTERNS[name], t)) for t in texts]
+
+    assert whole("identifier", "aB_1", "é́x", "日本", "😀", "1a", "⚽", "a-b") == [True, True, True, True, False, False, False]
+    assert whole("operatorToken", "+", "==", "=", "?", "&&", "⚽", "a") == [True, True, False, False, True, True, False]
+    assert whole("postfixOperatorToken", "++", "!=") == [True, False] and whole("dotOperator", "...", "..<", ".", ".?") == [True, True, False, False]
+    assert whole("poundName", "#if", "#") == [True, False] and whole("propertyWrapperProjection", "$a", "$0a", "$0") == [True, True, False]
+    assert whole("escapedIdentifier", "`class`", "`a b`", "`+`", "` `", "`a\nb`") == [True, True, False, False, False]
+    assert regex.fullmatch(portable(r"[\u{61}-\u{7A}]+\\u{}"), "abc\\u{}")
+    assert Kernel(compile_grammar("name - @builder(identifier) . S = name .")).parse("héllo").accepted

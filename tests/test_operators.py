@@ -117,6 +117,14 @@ def test_snippets(spark):
     assert got["testOne#3", "accept"].underscored and "\u20e3" not in got["testOne#3", "accept"].source and got["testOne#1", "accept"].origin == "File.testOne"
 
 
+def test_corpus_entries(spark):
+    text = '''[CaseSnippet(label: "one", source: "a(b)", origin: "x"), CaseSnippet(label: "two", source: #"""
+        b "c"
+        """#, origin: "x", disabledReason: "later"), CaseSnippet(label: "three")]'''
+    df = spark.createDataFrame([(text,), (None,)], "text string")
+    assert [tuple(r) for r in corpus.corpus_entries(df).collect()] == [("one", "a(b)", False), ("two", 'b "c"', True)]
+
+
 def test_harvest_and_verdicts(spark):
     loose = SUM.replace("@left ", "")
     df = spark.createDataFrame([(0, "1+2+3", "accept"), (1, "1+2+3+4", "accept"), (2, "1+", "reject")], "msg_index int, text string, expected string")
@@ -135,9 +143,9 @@ def test_files(spark, tmp_path):
     (tmp_path / "src/D.TXT").write_bytes(b"\xff\xfe bad")
     got = {r.path: r for r in files.documents(files.source_files(spark, str(tmp_path / "src"))).collect()}
     assert set(got) == {"a.md", "D.TXT"} and got["a.md"].text == "hello é" and got["a.md"].size == 8 and "\ufffd" in got["D.TXT"].text
-    (tmp_path / "g.apus").write_text('S = "x". ^^^x^^^#m.txt')
+    (tmp_path / "g.grammar").write_text('S = "x". ^^^x^^^#m.txt')
     (tmp_path / "m.txt").write_text("x")
-    _, g = files.grammar_file(spark, str(tmp_path / "g.apus"))
+    _, g = files.grammar_file(spark, str(tmp_path / "g.grammar"))
     assert [r.text for r in files.messages(spark, g, str(tmp_path)).collect()] == ["x", "x"]
     files.write_tsv(spark.createDataFrame([(1, 'a"b')], "n int, s string"), str(tmp_path / "t"))
     assert any('1\ta"b' in f.read_text() for f in (tmp_path / "t").glob("part*"))
