@@ -13,9 +13,11 @@ characters, which prose holds by chance. Null and empty texts match nothing. Row
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,20 +123,23 @@ def matcher(key: int, items: list[tuple[int, str]]) -> Matcher:
     return _matchers[key]
 
 
-def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, distance, end (in the folded text) for each pair within the item's edit budget."""
-    spark = docs.sparkSession
-    arrow_limits(spark)
+def blocks(items: DataFrame, item_col: str, item_text_col: str) -> Iterator[tuple[int, Broadcast]]:
+    """A key and the broadcast (id, text) rows of each block of items."""
     chosen = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where(F.length("text") >= MIN_CHARS)
     total = chosen.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // (BLOCK_CHARS // 2)))
+    count = max(1, -(-total // (BLOCK_CHARS // 2)))
+    for b in range(count):
+        part = chosen if count == 1 else chosen.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == b)
+        held = [(r.item_id, r.text) for r in part.collect()]
+        yield zlib.crc32(repr(sorted(held, key=str)).encode()), items.sparkSession.sparkContext.broadcast(held)
+
+
+def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """doc_id, item_id, distance, end (in the folded text) for each pair within the item's edit budget."""
+    arrow_limits(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     out = None
-    for b in range(blocks):
-        part = chosen if blocks == 1 else chosen.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        held = [(r.item_id, r.text) for r in part.collect()]
-        shared = spark.sparkContext.broadcast(held)
-        key = hash(tuple(sorted(held, key=str)))
+    for key, shared in blocks(items, item_col, item_text_col):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
             own = matcher(key, shared.value)
@@ -148,10 +153,19 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     return out
 
 
-def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without the documents that hold a passage of any item."""
-    bad = matches(docs, items).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text holds a passage of no item. Each row is judged where it is read; nothing is joined."""
+    arrow_limits(docs.sparkSession)
+    at = docs.columns.index(text_col)
+    for key, shared in blocks(items, item_col, item_text_col):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
+            own = matcher(key, shared.value)
+            for batch in batches:
+                yield batch.filter(pa.array([not t or not own.find(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 def op10_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,6 +61,8 @@ def test_tables(spark):
     assert sorted((r.doc_id, r.item_id, r.distance) for r in got.collect()) == [(1, 7, 0)] * 4 + [(7, 7, 0)] * 2
     kept = ph.decontaminate(docs, items)
     assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 4, 6] and kept.columns == docs.columns
+    same = spark.createDataFrame([(1, item), (1, "clean"), (None, item), (None, "clean")], "doc_id long, text string")
+    assert [r.text for r in ph.decontaminate(same, items).collect()] == ["clean", "clean"]
     assert ph.matches(docs.limit(0), items).count() == 0 and ph.matches(docs, items.limit(0)).count() == 0
 
 
