@@ -23,7 +23,8 @@ DIAGNOSTIC = "struct<node: string, message: string, start: int, end: int, candid
 RESULT = f"""accepted boolean, exact boolean, matches int, source_len int, tokens int, descriptors long, duplicates long,
     suppressed long, clusters long, spans long, failed long, furthest int, expected array<string>, pruned long, too_large boolean,
     bsr array<{SPAN}>, commits array<{COMMIT}>, diagnostics array<{DIAGNOSTIC}>, trees array<string>,
-    nodes array<struct<node: string, kind: string, label: string, start: int, end: int>>, edges array<struct<parent: string, child: string, place: int>>"""
+    nodes array<struct<node: string, kind: string, label: string, start: int, end: int>>, edges array<struct<parent: string, child: string, place: int>>,
+    tree array<struct<node: int, parent: int, place: int, name: string, start: int, end: int, image: string, ambiguous: boolean>>"""
 
 _kernels: dict[tuple, Kernel] = {}
 
@@ -43,7 +44,7 @@ def outcome(k: Kernel, text: str | None, resolve: bool, keep: frozenset[str], tr
     if text is None:
         return None
     names = ("accepted", "exact", "matches", "tokens", "descriptors", "duplicates", "suppressed", "clusters", "spans", "failed", "furthest", "pruned")
-    out: dict = dict.fromkeys(names, 0) | {"source_len": len(text), "too_large": False, "expected": None} | dict.fromkeys(("bsr", "commits", "diagnostics", "trees", "nodes", "edges"))
+    out: dict = dict.fromkeys(names, 0) | {"source_len": len(text), "too_large": False, "expected": None} | dict.fromkeys(("bsr", "commits", "diagnostics", "trees", "nodes", "edges", "tree"))
     try:
         p = k.parse(text)
     except TooLarge:
@@ -56,12 +57,14 @@ def outcome(k: Kernel, text: str | None, resolve: bool, keep: frozenset[str], tr
         out["bsr"] = [{"slot": n, "i": i, "k": a, "j": j} for n in sorted(p.spans) for i, a, j in sorted(p.spans[n])]
     if "commits" in keep:
         out["commits"] = [dict(zip(("terminal", "trivia_start", "start", "end", "trivia_end"), (p.grammar.symbols[c[0]], *c[1:]), strict=True)) for c in sorted(p.commits)]
-    if keep & {"diagnostics", "ast"}:
+    if keep & {"diagnostics", "ast", "tree"}:
         t = Trees(p)
         tree = t.one()
         out["diagnostics"] = [dict(zip(("node", "message", "start", "end", "candidates", "signature"), (d.node, d.message, d.start, d.end, d.candidates, d.signature), strict=True)) for d in t.diagnostics]
         if "ast" in keep and tree:
             out["trees"] = [tree.dump()]
+        if "tree" in keep and tree:
+            out["tree"] = [dict(zip(("node", "parent", "place", "name", "start", "end", "image", "ambiguous"), r, strict=True)) for r in tree.rows()]
     if "trees" in keep:
         out["trees"] = [x.dump() for x in Trees(p).every(trees)]
     if "forest" in keep:
@@ -72,7 +75,8 @@ def outcome(k: Kernel, text: str | None, resolve: bool, keep: frozenset[str], tr
 
 
 def parse(df: DataFrame, grammar: str, text_col: str = "text", resolve: bool = False, keep: tuple[str, ...] = ("bsr",), builders: dict[str, str] | None = None, start: str = "", trees: int = 10, most_items: int = 5_000_000, batch_rows: int = 500) -> DataFrame:
-    """df with a column `parse`. keep: what of bsr, commits, diagnostics, ast, trees and forest comes with it.
+    """df with a column `parse`. keep: what of bsr, commits, diagnostics, ast (one tree as text), tree (the same as
+    rows), trees (up to `trees` of all) and forest comes with it.
 
     A null text has a null parse. A message of more than most_items items is reported as too_large.
     """
@@ -125,6 +129,18 @@ def forest_edges(parsed: DataFrame, *ids: str) -> DataFrame:
     return parsed.select(*ids, F.explode("parse.edges").alias("e")).select(*ids, "e.*")
 
 
+def tree_nodes(parsed: DataFrame, *ids: str) -> DataFrame:
+    """One row for each node of the single tree: node, parent, place among its siblings, name, start, end, image."""
+    return parsed.select(*ids, F.explode("parse.tree").alias("t")).select(*ids, "t.*")
+
+
+def terminal_text(parsed: DataFrame, text_col: str, *ids: str) -> DataFrame:
+    """ids, image: the tokens of each message in order, without what was skipped between them."""
+    tokens = F.array_distinct(F.transform("parse.commits", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"))))
+    longest = F.filter(tokens, lambda t: (t["end"] > t["start"]) & ~F.exists(tokens, lambda o: (o["start"] == t["start"]) & (o["end"] > t["end"])))
+    return parsed.select(*ids, F.array_join(F.transform(F.array_sort(longest), lambda t: F.col(text_col).substr(t["start"] + 1, t["end"] - t["start"])), "").alias("image"))
+
+
 def metrics(parsed: DataFrame, *ids: str) -> DataFrame:
     names = ["accepted", "exact", "matches", "source_len", "tokens", "descriptors", "duplicates", "suppressed", "clusters", "spans", "pruned", "furthest"]
     return parsed.select(*ids, *(F.col(f"parse.{n}").alias(n) for n in names))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from spangrove.functions import text as tx
 from spangrove.operators import corpus, search
 from spangrove.operators import spans as sp
-from spangrove.operators.parse import diagnostics, forest_edges, forest_nodes, parse, parse_distinct, signature_lines, spans, verdicts
+from spangrove.operators.parse import diagnostics, forest_edges, forest_nodes, parse, parse_distinct, signature_lines, spans, terminal_text, tree_nodes, verdicts
 from spangrove.plans.forest import apply, choices
 from spangrove.plans.grammar import compile_grammar
 from spangrove.plans.kernel import Kernel
@@ -125,6 +125,14 @@ def test_corpus_entries(spark):
     assert [tuple(r) for r in corpus.corpus_entries(df).collect()] == [("one", "a(b)", False), ("two", 'b "c"', True)]
 
 
+def test_trees_as_tables(spark):
+    df = spark.createDataFrame([(1, "1 + 2"), (2, "nothing")], "id long, text string")
+    p = parse(df, SUM, keep=("tree", "commits"), resolve=True)
+    rows = sorted(tuple(r) for r in tree_nodes(p, "id").select("id", "node", "parent", "name", "image").collect())
+    assert rows == [(1, 0, None, "E", None), (1, 1, 0, "E", None), (1, 2, 0, '"+"', "+"), (1, 3, 0, "E", None), (1, 4, 1, "number", "1"), (1, 5, 3, "number", "2")]
+    assert {r.id: r.image for r in terminal_text(p, "text", "id").collect()}[1] == "1+2"
+
+
 def test_harvest_and_verdicts(spark):
     loose = SUM.replace("@left ", "")
     df = spark.createDataFrame([(0, "1+2+3", "accept"), (1, "1+2+3+4", "accept"), (2, "1+", "reject")], "msg_index int, text string, expected string")
