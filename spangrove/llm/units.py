@@ -81,7 +81,7 @@ def shared_memo(tokenizer: str, spaced: bool, texts: bool = False) -> UnitMemo:
     """The memo of this worker process; tasks that run after each other go on with it."""
     key = tokenizer, spaced, texts
     if key not in _memos:
-        _memos[key] = UnitMemo(tokenizer, spaced, texts, cap=500_000 if texts else 1_600_000)
+        _memos[key] = UnitMemo(tokenizer, spaced, texts, cap=900_000 if texts else 1_800_000)
     if _memos[key].full():
         _memos[key].clear()
     return _memos[key]
@@ -90,6 +90,11 @@ def shared_memo(tokenizer: str, spaced: bool, texts: bool = False) -> UnitMemo:
 class UnitMemo:
     def __init__(self, tokenizer: str, spaced: bool, texts: bool = False, cap: int = 900_000):
         self.tok, self.spaced, self.texts, self.cap = load_tokenizer(tokenizer), spaced, texts, cap
+        names = [self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size())]
+        #: Ids that begin a word after a space, or end a word.
+        self.edge = np.array([x.startswith("Ġ") if spaced else x.endswith("</w>") for x in names])
+        if texts:
+            self.numbers, self.tokens = [str(i).encode() for i in range(len(names))], [x.encode() for x in names]
         self.clear()
 
     def clear(self) -> None:
@@ -119,30 +124,61 @@ class UnitMemo:
             raw = buf.tobytes()
             units = [raw[a:b].decode("utf-8", "replace") for a, b in zip(s[first[new]].tolist(), e[first[new]].tolist(), strict=True)]
             base = len(self.slot)
-            coded: list = []
-            for i in range(0, len(units), 4096):
-                if self.texts:
-                    coded += [(x.ids, x.tokens) for x in self.tok.encode_batch(units[i : i + 4096], add_special_tokens=False)]
-                else:
-                    coded += [x.ids for x in self.tok.encode_batch_fast(units[i : i + 4096], add_special_tokens=False)]
-            if self.texts:
-                self.ids_text += [" ".join(map(str, i)).encode() for i, _ in coded]
-                self.decoded += [" ".join(t).encode() for _, t in coded]
-                coded = [i for i, _ in coded]
-            lens = np.fromiter(map(len, coded), np.int32, len(coded))
-            total = int(lens.sum())
+            order, lens, flat = self.encode(units)
+            total = len(flat)
             while base + len(new) > len(self.lens):
                 self.lens, self.at = np.append(self.lens, np.zeros_like(self.lens)), np.append(self.at, np.zeros_like(self.at))
             while self.used + total > len(self.flat):
                 self.flat = np.append(self.flat, np.zeros_like(self.flat))
-            self.flat[self.used : self.used + total] = np.fromiter((x for i in coded for x in i), np.int32, total)
+            self.flat[self.used : self.used + total] = flat
+            ends = np.cumsum(lens)
             self.lens[base : base + len(new)] = lens
-            self.at[base : base + len(new)] = self.used + np.cumsum(lens) - lens
+            self.at[base : base + len(new)] = self.used + ends - lens
             self.used += total
+            if self.texts:
+                ids, number, token = flat.tolist(), self.numbers, self.tokens
+                for a, b in zip((ends - lens).tolist(), ends.tolist(), strict=True):
+                    self.ids_text.append(b" ".join([number[x] for x in ids[a:b]]))
+                    self.decoded.append(b" ".join([token[x] for x in ids[a:b]]))
+            new = new[order]
             self.slot.update(zip(keys[new].tolist(), range(base, base + len(new)), strict=True))
             found[new] = np.arange(base, base + len(new))
         return found[back]
 
+    def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The order in which units were encoded, and by it their numbers of ids and all ids.
+
+        Units that are a word of letters (after one space, if spaced) are encoded in one text: the library ends a piece
+        at each of them, and the ids that begin (or end) a word tell them apart. Where their number does not come out,
+        and for all other units, each is a text of its own.
+        """
+        word = (lambda u: u[:1] == " " and u[1:].isalpha()) if self.spaced else str.isalpha
+        simple = [i for i, u in enumerate(units) if word(u)]
+        rest = [i for i, u in enumerate(units) if not word(u)]
+        order: list[int] = []
+        lens: list[np.ndarray] = []
+        flat: list[np.ndarray] = []
+        for at in range(0, len(simple), 1024):
+            some = simple[at : at + 1024]
+            text = ("" if self.spaced else " ").join([units[i] for i in some])
+            ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+            edge = np.flatnonzero(self.edge[ids])
+            if len(edge) != len(some):
+                rest += some
+                continue
+            bounds = np.append(edge, len(ids)) if self.spaced else np.append(-1, edge) + 1
+            order += some
+            lens.append(np.diff(bounds))
+            flat.append(ids)
+        for at in range(0, len(rest), 4096):
+            some = rest[at : at + 4096]
+            coded = [x.ids for x in self.tok.encode_batch_fast([units[i] for i in some], add_special_tokens=False)]
+            order += some
+            lens.append(np.fromiter(map(len, coded), np.int64, len(coded)))
+            flat.append(np.fromiter((x for i in coded for x in i), np.int32, int(lens[-1].sum())))
+        none = [np.zeros(0, np.int64)]
+        return np.array(order, np.int64), np.concatenate(lens or none).astype(np.int64), np.concatenate(flat or none).astype(np.int32)
+
     def ids(self, slots: np.ndarray) -> np.ndarray:
         """The ids of all units, one after another."""
         lens = self.lens[slots].astype(np.int64)
