@@ -127,7 +127,7 @@ _SOURCE = re.compile(r'source:\s*(?=#*")')
 def labelled(text: str) -> Iterator[tuple[str, str, bool]]:
     """(label, source, disabled) of each entry of a corpus file; an entry ends where the next begins."""
     begins = [m.start() for m in _ENTRY.finditer(text)]
-    for a, b in zip(begins, [*begins[1:], len(text)], strict=True):
+    for a, b in zip(begins, [*begins[1:], len(text)], strict=False):
         part = text[a:b]
         label, source = _LABEL.search(part), _SOURCE.search(part)
         found = first_string(part[source.end() :]) if label and source else None

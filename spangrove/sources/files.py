@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.grammar import Grammar, compile_grammar
+from .scratch import scratch_save
 
 #: Which files make the index, and which folders do not.
 SUFFIXES = (".txt", ".md", ".swift", ".grammar", ".gv")
@@ -26,12 +29,20 @@ def source_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = SUF
     return kept.select(below.alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"), F.col("modificationTime").cast("double").alias("mtime"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
-def documents(files: DataFrame) -> DataFrame:
-    """source_files with a dense id by path; a path is there once."""
-    from pyspark.sql import Window
+def documents(files: DataFrame, save: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+    """source_files with a dense id by path; a path is there once.
 
+    Paths are range-partitioned and numbered within each part; only the parts' sizes meet in one task. The parts are
+    written first, so that a part that is read again has the same rows.
+    """
+    save = save or scratch_save(files.sparkSession)
     once = files.dropDuplicates(["path"])
-    return once.withColumn("doc_id", F.row_number().over(Window.orderBy("path")).cast("long"))
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = save(once.repartitionByRange(n, "path").withColumn("part", F.spark_partition_id()), "parts")
+    sizes = parts.groupBy("part").count()
+    before = sizes.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("before"))
+    number = F.row_number().over(Window.partitionBy("part").orderBy("path"))
+    return parts.withColumn("n", number).join(F.broadcast(before), "part").withColumn("doc_id", F.col("before") + F.col("n")).drop("part", "before", "n")
 
 
 def read_text(spark: SparkSession, path: str) -> str:

@@ -150,6 +150,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "src/.git/c.md").write_text("no")
     (tmp_path / "src/D.TXT").write_bytes(b"\xff\xfe bad")
     got = {r.path: r for r in files.documents(files.source_files(spark, str(tmp_path / "src"))).collect()}
+    assert sorted(r.doc_id for r in got.values()) == [1, 2] and got["D.TXT"].doc_id == 1
     assert set(got) == {"a.md", "D.TXT"} and got["a.md"].text == "hello é" and got["a.md"].size == 8 and "\ufffd" in got["D.TXT"].text
     (tmp_path / "g.grammar").write_text('S = "x". ^^^x^^^#m.txt')
     (tmp_path / "m.txt").write_text("x")
