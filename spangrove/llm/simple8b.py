@@ -201,7 +201,8 @@ def read_tokens(tokens: DataFrame) -> DataFrame:
     """
     sums = tokens.groupBy("shard").agg(F.sum("n_ids").alias("ids"))
     shards = sums.select("shard", (F.sum("ids").over(Window.orderBy("shard")) - F.col("ids")).alias("shard_start"))
-    placed = tokens.join(shards, "shard").withColumn("start", F.col("shard_start") + F.col("before"))
+    # As many rows as files, which are as many as shuffle partitions.
+    placed = tokens.join(F.broadcast(shards), "shard").withColumn("start", F.col("shard_start") + F.col("before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
