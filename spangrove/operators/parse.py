@@ -74,12 +74,15 @@ def outcome(k: Kernel, text: str | None, resolve: bool, keep: frozenset[str], tr
     return out
 
 
-def parse(df: DataFrame, grammar: str, text_col: str = "text", resolve: bool = False, keep: tuple[str, ...] = ("bsr",), builders: dict[str, str] | None = None, start: str = "", trees: int = 10, most_items: int = 5_000_000, batch_rows: int = 500) -> DataFrame:
+def parse(df: DataFrame, grammar: str, text_col: str = "text", resolve: bool = False, keep: tuple[str, ...] = ("bsr",), builders: dict[str, str] | None = None, start: str = "", trees: int = 10, most_items: int = 5_000_000, batch_rows: int = 500, spread: bool = False) -> DataFrame:
     """df with a column `parse`. keep: what of bsr, commits, diagnostics, ast (one tree as text), tree (the same as
     rows), trees (up to `trees` of all) and forest comes with it.
 
-    A null text has a null parse. A message of more than most_items items is reported as too_large.
+    A null text has a null parse. A message of more than most_items items is reported as too_large. spread deals the
+    messages to all shuffle partitions first: after an aggregation they may be few bytes but are still much work.
     """
+    if spread:
+        df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     held = tuple(sorted((builders or {}).items()))
     compile_grammar(grammar, builders, start)  # errors are the driver's
     wanted = frozenset(keep)
@@ -104,7 +107,7 @@ def parse(df: DataFrame, grammar: str, text_col: str = "text", resolve: bool = F
 def parse_distinct(df: DataFrame, grammar: str, text_col: str = "text", **options) -> DataFrame:
     """As parse, but each distinct text is parsed once and the results are joined back by its hash."""
     keyed = df.withColumn("__hash", F.sha2(F.col(text_col), 256))
-    once = parse(keyed.where(F.col(text_col).isNotNull()).groupBy("__hash").agg(F.first(text_col).alias("text")), grammar, "text", **options)
+    once = parse(keyed.where(F.col(text_col).isNotNull()).groupBy("__hash").agg(F.first(text_col).alias("text")), grammar, "text", spread=True, **options)
     return keyed.join(once.select("__hash", "parse"), "__hash", "left").drop("__hash")
 
 

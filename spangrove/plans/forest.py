@@ -103,50 +103,53 @@ class Forest:
         return {}
 
 
-def prune_unproductive(parse: Parse, to: int) -> int:
+def prune_unproductive(parse: Parse, to: int, all_alive: bool = False) -> int:
     """Keep the spans that some whole derivation of the root over [start, to] uses; the number that went.
 
-    A span counts if what it stands for can be derived (least fixpoint, from below) and the root leads to it.
+    First the spans that nothing finite derives go (a least fixpoint from below; all_alive says there are none, as
+    right after a parse), then those that the root does not lead to. What is left is whole derivations, so once is enough.
     """
-    while True:
-        f = Forest(parse)
-        g = parse.grammar
-        # From above: whole alternatives over [i, j] of owners that the root leads to.
-        keep: dict[int, set[tuple[int, int, int]]] = defaultdict(set)
-        todo: list[tuple[Owner, int, int]] = [(g.root if parse.root is g.root else parse.root, parse.start, to)]
-        visited = set()
-        while todo:
-            owner, i, j = todo.pop()
-            if (owner.number, i, j) in visited or isinstance(owner, Rule) and (i, i, j) not in parse.spans.get(owner.number, ()):
-                continue
-            visited.add((owner.number, i, j))
-            if isinstance(owner, Rule):
-                keep[owner.number].add((i, i, j))
-            for a in owner.alternatives:
-                starts = {i} if f.chains(a, i, j) else set()
-                for p, e in enumerate(a.elements):
-                    ends = set()
-                    for k in starts:
-                        for m in f._tiles(a, p, i, k, j):
-                            ends.add(m)
-                            keep[e.number].add((i, k, m))
-                            t = f.target(e)
-                            if isinstance(t, Rule) or t is not None and not t.closure and not (k == m and t.kind == "opt"):
-                                todo.append((t, k, m))
-                            elif t is not None and t.closure:
-                                todo += _iteration_spans(f, t, k, m)
-                    starts = ends
-        for e in g.elements:
-            if e.bracket:
-                keep[e.number] |= {(i, k, j) for n, i, j in visited if n == e.number for k in (i,) if (i, i, j) in parse.spans.get(e.number, ())}
-        gone = sum(len(x - keep[n]) for n, x in parse.spans.items())
-        parse.spans = {n: x & keep[n] for n, x in parse.spans.items() if x & keep[n]}
+    gone = 0
+    if not all_alive:
         alive = _derivable(parse)
-        dead = sum(len(x - alive[n]) for n, x in parse.spans.items())
-        parse.spans = {n: x & alive[n] for n, x in parse.spans.items() if x & alive[n]}
-        if not gone + dead:
-            return 0
-        return gone + dead + prune_unproductive(parse, to)
+        gone = sum(len(x) - len(alive[n]) for n, x in parse.spans.items())
+        if gone:
+            parse.spans = {n: x for n, x in alive.items() if x}
+    keep = _reachable(parse, to)
+    gone += sum(len(x) - len(x & keep.get(n, set())) for n, x in parse.spans.items())
+    parse.spans = {n: x & keep[n] for n, x in parse.spans.items() if n in keep and x & keep[n]}
+    return gone
+
+
+def _reachable(parse: Parse, to: int) -> dict[int, set[tuple[int, int, int]]]:
+    """The spans of all whole alternatives that the root leads to, and of the owners themselves."""
+    f, g = Forest(parse), parse.grammar
+    keep: dict[int, set[tuple[int, int, int]]] = defaultdict(set)
+    todo: list[tuple[Owner, int, int]] = [(parse.root, parse.start, to)]
+    visited = set()
+    while todo:
+        owner, i, j = todo.pop()
+        if (owner.number, i, j) in visited or (i, i, j) not in parse.spans.get(owner.number, ()) and isinstance(owner, Rule):
+            continue
+        visited.add((owner.number, i, j))
+        if (i, i, j) in parse.spans.get(owner.number, ()):
+            keep[owner.number].add((i, i, j))
+        for a in owner.alternatives:
+            starts = {i} if f.chains(a, i, j) else set()
+            for p, e in enumerate(a.elements):
+                ends = set()
+                for k in starts:
+                    for m in f._tiles(a, p, i, k, j):
+                        ends.add(m)
+                        keep[e.number].add((i, k, m))
+                        if e.kind == "call":
+                            todo.append((g.rules[e.name], k, m))
+                        elif e.closure:
+                            todo += _iteration_spans(f, e, k, m)
+                        elif e.bracket and not (k == m and e.kind == "opt"):
+                            todo.append((e, k, m))
+                starts = ends
+    return keep
 
 
 def _iteration_spans(f: Forest, e: Element, k: int, j: int) -> list[tuple[Owner, int, int]]:
@@ -227,6 +230,12 @@ class Choice:
 
 def choices(g: Grammar) -> list[Choice]:
     """The grammar's rules in a fixed order: by kind, then by number."""
+    if g.choices is None:
+        g.choices = _choices(g)
+    return g.choices
+
+
+def _choices(g: Grammar) -> list[Choice]:
     out = set()
     for r in g.rules.values():
         if r.choice in ("longest", "shortest"):
@@ -266,13 +275,11 @@ def disambiguate(parse: Parse) -> int:
     """Prune, apply the rules until nothing changes, prune again; nothing unless the root covers the text exactly."""
     if not parse.exact:
         return 0
-    gone = prune_unproductive(parse, len(parse.text))
-    again = True
-    while again:
-        dropped = sum(apply(c, parse.spans) for c in choices(parse.grammar))
-        gone += dropped
-        again = dropped > 0
-    return gone + prune_unproductive(parse, len(parse.text))
+    gone = prune_unproductive(parse, len(parse.text), all_alive=True)
+    chosen = 0
+    while dropped := sum(apply(c, parse.spans) for c in choices(parse.grammar)):
+        chosen += dropped
+    return gone + chosen + (prune_unproductive(parse, len(parse.text)) if chosen else 0)
 
 
 @dataclass

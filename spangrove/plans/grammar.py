@@ -118,6 +118,8 @@ class Grammar:
     elements: list[Element] = field(default_factory=list)
     alternatives: list[Alternative] = field(default_factory=list)
     owner_numbers: int = 0
+    #: The disambiguation rules, once they were asked for.
+    choices: list | None = None
 
     @property
     def root(self) -> Rule:

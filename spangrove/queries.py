@@ -207,7 +207,7 @@ def parse_expressions(spark: SparkSession, sf: str) -> DataFrame:
 def parse_ambiguous(spark: SparkSession, sf: str) -> DataFrame:
     """Spans left after disambiguation, as counts for each distinct expression."""
     e = _expressions(spark, sf).where("l_linenumber % 3 <> 0").select(F.regexp_replace("text", "[()]", "").alias("text")).distinct()
-    return metrics(parse(e, AMBIGUOUS, resolve=True, keep=()), "text").select("text", "exact", (F.col("pruned") > 0).alias("pruned"))
+    return metrics(parse(e, AMBIGUOUS, resolve=True, keep=(), spread=True), "text").select("text", "exact", (F.col("pruned") > 0).alias("pruned"))
 
 
 def parse_turns(spark: SparkSession, sf: str) -> DataFrame:
@@ -221,7 +221,7 @@ def residual_ambiguity(spark: SparkSession, sf: str) -> DataFrame:
     """Signatures of what stays ambiguous, with the expressions as labels."""
     e = _expressions(spark, sf).where("l_linenumber % 3 <> 0").select(F.concat("text", F.lit(" + 1 * 2 * 3")).alias("text")).distinct()
     loose = ARITHMETIC.replace("@left ", "").replace('E "+" T', 'E "+" E').replace('T "*" F', 'T "*" T')
-    d = diagnostics(parse(e.withColumn("msg_index", F.xxhash64("text")), loose, keep=("diagnostics",)), "msg_index")
+    d = diagnostics(parse(e.withColumn("msg_index", F.xxhash64("text")), loose, keep=("diagnostics",), spread=True), "msg_index")
     return corpus.harvest(d).select(F.col("count").cast("long").alias("count"), "node", "kind", "signature")
 
 
@@ -242,12 +242,12 @@ def forest_tables(spark: SparkSession, sf: str) -> DataFrame:
 
 def token_commits(spark: SparkSession, sf: str) -> DataFrame:
     e = _expressions(spark, sf).where("l_linenumber % 3 <> 0").select("text").distinct()
-    return commits(parse(e, ARITHMETIC, keep=("commits",)), "text").groupBy("text").agg(F.count("*").alias("tokens"), F.max("end").cast("long").alias("last_end"))
+    return commits(parse(e, ARITHMETIC, keep=("commits",), spread=True), "text").groupBy("text").agg(F.count("*").alias("tokens"), F.max("end").cast("long").alias("last_end"))
 
 
 def performance_summary(spark: SparkSession, sf: str) -> DataFrame:
     e = _expressions(spark, sf).select((F.col("l_linenumber") % 3 == 0).alias("broken"), "text").distinct()
-    return summary(parse(e, ARITHMETIC, keep=()), "broken").select("broken", "runs", "accepted")
+    return summary(parse(e, ARITHMETIC, keep=(), spread=True), "broken").select("broken", "runs", "accepted")
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
