@@ -51,3 +51,13 @@ def test_few_and_none(spark):
 def test_large_components():
     q, v = np.array([2**30, 2**29]), np.array([[2**31, 7], [1, -(2**31)]])
     assert ps.products(q, v).tolist() == [2**61 + 7 * 2**29, 2**30 - 2**60]
+
+
+def test_query_equals_its_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ps.op8_pivot_search(spark, sf).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+    assert sorted(con.execute(f"SELECT query_id, rank, vec_id, score FROM ({ps.SQL8})").fetchall()) == got
