@@ -54,26 +54,45 @@ def outcome(k: Kernel, text: str | None, resolve: bool, keep: frozenset[str], tr
         out["pruned"] = disambiguate(p)
     out["spans"] = p.span_count()
     if "bsr" in keep:
-        out["bsr"] = [{"slot": n, "i": i, "k": a, "j": j} for n in sorted(p.spans) for i, a, j in sorted(p.spans[n])]
+        out["bsr"] = [(n, *span) for n in sorted(p.spans) for span in sorted(p.spans[n])]
     if "commits" in keep:
-        out["commits"] = [dict(zip(("terminal", "trivia_start", "start", "end", "trivia_end"), (p.grammar.symbols[c[0]], *c[1:]), strict=True)) for c in sorted(p.commits)]
+        out["commits"] = [(p.grammar.symbols[c[0]], *c[1:]) for c in sorted(p.commits)]
     if keep & {"diagnostics", "ast", "tree"}:
         t = Trees(p)
         tree = t.one()
-        out["diagnostics"] = [dict(zip(("node", "message", "start", "end", "candidates", "signature"), (d.node, d.message, d.start, d.end, d.candidates, d.signature), strict=True)) for d in t.diagnostics]
+        out["diagnostics"] = [(d.node, d.message, d.start, d.end, d.candidates, d.signature) for d in t.diagnostics]
         if "ast" in keep and tree:
             out["trees"] = [tree.dump()]
         if "tree" in keep and tree:
-            out["tree"] = [dict(zip(("node", "parent", "place", "name", "start", "end", "image", "ambiguous"), r, strict=True)) for r in tree.rows()]
+            out["tree"] = list(tree.rows())
     if "trees" in keep:
         out["trees"] = [x.dump() for x in Trees(p).every(trees)]
     if "forest" in keep:
-        nodes, edges = sppf(p)
-        out["nodes"] = [dict(zip(("node", "kind", "label", "start", "end"), x, strict=True)) for x in nodes]
-        out["edges"] = [dict(zip(("parent", "child", "place"), x, strict=True)) for x in edges]
+        out["nodes"], out["edges"] = sppf(p)
     return out
 
 
+def column(values: list, kind: pa.DataType) -> pa.Array:
+    """An Arrow column; lists of structs come as lists of tuples and are built from flat columns."""
+    if all(v is None for v in values):
+        return pa.nulls(len(values), kind)
+    if not (pa.types.is_list(kind) and pa.types.is_struct(kind.value_type)):
+        return pa.array(values, kind)
+    ends, flat = [0], []
+    for v in values:
+        flat += v or ()
+        ends.append(len(flat))
+    fields = list(kind.value_type)
+    parts = list(zip(*flat, strict=True)) if flat else [()] * len(fields)
+    inner = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(parts, fields, strict=True)], fields=fields)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner, type=kind, mask=pa.array([v is None for v in values]))
+
+
+def structs(rows: list[dict | None], kind: pa.StructType) -> pa.StructArray:
+    columns = [column([None if r is None else r[f.name] for r in rows], f.type) for f in kind]
+    return pa.StructArray.from_arrays(columns, fields=list(kind), mask=pa.array([r is None for r in rows], pa.bool_()))
+
+
 def parse(df: DataFrame, grammar: str, text_col: str = "text", resolve: bool = False, keep: tuple[str, ...] = ("bsr",), builders: dict[str, str] | None = None, start: str = "", trees: int = 10, most_items: int = 5_000_000, batch_rows: int = 500, spread: bool = False) -> DataFrame:
     """df with a column `parse`. keep: what of bsr, commits, diagnostics, ast (one tree as text), tree (the same as
     rows), trees (up to `trees` of all) and forest comes with it.
@@ -98,7 +117,7 @@ def parse(df: DataFrame, grammar: str, text_col: str = "text", resolve: bool = F
         k = kernel(grammar, held, start, most_items)
         for batch in batches:
             found = [outcome(k, t, resolve, wanted, trees) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*batch.schema.names, field])
+            yield pa.RecordBatch.from_arrays([*batch.columns, structs(found, kind)], names=[*batch.schema.names, field])
 
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
     return df.mapInArrow(run, whole)
