@@ -210,6 +210,12 @@ def parse_ambiguous(spark: SparkSession, sf: str) -> DataFrame:
     return metrics(parse(e, AMBIGUOUS, resolve=True, keep=(), spread=True), "text").select("text", "exact", (F.col("pruned") > 0).alias("pruned"))
 
 
+def parse_ambiguous_every(spark: SparkSession, sf: str) -> DataFrame:
+    """As parse_ambiguous, with the expressions that are rejected."""
+    e = _expressions(spark, sf).select(F.regexp_replace("text", "[()]", "").alias("text")).distinct()
+    return metrics(parse(e, AMBIGUOUS, resolve=True, keep=(), spread=True), "text").select("text", "exact", (F.col("pruned") > 0).alias("pruned"))
+
+
 def parse_turns(spark: SparkSession, sf: str) -> DataFrame:
     """Which lines of all turns are sentences of small words, commas and one full stop at the end."""
     lines = _table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("line", "text"))
@@ -219,7 +225,7 @@ def parse_turns(spark: SparkSession, sf: str) -> DataFrame:
 
 def residual_ambiguity(spark: SparkSession, sf: str) -> DataFrame:
     """Signatures of what stays ambiguous, with the expressions as labels."""
-    e = _expressions(spark, sf).where("l_linenumber % 3 <> 0").select(F.concat("text", F.lit(" + 1 * 2 * 3")).alias("text")).distinct()
+    e = _expressions(spark, sf).select(F.concat("text", F.lit(" + 1 * 2 * 3")).alias("text")).distinct()
     loose = ARITHMETIC.replace("@left ", "").replace('E "+" T', 'E "+" E').replace('T "*" F', 'T "*" T')
     d = diagnostics(parse(e.withColumn("msg_index", F.xxhash64("text")), loose, keep=("diagnostics",), spread=True), "msg_index")
     return corpus.harvest(d).select(F.col("count").cast("long").alias("count"), "node", "kind", "signature")
@@ -245,6 +251,12 @@ def token_commits(spark: SparkSession, sf: str) -> DataFrame:
     return commits(parse(e, ARITHMETIC, keep=("commits",), spread=True), "text").groupBy("text").agg(F.count("*").alias("tokens"), F.max("end").cast("long").alias("last_end"))
 
 
+def token_commits_every(spark: SparkSession, sf: str) -> DataFrame:
+    """As token_commits, with what was committed of the expressions that are rejected."""
+    e = _expressions(spark, sf).select("text").distinct()
+    return commits(parse(e, ARITHMETIC, keep=("commits",), spread=True), "text").groupBy("text").agg(F.count("*").alias("tokens"), F.max("end").cast("long").alias("last_end"))
+
+
 def performance_summary(spark: SparkSession, sf: str) -> DataFrame:
     e = _expressions(spark, sf).select((F.col("l_linenumber") % 3 == 0).alias("broken"), "text").distinct()
     return summary(parse(e, ARITHMETIC, keep=(), spread=True), "broken").select("broken", "runs", "accepted")
@@ -343,6 +355,10 @@ ORACLE_SQL: dict[str, str] = {
     "performance_summary": """SELECT broken, count(*) AS runs, CAST(sum(CASE WHEN broken THEN 0 ELSE 1 END) AS BIGINT) AS accepted FROM (SELECT DISTINCT l_linenumber % 3 = 0 AS broken, CASE WHEN l_linenumber % 3 = 0 THEN concat(q, ' + * ', p) ELSE concat(q, ' + ', n, ' * (', p, '+', q, ')') END AS text
         FROM (SELECT *, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS q, CAST(l_partkey AS VARCHAR) AS p, CAST(l_linenumber AS VARCHAR) AS n FROM lineitem)) GROUP BY broken""",
     "parse_ambiguous": """SELECT DISTINCT concat(CAST(l_quantity AS BIGINT), ' + ', l_linenumber, ' * ', l_partkey, '+', CAST(l_quantity AS BIGINT)) AS text, true AS exact, true AS pruned FROM lineitem WHERE l_linenumber % 3 <> 0""",
+    "token_commits_every": """SELECT DISTINCT CASE WHEN broken THEN concat(q, ' + * ', p) ELSE good END AS text, CAST(CASE WHEN broken THEN 1 ELSE 9 END AS BIGINT) AS tokens, CAST(length(CASE WHEN broken THEN q ELSE good END) AS BIGINT) AS last_end
+        FROM (SELECT *, concat(q, ' + ', n, ' * (', p, '+', q, ')') AS good FROM (SELECT l_linenumber % 3 = 0 AS broken, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS q, CAST(l_partkey AS VARCHAR) AS p, CAST(l_linenumber AS VARCHAR) AS n FROM lineitem))""",
+    "parse_ambiguous_every": """SELECT DISTINCT CASE WHEN l_linenumber % 3 = 0 THEN concat(CAST(l_quantity AS BIGINT), ' + * ', l_partkey) ELSE concat(CAST(l_quantity AS BIGINT), ' + ', l_linenumber, ' * ', l_partkey, '+', CAST(l_quantity AS BIGINT)) END AS text,
+        l_linenumber % 3 <> 0 AS exact, l_linenumber % 3 <> 0 AS pruned FROM lineitem""",
     "section_asof": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
         m AS (SELECT doc_id, line FROM l WHERE regexp_full_match(t, '[A-Z][A-Z !?.,]+'))
         SELECT l.doc_id, CAST(l.line AS BIGINT) AS line, CAST(m.line AS BIGINT) AS section FROM l ASOF LEFT JOIN m ON l.doc_id = m.doc_id AND l.line >= m.line""",
@@ -356,7 +372,7 @@ ORACLE_SQL: dict[str, str] = {
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         doc_fingerprint, chunk_documents, token_offsets, boundary_gaps, munch_literals, postings, bm25_topk, fts_three_way_join, longest_extent, shortest_extent, left_pivot, right_pivot, prefer_same_span, call_return_join,
-        catalan_spans, first_sets, follow_sets, ll1_conflicts, reachable_rules, parse_expressions, parse_ambiguous, parse_turns, residual_ambiguity, signature_harvest, forest_tables, token_commits, performance_summary,
+        catalan_spans, first_sets, follow_sets, ll1_conflicts, reachable_rules, parse_expressions, parse_ambiguous, parse_ambiguous_every, parse_turns, residual_ambiguity, signature_harvest, forest_tables, token_commits, token_commits_every, performance_summary,
         section_asof, indent_events, scalar_functions, relational_twin,
     )
     return {f.__name__: f for f in every}
