@@ -288,6 +288,13 @@ def scalar_functions(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", tx.line_position(text, at).alias("position"), tx.column_of(text, at).cast("long").alias("column_at"), F.md5(whole).alias("shown_md5"))
 
 
+def text_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """Line positions and columns with tab stops at each quarter of every document, its end included."""
+    d = _table(spark, sf, "documents").select("doc_id", "text", F.explode(F.array(*(F.lit(q).cast("long") for q in range(1, 5)))).alias("quarter"))
+    at = F.floor(F.length("text") * F.col("quarter") / 4).cast("int")
+    return d.select("doc_id", "quarter", tx.line_position(F.col("text"), at).alias("position"), tx.column_of(F.col("text"), at).cast("long").alias("column_at"))
+
+
 def relational_twin(spark: SparkSession, sf: str) -> DataFrame:
     """S = "b" | S S by joins alone, over 1 to 10 letters."""
     from .sources.scratch import scratch_save
@@ -366,6 +373,10 @@ ORACLE_SQL: dict[str, str] = {
     "scalar_functions": """WITH d AS (SELECT doc_id, text, substring(text, 1, 200) AS p FROM documents), l AS (SELECT *, string_split(p, chr(10)) AS lines FROM d)
         SELECT doc_id, concat('L', len(lines) - 1, 'P', length(lines[-1])) AS position, CAST(length(lines[-1]) AS BIGINT) AS column_at,
         md5(translate(replace(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '\\', '\\\\'), chr(10), '\\n'), ' ', '·')) AS shown_md5 FROM l""",
+    "text_positions": """WITH d AS (SELECT doc_id, text, unnest([1, 2, 3, 4]) AS quarter FROM documents),
+        l AS (SELECT *, regexp_split_to_array(left(text, length(text) * quarter // 4), '\r\n|\n|\r') AS lines FROM d), p AS (SELECT *, string_split(lines[-1], chr(9)) AS pieces FROM l)
+        SELECT doc_id, CAST(quarter AS BIGINT) AS quarter, concat('L', len(lines) - 1, 'P', length(lines[-1])) AS position,
+        CAST(coalesce(list_sum(list_transform(pieces[:-2], lambda x: (length(x) // 8 + 1) * 8)), 0) + length(pieces[-1]) AS BIGINT) AS column_at FROM p""",
 }
 
 
@@ -373,6 +384,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         doc_fingerprint, chunk_documents, token_offsets, boundary_gaps, munch_literals, postings, bm25_topk, fts_three_way_join, longest_extent, shortest_extent, left_pivot, right_pivot, prefer_same_span, call_return_join,
         catalan_spans, first_sets, follow_sets, ll1_conflicts, reachable_rules, parse_expressions, parse_ambiguous, parse_ambiguous_every, parse_turns, residual_ambiguity, signature_harvest, forest_tables, token_commits, token_commits_every, performance_summary,
-        section_asof, indent_events, scalar_functions, relational_twin,
+        section_asof, indent_events, scalar_functions, text_positions, relational_twin,
     )
     return {f.__name__: f for f in every}
