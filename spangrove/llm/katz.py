@@ -1,24 +1,27 @@
-"""Katz backoff language model (bigrams over unigrams) that scores every text of a corpus.
+"""Katz backoff language model of any order (op4 takes trigrams) that scores every text of a corpus.
 
-Tokens are words between ASCII white space with A-Z made small, then one end for each text; the first token's history
-is a start mark. Training texts are those whose crc32 of the id as text is not HELD_OUT modulo FOLDS.
+Tokens are words between ASCII white space with A-Z made small, then one end for each text; before the first token
+stand as many start marks as a history has. Training texts are those whose crc32 of the id as text is not HELD_OUT
+modulo FOLDS.
 
     unigram   P(w) = d(c) c / N for a word seen c times; all words never seen share what is left, as one event
-    bigram    P(w | h) = d(c) c / c(h)  where h w was seen c times, else  a(h) P(w)
-              a(h) = (1 - sum of the seen P(w | h)) / (1 - sum of P(w) over the words seen after h);  1 if h wasn't seen
+    n-gram    P(w | h) = d(c) c / c(h)  where h w was seen c times, else  a(h) P(w | h'), h' being h without its first
+              a(h) = (1 - sum of the seen P(w | h)) / (1 - sum of P(w | h') over the words seen after h);  1 if h wasn't seen
 
-d is the Good-Turing discount of Katz for counts up to K and 1 above; where the counts of counts give none between 0
+d is the Good-Turing discount of Katz, of each level, for counts up to K and 1 above; where the counts of counts give none between 0
 and 1, (c - 1/2) / c. If a history has no discounted mass (or the unigrams have none), all its counts are divided by one
 more than their sum instead, which leaves 1 / (sum + 1). So the probabilities after every history sum to one.
 
 How it runs: texts are read once and written as blocks of token ids local to the block. Each block sends its distinct
 words, with training counts, to buckets by hash; a bucket merges them and answers each block with global word ids and
-counts. Then each block sends its distinct bigrams, as pairs of global ids, to buckets by history; these count them and
-answer with counts and with the sums of each history. Both kinds of bucket also write the merged counts as tables
-partitioned by level. Last, each block looks its bigrams up and sums logarithms for each text. Distinct keys of a
-block, not occurrences, travel, so a frequent word is one entry for each block; a history of more than HOT training
-tokens is cut by the words after it into parts of about that many, whose sums the block adds up.
-Driver and broadcasts hold only counts of counts.
+counts. Then, level by level from bigrams to the order, each block sends its distinct n-grams, as global ids of words, to
+buckets by history; these count them and answer with counts and with the sums of each history. A word seen after h was
+seen after h', so d(c) c of the lower level, from the count c that the block was answered there, is all that the sum of
+P(w | h') needs; the block divides it by the total of h'. Sums that only backing off reads are answered where the block
+may back off. Buckets also write the merged counts as tables partitioned by level. Last, each block looks its n-grams up
+and sums logarithms for each text. Distinct keys of a block, not occurrences, travel, so a frequent word is one entry
+for each block; a history of more than HOT training tokens is cut by the words after it into parts of about that many,
+whose sums the block adds up. Driver and broadcasts hold only counts of counts.
 
 Null and empty texts have one token, the end. Rows that share an id are scored one by one. A null id counts as ''.
 Hashes of words have 64 bits; words are not told apart otherwise.
@@ -43,6 +46,7 @@ K = 5
 BLOCK_TOKENS = 1_200_000
 SLICE_BYTES = 4 << 20
 HOT = 1 << 18
+GRAIN = 4  # buckets of n-grams for each partition; one is in memory at a time
 END, START = np.uint64(0), np.uint64(0xFFFFFFFFFFFFFFFF)
 RANK_BITS = 40
 
@@ -91,15 +95,18 @@ class Unigrams:
         self.flat = total > 0 and lost <= 0
         self.unseen = 1.0 if not total else 1 / (total + 1) if self.flat else lost / total
 
+    @property
+    def whole(self) -> int:
+        """What d(c) c is divided by."""
+        return self.total + self.flat
+
     def p(self, c: np.ndarray) -> np.ndarray:
         seen = c / (self.total + 1) if self.flat else self.discounts.of(c) * c / max(self.total, 1)
         return np.where(c > 0, seen, self.unseen)
 
 
-def backoff(total: np.ndarray, lower: np.ndarray, small: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """a(h), and whether h has no discounted mass; small[:, r - 1]: how many words followed h r times."""
-    r = np.arange(1, K + 1)
-    lost = (small * ((1 - d[1:]) * r)).sum(axis=1)
+def backoff(total: np.ndarray, lower: np.ndarray, lost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """a(h), and whether h has no discounted mass; lost: the counts' discounted mass."""
     flat = (total > 0) & (lost <= 0)
     left = np.where(flat, 1 / (total + 1), lost / np.maximum(total, 1))
     return np.where(total > 0, left / np.maximum(1 - lower, 1e-300), 1.0), flat
@@ -213,137 +220,226 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(["unigrams"]), pa.nulls(1, pa.int64()), pa.array([bucket], pa.int32()), pa.array([squeeze(words[order])], pa.binary()), pa.array([squeeze(counts[order])], pa.binary()), pa.array([sums], pa.list_(pa.int64()))], names=names)
 
 
-class BlockBigrams:
-    """The distinct bigrams of a block, ordered by bucket, history, part of the history, and word."""
+def hash_of(gids: np.ndarray) -> np.ndarray:
+    """One number for each row of word ids; a single id is itself."""
+    x = gids[:, 0].copy()
+    for j in range(1, gids.shape[1]):
+        x = mix(x) + gids[:, j]
+    return x
+
+
+class Words:
+    """A block's tokens with the answers of the first level: the unigrams of its positions.
+
+    Local ids are put in the order of the global ones, so that local ids of n-grams are in the order of their words.
+    """
 
-    def __init__(self, row: dict, buckets: int, starts: int, hot: int):
+    def __init__(self, row: dict, starts: int):
         answers = sorted(row["words"], key=lambda r: r["bucket"])
-        gid, self.count = (np.concatenate([expand(r[k]) for r in answers]) for k in "ab")
-        self.tokens = expand(row["a"]).astype(np.int64)
+        gid, count = (np.concatenate([expand(r[k]) for r in answers]) for k in "ab")
+        order = np.argsort(gid)
+        rank = np.empty(len(gid), np.int32)
+        rank[order] = np.arange(len(gid), dtype=np.int32)
+        self.gid, self.count = gid[order], count[order]
+        self.tokens = rank[expand(row["a"])]
         self.docs, self.lens = row["docs"], np.array(row["lens"], np.int64)
-        w = len(gid)
-        history = np.empty_like(self.tokens)
-        history[1:] = self.tokens[:-1]
-        history[np.cumsum(self.lens) - self.lens] = w
-        keys, self.back = np.unique(history * w + self.tokens, return_inverse=True)
-        h, self.word = keys // w, keys % w
+        self.begins = np.cumsum(self.lens) - self.lens
         self.train = np.repeat(np.array([not is_held_out(i) for i in self.docs]), self.lens)
-        seen = np.bincount(self.back[self.train], minlength=len(keys)).astype(np.uint32)
-        gids, counts = np.append(gid, START), np.append(self.count, starts)
-        parts = np.maximum(1, -(-counts // hot))
-        part = (mix(gid[self.word]) % parts[h].astype(np.uint64)).astype(np.int64)
+        self.starts = starts
+        # As the lower level of bigrams: the gram of each position, and what is known of the grams.
+        self.back, self.grams, self.counts = self.tokens, self.gid[:, None], self.count
+
+
+class BlockGrams:
+    """The distinct n-grams of a block, ordered by bucket, history, part of the history, and word.
+
+    lower: Words, or the BlockGrams of a word less with its answers.
+    """
+
+    def __init__(self, words: Words, lower: Words | BlockGrams, buckets: int, hot: int):
+        gid, m, w = words.gid, len(lower.grams), len(words.gid)
+        history = np.empty(len(words.tokens), np.int64)
+        history[1:] = lower.back[:-1]
+        history[words.begins] = m
+        history *= w
+        history += words.tokens
+        keys, back = np.unique(history, return_inverse=True)
+        self.back = back.astype(np.int32)
+        del history, back
+        h, self.word = (keys // w).astype(np.int32), (keys % w).astype(np.int32)
+        self.below = np.empty(len(keys), np.int32)
+        self.below[self.back] = lower.back
+        self.seen = np.bincount(self.back[words.train], minlength=len(keys)).astype(np.uint32)
+        gids = np.vstack([lower.grams, np.full((1, lower.grams.shape[1]), START)])
+        parts = np.maximum(1, -(-np.append(lower.counts, words.starts) // hot))
         # All parts of a hot history, whether or not the block has words for them.
-        used = np.unique(h)
+        used = np.flatnonzero(np.bincount(h, minlength=len(gids)))
         ph = np.repeat(used, parts[used])
         pp = np.arange(len(ph)) - np.repeat(np.cumsum(parts[used]) - parts[used], parts[used])
-        pb = bucket_of(gids[ph] + pp.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), buckets)
-        order = np.lexsort((pp, gids[ph], pb))
-        self.ph, self.pp, self.pb = ph[order], pp[order], pb[order]
-        slot = np.full(len(gids), 0)
+        pb = bucket_of(hash_of(gids)[ph] + pp.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), buckets)
+        order = np.argsort(pb.astype(np.uint16) if buckets <= 1 << 16 else pb, kind="stable")
+        self.ph, self.pp, self.pb = ph[order].astype(np.int32), pp[order].astype(np.uint16), pb[order]
+        slot = np.zeros(len(gids), np.int64)
         slot[used] = np.cumsum(parts[used]) - parts[used]
-        where = np.empty(len(order), np.int64)
-        where[order] = np.arange(len(order))
-        of = where[slot[h] + part]
-        # The bigrams' order.
-        self.order = np.lexsort((gid[self.word], of))
+        where = np.empty(len(order), np.int32)
+        where[order] = np.arange(len(order), dtype=np.int32)
+        at = slot[h]
+        if len(ph) > len(used):
+            at += (mix(gid[self.word]) % parts[h].astype(np.uint64)).astype(np.int64)
+        of = where[at]
+        # The n-grams' order; they are in order of words after a history.
+        self.order = np.argsort(of, kind="stable").astype(np.int32)
         self.of = of[self.order]
-        self.gids, self.gid = gids, gid
-        self.h, self.seen = h, seen
-
+        self.gids, self.h = gids, h
+        # Counts of the lower level, where the bucket will need them.
+        self.c = np.where(self.seen > 0, lower.counts[self.below], 0).astype(np.uint32)
+        # Only after these histories may the block have words that were not seen.
+        self.backs_off = np.zeros(len(gids), np.uint8)
+        self.backs_off[h[self.seen == 0]] = 1
+
+    def answered(self, answers: list[dict], gid: np.ndarray | None) -> list[dict]:
+        """Take the counts; with the words' gid, be the lower level of longer n-grams. What only asking needs goes."""
+        answers = sorted(answers, key=lambda r: r["bucket"])
+        self.counts = np.empty(len(self.order), np.uint32)
+        self.counts[self.order] = np.concatenate([expand(r["a"]) for r in answers])
+        if gid is not None:
+            self.grams = np.hstack([self.gids[self.h], gid[self.word][:, None]])
+        self.size = len(self.gids)
+        del self.order, self.of, self.seen, self.c, self.backs_off, self.pp, self.pb, self.word, self.gids
+        return answers
+
+    def p(self, answers: list[dict], d: Discounts, lower: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """P of each n-gram, and what d(c) c of it is divided by, from the same of the grams below."""
+        # Parts of a history are added up.
+        add = lambda x: np.bincount(self.ph, x, self.size)
+        weights = (1 - d.d[1:]) * np.arange(1, K + 1)
+        total = add(np.concatenate([expand(r["b"]) for r in answers]))
+        lost = add(np.concatenate([(expand(r["d"]).reshape(-1, K) * weights).sum(axis=1) for r in answers]))
+        divisor = np.ones(self.size)
+        divisor[self.h] = whole[self.below]
+        a, flat = backoff(total, add(np.concatenate([expand(r["c"]) for r in answers])) / np.maximum(divisor, 1), lost)
+        divisor = (np.maximum(total, 1) + flat)[self.h]
+        return np.where(self.counts > 0, d.of(self.counts) * self.counts / divisor, a[self.h] * lower[self.below]), divisor
+
+
+def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def ask(buckets: int, starts: int, hot: int, level: int):
+    def asked(row: dict) -> Iterator[pa.RecordBatch]:
+        words = Words(row, starts)
+        x = BlockGrams(words, words, buckets, hot)
+        for n in range(2, level):
+            x.answered(row.pop(f"level{n}"), words.gid)
+            x = BlockGrams(words, x, buckets, hot)
+        runs = np.bincount(x.of, minlength=len(x.ph)).astype(np.uint32)
+        ends = np.searchsorted(x.pb, np.arange(buckets + 1))
+        begin = np.append(0, np.cumsum(runs.astype(np.int64)))[ends]
+        for k in np.flatnonzero(np.diff(ends)).tolist():
+            p, b = slice(ends[k], ends[k + 1]), x.order[begin[k] : begin[k + 1]]
+            columns = [x.gids[x.ph[p]].T.ravel(), x.pp[p], x.backs_off[x.ph[p]], runs[p], words.gid[x.word[b]], x.seen[b], x.c[b]]
+            yield pa.record_batch([pa.array([row["block"]]), pa.array([k], pa.int32()), *(pa.array([squeeze(c)], pa.binary()) for c in columns)], names=["block", "bucket", *REQUEST])
 
-def ask(buckets: int, starts: int, hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                x = BlockBigrams(row, buckets, starts, hot)
-                runs = np.bincount(x.of, minlength=len(x.ph)).astype(np.uint32)
-                word = x.word[x.order]
-                ends = np.searchsorted(x.pb, np.arange(buckets + 1))
-                begin = np.append(0, np.cumsum(runs.astype(np.int64)))[ends]
-                for k in np.flatnonzero(np.diff(ends)).tolist():
-                    p, b = slice(ends[k], ends[k + 1]), slice(begin[k], begin[k + 1])
-                    columns = [x.gids[x.ph[p]], x.pp[p].astype(np.uint16), runs[p], x.gid[word[b]], x.seen[x.order[b]], x.count[word[b]].astype(np.uint32)]
-                    yield pa.record_batch([pa.array([row["block"]]), pa.array([k], pa.int32()), *(pa.array([squeeze(c)], pa.binary()) for c in columns)], names=["block", "bucket", "h", "part", "runs", "w", "seen", "c"])
+        for row in one_by_one(batches):
+            yield from asked(row)
 
     return run
 
 
-def count_bigrams(unigrams: Unigrams):
+REQUEST = ("h", "part", "off", "runs", "w", "seen", "c")
+
+
+def count_grams(level: int, name: str, below: Discounts):
+    """For each bucket of n-grams: answers to the blocks, the merged counts, and sums."""
     names = ["level", "block", "bucket", "a", "b", "c", "d", "sums"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in by_bucket(batches):
-            got = {k: [expand(r[k]) for r in rows] for k in ("h", "part", "runs", "w", "seen", "c")}
-            h, part, runs, w, seen, c = (np.concatenate(got[k]) for k in ("h", "part", "runs", "w", "seen", "c"))
-            known, hi = np.unique(h, return_inverse=True)
+            got = {k: [expand(r[k]) for r in rows] for k in REQUEST}
+            part, off, runs, w, seen, c = (np.concatenate(got[k]) for k in REQUEST[1:])
+            h = np.concatenate([x.reshape(level - 1, -1) for x in got["h"]], axis=1)
+            sizes = [(len(x), len(y)) for x, y in zip(got["part"], got["w"], strict=True)]
+            blocks = [r["block"] for r in rows]
+            rows.clear()
+            got.clear()
+            hi = np.zeros(h.shape[1], np.int64)
+            for column in h:
+                ids, at = np.unique(column, return_inverse=True)
+                _, first, hi = np.unique(hi * len(ids) + at, return_index=True, return_inverse=True)
+            known = h[:, first]
             width = int(part.max()) + 1
             pairs, pair = np.unique(hi * width + part, return_inverse=True)
             words, wi = np.unique(w, return_inverse=True)
             owner = np.repeat(pair, runs)
             keys, back = np.unique(owner * max(len(words), 1) + wi, return_inverse=True)
+            del h, hi, owner, wi, runs, w, part
             counts = np.bincount(back, seen, len(keys)).astype(np.int64)
             of = keys // max(len(words), 1)
             lower = np.zeros(len(keys))
-            lower[back] = unigrams.p(c.astype(np.int64))
             hit = counts > 0
+            some = c > 0
+            lower[back[some]] = below.of(c[some].astype(np.int64)) * c[some]
             total = np.bincount(of[hit], counts[hit], len(pairs)).astype(np.int64)
-            below = np.bincount(of[hit], lower[hit], len(pairs))
+            sums_below = np.bincount(of[hit], lower[hit], len(pairs))
             small = np.zeros((len(pairs), K), np.uint32)
             few = hit & (counts <= K)
-            np.add.at(small, (of[few], counts[few] - 1), 1)
+            small += np.bincount(of[few] * K + counts[few] - 1, minlength=small.size).reshape(-1, K).astype(np.uint32)
+            # Without backing off, only whether any count is small matters.
+            brief = np.zeros_like(small)
+            brief[:, 0] = small.any(axis=1)
             at = where = 0
-            for r, hh, ww in zip(rows, got["h"], got["w"], strict=True):
-                p, b = pair[at : at + len(hh)], back[where : where + len(ww)]
-                at, where = at + len(hh), where + len(ww)
-                columns = [counts[b].astype(np.uint32), total[p], below[p], small[p].ravel()]
-                yield pa.record_batch([pa.array(["answer"]), pa.array([r["block"]]), pa.array([bucket], pa.int32()), *(pa.array([squeeze(x)], pa.binary()) for x in columns), pa.nulls(1, pa.list_(pa.int64()))], names=names)
+            for block, (hh, ww) in zip(blocks, sizes, strict=True):
+                p, b = pair[at : at + hh], back[where : where + ww]
+                wanted = off[at : at + hh] > 0
+                at, where = at + hh, where + ww
+                columns = [counts[b].astype(np.uint32), total[p], np.where(wanted, sums_below[p], 0.0), np.where(wanted[:, None], small[p], brief[p]).ravel()]
+                yield pa.record_batch([pa.array(["answer"]), pa.array([block]), pa.array([bucket], pa.int32()), *(pa.array([squeeze(x)], pa.binary()) for x in columns), pa.nulls(1, pa.list_(pa.int64()))], names=names)
             sums = np.bincount(np.minimum(counts, K + 2), minlength=K + 3)[1 : K + 2].tolist()
-            columns = [known[pairs // width], np.bincount(of[hit], minlength=len(pairs)).astype(np.uint32), words[(keys % max(len(words), 1))[hit]], counts[hit].astype(np.uint32)]
-            yield pa.record_batch([pa.array(["bigrams"]), pa.nulls(1, pa.int64()), pa.array([bucket], pa.int32()), *(pa.array([squeeze(x)], pa.binary()) for x in columns), pa.array([sums], pa.list_(pa.int64()))], names=names)
+            columns = [known[:, pairs // width].ravel(), np.bincount(of[hit], minlength=len(pairs)).astype(np.uint32), words[(keys % max(len(words), 1))[hit]], counts[hit].astype(np.uint32)]
+            yield pa.record_batch([pa.array([name]), pa.nulls(1, pa.int64()), pa.array([bucket], pa.int32()), *(pa.array([squeeze(x)], pa.binary()) for x in columns), pa.array([sums], pa.list_(pa.int64()))], names=names)
 
     return run
 
 
-def score_blocks(buckets: int, starts: int, hot: int, unigrams: Unigrams, bigrams: Discounts, vocabulary: int):
+def score_blocks(buckets: int, starts: int, hot: int, unigrams: Unigrams, discounts: list[Discounts], vocabulary: int):
+    def scored(row: dict) -> pa.RecordBatch:
+        x = lower = Words(row, starts)
+        p, whole = unigrams.p(x.count), np.full(len(x.count), float(unigrams.whole))
+        for n, d in enumerate(discounts, 2):
+            g = BlockGrams(x, lower, buckets, hot)
+            answers = g.answered(row.pop(f"level{n}"), x.gid if n <= len(discounts) else None)
+            p, whole = g.p(answers, d, p, whole)
+            lower = g
+        with np.errstate(divide="ignore"):
+            log_p = np.log10(p)
+        score = np.add.reduceat(log_p[lower.back], x.begins)
+        known = np.add.reduceat((x.count[x.tokens] > 0).astype(np.int64), x.begins)
+        base = np.add.reduceat(np.log10((x.count[x.tokens] + 1) / (unigrams.total + vocabulary + 1)), x.begins)
+        held = [is_held_out(i) for i in x.docs]
+        return pa.record_batch([pa.array(x.docs, pa.int64()), pa.array(held), pa.array(x.lens), pa.array(known), pa.array(np.full(len(held), unigrams.total, np.int64)), pa.array(base), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                x = BlockBigrams(row, buckets, starts, hot)
-                answers = sorted(row["bigrams"], key=lambda r: r["bucket"])
-                counts, total, below, small = (np.concatenate([expand(r[k]) for r in answers]) for k in "abcd")
-                small = small.reshape(-1, K)
-                # Parts of a history are added up.
-                n = len(x.gids)
-                total = np.bincount(x.ph, total, n)
-                below = np.bincount(x.ph, below, n)
-                small = np.stack([np.bincount(x.ph, small[:, r], n) for r in range(K)], axis=1)
-                a, flat = backoff(total, below, small, bigrams.d)
-                c = np.empty(len(counts), np.int64)
-                c[x.order] = counts
-                h = x.h
-                lower = unigrams.p(x.count[x.word])
-                upper = np.where(flat[h], c / (total[h] + 1), bigrams.of(c) * c / np.maximum(total[h], 1))
-                with np.errstate(divide="ignore"):
-                    log_p = np.log10(np.where(c > 0, upper, a[h] * lower))
-                begins = np.cumsum(x.lens) - x.lens
-                score = np.add.reduceat(log_p[x.back], begins)
-                known = np.add.reduceat((x.count[x.tokens] > 0).astype(np.int64), begins)
-                base = np.add.reduceat(np.log10((x.count[x.tokens] + 1) / (unigrams.total + vocabulary + 1)), begins)
-                held = [is_held_out(i) for i in x.docs]
-                yield pa.record_batch([pa.array(x.docs, pa.int64()), pa.array(held), pa.array(x.lens), pa.array(known), pa.array(np.full(len(held), unigrams.total, np.int64)), pa.array(base), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        for row in one_by_one(batches):
+            yield scored(row)
 
     return run
 
 
-def score(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def score(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, block_tokens: int = BLOCK_TOKENS, order: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
-    The counts stay in the scratch folder: unigrams/level=unigrams and bigrams/level=bigrams.
+    The counts stay in the scratch folder: unigrams/level=unigrams, bigrams/level=bigrams, 3-grams/level=3-grams and so on.
     """
+    if order < 1:
+        raise ValueError("the order must be 1 or more")
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = scratch.save(blocks_of(docs, buckets, block_tokens, id_col, text_col), "blocks", "kind")
-    arrow_limits(spark, 4)
+    arrow_limits(spark, 1)
     deal = lambda df: df.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block")
     words = blocks.where("kind = 'w'").select("block", "bucket", "a", "b")
     first = scratch.save(deal(words).mapInArrow(count_words, "level string, block long, bucket int, a binary, b binary, sums array<long>"), "unigrams", "level")
@@ -353,16 +449,25 @@ def score(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: s
     unigrams = Unigrams(total, counts)
     release()
     answers = first.where("level = 'answer'").groupBy("block").agg(F.collect_list(F.struct("bucket", "a", "b")).alias("words"))
-    texts = blocks.where("kind = 't'").select("block", "a", "docs", "lens").join(answers, "block")
-    request = "block long, bucket int, h binary, part binary, runs binary, w binary, seen binary, c binary"
-    asked = texts.mapInArrow(ask(buckets, starts, hot), request)
-    second = scratch.save(deal(asked).mapInArrow(count_bigrams(unigrams), "level string, block long, bucket int, a binary, b binary, c binary, d binary, sums array<long>"), "bigrams", "level")
-    of_bigrams = [int(x) for x in second.where("level = 'bigrams'").agg(*(s.alias(f"s{i}") for i, s in enumerate(sums[: K + 1]))).first()]
-    del asked
-    release()
-    more = second.where("level = 'answer'").groupBy("block").agg(F.collect_list(F.struct("bucket", "a", "b", "c", "d")).alias("bigrams"))
-    return texts.join(more, "block").mapInArrow(score_blocks(buckets, starts, hot, unigrams, Discounts(of_bigrams), vocabulary), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"), Scratch(spark, "op4"))
+    scratch.drop("blocks/kind=w")
+    known = whole = blocks.where("kind = 't'").select("block", "a", "docs", "lens").join(answers, "block")
+    fine = GRAIN * buckets
+    request = ", ".join(["block long, bucket int", *(f"{k} binary" for k in REQUEST)])
+    below, discounts = unigrams.discounts, []
+    for level in range(2, order + 1):
+        name = "bigrams" if level == 2 else f"{level}-grams"
+        asked = known.mapInArrow(ask(fine, starts, hot, level), request)
+        saved = scratch.save(deal(asked).mapInArrow(count_grams(level, name, below), "level string, block long, bucket int, a binary, b binary, c binary, d binary, sums array<long>"), name, "level")
+        below = Discounts([int(x) for x in saved.where(F.col("level") == name).agg(*(s.alias(f"s{i}") for i, s in enumerate(sums[: K + 1]))).first()])
+        discounts.append(below)
+        del asked
+        release()
+        # Asking for longer n-grams takes the counts alone.
+        answers = saved.where("level = 'answer'").groupBy("block")
+        known = known.join(answers.agg(F.collect_list(F.struct("bucket", "a")).alias(f"level{level}")), "block")
+        whole = whole.join(answers.agg(F.collect_list(F.struct("bucket", "a", "b", "c", "d")).alias(f"level{level}")), "block")
+    return whole.mapInArrow(score_blocks(fine, starts, hot, unigrams, discounts, vocabulary), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def op4_katz(spark: SparkSession, sf_dir: str, order: int = 3) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"), Scratch(spark, "op4"), order=order)
