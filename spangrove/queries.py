@@ -106,12 +106,17 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fts_three_way_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunks that hold both words, with their documents' source, most frequent first."""
+    """The 20 first of fts_three_way_join_every, most frequent first."""
+    return fts_three_way_join_every(spark, sf).orderBy(F.desc("tf"), "doc_id", "chunk_index").limit(20)
+
+
+def fts_three_way_join_every(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks that hold both words, with their documents' source."""
     d = _table(spark, sf, "documents")
     c = search.chunks(d)
     p = search.postings(c, "doc_id", "chunk_index").where(F.col("term").isin("that", "with")).groupBy("doc_id", "chunk_index").agg(F.sum("tf").alias("tf"), F.count("*").alias("n")).where("n = 2")
     out = p.join(c.select("doc_id", "chunk_index", "start_offset"), ["doc_id", "chunk_index"]).join(d.select("doc_id", "source"), "doc_id")
-    return out.orderBy(F.desc("tf"), "doc_id", "chunk_index").limit(20).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("start_offset").cast("long").alias("start_offset"), "source", F.col("tf").cast("long").alias("tf"))
+    return out.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("start_offset").cast("long").alias("start_offset"), "source", F.col("tf").cast("long").alias("tf"))
 
 
 def _spans(spark: SparkSession, sf: str) -> DataFrame:
@@ -336,6 +341,9 @@ ORACLE_SQL: dict[str, str] = {
     "fts_three_way_join": f"""WITH {_CHUNKS_SQL}, w AS (SELECT doc_id, chunk_index, start_offset, unnest({_WORDS.format("piece")}) AS term FROM chunks),
         p AS (SELECT doc_id, chunk_index, start_offset, count(*) AS tf FROM w WHERE term IN ('that', 'with') GROUP BY ALL HAVING count(DISTINCT term) = 2)
         SELECT doc_id, chunk_index, CAST(start_offset AS BIGINT) AS start_offset, source, CAST(tf AS BIGINT) AS tf FROM p JOIN documents USING (doc_id) ORDER BY tf DESC, doc_id, chunk_index LIMIT 20""",
+    "fts_three_way_join_every": f"""WITH {_CHUNKS_SQL}, w AS (SELECT doc_id, chunk_index, start_offset, unnest({_WORDS.format("piece")}) AS term FROM chunks),
+        p AS (SELECT doc_id, chunk_index, start_offset, count(*) AS tf FROM w WHERE term IN ('that', 'with') GROUP BY ALL HAVING count(DISTINCT term) = 2)
+        SELECT doc_id, chunk_index, CAST(start_offset AS BIGINT) AS start_offset, source, CAST(tf AS BIGINT) AS tf FROM p JOIN documents USING (doc_id)""",
     "longest_extent": _window("", "i", "max", "j"),
     "shortest_extent": _window("", "i", "min", "j"),
     "left_pivot": _window("", "i, j", "max", "k"),
@@ -382,7 +390,7 @@ ORACLE_SQL: dict[str, str] = {
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        doc_fingerprint, chunk_documents, token_offsets, boundary_gaps, munch_literals, postings, bm25_topk, fts_three_way_join, longest_extent, shortest_extent, left_pivot, right_pivot, prefer_same_span, call_return_join,
+        doc_fingerprint, chunk_documents, token_offsets, boundary_gaps, munch_literals, postings, bm25_topk, fts_three_way_join, fts_three_way_join_every, longest_extent, shortest_extent, left_pivot, right_pivot, prefer_same_span, call_return_join,
         catalan_spans, first_sets, follow_sets, ll1_conflicts, reachable_rules, parse_expressions, parse_ambiguous, parse_ambiguous_every, parse_turns, residual_ambiguity, signature_harvest, forest_tables, token_commits, token_commits_every, performance_summary,
         section_asof, indent_events, scalar_functions, text_positions, relational_twin,
     )

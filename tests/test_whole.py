@@ -39,3 +39,8 @@ def test_positions_after_200_characters(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     want = con.execute(f"SELECT doc_id, quarter, position, column_at FROM ({queries.ORACLE_SQL['text_positions']})").fetchall()
     assert got == {(a, b): (c, d) for a, b, c, d in want} and len(got) == 28
+
+
+def test_join_has_more_than_the_first_20(spark):
+    every = queries.queries()["fts_three_way_join_every"](spark, SF)
+    assert every.count() > 20 and queries.queries()["fts_three_way_join"](spark, SF).exceptAll(every).isEmpty()
