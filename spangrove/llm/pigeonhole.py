@@ -7,8 +7,9 @@ decides. Letters A-Z count as small and each white-space character as a space, i
 space and white space at the ends of items are dropped.
 
 Items come in blocks of at most BLOCK_CHARS characters, so what each task holds does not grow with the benchmark; more
-items mean more passes over the texts. Null or empty items match nothing, nor do items of fewer than MIN_CHARS
-characters, which prose holds by chance. Null and empty texts match nothing. Rows that repeat give rows that repeat.
+items mean more passes over the texts. Null or empty items match nothing. Items of fewer than MIN_CHARS characters,
+which prose holds by chance, match nothing either unless `short` is set, as op10 and the pipeline do: then they match
+without edits where no letter or digit goes on at either end. Null and empty texts match nothing. Rows that repeat give rows that repeat.
 """
 
 from __future__ import annotations
@@ -58,10 +59,15 @@ def myers(pattern: str, text: str, most: int) -> tuple[int, int] | None:
     return best if best[0] <= most else None
 
 
+def stands_alone(text: str, s: int, e: int) -> bool:
+    """Does no letter or digit at an end of text[s:e] go on beyond it?"""
+    return not (s and text[s - 1].isalnum() and text[s].isalnum()) and not (e < len(text) and text[e - 1].isalnum() and text[e].isalnum())
+
+
 class Matcher:
     """Items by id; an automaton of their pieces."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], short: bool = False):
         import ahocorasick
 
         self.items: list[tuple[int, str, int]] = []
@@ -69,9 +75,9 @@ class Matcher:
         for item_id, text in sorted(items):
             text = " ".join(fold(text or "").split(" "))
             text = " ".join(text.split())
-            if len(text) < MIN_CHARS:
+            if len(text) < MIN_CHARS and not (short and text):
                 continue
-            most = len(text) // RATE
+            most = len(text) // RATE if len(text) >= MIN_CHARS else 0
             n, k = len(self.items), most + 1
             self.items.append((item_id, text, most))
             for p in range(k):
@@ -95,6 +101,10 @@ class Matcher:
         out = []
         for n, begins in hits.items():
             item_id, item, most = self.items[n]
+            if len(item) < MIN_CHARS:
+                whole = [b + len(item) for b in begins if stands_alone(text, b, b + len(item))]
+                out += [(item_id, 0, min(whole))] if whole else []
+                continue
             best = None
             windows: list[list[int]] = []
             for b in sorted(begins):
@@ -113,19 +123,19 @@ class Matcher:
         return sorted(out)
 
 
-_matchers: dict[int, Matcher] = {}
+_matchers: dict[tuple[int, bool], Matcher] = {}
 
 
-def matcher(key: int, items: list[tuple[int, str]]) -> Matcher:
-    if key not in _matchers:
+def matcher(key: int, items: list[tuple[int, str]], short: bool) -> Matcher:
+    if (key, short) not in _matchers:
         _matchers.clear()
-        _matchers[key] = Matcher(items)
-    return _matchers[key]
+        _matchers[key, short] = Matcher(items, short)
+    return _matchers[key, short]
 
 
-def blocks(items: DataFrame, item_col: str, item_text_col: str) -> Iterator[tuple[int, Broadcast]]:
+def blocks(items: DataFrame, item_col: str, item_text_col: str, short: bool) -> Iterator[tuple[int, Broadcast]]:
     """A key and the broadcast (id, text) rows of each block of items."""
-    chosen = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where(F.length("text") >= MIN_CHARS)
+    chosen = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where(F.length("text") >= (1 if short else MIN_CHARS))
     total = chosen.agg(F.sum(F.length("text"))).first()[0] or 0
     count = max(1, -(-total // (BLOCK_CHARS // 2)))
     for b in range(count):
@@ -134,15 +144,15 @@ def blocks(items: DataFrame, item_col: str, item_text_col: str) -> Iterator[tupl
         yield zlib.crc32(repr(sorted(held, key=str)).encode()), items.sparkSession.sparkContext.broadcast(held)
 
 
-def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", short: bool = False) -> DataFrame:
     """doc_id, item_id, distance, end (in the folded text) for each pair within the item's edit budget."""
     arrow_limits(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     out = None
-    for key, shared in blocks(items, item_col, item_text_col):
+    for key, shared in blocks(items, item_col, item_text_col, short):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
-            own = matcher(key, shared.value)
+            own = matcher(key, shared.value, short)
             for batch in batches:
                 found = [(i, *x) for i, text in enumerate(batch.column(1).to_pylist()) for x in own.find(text)]
                 rows = pa.array([x[0] for x in found], pa.int64())
@@ -153,14 +163,14 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     return out
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", short: bool = False) -> DataFrame:
     """The rows of docs whose text holds a passage of no item. Each row is judged where it is read; nothing is joined."""
     arrow_limits(docs.sparkSession)
     at = docs.columns.index(text_col)
-    for key, shared in blocks(items, item_col, item_text_col):
+    for key, shared in blocks(items, item_col, item_text_col, short):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
-            own = matcher(key, shared.value)
+            own = matcher(key, shared.value, short)
             for batch in batches:
                 yield batch.filter(pa.array([not t or not own.find(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
@@ -169,4 +179,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
 
 
 def op10_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), short=True)
