@@ -217,9 +217,12 @@ def brute_force(rows: DataFrame) -> DataFrame:
         offsets = np.append(0, np.cumsum(lens))
         sets = shingles(np.frombuffer(data, np.uint8), offsets)
         left = sum(m["side"] == 0 for m in members)
-        both = left < len(members)
-        x, y = compare(sets[:left], sets[left:] if both else None)
-        y = y + left * both
+        if members[0]["i"] < members[0]["j"]:
+            # Two blocks, either of which may have no member; pairs within a block are met in (i, i).
+            x, y = compare(sets[:left], sets[left:]) if 0 < left < len(members) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            y = y + left
+        else:
+            x, y = compare(sets, None)
         rep = np.array([m["rep"] for m in members], np.int64)
         copies = np.array([m["copies"] for m in members], np.int64)
         keys = np.array([m["keys"] for m in members], np.int64).reshape(len(members), RUNS)
