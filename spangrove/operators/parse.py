@@ -48,7 +48,7 @@ def outcome(k: Kernel, text: str | None, resolve: bool, keep: frozenset[str], tr
     try:
         p = k.parse(text)
     except TooLarge:
-        return out | {"too_large": True, "accepted": False, "exact": False}
+        return out | {"too_large": True, "accepted": None, "exact": None}
     out |= {"accepted": p.accepted, "exact": p.exact, "matches": len(p.ends()), "tokens": len({c[2:4] for c in p.commits}), "descriptors": p.items, "duplicates": p.duplicates, "suppressed": p.suppressed, "clusters": p.needs, "failed": p.failed, "furthest": p.furthest, "expected": sorted(p.expected)}
     if resolve:
         out["pruned"] = disambiguate(p)
@@ -97,7 +97,7 @@ def parse(df: DataFrame, grammar: str, text_col: str = "text", resolve: bool = F
     """df with a column `parse`. keep: what of bsr, commits, diagnostics, ast (one tree as text), tree (the same as
     rows), trees (up to `trees` of all) and forest comes with it.
 
-    A null text has a null parse. A message of more than most_items items is reported as too_large. spread deals the
+    A null text has a null parse. A message of more than most_items items is reported as too_large, with null verdicts. spread deals the
     messages to all shuffle partitions first: after an aggregation they may be few bytes but are still much work.
     """
     if spread:
@@ -175,14 +175,14 @@ def signature_lines(parsed: DataFrame, index_col: str) -> DataFrame:
 
 
 def summary(parsed: DataFrame, *by: str) -> DataFrame:
-    """Totals and averages of runs."""
+    """Totals and averages of runs; unknown: those without a verdict, too large or null."""
     m = metrics(parsed, *by)
-    return m.groupBy(*by).agg(F.count("*").alias("runs"), F.sum(F.col("accepted").cast("long")).alias("accepted"), F.sum("descriptors").alias("descriptors"), F.avg("descriptors").alias("avg_descriptors"), F.sum("spans").alias("spans"))
+    return m.groupBy(*by).agg(F.count("*").alias("runs"), F.coalesce(F.sum(F.col("accepted").cast("long")), F.lit(0)).alias("accepted"), F.sum(F.col("accepted").isNull().cast("long")).alias("unknown"), F.sum("descriptors").alias("descriptors"), F.avg("descriptors").alias("avg_descriptors"), F.sum("spans").alias("spans"))
 
 
 def verdicts(parsed: DataFrame, expected_col: str) -> DataFrame:
-    """Counts by what was expected ('accept' or 'reject') and what came out."""
-    got = F.when(F.col("parse.accepted"), "accept").otherwise("reject")
+    """Counts by what was expected ('accept' or 'reject') and what came out ('unknown' for messages that are too large or null)."""
+    got = F.when(F.col("parse.accepted"), "accept").when(~F.col("parse.accepted"), "reject").otherwise("unknown")
     residual = F.size(F.coalesce("parse.diagnostics", F.array())) > 0
     return parsed.groupBy(F.col(expected_col).alias("expected"), got.alias("got"), residual.alias("ambiguous")).count()
 
