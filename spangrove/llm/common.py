@@ -4,35 +4,33 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-
-_M = np.uint64(0xFFFFFFFFFFFFFFFF)
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_limits(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the Arrow batches that Python workers receive, in rows and in bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-
-
 class Scratch:
     """A folder under spark.checkpoint.dir for tables that cut lineage.
 
-    Only where that setting is missing (tests, notebooks) a folder of this machine is used.
+    Only where that setting is missing and the session runs within one machine (tests, notebooks) a folder of this
+    machine is used; anywhere else that is an error, since executors would not see each other's files.
     """
 
     def __init__(self, spark: SparkSession, what: str):
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            master = spark.conf.get("spark.master", "")
+            if master != "local" and not master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="spangrove-")
-            spark.conf.set("spark.checkpoint.dir", base)
         self.spark, self.root = spark, f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
@@ -42,10 +40,73 @@ class Scratch:
         (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
-    def drop(self, name: str) -> None:
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame, name: str, scratch: Scratch) -> DataFrame:
+    """df with a number for each row that stays the same whenever the frame is evaluated.
+
+    Rows of files are cut into partitions the same way each time, so a plain scan is numbered as it is read; anything
+    else is written first.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    operators = {line.strip(" :+-").split(" ")[0] for line in plan.splitlines() if line.strip()}
+    rows = df.withColumn(name, F.monotonically_increasing_id())
+    return rows if operators <= {"Project", "Filter", "Relation"} else scratch.save(rows, f"rows-{uuid.uuid4().hex}")
+
+
+def partitions(df: DataFrame, most: int = 32 << 20) -> int:
+    """How many partitions to deal df to: as many as the session says, or more where the files hold more bytes."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = -(-size // most) if size < 1 << 56 else 0  # beyond: not known
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), wanted)
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """rows with the one row of facts for each key; `count` says how many rows hold the key.
+
+    Keys of more than a fourth of a partition's share, at most four for each partition, are sent to the rows by
+    broadcast; the rest meet in a shuffle, where no key is large. rows and facts are read several times: save them first.
+    """
+    most = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = facts.agg(F.sum(count)).first()[0] or 0
+    heavy = facts.where(F.col(count) > total / most).drop(count)  # fewer than `most` rows, since counts add up to total
+    light = facts.where(F.col(count) <= total / most).drop(count)
+    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys)
+    return rows.join(F.broadcast(heavy), keys).unionByName(rest)
+
+
+def rows_at_a_time(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `rows`."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
+def texts_at_a_time(batches: Iterator[pa.RecordBatch], at: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `most` bytes of the text in column `at`; a longer text stands alone."""
+    for batch in batches:
+        column = batch.column(at)
+        if not batch.num_rows or column.buffers()[1] is None:
+            yield batch
+            continue
+        kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
+        offsets = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        for i, j in slices(offsets, most):
+            yield batch.slice(i, j - i)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -59,41 +120,36 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_BYTE_LOWER = _BYTE[LOWER]
 #: \x20 and \x09-\x0D
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n).bit_length())
-    if size not in _powers:
-        _powers.clear()
-        inverse = np.uint64(pow(_BASE, -1, 1 << 64))
-        up, down = np.full(size, np.uint64(_BASE)), np.full(size, inverse)
-        up[0] = down[0] = 1
-        _powers[size] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _powers[size]
 
+def spans_array(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.Array:
+    """The bytes of spans that follow each other without overlap."""
+    lens = e - s
+    ends = np.cumsum(lens)
+    total = int(ends[-1]) if len(ends) else 0
+    if total and total == int(e[-1] - s[0]):
+        data = buf[s[0] : e[-1]]
+    else:
+        data = buf[np.repeat(s - (ends - lens), lens) + np.arange(total)] if total else buf[:0]
+    wide = total >= 1 << 31
+    offsets = np.append(0, ends).astype(np.int64 if wide else np.int32)
+    return pa.Array.from_buffers(pa.large_binary() if wide else pa.binary(), len(s), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
-class Hasher:
-    """64-bit polynomial hashes of any byte spans of one buffer, from prefix sums."""
 
-    def __init__(self, buf: np.ndarray, lower: bool = False):
-        up, self.down = _power_tables(len(buf) + 1)
-        self.sums = np.zeros(len(buf) + 1, dtype=np.uint64)
-        np.cumsum((_BYTE_LOWER if lower else _BYTE)[buf] * up[: len(buf)], out=self.sums[1:])
+def distinct_spans(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct spans, told apart by all their bytes, and for each span the place of its own among them."""
+    coded = spans_array(buf, s, e).dictionary_encode()
+    return coded.dictionary.to_pylist(), np.asarray(coded.indices).astype(np.int64)
 
-    def raw(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-        return (self.sums[e] - self.sums[s]) * self.down[s]
 
-    def spans(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-        return mix(self.raw(s, e) + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def keyed_hash(words: list[bytes], key: bytes = b"spangrove") -> np.ndarray:
+    """64 bits of a cryptographic hash of each."""
+    return np.frombuffer(b"".join([blake2b(w, digest_size=8, key=key).digest() for w in words]), np.uint64)
 
 
 def arrow_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,14 +201,15 @@ def pieces(buf: np.ndarray, offsets: np.ndarray, most: int) -> list[tuple[int, i
     for row in range(len(offsets) - 1):
         s, e = int(offsets[row]), int(offsets[row + 1])
         while e - s > most:
-            view = buf[s + 1 : e]
-            blank = SPACE[view] & ~SPACE[buf[s : e - 1]] & (buf[s : e - 1] < 128)
-            at = np.flatnonzero(blank[: most])
-            if not len(at):
-                at = np.flatnonzero(blank)[:1]
-            if not len(at):
+            cut, lo = -1, s + 1
+            while cut < 0 and lo < e:
+                hi = min(e, lo + most)
+                at = np.flatnonzero(SPACE[buf[lo:hi]] & ~SPACE[buf[lo - 1 : hi - 1]] & (buf[lo - 1 : hi - 1] < 128))
+                if len(at):
+                    cut = lo + int(at[-1] if lo == s + 1 else at[0])
+                lo = hi
+            if cut < 0:
                 break
-            cut = s + 1 + int(at[-1])
             out.append((row, s, cut))
             s = cut
         out.append((row, s, e))

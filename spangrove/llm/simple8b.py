@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Hasher, Scratch, arrow_bytes, arrow_limits, table
+from .common import Scratch, arrow_bytes, partitions, rows_at_a_time, table, texts_at_a_time
 from .token_counts import BATCH_BYTES, balanced
 from .units import shared_memo
 
@@ -139,7 +139,9 @@ BLOCK_IDS = 1 << 19
 def write_tokens(df: DataFrame, scratch: Scratch, tokenizer: str, spaced: bool, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Token files of all texts in ascending order of the id; a row is a block of whole documents.
 
-    Null texts count as empty; rows that share an id follow each other by their texts; a null id comes first.
+    Null and empty texts hold no ids but the end id; rows that share an id follow each other by hashes of their texts,
+    repeated rows included; a null id comes first. Other columns are not read, whatever their names. An empty table gives
+    no blocks. A text of any length is encoded in pieces of BATCH_BYTES; its ids are held by one task.
     Columns: shard (ascending through the files), before (ids of the shard before this block), n_ids, doc_ids, lens,
     payload.
     """
@@ -159,13 +161,13 @@ def write_tokens(df: DataFrame, scratch: Scratch, tokenizer: str, spaced: bool,
             payload = encode(np.concatenate(ids)) if ids else encode(np.zeros(0, np.uint64))
             return pa.record_batch([pa.array([shard], pa.int32()), pa.array([before], pa.int64()), pa.array([int(all_lens.sum())], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([all_lens], pa.list_(pa.int64())), pa.array([payload], pa.binary())], names=["shard", "before", "n_ids", "doc_ids", "lens", "payload"])
 
-        for batch in batches:
+        for batch in texts_at_a_time(batches, 1):
             buf, offsets = arrow_bytes(batch.column(1))
             got: list[list[np.ndarray]] = [[] for _ in range(batch.num_rows)]
             for part, bounds, rows in balanced(buf, offsets, BATCH_BYTES):
                 s, e = memo.spans(part, bounds)
                 if len(s):
-                    slots = memo.slots(part, Hasher(part), s, e)
+                    slots = memo.slots(part, s, e)
                     flat = memo.ids(slots)
                     ends = np.append(0, np.cumsum(memo.lens[slots]))[np.searchsorted(s, bounds)]
                     for k, row in enumerate(rows.tolist()):
@@ -186,11 +188,10 @@ def write_tokens(df: DataFrame, scratch: Scratch, tokenizer: str, spaced: bool,
         if docs:
             yield flush()
 
-    spark = df.sparkSession
-    arrow_limits(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("text_hash", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    order = ["doc_id", "text_hash", "row"]  # an id that many rows hold does not meet in one task
+    ordered = rows.repartitionByRange(partitions(df), *order).sortWithinPartitions(*order).select("doc_id", "text")
     return scratch.save(ordered.mapInArrow(run, "shard int, before long, n_ids long, doc_ids array<long>, lens array<long>, payload binary"), "tokens")
 
 
@@ -205,7 +206,7 @@ def read_tokens(tokens: DataFrame) -> DataFrame:
     placed = tokens.join(F.broadcast(shards), "shard").withColumn("start", F.col("shard_start") + F.col("before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in rows_at_a_time(batches, 1):
             for start, docs, lens, payload in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 ids = decode(payload).astype("<u4").tobytes()
                 ends = np.cumsum(lens)
@@ -213,7 +214,6 @@ def read_tokens(tokens: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
                 yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(start + begins), pa.array(lens, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    arrow_limits(tokens.sparkSession, 8)
     return placed.select("start", "doc_ids", "lens", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

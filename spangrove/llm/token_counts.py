@@ -1,8 +1,13 @@
 """Token counts: Arrow functions that return lengths only.
 
-Rows are taken in batches balanced by bytes; texts longer than a batch are split at safe boundaries (white space
-after another character), and within a batch the distinct stretches between safe boundaries are encoded together.
-Null and empty texts have 0 tokens and 0 bytes. Equal rows give equal rows. Other columns are not read.
+Texts longer than a batch are split at safe boundaries (white space after another character, where the tokenizers'
+patterns always end a piece), and the pieces go to the library in batches that are balanced by bytes. Ids never leave
+the function. Byte-level tokenizers join one space to the word after it; a piece begins with its white space, so this
+holds across cuts.
+
+Null and empty texts have 0 tokens and 0 bytes. Equal rows give equal rows, an empty table none. Other columns are not
+read, whatever their names. Memory is bounded by BATCH_BYTES of text, or by the longest stretch without ASCII white
+space where that is longer.
 """
 
 from __future__ import annotations
@@ -14,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Hasher, arrow_bytes, arrow_limits, pieces, slices, table
-from .units import shared_memo
+from .common import arrow_bytes, pieces, slices, table, texts_at_a_time
+from .units import load_tokenizer
 
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 
 def balanced(buf: np.ndarray, offsets: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -31,30 +36,37 @@ def balanced(buf: np.ndarray, offsets: np.ndarray, most: int) -> Iterator[tuple[
         yield buf[starts[i] : ends[j - 1]], bounds[i : j + 1] - starts[i], rows[i:j]
 
 
-def count_tokens(df: DataFrame, tokenizer: str, spaced: bool, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit for every row.
+_tokenizers: dict = {}
+
+
+def worker_tokenizer(name: str):
+    """The tokenizer of this worker process."""
+    if name not in _tokenizers:
+        _tokenizers[name] = load_tokenizer(name)
+    return _tokenizers[name]
+
+
+def lengths(tok, buf: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The number of tokens of each piece, from one call of the library."""
+    raw = buf.tobytes()
+    texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    return np.fromiter(map(len, tok.encode_batch_fast(texts, add_special_tokens=False)), np.int64, len(texts))
+
 
-    spaced: the tokenizer joins a space to the word after it (byte-level patterns) rather than dropping white space.
-    """
+def count_tokens(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = shared_memo(tokenizer, spaced)
-        for batch in batches:
+        tok = worker_tokenizer(tokenizer)
+        for batch in texts_at_a_time(batches, 1):
             buf, offsets = arrow_bytes(batch.column(1))
             counts = np.zeros(batch.num_rows, np.int64)
             for part, bounds, rows in balanced(buf, offsets, BATCH_BYTES):
-                s, e = memo.spans(part, bounds)
-                if len(s):
-                    slots = memo.slots(part, Hasher(part), s, e)
-                    piece = np.searchsorted(bounds, s, side="right") - 1
-                    np.add.at(counts, rows, np.bincount(piece, memo.lens[slots], len(rows)).astype(np.int64))
-                if memo.full():
-                    memo.clear()
+                np.add.at(counts, rows, lengths(tok, part, bounds))
             yield pa.record_batch([batch.column(0), pa.array(np.diff(offsets)), pa.array(counts), pa.array(counts > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    arrow_limits(df.sparkSession)
-    return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(table(spark, sf_dir, "documents"), "word_bpe_49k.json", spaced=False)
+    return count_tokens(table(spark, sf_dir, "documents"), "word_bpe_49k.json")

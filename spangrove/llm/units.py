@@ -3,8 +3,8 @@
 Words between ASCII white space are such units for the lower-casing word tokenizer, whose pattern drops white space.
 For the byte-level tokenizer a unit also holds the white space before its word, since its pattern joins one space to
 the next word; a unit then starts only where white space follows a character that is none.
-Every distinct unit is encoded by the tokenizers library itself, special strings included, and remembered up to `cap`
-units; units are told apart by 64-bit hashes of their bytes and by their lengths.
+Every distinct unit is encoded by the tokenizers library itself, special strings included, and remembered by its bytes,
+up to `cap` units.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import os
 
 import numpy as np
 
-from .common import SPACE, Hasher, word_spans
+from .common import SPACE, distinct_spans, word_spans
 
 
 def vocabulary(name: str) -> str:
@@ -77,34 +77,30 @@ def spaced_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 _memos: dict[tuple, UnitMemo] = {}
 
 
-def shared_memo(tokenizer: str, spaced: bool, texts: bool = False) -> UnitMemo:
+def shared_memo(tokenizer: str, spaced: bool) -> UnitMemo:
     """The memo of this worker process; tasks that run after each other go on with it."""
-    key = tokenizer, spaced, texts
+    key = tokenizer, spaced
     if key not in _memos:
-        _memos[key] = UnitMemo(tokenizer, spaced, texts, cap=900_000 if texts else 1_800_000)
+        _memos[key] = UnitMemo(tokenizer, spaced)
     if _memos[key].full():
         _memos[key].clear()
     return _memos[key]
 
 
 class UnitMemo:
-    def __init__(self, tokenizer: str, spaced: bool, texts: bool = False, cap: int = 900_000):
-        self.tok, self.spaced, self.texts, self.cap = load_tokenizer(tokenizer), spaced, texts, cap
+    def __init__(self, tokenizer: str, spaced: bool, cap: int = 1_500_000):
+        self.tok, self.spaced, self.cap = load_tokenizer(tokenizer), spaced, cap
         names = [self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size())]
         #: Ids that begin a word after a space, or end a word.
         self.edge = np.array([x.startswith("Ġ") if spaced else x.endswith("</w>") for x in names])
-        if texts:
-            self.numbers, self.tokens = [str(i).encode() for i in range(len(names))], [x.encode() for x in names]
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.slot: dict[bytes, int] = {}
         self.lens = np.zeros(1 << 16, np.int32)
         self.at = np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 18, np.int32)
         self.used = 0
-        self.ids_text: list[bytes] = []
-        self.decoded: list[bytes] = []
 
     def full(self) -> bool:
         return len(self.slot) > self.cap
@@ -112,37 +108,29 @@ class UnitMemo:
     def spans(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return spaced_spans(buf, offsets) if self.spaced else word_spans(buf, offsets, mark_cuts(buf))
 
-    def slots(self, buf: np.ndarray, hasher: Hasher, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    def slots(self, buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         """The slot of each unit; new ones are encoded."""
         if not len(s):
             return np.zeros(0, np.int64)
-        keys, first, back = np.unique(hasher.spans(s, e), return_index=True, return_inverse=True)
+        keys, back = distinct_spans(buf, s, e)
         get = self.slot.get
-        found = np.fromiter((get(k, -1) for k in keys.tolist()), np.int64, len(keys))
+        found = np.fromiter((get(k, -1) for k in keys), np.int64, len(keys))
         new = np.flatnonzero(found < 0)
         if len(new):
-            raw = buf.tobytes()
-            units = [raw[a:b].decode("utf-8", "replace") for a, b in zip(s[first[new]].tolist(), e[first[new]].tolist(), strict=True)]
+            names = [keys[i] for i in new.tolist()]
             base = len(self.slot)
-            order, lens, flat = self.encode(units)
+            order, lens, flat = self.encode([x.decode("utf-8", "replace") for x in names])
             total = len(flat)
             while base + len(new) > len(self.lens):
                 self.lens, self.at = np.append(self.lens, np.zeros_like(self.lens)), np.append(self.at, np.zeros_like(self.at))
             while self.used + total > len(self.flat):
                 self.flat = np.append(self.flat, np.zeros_like(self.flat))
             self.flat[self.used : self.used + total] = flat
-            ends = np.cumsum(lens)
             self.lens[base : base + len(new)] = lens
-            self.at[base : base + len(new)] = self.used + ends - lens
+            self.at[base : base + len(new)] = self.used + np.cumsum(lens) - lens
             self.used += total
-            if self.texts:
-                ids, number, token = flat.tolist(), self.numbers, self.tokens
-                for a, b in zip((ends - lens).tolist(), ends.tolist(), strict=True):
-                    self.ids_text.append(b" ".join([number[x] for x in ids[a:b]]))
-                    self.decoded.append(b" ".join([token[x] for x in ids[a:b]]))
-            new = new[order]
-            self.slot.update(zip(keys[new].tolist(), range(base, base + len(new)), strict=True))
-            found[new] = np.arange(base, base + len(new))
+            self.slot.update(zip([names[i] for i in order.tolist()], range(base, base + len(new)), strict=True))
+            found[new[order]] = np.arange(base, base + len(new))
         return found[back]
 
     def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
