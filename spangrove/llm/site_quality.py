@@ -1,20 +1,23 @@
 """Quality classifier with hierarchical empirical Bayes over hosts and paths.
 
-A logistic model of byte and word statistics, fitted on at most `max_labels` labelled documents (those with the
-smallest hashes of their ids), gives each document's own evidence: its log odds less those of the labelled mean.
+A logistic model of surface statistics and of hashed words, fitted on at most `max_labels` labelled documents (those
+with the smallest hashes of their ids), gives each document's own evidence: its log odds less those of the labelled mean.
 Labels where there are any, and the model's probabilities elsewhere, are summed for every path of every host, for every
 host and over the corpus. A host's rate is shrunk toward the corpus's, a path's toward its host's, each by a prior
 strength estimated by the method of moments, so a site with few documents says what its parent says. A document is kept
 if its evidence and its path's posterior together give a probability of at least `threshold`.
 
-Documents have no URL of their own here: `source` is the host and `lang` the path; other columns can be named. A null
-host or path is one of its own (the empty string). A null text is empty. Documents without words are rejected, as is
-every document if no label of 1 is there; with no labels at all every document with words is kept at probability 0.5.
-Repeated documents are judged alike; of repeated labels the mean counts. Other columns are not read.
+Where documents have a URL, with_site splits it into host and path; those of op1 have none, so `source` is the host and
+`lang` the path; other columns can be named. A null host or path is one of its own (the empty string). A null text is
+empty. Documents without words are rejected, as is every document if no label of 1 is there; with no labels at all every
+document with words is kept at probability 0.5. Repeated documents are judged alike; of repeated labels the mean counts;
+of documents that share a labelled id one is learned from. A kept document is one of at least `threshold`, ties
+included. Other columns are not read. Texts are taken whole, in slices of SLICE_BYTES or one text.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, Hasher, Scratch, arrow_bytes, arrow_limits, slices, table, word_spans
+from .common import LOWER, SPACE, Scratch, arrow_bytes, clear_name, distinct_spans, join_facts, numbered, table, texts_at_a_time, word_spans
 
 MAX_LABELS = 20_000
-SALTS = 16
-FEATURES = ["upper", "digits", "shouts", "bars", "signs", "stops", "lines", "word_length", "distinct", "repeats", "same_lines", "log_words", "short_words"]
+SURFACE = ["upper", "digits", "shouts", "bars", "signs", "stops", "lines", "word_length", "distinct", "repeats", "same_lines", "log_words", "short_words"]
+BUCKETS = 64
+FEATURES = SURFACE + [f"words{i}" for i in range(BUCKETS)]
 SLICE_BYTES = 2 << 20
 
 
@@ -49,52 +53,43 @@ def features(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         sums = np.append(0, np.cumsum(mask[buf]))
         return (sums[offsets[1:]] - sums[offsets[:-1]]).astype(float)
 
-    hasher = Hasher(buf, lower=True)
     s, e = word_spans(buf, offsets)
+    names, keys = distinct_spans(LOWER[buf], s, e)
     row = np.searchsorted(offsets, s, side="right") - 1
     words = np.bincount(row, minlength=n).astype(float)
     many = np.maximum(words, 1)
-    keys = hasher.spans(s, e)
     again = np.zeros(len(keys))
     again[1:] = (keys[1:] == keys[:-1]) & (row[1:] == row[:-1])
-    distinct = np.bincount(_rows_of_distinct(row, keys), minlength=n)
+    bucket = np.fromiter((zlib.crc32(w) % BUCKETS for w in names), np.int64, len(names))
+    held = np.bincount(row * BUCKETS + bucket[keys], minlength=n * BUCKETS).reshape(n, BUCKETS) if len(keys) else np.zeros((n, BUCKETS))
     ls = np.unique(np.concatenate([offsets[:-1][offsets[:-1] < len(buf)], np.flatnonzero(buf == 10) + 1]))
     ls = ls[ls < len(buf)]
     le = np.append(ls[1:], len(buf))
     line_row = np.searchsorted(offsets, ls, side="right") - 1
     lines = np.bincount(line_row, minlength=n)
-    distinct_lines = np.bincount(_rows_of_distinct(line_row, hasher.spans(ls, le)), minlength=n)
     letters = np.maximum(share(_LETTER), 1)
     solid = size - share(SPACE)
-    return np.stack(
+    surface = np.stack(
         [
             share(_UPPER) / letters, share(_DIGIT) / size, share(_SHOUT) / size, share(_BAR) / size, share(_SIGN) / size, share(_STOP) / size, share(_LINE) / many, np.minimum(solid / many, 30),
-            distinct / many, np.bincount(row, again, n) / many, 1 - distinct_lines / np.maximum(lines, 1), np.log1p(words), np.bincount(row, e - s <= 3, n) / many,
+            _distinct(row, keys, n) / many, np.bincount(row, again, n) / many, 1 - _distinct(line_row, distinct_spans(buf, ls, le)[1], n) / np.maximum(lines, 1), np.log1p(words), np.bincount(row, e - s <= 3, n) / many,
         ],
         axis=1,
     )
+    return np.hstack([surface, held / many[:, None]])
 
 
-def _rows_of_distinct(row: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    order = np.lexsort((keys, row))
-    r, k = row[order], keys[order]
-    new = np.ones(len(r), bool)
-    new[1:] = (r[1:] != r[:-1]) | (k[1:] != k[:-1])
-    return r[new]
+def _distinct(row: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
+    """How many distinct keys each row has."""
+    pairs = np.unique(row * (int(keys.max()) + 1 if len(keys) else 1) + keys)
+    return np.bincount(pairs // (int(keys.max()) + 1 if len(keys) else 1), minlength=n)
 
 
-def document_features(docs: DataFrame, id_col: str, text_col: str, host_col: str, path_col: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, offsets = arrow_bytes(batch.column(3))
-            for i, j in slices(offsets, SLICE_BYTES):
-                got = features(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]).astype(np.float32)
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(got.ravel()), len(FEATURES)).cast(pa.list_(pa.float32()))
-                yield pa.record_batch([*(batch.column(c).slice(i, j - i) for c in range(3)), lists], names=["doc_id", "host", "path", "x"])
-
-    arrow_limits(docs.sparkSession)
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), text(host_col).alias("host"), text(path_col).alias("path"), text(text_col).alias("text")).mapInArrow(run, "doc_id long, host string, path string, x array<float>")
+def with_site(df: DataFrame, url_col: str, host_col: str = "host", path_col: str = "path") -> DataFrame:
+    """df with the host of a URL, without `www.`, and the first part of its path; empty where there is none."""
+    host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(?:www\.)?([^/?#:]*)", 1))
+    path = F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]*)", 1)
+    return df.withColumn(host_col, host).withColumn(path_col, path)
 
 
 class Logistic:
@@ -128,26 +123,29 @@ def strength(groups: DataFrame, n: str, good: str, parent: str) -> float:
     return float(min(max(row.within / row.between - 1, 1.0), 1e6))
 
 
-def judge(docs: DataFrame, labels: DataFrame, scratch: Scratch, threshold: float = 0.5, max_labels: int = MAX_LABELS, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality") -> DataFrame:
-    """doc_id, host, path, doc_prob, host_posterior, path_posterior, quality and keep for every row of docs."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg(label_col).cast("double").alias("y"))
-    rows = scratch.save(document_features(docs, id_col, text_col, host_col, path_col).join(known, "doc_id", "left"), "features")
-    sample = rows.where("y is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels).select("x", "y").toPandas()
+def judge(docs: DataFrame, labels: DataFrame, scratch: Scratch, threshold: float = 0.5, max_labels: int = MAX_LABELS, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality", row_col: str | None = None) -> DataFrame:
+    """doc_id, host, path, doc_prob, host_posterior, path_posterior, quality and keep for every row of docs, and the
+    column row_col of docs as `row` if it is named."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    row = (F.col(row_col) if row_col else F.lit(0)).cast("long").alias("row")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text(host_col).alias("host"), text(path_col).alias("path"), row, text(text_col).alias("text"))
+    known = scratch.save(labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg(label_col).cast("double").alias("y")), "known")
+    model = fitted(rows, known, max_labels)
     words = FEATURES.index("log_words")
-    if not len(sample):
-        has = F.get("x", F.lit(words)) > 0
-        half = [F.lit(0.5).alias(c) for c in ("doc_prob", "host_posterior", "path_posterior", "quality")]
-        return rows.select("doc_id", "host", "path", *half, has.alias("keep"))
-    model = Logistic(np.stack(sample.x.to_list()).astype(float), sample.y.to_numpy())
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.asarray(batch.column(3).flatten(), dtype=float).reshape(-1, len(FEATURES))
-            yield pa.record_batch([*(batch.column(i) for i in range(3)), batch.column(4), pa.array(model.log_odds(x)), pa.array(x[:, words] > 0)], names=["doc_id", "host", "path", "y", "odds", "words"])
-
-    scored = rows.mapInArrow(score, "doc_id long, host string, path string, y double, odds double, words boolean")
+        for batch in texts_at_a_time(batches, 4, SLICE_BYTES):
+            x = features(*arrow_bytes(batch.column(4)))
+            odds = model.log_odds(x) if model else np.zeros(len(x))
+            yield pa.record_batch([*(batch.column(i) for i in range(4)), pa.array(odds), pa.array(x[:, words] > 0)], names=["doc_id", "host", "path", "row", "odds", "words"])
+
+    scored = scratch.save(rows.mapInArrow(score, "doc_id long, host string, path string, row long, odds double, words boolean"), "scored")
+    out = ["doc_id", "host", "path", *["row"] * bool(row_col)]
+    if not model:
+        half = [F.lit(0.5).alias(c) for c in ("doc_prob", "host_posterior", "path_posterior", "quality")]
+        return scored.select(*out, *half, F.col("words").alias("keep"))
     soft = F.coalesce("y", 1 / (1 + F.exp(-F.col("odds"))))
-    paths = scratch.save(scored.groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), F.sum(soft).alias("good")), "paths")
+    paths = scratch.save(scored.join(known, "doc_id", "left").groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), F.sum(soft).alias("good")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good"))
     total = hosts.agg(F.sum("host_n").alias("n"), F.sum("host_good").alias("good")).first()
     rate = total.good / total.n if total.n else 0.5
@@ -155,22 +153,43 @@ def judge(docs: DataFrame, labels: DataFrame, scratch: Scratch, threshold: float
     hosts = hosts.withColumn("host_posterior", (F.col("host_good") + m * rate) / (F.col("host_n") + m))
     sites = paths.join(hosts, "host")
     m2 = strength(sites, "n", "good", "host_posterior")
-    sites = sites.select("host", "path", "host_posterior", ((F.col("good") + m2 * F.col("host_posterior")) / (F.col("n") + m2)).alias("path_posterior"))
-    sites = sites.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    joined = scored.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(sites, ["host", "path", "salt"])
+    sites = scratch.save(sites.select("host", "path", "n", "host_posterior", ((F.col("good") + m2 * F.col("host_posterior")) / (F.col("n") + m2)).alias("path_posterior")), "sites")
     inside = F.least(F.greatest("path_posterior", F.lit(1e-9)), F.lit(1 - 1e-9))
     odds = F.col("odds") - model.base + F.log(inside / (1 - inside))
     quality = 1 / (1 + F.exp(-odds))
-    return joined.select("doc_id", "host", "path", (1 / (1 + F.exp(-F.col("odds")))).alias("doc_prob"), "host_posterior", "path_posterior", quality.alias("quality"), (F.col("words") & (quality >= threshold)).alias("keep"))
+    return join_facts(scored, sites, ["host", "path"], "n").select(*out, (1 / (1 + F.exp(-F.col("odds")))).alias("doc_prob"), "host_posterior", "path_posterior", quality.alias("quality"), (F.col("words") & (quality >= threshold)).alias("keep"))
+
+
+def fitted(rows: DataFrame, known: DataFrame, max_labels: int) -> Logistic | None:
+    """The model of a bounded sample of the labelled rows; None without any."""
+    count = known.count()
+    if not count or max_labels <= 0:
+        return None
+    # A threshold on the hash first, so that few more than max_labels leave the tasks.
+    order = F.xxhash64("doc_id")
+    share = min(1.0, 1.2 * max_labels / count + 1000 / count)
+    chosen = known.where(order <= F.lit(min(int(-(2**63) + share * 2**64), 2**63 - 1))).orderBy(order, "doc_id").limit(max_labels)
+    # At most max_labels rows of two numbers.
+    texts = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in texts_at_a_time(batches, 1, SLICE_BYTES):
+            x = features(*arrow_bytes(batch.column(1))).astype(np.float32)
+            yield pa.record_batch([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float32()))], names=["y", "x"])
+
+    sample = texts.select("y", "text").mapInArrow(run, "y double, x array<float>").toArrow()
+    if not sample.num_rows:
+        return None
+    x = np.asarray(sample["x"].combine_chunks().flatten(), dtype=float).reshape(-1, len(FEATURES))
+    return Logistic(x, np.asarray(sample["y"]))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """docs without those that are rejected. Rows that share an id are judged one by one."""
-    numbered = scratch.save(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    # Labels are known by doc_id; the row number stands in for it afterwards.
-    mine = labels.select("doc_id", "quality").join(numbered.select("doc_id", "__row"), "doc_id").select(F.col("__row").alias("doc_id"), "quality")
-    bad = judge(numbered, mine, scratch, id_col="__row").where(~F.col("keep")).select(F.col("doc_id").alias("__row"))
-    return numbered.join(bad, "__row", "left_anti").select(*docs.columns)
+    """docs without those that are rejected, whatever their other columns. Rows that share an id are judged one by one."""
+    row = clear_name(docs, "row")
+    rows = numbered(docs, row, scratch)
+    bad = judge(rows, labels, scratch, row_col=row).where(~F.col("keep")).select(F.col("row").alias(row))
+    return rows.join(bad, row, "left_anti").select(*docs.columns)
 
 
 def op1_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,8 +36,59 @@ def test_held_out_accuracy(spark):
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.15
 
 
+def test_posteriors_equal_plain_python(spark):
+    """Rates, prior strengths, posteriors and decisions, from each document's evidence and the labels."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(600):
+        host = "hot" if i % 3 == 0 else f"h{i % 17}"
+        text = "plain good words of prose here. " * 3 if rng.random() < (0.9 if host in ("hot", "h1", "h2") else 0.3) else "BAD!! | 77 $$ || BAD!! " * 3
+        rows.append((i, text + f"w{i}", host, "ab"[i % 2]))
+    labels = [(i, int("plain" in rows[i][1])) for i in range(0, 600, 4)] + [(0, 0), (10_000, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(4)
+    got = {r.doc_id: r for r in sq.judge(docs, spark.createDataFrame(labels, "doc_id long, quality int"), Scratch(spark, "t")).collect()}
+    known = {}
+    for i, y in labels:
+        known.setdefault(i, []).append(y)
+    good = {i: np.mean(known[i]) if i in known else r.doc_prob for i, r in got.items()}
+
+    def moments(groups):
+        """groups: (n, good, rate of the parent)"""
+        n = sum(g[0] for g in groups)
+        between = sum(k * ((g / k - p) ** 2 - p * (1 - p) / k) for k, g, p in groups) / n
+        within = np.mean([p * (1 - p) for _, _, p in groups])
+        return 1e6 if between <= 0 else min(max(within / between - 1, 1.0), 1e6)
+
+    def tally(key):
+        out = {}
+        for i, r in got.items():
+            n, g = out.get(key(r), (0, 0.0))
+            out[key(r)] = n + 1, g + good[i]
+        return out
+
+    hosts, paths = tally(lambda r: r.host), tally(lambda r: (r.host, r.path))
+    rate = sum(good.values()) / len(good)
+    m = moments([(n, g, rate) for n, g in hosts.values()])
+    of_host = {h: (g + m * rate) / (n + m) for h, (n, g) in hosts.items()}
+    m2 = moments([(n, g, of_host[h]) for (h, _), (n, g) in paths.items()])
+    of_path = {k: (g + m2 * of_host[k[0]]) / (n + m2) for k, (n, g) in paths.items()}
+    sample = [np.mean(y) for i, y in known.items() if i < 600]
+    base = np.log((sum(sample) + 0.5) / (len(sample) - sum(sample) + 0.5))
+    for r in got.values():
+        assert abs(r.host_posterior - of_host[r.host]) < 1e-9 and abs(r.path_posterior - of_path[r.host, r.path]) < 1e-9
+        p = of_path[r.host, r.path]
+        want = 1 / (1 + np.exp(-(np.log(r.doc_prob / (1 - r.doc_prob)) - base + np.log(p / (1 - p)))))
+        assert abs(r.quality - want) < 1e-6 and r.keep == (r.quality >= 0.5)
+
+
+def test_sites_of_urls(spark):
+    urls = ["https://www.Example.com:8080/en/825?page=2", "http://user@m.site.net#top", "nothing", None, "ftp://a.b/c"]
+    df = sq.with_site(spark.createDataFrame([(u,) for u in urls], "url string"), "url")
+    assert [(r.host, r.path) for r in df.collect()] == [("example.com", "en"), ("m.site.net", ""), ("", ""), ("", ""), ("a.b", "c")]
+
+
 def test_odd_tables(spark):
-    docs = spark.createDataFrame([(1, None, None, None, 1), (2, "", "s", "en", 1), (3, "some good words here", "s", None, 2), (3, "some good words here", "s", None, 2), (4, "BAD!! BAD!! BAD!!", "t", "en", 3), (None, "some more words", "s", "en", 0)], "doc_id long, text string, source string, lang string, quality int")
+    docs = spark.createDataFrame([(1, None, None, None, 1), (2, "", "s", "en", 1), (3, "some good words here", "s", None, 2), (3, "some good words here", "s", None, 2), (4, "BAD!! BAD!! BAD!!", "t", "en", 3), (None, "some more words", "s", "en", 0)], "doc_id long, text string, source string, lang string, Row int")
     labels = spark.createDataFrame([(3, 1), (4, 0), (3, 1), (None, 1), (9, 0), (2, None)], "doc_id long, quality int")
     got = sq.judge(docs, labels, Scratch(spark, "t")).collect()
     assert len(got) == 6 and {r.keep for r in got if r.doc_id in (1, 2)} == {False}
