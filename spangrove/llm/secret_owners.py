@@ -4,10 +4,13 @@ Regular expressions find candidates; a candidate's value is hashed, and each has
 and distinct owners over the corpus (first by hash and repository, then by hash and owner, then by hash, so that a
 value that a third of all rows hold is reduced before each shuffle). A value that many owners hold is a widely copied
 example; one that few hold, and that does not look like a placeholder, is live-looking. Base spans (assign, access,
-hex) are always returned; candidates of known token shapes (kind key) are returned where they are live-looking.
+hex) are always returned; candidates of known token shapes (kind key) are returned where they are live-looking. Hashes
+that many rows hold go back to their candidates by broadcast, at most four for each partition; the rest by a shuffle.
 
 Offsets are sums of lengths in code points of the matches and of what lies between them. Null and empty texts have no
-spans; a null owner or repository counts as one of its own; each input row gives one row; other columns are not read.
+spans; a null owner or repository counts as one of its own; each input row, repeated ones too, gives one row, an empty
+table none; spans that start together stand in the order of their kinds; other columns are not read, whatever their
+names. A text of any length is matched whole in its own row.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, clear_name, join_facts, numbered, table
 
 # The patterns of the base, and well-known shapes of tokens.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -28,7 +31,6 @@ PATTERNS = {
 KINDS = list(PATTERNS)
 BASE = 3
 PLACEHOLDER = r"(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxxx|0000000|1234567"
-SALTS = 16
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang")) -> DataFrame:
@@ -66,12 +68,11 @@ def ownership(cands: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.sum("n").alias("n_rows"), F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners"))
 
 
-def judge(cands: DataFrame, max_owners: int = 2) -> DataFrame:
-    """The candidates with n_repos, n_owners, live and kept."""
-    stats = ownership(cands).withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    keyed = cands.withColumn("hash", F.sha2("value", 256)).withColumn("salt", F.pmod(F.hash("rid"), F.lit(SALTS)))
+def judge(cands: DataFrame, scratch: Scratch, max_owners: int = 2) -> DataFrame:
+    """The candidates, a saved table, with n_repos, n_owners, live and kept."""
+    stats = scratch.save(ownership(cands), "owners")
     live = (F.col("n_owners") <= max_owners) & ~F.col("value").rlike(PLACEHOLDER) & (F.size(F.array_distinct(F.split("value", ""))) >= 6)
-    judged = keyed.join(stats, ["hash", "salt"]).withColumn("live", live)
+    judged = join_facts(cands.withColumn("hash", F.sha2("value", 256)), stats, ["hash"], "n_rows").withColumn("live", live)
     return judged.withColumn("kept", (F.col("kind") < BASE) | F.col("live"))
 
 
@@ -84,25 +85,29 @@ def find(df: DataFrame, scratch: Scratch, max_owners: int = 2, **columns: str) -
     """rid, doc_id and spans (start, kind, end, n_repos, n_owners, live), in order, for every row of df."""
     scanned = scratch.save(scan(df, **columns), "scan")
     cands = scratch.save(candidates(scanned), "candidates")
-    spans = judge(cands, max_owners).where("kept").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), "kind", F.col("end").cast("int").alias("end"), "n_repos", "n_owners", "live"))).alias("spans"))
+    spans = judge(cands, scratch, max_owners).where("kept").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), "kind", F.col("end").cast("int").alias("end"), "n_repos", "n_owners", "live"))).alias("spans"))
     return scanned.select("rid", "doc_id").join(spans, "rid", "left").withColumn("spans", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)))
 
 
-def redact(df: DataFrame, scratch: Scratch, mark: str = "[SECRET]", max_owners: int = 2) -> DataFrame:
-    """df with each live-looking secret of `text` replaced; overlapping ones become one mark. Examples stay."""
-    numbered = scratch.save(df.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = find(numbered, scratch, max_owners, id_col="__row")
-    live = found.select(F.col("doc_id").alias("__row"), F.filter("spans", lambda c: c["live"]).alias("__live")).where(F.size("__live") > 0)
+def redact(df: DataFrame, scratch: Scratch, mark: str = "[SECRET]", max_owners: int = 2, text_col: str = "text") -> DataFrame:
+    """df with each live-looking secret of its text replaced; overlapping ones become one mark. Examples stay.
+
+    A null text stays null. Other columns stay as they are, whatever their names.
+    """
+    row, held = clear_name(df, "row"), clear_name(df, "live")
+    rows = numbered(df, row, scratch)
+    found = find(rows, scratch, max_owners, id_col=row, text_col=text_col)
+    live = found.select(F.col("doc_id").alias(row), F.filter("spans", lambda c: c["live"]).alias(held)).where(F.size(held) > 0)
     start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
 
     def step(acc: Column, c: Column) -> Column:
-        gap = F.concat(acc["text"], F.col("text").substr(acc["at"] + 1, c["start"] - acc["at"]), F.lit(mark))
+        gap = F.concat(acc["text"], F.col(text_col).substr(acc["at"] + 1, c["start"] - acc["at"]), F.lit(mark))
         return F.struct(F.when(c["start"] >= acc["at"], gap).otherwise(acc["text"]).alias("text"), F.greatest(acc["at"], c["end"]).alias("at"))
 
-    end = lambda acc: F.concat(acc["text"], F.col("text").substr(acc["at"] + 1, F.length("text")))
-    marked = numbered.join(live, "__row", "left")
-    text = F.when(F.col("__live").isNull(), F.col("text")).otherwise(F.aggregate("__live", start, step, end))
-    return marked.withColumn("text", text).select(*df.columns)
+    end = lambda acc: F.concat(acc["text"], F.col(text_col).substr(acc["at"] + 1, F.length(text_col)))
+    marked = rows.join(live, row, "left")
+    text = F.when(F.col(held).isNull(), F.col(text_col)).otherwise(F.aggregate(held, start, step, end))
+    return marked.withColumn(text_col, text).select(*df.columns)
 
 
 def op5_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
