@@ -2,7 +2,10 @@
 
 import random
 
+import pytest
+
 from spangrove.llm import pigeonhole as ph
+from spangrove.llm.common import Scratch
 
 
 def plain(item, text):
@@ -53,17 +56,31 @@ def test_finds_all_within_budget():
         assert {j: d for j, d, _ in own.find(text)} == {j: d for j, d in want.items() if d <= len(dict(items)[j]) // ph.RATE}
 
 
-def test_tables(spark):
+@pytest.mark.parametrize("held", [ph.HELD_CHARS, 0])
+def test_tables(spark, held):
+    scratch = Scratch(spark, "t")
     item = "The quick brown fox jumps over the lazy dog and runs away"
-    docs = spark.createDataFrame([(1, "x " + item.upper().replace(" ", "\n ") + " y", 5), (2, None, 5), (3, "", 5), (4, "clean text", 5), (1, "again " + item, 6), (6, item[:40], 1), (7, "z " * 200_000 + item, 1)], "doc_id long, text string, item_id int")
-    items = spark.createDataFrame([(7, item), (8, None), (9, "clean"), (7, item)], "item_id long, text string")
-    got = ph.matches(docs, items)
-    assert sorted((r.doc_id, r.item_id, r.distance) for r in got.collect()) == [(1, 7, 0)] * 4 + [(7, 7, 0)] * 2
-    kept = ph.decontaminate(docs, items)
+    docs = spark.createDataFrame([(1, "x " + item.upper().replace(" ", "\n ") + " y", 5), (2, None, 5), (3, "", 5), (4, "clean text", 5), (1, "again " + item, 6), (6, item[:40], 1), (7, "z " * 200_000 + item, 1)], "doc_id long, text string, Row int")
+    items = spark.createDataFrame([(7, item), (8, None), (9, "clean"), (7, item), (None, item[3:])], "item_id long, text string")
+    got = ph.matches(docs, items, scratch, held_chars=held)
+    assert sorted((r.doc_id, r.item_id or 0, r.distance) for r in got.collect()) == sorted([(1, 7, 0)] * 4 + [(7, 7, 0)] * 2 + [(1, 0, 0)] * 2 + [(7, 0, 0)])
+    kept = ph.decontaminate(docs, items, scratch, held_chars=held)
     assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 4, 6] and kept.columns == docs.columns
     same = spark.createDataFrame([(1, item), (1, "clean"), (None, item), (None, "clean")], "doc_id long, text string")
-    assert [r.text for r in ph.decontaminate(same, items).collect()] == ["clean", "clean"]
-    assert ph.matches(docs.limit(0), items).count() == 0 and ph.matches(docs, items.limit(0)).count() == 0
+    assert [r.text for r in ph.decontaminate(same, items, scratch, held_chars=held).collect()] == ["clean", "clean"]
+    assert ph.matches(docs.limit(0), items, scratch, held_chars=held).count() == 0 and ph.matches(docs, items.limit(0), scratch, held_chars=held - 1).count() == 0
+
+
+def test_pieces_meet_as_tables(spark):
+    """Items beyond what tasks may hold give the rows that the automaton gives, short ones included."""
+    rng = random.Random(4)
+    words = ["then", "thing", "ever", "ation", "ble", "of", "the", "and", "é"]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 40)))) for i in range(60)]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(30)) + " " + edited(rng, rng.choice(items)[1], rng.randrange(4)) + " the end") for i in range(80)]
+    own = ph.Matcher(items, True)
+    want = sorted((i, *x) for i, text in docs for x in own.find(text))
+    got = ph.matches(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"), Scratch(spark, "t"), short=True, held_chars=10)
+    assert len(want) > 80 and sorted(tuple(r) for r in got.collect()) == want
 
 
 def test_query_against_all_pairs(spark):

@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 from spangrove.llm import pigeonhole as ph
+from spangrove.llm.common import Scratch
 
 DOCS = [(1, "Say: what  is\nLOVE? ok"), (2, "what is loveliness"), (3, "What is love"), (4, "somewhat is love"), (5, None), (6, "clean")]
 ITEMS = [(7, "What is love"), (8, " "), (9, None), (10, "love?")]
@@ -13,5 +14,5 @@ def test_short_items(spark, tmp_path):
     items.write.parquet(f"{tmp_path}/benchmark.parquet")
     got = ph.op10_pigeonhole(spark, str(tmp_path)).collect()
     assert sorted(tuple(r) for r in got) == [(1, 7, 0, 17), (1, 10, 0, 18), (3, 7, 0, 12)]
-    assert sorted(r.doc_id for r in ph.decontaminate(docs, items, short=True).collect()) == [2, 4, 5, 6]
+    assert sorted(r.doc_id for r in ph.decontaminate(docs, items, Scratch(spark, "t"), short=True).collect()) == [2, 4, 5, 6]
     assert "short=True" in open(corpus_pipeline.__file__).read()
