@@ -24,7 +24,9 @@ def test_against_brute_force(spark, seed, monkeypatch):
     centre = rng.normal(size=(5, 12))
     rows = [(i, [float(np.float32(x)) for x in (centre[i % 5] + rng.normal(size=12) * 0.1).round(seed)]) for i in range(400)]
     rows += [(400, None), (405, [1.0] * 11 + [None]), (410, [float("nan")] * 12), (415, [float("inf")] * 12), (7, rows[7][1]), (50, rows[50][1]), (420, [1.0, 2.0]), (421, [3.0, 1.0]), (425, [0.0] * 12)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x")).repartition(5)
+    monkeypatch.setattr(ps, "BLOCK", 16)
+    monkeypatch.setattr(ps, "PACK", 8)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("Block", F.lit("x")).repartition(5)
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ps.search(df, Scratch(spark, "t"), F.col("vec_id") % 5 == 0).collect())
     assert got == brute(rows, 5, 5)
 
@@ -39,7 +41,22 @@ def test_elimination_skips_candidates():
     assert best.evaluated < 5 * 1499
     for i, top in zip(range(500, 505), best.top, strict=True):
         s = [(-int(v[i] @ v[j]), j) for j in range(1500) if j != i]
-        assert top == sorted(s)[:3]
+        assert [x[:2] for x in top] == sorted(s)[:3]
+
+
+def test_blocks_are_left_out_before_they_are_sent(spark, monkeypatch):
+    monkeypatch.setattr(ps, "BLOCK", 32)
+    monkeypatch.setattr(ps, "PACK", 8)
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(6, 16)) * 40
+    rows = [(i, [float(np.float32(x)) for x in centres[i % 6] + rng.normal(size=16) * 0.01]) for i in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    scratch = Scratch(spark, "t")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ps.search(df, scratch, F.col("vec_id") % 50 == 0).collect())
+    assert got == brute(rows, 50, 5)
+    blocks = spark.read.parquet(f"{scratch.root}/blocks").groupBy("kind").count().collect()
+    count = {r.kind: r["count"] for r in blocks}
+    assert spark.read.parquet(f"{scratch.root}/pairs").count() < 0.6 * count["b"] * count["q"]
 
 
 def test_few_and_none(spark):
