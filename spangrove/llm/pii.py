@@ -3,15 +3,18 @@
 Candidates come from regular expressions (email, ip, card, phone: always kept, they are the base), and from looser
 shapes: phone and card numbers that stand next to other digits, which the base reads as one number that is too long,
 national phone numbers, social security numbers, IBANs, spelled-out emails, street addresses, and pairs of capitalised
-words whose first is a given name. Labelers (checksum, gazetteer, context before and after, neighbours)
+words that a gazetteer or the context speaks for. Labelers (shape and checksum, gazetteer, context before, neighbours)
 vote -1, 0 or 1 on each candidate. Expectation maximisation over the counts of all vote patterns of the corpus
 estimates the labelers' reliabilities for each kind, and the posteriors train a logistic span classifier, which
 decides about the candidates that are not base.
 
 A candidate is known by its kind and a pattern of votes and features, of which there are fewer than PATTERNS for each
-kind whatever the size of the corpus: only counts of patterns reach the driver.
+kind whatever the size of the corpus: only counts of patterns reach the driver. Gazetteers are parameters; the lists
+here are short defaults.
 
-Null and empty texts have no spans; every row of the input gives one row; other columns are not read.
+Null and empty texts have no spans; every row of the input, repeated ones too, gives one row, an empty table none; spans
+that start together stand in the order of their kinds; other columns are not read, whatever their names. Texts are read
+whole, in time linear in their length.
 """
 
 from __future__ import annotations
@@ -24,14 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_limits, table
+from .common import Scratch, table, texts_at_a_time
 
 KINDS = ["email", "ip", "card", "phone", "tel", "ssn", "iban", "mail_words", "street", "person", "pan"]
 BASE = 4
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: A match begins where digits begin, so other places need not be tried.
+_IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -39,16 +43,21 @@ _DIGIT = re.compile(r"[0-9]")
 _TEL = re.compile(r"(?<![0-9+.-])(?:\([0-9]{2,5}\)\x20?|[0-9]{2,5}[\x20./-])[0-9]{2,4}(?:[\x20.-][0-9]{2,4}){1,3}(?![0-9.-])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?\b")
-_MAIL_WORDS = re.compile(r"\b[A-Za-z0-9._-]+\x20?[\[(]\x20?at\x20?[\])]\x20?[A-Za-z0-9-]+(?:\x20?(?:\.|[\[(]\x20?dot\x20?[\])])\x20?[A-Za-z0-9-]+)+")
+_AT = re.compile(r"\x20?[\[(]\x20?at\x20?[\])]")
+_DOMAIN_WORDS = re.compile(r"\x20?[A-Za-z0-9-]+(?:\x20?(?:\.|[\[(]\x20?dot\x20?[\])])\x20?[A-Za-z0-9-]+)+")
+_LOCAL_WORDS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._-"
 _STREET = re.compile(r"\b[0-9]{1,5}\x20(?:[A-Z][a-z]+\x20){1,3}(?:Street|Avenue|Road|Boulevard|Lane|Drive|St|Ave|Rd|Blvd)\b")
 _PERSON = re.compile(r"\b[A-Z][a-z]+\x20[A-Z][a-z]+(?:-[A-Z][a-z]+)?\b")
 
 GIVEN_NAMES = frozenset("Alice Anna Barbara Carlos Carmen Charles Claire Daniel David Elena Elizabeth Emily Emma Francois Hans Isabel Jack James Javier Jean Jennifer Jessica Joan Johann John Jose Joseph Juan Julia Karen Karl Klaus Laura Linda Luis Maria Marie Martin Mary Michael Michel Nicole Patricia Paul Pedro Peter Pierre Richard Robert Sarah Sofia Stefan Susan Thomas William".split())
+#: Capitalised words that begin no name.
+NO_NAMES = frozenset("The This That These Those A An In On At By For From With New North South East West United Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July August September October November December Der Die Das Le La Les El Los Las Un Une Una".split())
 TOP_DOMAINS = frozenset("com org net edu gov io info biz de fr es uk it nl ch at be us ca au eu co me dev app".split())
 
 CUES = re.compile(r"(?i)e-?mail|mailto|correo|contact|phone|\btel\b|telefon|t[ée]l[ée]phone|tel[ée]fono|\bcall\b|mobile|\bfax\b|\bcard\b|visa|mastercard|karte|tarjeta|carte|\bip\b|server|\bhost|\bssn\b|social security|\biban\b|konto|compte|cuenta|address|adresse|direcci|\bname\b|\bmr\b|\bmrs\b|\bdr\b|herr|frau|monsieur|madame|se[ñn]or")
 DENIALS = re.compile(r"(?i)version|\bv\.?$|isbn|\border\b|invoice|serial|\bpart\b|\bno\.$|\bid\b|page|section|example|figure|fig\.")
 
+NEAR = 40
 VOTES = 4
 FEATURES = 4
 PATTERNS = 3**VOTES * 2**FEATURES
@@ -102,42 +111,80 @@ def cut_spans(text: str) -> list[tuple[int, int, int]]:
     if "+" in text:
         for m in _PHONE.finditer(text):
             if sum(map(str.isdigit, m[0])) > 15:
-                ends = [i for i in range(len(m[0])) if m[0][i] == " " and m[0][i - 1].isdigit() and 10 <= sum(map(str.isdigit, m[0][:i])) <= 15]
-                if ends:
-                    out.append((m.start(), 4, m.start() + ends[-1]))
+                digits, end = 0, -1
+                for i, c in enumerate(m[0]):
+                    if c == " " and 10 <= digits and m[0][i - 1].isdigit():
+                        end = i
+                    digits += c.isdigit()
+                    if digits > 15:
+                        break
+                if end >= 0:
+                    out.append((m.start(), 4, m.start() + end))
     for m in _CARD.finditer(text):
         if sum(map(str.isdigit, m[0])) > 19:
-            groups = [(g.start(), g.end()) for g in _GROUP.finditer(text, m.start(), m.end())]
-            i = 0
-            while i < len(groups):
-                fits, digits = None, ""
-                for j in range(i, len(groups)):
-                    digits += text[groups[j][0] : groups[j][1]]
-                    if len(digits) > 19:
-                        break
-                    if len(digits) >= 14 and luhn(digits):
-                        fits = j
-                if fits is None:
-                    i += 1
-                else:
-                    out.append((groups[i][0], 10, groups[fits][1]))
-                    i = fits + 1
+            out += card_runs(text, m.start(), m.end())
+    return out
+
+
+def card_runs(text: str, start: int, end: int) -> list[tuple[int, int, int]]:
+    """Leftmost, longest runs of whole groups of digits that make a card number, in a stretch of digits and gaps."""
+    groups = [(g.start(), g.end()) for g in _GROUP.finditer(text, start, end)]
+    digits = np.array([int(c) for c in text[start:end] if c.isdigit()])
+    ends = np.cumsum([b - a for a, b in groups]).tolist()
+    begins = [0, *ends[:-1]]
+    twice = np.where(digits > 4, 2 * digits - 9, 2 * digits)
+    odd = np.arange(len(digits)) % 2 == 1
+    # Check sums up to each digit, by the parity of the last digit, which counts once.
+    sums = [np.append(0, np.cumsum(np.where(odd == last, digits, twice))).tolist() for last in (False, True)]
+    out, i = [], 0
+    while i < len(groups):
+        fits, a = None, begins[i]
+        for j in range(i, len(groups)):
+            b = ends[j]
+            if b - a > 19:
+                break
+            if b - a >= 14:
+                s = sums[(b - 1) % 2]
+                if (s[b] - s[a]) % 10 == 0:
+                    fits = j
+        if fits is None:
+            i += 1
+        else:
+            out.append((groups[i][0], 10, groups[fits][1]))
+            i = fits + 1
     return out
 
 
-def loose_spans(text: str) -> list[tuple[int, int, int]]:
+def spelled_emails(text: str) -> list[tuple[int, int, int]]:
+    out, after = [], 0
+    for m in _AT.finditer(text):
+        local = text[after : m.start()]
+        local = local[len(local.rstrip(_LOCAL_WORDS)) :].lstrip("._-")
+        domain = _DOMAIN_WORDS.match(text, m.end()) if local else None
+        if domain:
+            out.append((m.start() - len(local), 7, domain.end()))
+        after = domain.end() if domain else m.end()
+    return out
+
+
+def loose_spans(text: str, names: frozenset[str] = GIVEN_NAMES) -> list[tuple[int, int, int]]:
     out = []
     if _DIGIT.search(text):
-        out += cut_spans(text)
-        taken = [(a, b) for a, _, b in out]
-        out += [(m.start(), 4, m.end()) for m in _TEL.finditer(text) if 8 <= sum(map(str.isdigit, m[0])) <= 13 and not any(m.start() < b and a < m.end() for a, b in taken)]
+        taken = sorted(cut_spans(text))
+        out += taken
+        i = reach = 0
+        for m in _TEL.finditer(text):
+            while i < len(taken) and taken[i][0] < m.end():
+                reach = max(reach, taken[i][2])
+                i += 1
+            if reach <= m.start() and 8 <= sum(map(str.isdigit, m[0])) <= 13:
+                out.append((m.start(), 4, m.end()))
         if "-" in text:
             out += [(m.start(), 5, m.end()) for m in _SSN.finditer(text)]
         out += [(m.start(), 6, m.end()) for m in _IBAN.finditer(text)]
         out += [(m.start(), 8, m.end()) for m in _STREET.finditer(text)]
-    if "at)" in text or "at]" in text or "at )" in text or "at ]" in text:
-        out += [(m.start(), 7, m.end()) for m in _MAIL_WORDS.finditer(text)]
-    out += [(m.start(), 9, m.end()) for m in _PERSON.finditer(text) if m[0].split(" ")[0] in GIVEN_NAMES]
+    out += spelled_emails(text)
+    out += [(m.start(), 9, m.end()) for m in _PERSON.finditer(text) if m[0].split(" ")[0] in names or CUES.search(text, max(0, m.start() - NEAR), m.start())]
     return out
 
 
@@ -146,29 +193,40 @@ def _iban(s: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
-def pattern(text: str, start: int, kind: int, end: int, near: bool) -> int:
+def shape_vote(name: str, span: str, after: str) -> int:
+    digits = "".join(c for c in span if c.isdigit())
+    if name == "email":
+        local, _, domain = span.partition("@")
+        return -1 if local[0] == "." or local[-1] == "." or ".." in local or not domain.rsplit(".", 1)[-1].isalpha() else 1
+    if name == "ip":  # versions go on with a point, or have leading zeros
+        return -1 if after[:1] == "." and after[1:2].isdigit() or any(len(p) > 1 and p[0] == "0" for p in span.split(".")) else 1
+    if name in ("card", "pan"):
+        return 1 if luhn(digits) and digits[0] in "3456" and len(digits) in (14, 15, 16, 19) else 0
+    if name == "phone":
+        return -1 if digits[0] == "0" or span.count("(") != span.count(")") else 1
+    if name == "iban":
+        return 1 if _iban(span) else -1
+    if name == "ssn":
+        return -1 if span[:3] in ("000", "666") or span[0] == "9" or span[4:6] == "00" or span[7:] == "0000" else 1
+    return 0
+
+
+def pattern(text: str, start: int, kind: int, end: int, near: bool, names: frozenset[str] = GIVEN_NAMES) -> int:
     """The labelers' votes (base 3, 1 for none) and below them the features (bits) of a candidate."""
-    span, before, after = text[start:end], text[max(0, start - 40) : start], text[end : end + 12]
+    span, before, after = text[start:end], text[max(0, start - NEAR) : start], text[end : end + 12]
     name = KINDS[kind]
-    if name in ("card", "phone", "ip", "email", "pan"):
-        shape = 1
-    elif name == "iban":
-        shape = 1 if _iban(span) else -1
-    elif name == "ssn":
-        shape = -1 if span[:3] in ("000", "666") or span[0] == "9" or span[4:6] == "00" or span[7:] == "0000" else 1
-    else:
-        shape = 0
     listed = 0
     if name in ("email", "mail_words"):
         listed = 1 if re.split(r"[.\x20\])]+", span)[-1].lower() in TOP_DOMAINS else -1
     elif name == "ip":
         listed = -1 if span.startswith(("0.", "127.", "255.")) else 0
     elif name == "person":
-        listed = 1
+        words = span.split(" ")
+        listed = 1 if words[0] in names else -1 if words[0] in NO_NAMES or words[1] in NO_NAMES else 0
     elif name == "tel":
         listed = 1 if span.startswith(("0", "(", "+")) else 0
     context = -1 if DENIALS.search(before) else 1 if CUES.search(before) else 0
-    votes = (shape, listed, context, int(near))
+    votes = (shape_vote(name, span, after), listed, context, int(near))
     clean = not before[-1:].isalnum() and not after[:1].isalnum()
     features = (clean, len(span) >= 12, sum(map(str.isdigit, span)) * 2 > len(span), bool(CUES.search(after)))
     number = 0
@@ -187,10 +245,10 @@ def unpack(number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return votes, features
 
 
-def candidates(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]]]:
+def candidates(text: str, names: frozenset[str] = GIVEN_NAMES) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]]]:
     """Base spans, and (start, kind, end, pattern) of all candidates; loose ones that touch a base span are none."""
     base = sorted(base_spans(text))
-    loose = sorted(loose_spans(text))
+    loose = sorted(loose_spans(text, names))
     if loose:
         kept, i, reach = [], 0, 0
         for x in loose:
@@ -204,18 +262,18 @@ def candidates(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
     out = []
     for i, (start, kind, end) in enumerate(spans):
         near = i > 0 and start - spans[i - 1][2] < 80 or i + 1 < len(spans) and spans[i + 1][0] - end < 80
-        out.append((start, kind, end, pattern(text, start, kind, end, near)))
+        out.append((start, kind, end, pattern(text, start, kind, end, near, names)))
     return base, out
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", names: frozenset[str] = GIVEN_NAMES) -> DataFrame:
     """doc_id, base (kind:start:end of each), counts of the base, and cands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in texts_at_a_time(batches, 1):
             rows = []
             for text in batch.column(1).to_pylist():
-                base, cands = candidates(text)
+                base, cands = candidates(text, names)
                 n = [sum(k == i for _, k, _ in base) for i in range(BASE)]
                 rows.append((",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in base), n, cands))
             kinds = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("pattern", pa.int32())]))
@@ -223,9 +281,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
             columns.append(pa.array([[dict(zip(("start", "kind", "end", "pattern"), c, strict=True)) for c in r[2]] for r in rows], kinds))
             yield pa.record_batch(columns, names=["doc_id", "base", "n_email", "n_ip", "n_card", "n_phone", "cands"])
 
-    arrow_limits(df.sparkSession)
     schema = "doc_id long, base string, n_email long, n_ip long, n_card long, n_phone long, cands array<struct<start int, kind int, end int, pattern int>>"
-    return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, schema)
 
 
 def reliabilities(kinds: np.ndarray, votes: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
@@ -279,9 +336,9 @@ def accepted(patterns: list[tuple[int, int, int]], threshold: float = 0.5) -> li
     return (kinds * PATTERNS + numbers)[p >= threshold].tolist()
 
 
-def find(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", names: frozenset[str] = GIVEN_NAMES) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base, cands with a flag `kept`."""
-    found = scratch.save(scan(df, id_col, text_col), "scan")
+    found = scratch.save(scan(df, id_col, text_col, names), "scan")
     counts = found.select(F.explode("cands").alias("c")).groupBy("c.kind", "c.pattern").count().collect()
     good = accepted([(r.kind, r["pattern"], r["count"]) for r in counts])
     key = lambda c: c["kind"] * PATTERNS + c["pattern"]
