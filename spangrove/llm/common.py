@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,10 +38,20 @@ class Scratch:
         self.spark, self.root = spark, f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+        """df written and read again. Its shuffle files go with the write rather than stay until the driver collects
+        garbage; the setting for that is as it was before when this returns."""
         path = f"{self.root}/{name}"
         schema = df.schema
         w = df.write.option("compression", "zstd")
-        (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(CLEANUP)
+            else:
+                self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -89,6 +103,16 @@ def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], count: str) -
     return rows.join(F.broadcast(heavy), keys).unionByName(rest)
 
 
+def give_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; at their end what the allocators of this worker process hold unused goes back to the machine."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
 def rows_at_a_time(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `rows`."""
     for batch in batches:

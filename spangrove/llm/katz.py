@@ -8,68 +8,104 @@ modulo FOLDS.
     n-gram    P(w | h) = d(c) c / c(h)  where h w was seen c times, else  a(h) P(w | h'), h' being h without its first
               a(h) = (1 - sum of the seen P(w | h)) / (1 - sum of P(w | h') over the words seen after h);  1 if h wasn't seen
 
-d is the Good-Turing discount of Katz, of each level, for counts up to K and 1 above; where the counts of counts give none between 0
-and 1, (c - 1/2) / c. If a history has no discounted mass (or the unigrams have none), all its counts are divided by one
-more than their sum instead, which leaves 1 / (sum + 1). So the probabilities after every history sum to one.
-
-How it runs: texts are read once and written as blocks of token ids local to the block. Each block sends its distinct
-words, with training counts, to buckets by hash; a bucket merges them and answers each block with global word ids and
-counts. Then, level by level from bigrams to the order, each block sends its distinct n-grams, as global ids of words, to
-buckets by history; these count them and answer with counts and with the sums of each history. A word seen after h was
-seen after h', so d(c) c of the lower level, from the count c that the block was answered there, is all that the sum of
-P(w | h') needs; the block divides it by the total of h'. Sums that only backing off reads are answered where the block
-may back off. Buckets also write the merged counts as tables partitioned by level. Last, each block looks its n-grams up
-and sums logarithms for each text. Distinct keys of a block, not occurrences, travel, so a frequent word is one entry
-for each block; a history of more than HOT training tokens is cut by the words after it into parts of about that many,
-whose sums the block adds up. Driver and broadcasts hold only counts of counts.
-
-Null and empty texts have one token, the end. Rows that share an id are scored one by one. A null id counts as ''.
-Hashes of words have 64 bits; words are not told apart otherwise.
+d is the Good-Turing discount of Katz, of each level, for counts up to K and 1 above; where the counts of counts give none
+between 0 and 1, (c - 1/2) / c. If a history has no discounted mass (or the unigrams have none), all its counts are divided
+by one more than their sum instead, which leaves 1 / (sum + 1). So the probabilities after every history sum to one.
+
+How it runs. Texts are read once and written as blocks of token ids local to the block. Each block sends its distinct
+words, with training counts, to buckets by hash; a bucket merges them by their bytes and answers each block with word ids
+(small for frequent words) and counts. Everything that the recursion after a word b needs, at every level, are the
+n-grams whose history ends in b; so each block sends its distinct n-grams of the full order once, to the bucket of b,
+which merges them, counts all levels, and keeps where each block's n-grams stand among the merged ones. When the counts
+of counts of all buckets are summed, each bucket evaluates its n-grams recursively from the unigrams up and answers
+with logarithms, of which a training text needs few different ones.
+
+A word b with more than HOT training tokens would make too large a bucket. After such a word, levels go one by one: blocks
+send n-grams of each level to buckets by history, and a history of more than HOT training tokens is cut by the words after
+it into parts of about that many; buckets answer with counts and with the sums of each part, which the block adds up and
+recurses on.
+
+What travels are the distinct keys of a block, not occurrences, so a frequent word is one entry for each block. The number
+of buckets follows the counted tokens. Driver and broadcasts hold only counts of counts. The counts of words and of n-grams
+stay in the scratch folder as tables, a row for each bucket (model reads them).
+
+Null and empty texts have one token, the end. Rows that share an id are scored one by one. A null id counts as ''. An
+empty table gives no rows. Other columns are not read, whatever their names. Texts of any length are taken whole: one text
+is in one block.
 """
 
 from __future__ import annotations
 
-import gc
+import functools
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Hasher, Scratch, arrow_bytes, arrow_limits, mix, slices, table, word_spans
+from .common import LOWER, Scratch, arrow_bytes, distinct_spans, give_back, mix, partitions, rows_at_a_time, table, texts_at_a_time, word_spans
 
 FOLDS, HELD_OUT = 7, 2
 K = 5
 BLOCK_TOKENS = 1_200_000
 SLICE_BYTES = 4 << 20
-HOT = 1 << 18
-GRAIN = 4  # buckets of n-grams for each partition; one is in memory at a time
-END, START = np.uint64(0), np.uint64(0xFFFFFFFFFFFFFFFF)
-RANK_BITS = 40
+HOT = 1 << 21
+#: Training tokens whose n-grams a bucket gets, on average.
+BUCKET_TOKENS = 400_000
+END = b""
+
+
+@functools.cache
+def packer() -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=3)
+
+
+@functools.cache
+def unpacker() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
 
 
 def squeeze(a: np.ndarray) -> bytes:
-    """An array as compressed byte planes."""
+    """An array as compressed byte planes; whole numbers that aren't negative in as few bytes as hold them."""
     a = np.ascontiguousarray(a)
+    if a.dtype.kind == "u" and len(a):
+        most = int(a.max())
+        a = a.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64)
     planes = a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if len(a) else b""
-    return a.dtype.char.encode() + zstandard.ZstdCompressor(level=3).compress(planes)
+    return a.dtype.char.encode() + packer().compress(planes)
 
 
 def expand(b: bytes) -> np.ndarray:
     kind = np.dtype(b[:1].decode())
-    raw = zstandard.ZstdDecompressor().decompress(b[1:]) if len(b) > 1 else b""
+    raw = unpacker().decompress(b[1:]) if len(b) > 1 else b""
     return np.frombuffer(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, -1).T.tobytes(), kind)
 
 
-def release() -> None:
-    """Let Spark drop the shuffle files of frames that are out of use."""
-    from pyspark import SparkContext
+def expand_ids(b: bytes) -> np.ndarray:
+    return expand(b).astype(np.uint64)
+
+
+def squeeze_words(words: pa.Array) -> bytes:
+    """Words hold no line breaks."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    return packer().compress(np.insert(raw, ends[1:] - ends[0], 10).tobytes())
 
-    gc.collect()
-    SparkContext._active_spark_context._jvm.System.gc()
+
+def expand_words(b: bytes) -> pa.Array:
+    raw = np.frombuffer(unpacker().decompress(b), np.uint8)
+    at = np.flatnonzero(raw == 10)
+    ends = np.append(0, at - np.arange(len(at))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(raw[raw != 10]))])
+
+
+def sorted_by(bucket: np.ndarray) -> np.ndarray:
+    """The stable order by bucket."""
+    return np.argsort(bucket.astype(np.uint16) if len(bucket) and int(bucket.max()) < 1 << 16 else bucket, kind="stable")
 
 
 class Discounts:
@@ -86,6 +122,11 @@ class Discounts:
     def of(self, c: np.ndarray) -> np.ndarray:
         return np.where(c <= K, self.d[np.minimum(c, K)], 1.0)
 
+    @property
+    def lost(self) -> np.ndarray:
+        """What one n-gram of count 1 to K gives away."""
+        return (1 - self.d[1:]) * np.arange(1, K + 1)
+
 
 class Unigrams:
     def __init__(self, total: int, n: list[int]):
@@ -120,74 +161,102 @@ def bucket_of(x: np.ndarray, buckets: int) -> np.ndarray:
     return ((mix(x) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def counts_of_counts(counts: np.ndarray) -> list[int]:
+    return np.bincount(np.minimum(counts, K + 2), minlength=K + 3)[1 : K + 2].tolist()
+
+
+def longs(a: np.ndarray) -> pa.ListArray:
+    """One row that holds all of a."""
+    return pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), pa.array(a.astype(np.int64)))
+
+
+def columns(a: list[np.ndarray]) -> pa.ListArray:
+    """One row that holds a list for each of a."""
+    ends = np.append(0, np.cumsum([len(x) for x in a]))
+    inner = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(a).astype(np.int64)))
+    return pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), inner)
+
+
+def blob(a: np.ndarray) -> pa.Array:
+    return pa.array([squeeze(a)], pa.binary())
+
+
+def row_of(schema: pa.Schema, **values: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([values.get(f.name, pa.nulls(1, f.type)).cast(f.type) for f in schema], schema=schema)
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
+BLOCKS = "kind string, block long, bucket int, a binary, b binary, docs array<long>, lens array<long>"
+
+
 def blocks_of(docs: DataFrame, buckets: int, block_tokens: int, id_col: str, text_col: str) -> DataFrame:
     """Rows kind 't' (a block's tokens) and kind 'w' (its distinct words of one bucket, with training counts).
 
-    Local ids of words go by bucket and then hash.
+    Local ids of words go by bucket and then word.
     """
 
+    schema = arrow_schema(BLOCKS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 24
+        known: dict[bytes, int] = {END: 0}
         ids: list = []
         lens: list[np.ndarray] = []
-        words: list[np.ndarray] = []
+        tokens: list[np.ndarray] = []
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            n = np.concatenate(lens)
-            flat = np.concatenate(words)
-            out = np.array([is_held_out(i) for i in ids])
-            # bucket_of must not decrease along the sorted keys: words are sorted by their mixed hash.
-            keys, back = np.unique(mix(flat), return_inverse=True)
-            train = np.repeat(~out, n)
-            counts = np.bincount(back[train], minlength=len(keys)).astype(np.uint32)
-            at = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            ends = np.searchsorted(at, np.arange(buckets + 1))
-            some = np.flatnonzero(np.diff(ends))
-            none = pa.array([None], pa.binary())
-            names = ["kind", "block", "bucket", "a", "b", "docs", "lens"]
-            yield pa.record_batch([pa.array(["t"]), pa.array([number]), pa.array([-1], pa.int32()), pa.array([squeeze(back.astype(np.uint32))], pa.binary()), none, pa.array([ids], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int64()))], names=names)
-            size = len(some)
-            yield pa.record_batch(
-                [
-                    pa.array(["w"] * size), pa.array([number] * size, pa.int64()), pa.array(some, pa.int32()), pa.array([squeeze(keys[ends[k] : ends[k + 1]]) for k in some], pa.binary()),
-                    pa.array([squeeze(counts[ends[k] : ends[k + 1]]) for k in some], pa.binary()), pa.nulls(size, pa.list_(pa.int64())), pa.nulls(size, pa.list_(pa.int64())),
-                ],
-                names=names,
-            )
-
-        for batch in batches:
+            n, flat = np.concatenate(lens), np.concatenate(tokens)
+            train = np.repeat(~np.array([is_held_out(i) for i in ids]), n)
+            counts = np.bincount(flat[train], minlength=len(known)).astype(np.uint32)
+            words = pa.array(list(known), pa.binary())
+            bucket = np.fromiter((zlib.crc32(w) % buckets for w in known), np.int64, len(known))
+            order = np.asarray(pc.sort_indices(words)).astype(np.int64)
+            order = order[sorted_by(bucket[order])]
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            words = words.take(pa.array(order))
+            block = pa.array([number])
+            yield row_of(schema, kind=pa.array(["t"]), block=block, a=blob(rank[flat]), docs=pa.array([ids], pa.list_(pa.int64())), lens=longs(n))
+            ends, counts = np.searchsorted(bucket[order], np.arange(buckets + 1)), counts[order]
+            for k in np.flatnonzero(np.diff(ends)).tolist():
+                mine = slice(ends[k], ends[k + 1])
+                yield row_of(schema, kind=pa.array(["w"]), block=block, bucket=pa.array([k]), a=pa.array([squeeze_words(words[mine])], pa.binary()), b=blob(counts[mine]))
+
+        for batch in give_back(texts_at_a_time(batches, 1, SLICE_BYTES)):
             buf, offsets = arrow_bytes(batch.column(1))
-            for i, j in slices(offsets, SLICE_BYTES):
-                part, bounds = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                s, e = word_spans(part, bounds)
-                h = Hasher(part, lower=True).spans(s, e)
-                h += (h == END) | (h == START)
-                first = np.searchsorted(s, bounds)
-                n = np.diff(first) + 1
-                tokens = np.insert(h, first[1:], END)
-                ids += batch.column(0).slice(i, j - i).to_pylist()
-                lens.append(n)
-                words.append(tokens)
-                held += len(tokens)
-                if held >= block_tokens:
-                    yield from flush()
-                    number, held = number + 1, 0
-                    ids, lens, words = [], [], []
+            buf = LOWER[buf]
+            s, e = word_spans(buf, offsets)
+            words, of = distinct_spans(buf, s, e)
+            local = np.array([known.setdefault(w, len(known)) for w in words], np.int64)
+            first = np.searchsorted(s, offsets)
+            ids += batch.column(0).to_pylist()
+            lens.append(np.diff(first) + 1)
+            tokens.append(np.insert(local[of] if len(of) else np.zeros(0, np.int64), first[1:], 0))
+            held += len(tokens[-1])
+            if held >= block_tokens:
+                yield from flush()
+                number, held = number + 1, 0
+                known, ids, lens, tokens = {END: 0}, [], [], []
         if ids:
             yield from flush()
 
-    arrow_limits(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "kind string, block long, bucket int, a binary, b binary, docs array<long>, lens array<long>")
+    return rows.mapInArrow(run, BLOCKS)
 
 
 def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
     """The rows of each bucket of a partition that is sorted by bucket."""
     now, rows = None, []
-    for batch in batches:
+    for batch in give_back(rows_at_a_time(batches, 64)):
         for r in batch.to_pylist():
             if r["bucket"] != now:
                 if rows:
@@ -198,275 +267,489 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dic
         yield now, rows
 
 
-def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each bucket of words: answers to the blocks, the merged counts, and sums."""
-    names = ["level", "block", "bucket", "a", "b", "sums"]
-    for bucket, rows in by_bucket(batches):
-        keys = [expand(r["a"]) for r in rows]
-        words, back = np.unique(np.concatenate(keys), return_inverse=True)
-        counts = np.bincount(back, np.concatenate([expand(r["b"]) for r in rows]), len(words)).astype(np.int64)
-        order = np.argsort(-counts, kind="stable")
-        rank = np.empty(len(words), np.uint64)
-        rank[order] = np.arange(len(words), dtype=np.uint64)
-        gid = rank | np.uint64(bucket << RANK_BITS)
-        at = 0
-        for r, k in zip(rows, keys, strict=True):
-            mine = back[at : at + len(k)]
-            at += len(k)
-            yield pa.record_batch([pa.array(["answer"]), pa.array([r["block"]]), pa.array([bucket], pa.int32()), pa.array([squeeze(gid[mine])], pa.binary()), pa.array([squeeze(counts[mine])], pa.binary()), pa.nulls(1, pa.list_(pa.int64()))], names=names)
-        small = np.bincount(np.minimum(counts, K + 2), minlength=K + 3)[1 : K + 2]
-        end = counts[np.searchsorted(words, mix(np.array([END])))] if len(words) and (words == mix(np.array([END]))).any() else [0]
-        sums = [int(counts.sum()), int((counts > 0).sum()), int(end[0]), *small.tolist()]
-        yield pa.record_batch([pa.array(["unigrams"]), pa.nulls(1, pa.int64()), pa.array([bucket], pa.int32()), pa.array([squeeze(words[order])], pa.binary()), pa.array([squeeze(counts[order])], pa.binary()), pa.array([sums], pa.list_(pa.int64()))], names=names)
-
-
-def hash_of(gids: np.ndarray) -> np.ndarray:
-    """One number for each row of word ids; a single id is itself."""
-    x = gids[:, 0].copy()
-    for j in range(1, gids.shape[1]):
-        x = mix(x) + gids[:, j]
-    return x
+UNIGRAMS = "level string, block long, bucket int, a binary, b binary, first long, words array<string>, counts array<long>, sums array<long>"
+TABLE_ROWS = 100_000
 
 
-class Words:
-    """A block's tokens with the answers of the first level: the unigrams of its positions.
+def count_words(buckets: int):
+    """For each bucket of words: answers to the blocks, the merged counts (the id of a word is (first + its place) *
+    buckets + bucket), and sums: tokens, words seen, ends, counts of counts; then the largest count and the words asked for."""
+    schema = arrow_schema(UNIGRAMS)
 
-    Local ids are put in the order of the global ones, so that local ids of n-grams are in the order of their words.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in by_bucket(batches):
+            asked = [expand_words(r["a"]) for r in rows]
+            coded = pa.concat_arrays(asked).dictionary_encode()
+            known, of = coded.dictionary, np.asarray(coded.indices).astype(np.int64)
+            counts = np.bincount(of, np.concatenate([expand(r["b"]) for r in rows]), len(known)).astype(np.int64)
+            order = np.argsort(-counts, kind="stable")
+            rank = np.empty(len(order), np.uint64)
+            rank[order] = np.arange(len(order), dtype=np.uint64)
+            gid = rank * np.uint64(buckets) + np.uint64(bucket)
+            ends = np.append(0, np.cumsum([len(x) for x in asked]))
+            for r, a, b in zip(rows, ends[:-1], ends[1:], strict=True):
+                at = of[a:b]
+                yield row_of(schema, level=pa.array(["answer"]), block=pa.array([r["block"]]), bucket=pa.array([bucket]), a=blob(gid[at]), b=blob(counts[at].astype(np.uint64)))
+            end = pc.index(known, pa.scalar(END, pa.binary())).as_py()
+            sums = [int(counts.sum()), int((counts > 0).sum()), int(counts[end]) if end >= 0 else 0, *counts_of_counts(counts), int(counts.max()), len(known)]
+            words = known.cast(pa.string())
+            for i in range(0, len(order), TABLE_ROWS):
+                some = order[i : i + TABLE_ROWS]
+                held = pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), words.take(pa.array(some)))
+                yield row_of(schema, level=pa.array(["unigrams"]), bucket=pa.array([bucket]), first=pa.array([i]), words=held, counts=longs(counts[some]), sums=pa.array([[0] * len(sums) if i else sums]))
 
-    def __init__(self, row: dict, starts: int):
-        answers = sorted(row["words"], key=lambda r: r["bucket"])
-        gid, count = (np.concatenate([expand(r[k]) for r in answers]) for k in "ab")
-        order = np.argsort(gid)
-        rank = np.empty(len(gid), np.int32)
-        rank[order] = np.arange(len(gid), dtype=np.int32)
-        self.gid, self.count = gid[order], count[order]
-        self.tokens = rank[expand(row["a"])]
+    return run
+
+
+KNOWN = "block long, tokens binary, gid binary, count binary, docs array<long>, lens array<long>"
+
+
+def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """KNOWN: blocks whose words are ranks in the order of their ids, from tokens and what the buckets answered."""
+    for batch in give_back(rows_at_a_time(batches, 1)):
+        answers = sorted(batch.column("words").to_pylist()[0], key=lambda r: r["bucket"])
+        gid, count = (np.concatenate([expand_ids(r[k]) for r in answers]) for k in "ab")
+        by = np.argsort(gid)
+        rank = np.empty(len(gid), np.uint32)
+        rank[by] = np.arange(len(gid), dtype=np.uint32)
+        tokens = rank[expand(batch.column("a")[0].as_py())]
+        values = [batch.column("block"), blob(tokens), blob(np.diff(gid[by], prepend=np.uint64(0))), blob(count[by]), batch.column("docs"), batch.column("lens")]
+        yield pa.RecordBatch.from_arrays(values, names=["block", "tokens", "gid", "count", "docs", "lens"])
+
+
+class Words:
+    """A block's tokens with the ids and counts of its words; the rank after the last word is the start mark. starts:
+    the texts that were trained on, and an id beyond all words for the mark."""
+
+    def __init__(self, row: dict, starts: tuple[int, int], order: int):
+        gid, count = np.cumsum(expand_ids(row["gid"])), expand(row["count"]).astype(np.int64)
+        self.gid, self.count = np.append(gid, np.uint64(starts[1])), np.append(count, starts[0])
+        self.tokens = expand(row["tokens"]).astype(np.int64)
         self.docs, self.lens = row["docs"], np.array(row["lens"], np.int64)
         self.begins = np.cumsum(self.lens) - self.lens
-        self.train = np.repeat(np.array([not is_held_out(i) for i in self.docs]), self.lens)
-        self.starts = starts
-        # As the lower level of bigrams: the gram of each position, and what is known of the grams.
-        self.back, self.grams, self.counts = self.tokens, self.gid[:, None], self.count
+        self.train = np.repeat(~np.array([is_held_out(i) for i in self.docs], bool), self.lens)
+        # The words before each token, the nearest first.
+        self.before: list[np.ndarray] = []
+        x = self.tokens
+        for _ in range(order - 1):
+            y = np.empty_like(x)
+            y[1:] = x[:-1]
+            y[self.begins] = len(gid)
+            self.before.append(y)
+            x = y
+
+
+class Grams:
+    """The distinct n-grams at some places of a block, in the order of the words before, nearest first, then the word."""
+
+    def __init__(self, words: Words, level: int, places: np.ndarray):
+        width = len(words.gid)
+        if level == 2:
+            self.h, hid = np.unique(words.before[0][places], return_inverse=True)
+            self.h = [self.h]
+        else:  # two ranks of a block fit in one number
+            keys, hid = np.unique(words.before[0][places] * width + words.before[1][places], return_inverse=True)
+            self.h = [keys // width, keys % width]
+        for x in words.before[2 : level - 1]:
+            keys, hid = np.unique(hid * width + x[places], return_inverse=True)
+            self.h = [c[keys // width] for c in self.h] + [keys % width]
+        keys, self.back = np.unique(hid * width + words.tokens[places], return_inverse=True)
+        #: For each n-gram its history and its word.
+        self.hist, self.word = keys // width, keys % width
+        self.seen = np.bincount(self.back[words.train[places]], minlength=len(keys)).astype(np.uint32)
+        #: A place of each n-gram.
+        self.place = np.empty(len(keys), np.int64)
+        self.place[self.back] = places
+
+
+class Cold:
+    """The n-grams of the full order after words that are not hot, as they are sent to the buckets of these words."""
+
+    def __init__(self, words: Words, order: int, buckets: int, hot: int):
+        self.places = np.flatnonzero(words.count[words.before[0]] <= hot)
+        self.grams = g = Grams(words, order, self.places)
+        bucket = bucket_of(words.gid[g.h[0]], buckets)
+        self.histories = sorted_by(bucket)
+        of = bucket[g.hist]
+        self.order = sorted_by(of)
+        self.ends = np.searchsorted(bucket[self.histories], np.arange(buckets + 1))
+        self.gram_ends = np.searchsorted(of[self.order], np.arange(buckets + 1))
+
+
+REQUEST = "block long, bucket int, h array<binary>, runs binary, w binary, seen binary, last_count binary"
+
+
+def ask_cold(order: int, buckets: int, hot: int, starts: tuple[int, int]):
+    schema = arrow_schema(REQUEST)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in give_back(rows_at_a_time(batches, 1)):
+            row = batch.to_pylist()[0]
+            words = Words(row, starts, order)
+            x = Cold(words, order, buckets, hot)
+            g = x.grams
+            runs = np.bincount(g.hist, minlength=len(g.h[0])).astype(np.uint32)
+            for k in np.flatnonzero(np.diff(x.ends)).tolist():
+                hs, gs = x.histories[x.ends[k] : x.ends[k + 1]], x.order[x.gram_ends[k] : x.gram_ends[k + 1]]
+                last = np.unique(g.word[gs])
+                yield row_of(
+                    schema, block=pa.array([row["block"]]), bucket=pa.array([k]), h=pa.array([[squeeze(words.gid[c[hs]]) for c in g.h]], pa.list_(pa.binary())), runs=blob(runs[hs]),
+                    w=blob(words.gid[g.word[gs]]), seen=blob(g.seen[gs]), last_count=blob(words.count[last].astype(np.uint64)),
+                )
+
+    return run
+
+
+COLD = "bucket int, w array<array<long>>, c array<long>, last array<long>, last_count array<long>, asked array<struct<block:long,at:binary>>, sums array<long>"
+
+
+class Merged:
+    """The merged n-grams of a bucket, sorted by the words before, nearest first, then the word."""
+
+    def __init__(self, h: list[np.ndarray], word: np.ndarray, last: np.ndarray):
+        """h: the words before, nearest first; word: their places in `last`."""
+        self.h, self.word, self.last = h, word, last
+        changed = np.ones(len(word), bool)
+        changed[1:] = False
+        self.hid = []  # for each level from 2 the history of each n-gram
+        for column in h:
+            changed[1:] |= column[1:] != column[:-1]
+            self.hid.append(np.cumsum(changed) - 1)
+
+    def pairs(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(history of each n-gram of a level, a member of each, the level's n-gram of each member)."""
+        hid = self.hid[level - 2]
+        if level == len(self.h) + 1:
+            every = np.arange(len(hid))
+            return hid, every, every
+        width = max(len(self.last), 1)
+        keys, first, back = np.unique(hid * width + self.word, return_index=True, return_inverse=True)
+        return keys // width, first, back
+
+
+def count_cold(order: int):
+    """For each bucket the merged counts of the full order, who asked for which, and the counts of counts of each level."""
+
+    schema = arrow_schema(COLD)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in by_bucket(batches):
+            w = [expand_ids(r["w"]) for r in rows]
+            last, word = np.unique(np.concatenate(w), return_inverse=True)
+            last_count = np.zeros(len(last), np.int64)
+            for r, x in zip(rows, w, strict=True):
+                last_count[np.searchsorted(last, np.unique(x))] = expand(r["last_count"]).astype(np.int64)
+            runs = [expand(r["runs"]).astype(np.int64) for r in rows]
+            sizes = [int(x.sum()) for x in runs]
+            hi = np.zeros(sum(map(len, runs)), np.int64)
+            h: list[np.ndarray] = []
+            for j in range(order - 1):
+                column, at = np.unique(np.concatenate([expand_ids(r["h"][j]) for r in rows]), return_inverse=True)
+                keys, hi = np.unique(hi * len(column) + at, return_inverse=True)
+                h = [c[keys // len(column)] for c in h] + [column[keys % len(column)]]
+            keys, back = np.unique(np.repeat(hi, np.concatenate(runs)) * len(last) + word, return_inverse=True)
+            counts = np.bincount(back, np.concatenate([expand(r["seen"]) for r in rows]), len(keys)).astype(np.int64)
+            of, word = keys // len(last), keys % len(last)
+            merged = Merged([c[of] for c in h], word, last)
+            del hi, keys, w, h
+            sums = []
+            for level in range(2, order + 1):
+                _, first, pair = merged.pairs(level)
+                sums += counts_of_counts(np.bincount(pair, counts, len(first)).astype(np.int64))
+            asked, at = [], 0
+            for r, size in zip(rows, sizes, strict=True):
+                asked.append({"block": r["block"], "at": squeeze(np.diff(back[at : at + size], prepend=0).astype(np.uint32))})
+                at += size
+            w = merged.h[::-1] + [last[word]]
+            yield row_of(schema, bucket=pa.array([bucket]), w=columns(w), c=longs(counts), last=longs(last), last_count=longs(last_count), asked=pa.array([asked], schema.field("asked").type), sums=pa.array([sums]))
+
+    return run
+
+
+def evaluate(m: Merged, counts: np.ndarray, last_count: np.ndarray, unigrams: Unigrams, discounts: list[Discounts]) -> np.ndarray:
+    """P of each n-gram, by recursion from the unigrams up."""
+    p = unigrams.p(last_count)[m.word]
+    for level, d in enumerate(discounts, 2):
+        of, first, pair = m.pairs(level)
+        c = np.bincount(pair, counts, len(first)).astype(np.int64)
+        n = int(m.hid[level - 2][-1]) + 1 if len(m.word) else 0
+        seen = c > 0
+        total = np.bincount(of, c, n)
+        lost = np.bincount(of, np.where(seen, (1 - d.of(c)) * c, 0.0), n)
+        below = p[first]
+        a, flat = backoff(total, np.bincount(of, np.where(seen, below, 0.0), n), lost)
+        p = np.where(seen, d.of(c) * c / (np.maximum(total, 1) + flat)[of], a[of] * below)[pair]
+    return p
+
+
+ANSWER = "block long, bucket int, values binary, at binary"
 
-class BlockGrams:
-    """The distinct n-grams of a block, ordered by bucket, history, part of the history, and word.
 
-    lower: Words, or the BlockGrams of a word less with its answers.
+def answer_cold(unigrams: Unigrams, discounts: list[Discounts]):
+    """For each block that asked a bucket, log10 P of its n-grams: the distinct values, and which each has."""
+
+    schema = arrow_schema(ANSWER)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in give_back(rows_at_a_time(batches, 1)):
+            row = {c: batch.column(c) for c in batch.schema.names}
+            flat = lambda c: np.asarray(row[c].flatten())
+            w = [np.asarray(x.values).view(np.uint64) for x in row["w"][0].values]
+            last = flat("last").view(np.uint64)
+            m = Merged(w[-2::-1], np.searchsorted(last, w[-1]), last)
+            with np.errstate(divide="ignore"):
+                log_p = np.log10(evaluate(m, flat("c"), flat("last_count"), unigrams, discounts))
+            for x in row["asked"][0].as_py():
+                values, at = np.unique(log_p[np.cumsum(expand(x["at"]).astype(np.int64))], return_inverse=True)
+                yield row_of(schema, block=pa.array([x["block"]]), bucket=row["bucket"], values=blob(values), at=blob(at.astype(np.uint32)))
+
+    return run
+
+
+# After hot words, level by level.
+
+
+class Hot:
+    """The n-grams of one level after hot words, ordered by bucket, history, part of the history, and word.
+
+    lower: the same of the level below, with its answers; None below bigrams.
     """
 
-    def __init__(self, words: Words, lower: Words | BlockGrams, buckets: int, hot: int):
-        gid, m, w = words.gid, len(lower.grams), len(words.gid)
-        history = np.empty(len(words.tokens), np.int64)
-        history[1:] = lower.back[:-1]
-        history[words.begins] = m
-        history *= w
-        history += words.tokens
-        keys, back = np.unique(history, return_inverse=True)
-        self.back = back.astype(np.int32)
-        del history, back
-        h, self.word = (keys // w).astype(np.int32), (keys % w).astype(np.int32)
-        self.below = np.empty(len(keys), np.int32)
-        self.below[self.back] = lower.back
-        self.seen = np.bincount(self.back[words.train], minlength=len(keys)).astype(np.uint32)
-        gids = np.vstack([lower.grams, np.full((1, lower.grams.shape[1]), START)])
-        parts = np.maximum(1, -(-np.append(lower.counts, words.starts) // hot))
-        # All parts of a hot history, whether or not the block has words for them.
-        used = np.flatnonzero(np.bincount(h, minlength=len(gids)))
-        ph = np.repeat(used, parts[used])
-        pp = np.arange(len(ph)) - np.repeat(np.cumsum(parts[used]) - parts[used], parts[used])
-        pb = bucket_of(hash_of(gids)[ph] + pp.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), buckets)
-        order = np.argsort(pb.astype(np.uint16) if buckets <= 1 << 16 else pb, kind="stable")
-        self.ph, self.pp, self.pb = ph[order].astype(np.int32), pp[order].astype(np.uint16), pb[order]
-        slot = np.zeros(len(gids), np.int64)
-        slot[used] = np.cumsum(parts[used]) - parts[used]
-        where = np.empty(len(order), np.int32)
-        where[order] = np.arange(len(order), dtype=np.int32)
-        at = slot[h]
-        if len(ph) > len(used):
-            at += (mix(gid[self.word]) % parts[h].astype(np.uint64)).astype(np.int64)
-        of = where[at]
-        # The n-grams' order; they are in order of words after a history.
-        self.order = np.argsort(of, kind="stable").astype(np.int32)
+    def __init__(self, words: Words, level: int, lower: Hot | None, buckets: int, hot: int):
+        self.places = np.flatnonzero(words.count[words.before[0]] > hot)
+        self.grams = g = Grams(words, level, self.places)
+        self.at = np.full(len(words.tokens), -1)
+        self.at[self.places] = g.back
+        n = len(g.h[0])
+        place = np.empty(n, np.int64)  # a place of each history
+        place[g.hist] = g.place
+        if lower is None:
+            size, self.c = words.count[g.h[0]], words.count[g.word]
+        else:
+            # The history is an n-gram of the level below at the place before; unless that stands after a hot word too, it is not hot.
+            begin = np.zeros(len(words.tokens), bool)
+            begin[words.begins] = True
+            of = np.where(begin[place], -1, lower.at[place - 1])
+            size = np.where(begin[place], words.count[-1], np.where(of >= 0, lower.counts[of] if len(lower.counts) else 0, 0))
+            self.below = lower.at[g.place]
+            self.c = lower.counts[self.below]
+        self.c = np.where(g.seen > 0, self.c, 0).astype(np.uint64)
+        self.gids = np.stack([words.gid[c] for c in g.h])
+        parts = np.maximum(1, -(-size.astype(np.int64) // hot))
+        self.ph = np.repeat(np.arange(n), parts)
+        start = np.cumsum(parts) - parts
+        self.pp = (np.arange(len(self.ph)) - np.repeat(start, parts)).astype(np.uint32)
+        key = self.gids[0].copy()
+        for c in self.gids[1:]:
+            key = mix(key) + c
+        pb = bucket_of(key[self.ph] + self.pp.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), buckets)
+        order = sorted_by(pb)
+        self.ph, self.pp, self.pb = self.ph[order], self.pp[order], pb[order]
+        where = np.empty(len(order), np.int64)
+        where[order] = np.arange(len(order))
+        of = where[start[g.hist] + (mix(words.gid[g.word]) % parts[g.hist].astype(np.uint64)).astype(np.int64)]
+        self.order = np.argsort(of, kind="stable")
         self.of = of[self.order]
-        self.gids, self.h = gids, h
-        # Counts of the lower level, where the bucket will need them.
-        self.c = np.where(self.seen > 0, lower.counts[self.below], 0).astype(np.uint32)
-        # Only after these histories may the block have words that were not seen.
-        self.backs_off = np.zeros(len(gids), np.uint8)
-        self.backs_off[h[self.seen == 0]] = 1
-
-    def answered(self, answers: list[dict], gid: np.ndarray | None) -> list[dict]:
-        """Take the counts; with the words' gid, be the lower level of longer n-grams. What only asking needs goes."""
+
+    def answered(self, answers: list[dict]) -> list[dict]:
         answers = sorted(answers, key=lambda r: r["bucket"])
-        self.counts = np.empty(len(self.order), np.uint32)
-        self.counts[self.order] = np.concatenate([expand(r["a"]) for r in answers])
-        if gid is not None:
-            self.grams = np.hstack([self.gids[self.h], gid[self.word][:, None]])
-        self.size = len(self.gids)
-        del self.order, self.of, self.seen, self.c, self.backs_off, self.pp, self.pb, self.word, self.gids
+        self.counts = np.empty(len(self.order), np.int64)
+        if len(self.order):
+            self.counts[self.order] = np.concatenate([expand_ids(r["a"]) for r in answers])
         return answers
 
     def p(self, answers: list[dict], d: Discounts, lower: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """P of each n-gram, and what d(c) c of it is divided by, from the same of the grams below."""
-        # Parts of a history are added up.
-        add = lambda x: np.bincount(self.ph, x, self.size)
-        weights = (1 - d.d[1:]) * np.arange(1, K + 1)
-        total = add(np.concatenate([expand(r["b"]) for r in answers]))
-        lost = add(np.concatenate([(expand(r["d"]).reshape(-1, K) * weights).sum(axis=1) for r in answers]))
-        divisor = np.ones(self.size)
-        divisor[self.h] = whole[self.below]
+        g, n = self.grams, self.gids.shape[1]
+        if not n:
+            return np.zeros(0), np.zeros(0)
+        add = lambda x: np.bincount(self.ph, x, n)  # noqa: E731  parts of a history
+        total = add(np.concatenate([expand(r["b"]).astype(float) for r in answers]))
+        lost = add(np.concatenate([(expand(r["d"]).reshape(-1, K) * d.lost).sum(axis=1) for r in answers]))
+        divisor = np.ones(n)
+        divisor[g.hist] = whole
         a, flat = backoff(total, add(np.concatenate([expand(r["c"]) for r in answers])) / np.maximum(divisor, 1), lost)
-        divisor = (np.maximum(total, 1) + flat)[self.h]
-        return np.where(self.counts > 0, d.of(self.counts) * self.counts / divisor, a[self.h] * lower[self.below]), divisor
-
-
-def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield batch.slice(i, 1).to_pylist()[0]
-
-
-def ask(buckets: int, starts: int, hot: int, level: int):
-    def asked(row: dict) -> Iterator[pa.RecordBatch]:
-        words = Words(row, starts)
-        x = BlockGrams(words, words, buckets, hot)
-        for n in range(2, level):
-            x.answered(row.pop(f"level{n}"), words.gid)
-            x = BlockGrams(words, x, buckets, hot)
-        runs = np.bincount(x.of, minlength=len(x.ph)).astype(np.uint32)
-        ends = np.searchsorted(x.pb, np.arange(buckets + 1))
-        begin = np.append(0, np.cumsum(runs.astype(np.int64)))[ends]
-        for k in np.flatnonzero(np.diff(ends)).tolist():
-            p, b = slice(ends[k], ends[k + 1]), x.order[begin[k] : begin[k + 1]]
-            columns = [x.gids[x.ph[p]].T.ravel(), x.pp[p], x.backs_off[x.ph[p]], runs[p], words.gid[x.word[b]], x.seen[b], x.c[b]]
-            yield pa.record_batch([pa.array([row["block"]]), pa.array([k], pa.int32()), *(pa.array([squeeze(c)], pa.binary()) for c in columns)], names=["block", "bucket", *REQUEST])
+        divisor = (np.maximum(total, 1) + flat)[g.hist]
+        return np.where(self.counts > 0, d.of(self.counts) * self.counts / divisor, a[g.hist] * lower), divisor
+
+
+ASK_HOT = "block long, bucket int, h array<binary>, part binary, runs binary, w binary, seen binary, c binary"
+
+
+def ask_hot(level: int, order: int, buckets: int, hot: int, starts: tuple[int, int]):
+    schema = arrow_schema(ASK_HOT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in one_by_one(batches):
-            yield from asked(row)
+        for batch in give_back(rows_at_a_time(batches, 1)):
+            row = batch.to_pylist()[0]
+            words = Words(row, starts, order)
+            x = None
+            for n in range(2, level + 1):
+                x = Hot(words, n, x, buckets, hot)
+                if n < level:
+                    x.answered(row[f"level{n}"] or [])
+            g = x.grams
+            runs = np.bincount(x.of, minlength=len(x.ph)).astype(np.uint32)
+            ends = np.searchsorted(x.pb, np.arange(buckets + 1))
+            begin = np.append(0, np.cumsum(runs.astype(np.int64)))[ends]
+            for k in np.flatnonzero(np.diff(ends)).tolist():
+                p, b = slice(ends[k], ends[k + 1]), x.order[begin[k] : begin[k + 1]]
+                yield row_of(
+                    schema, block=pa.array([row["block"]]), bucket=pa.array([k]), h=pa.array([[squeeze(c[x.ph[p]]) for c in x.gids]], pa.list_(pa.binary())), part=blob(x.pp[p]),
+                    runs=blob(runs[p]), w=blob(words.gid[g.word[b]]), seen=blob(g.seen[b]), c=blob(x.c[b]),
+                )
 
     return run
 
 
-REQUEST = ("h", "part", "off", "runs", "w", "seen", "c")
+HOT_COUNTS = "kind string, block long, bucket int, a binary, b binary, c binary, d binary, w array<array<long>>, counts array<long>, sums array<long>"
 
 
-def count_grams(level: int, name: str, below: Discounts):
-    """For each bucket of n-grams: answers to the blocks, the merged counts, and sums."""
-    names = ["level", "block", "bucket", "a", "b", "c", "d", "sums"]
+def count_hot(level: int, below: Discounts):
+    """For each bucket of n-grams: answers to the blocks (counts; for each history and part the total, the sum of d(c) c
+    of the level below, and the counts of small counts), the merged counts, and sums."""
+
+    schema = arrow_schema(HOT_COUNTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in by_bucket(batches):
-            got = {k: [expand(r[k]) for r in rows] for k in REQUEST}
-            part, off, runs, w, seen, c = (np.concatenate(got[k]) for k in REQUEST[1:])
-            h = np.concatenate([x.reshape(level - 1, -1) for x in got["h"]], axis=1)
-            sizes = [(len(x), len(y)) for x, y in zip(got["part"], got["w"], strict=True)]
-            blocks = [r["block"] for r in rows]
-            rows.clear()
-            got.clear()
-            hi = np.zeros(h.shape[1], np.int64)
-            for column in h:
-                ids, at = np.unique(column, return_inverse=True)
-                _, first, hi = np.unique(hi * len(ids) + at, return_index=True, return_inverse=True)
-            known = h[:, first]
-            width = int(part.max()) + 1
-            pairs, pair = np.unique(hi * width + part, return_inverse=True)
+            part, runs, w, seen, c = (np.concatenate([expand_ids(r[k]) for r in rows]) for k in ("part", "runs", "w", "seen", "c"))
+            runs = runs.astype(np.int64)
+            hi = np.zeros(len(part), np.int64)
+            h: list[np.ndarray] = []
+            for column in [np.concatenate([expand_ids(r["h"][j]) for r in rows]) for j in range(level - 1)] + [part]:
+                column, at = np.unique(column, return_inverse=True)
+                keys, hi = np.unique(hi * len(column) + at, return_inverse=True)
+                h = [x[keys // len(column)] for x in h] + [column[keys % len(column)]]
+            n = len(h[0])
             words, wi = np.unique(w, return_inverse=True)
-            owner = np.repeat(pair, runs)
-            keys, back = np.unique(owner * max(len(words), 1) + wi, return_inverse=True)
-            del h, hi, owner, wi, runs, w, part
+            keys, back = np.unique(np.repeat(hi, runs) * max(len(words), 1) + wi, return_inverse=True)
             counts = np.bincount(back, seen, len(keys)).astype(np.int64)
-            of = keys // max(len(words), 1)
-            lower = np.zeros(len(keys))
-            hit = counts > 0
+            of, word = keys // max(len(words), 1), keys % max(len(words), 1)
+            low = np.zeros(len(keys))
             some = c > 0
-            lower[back[some]] = below.of(c[some].astype(np.int64)) * c[some]
-            total = np.bincount(of[hit], counts[hit], len(pairs)).astype(np.int64)
-            sums_below = np.bincount(of[hit], lower[hit], len(pairs))
-            small = np.zeros((len(pairs), K), np.uint32)
+            low[back[some]] = below.of(c[some].astype(np.int64)) * c[some]
+            hit = counts > 0
+            total = np.bincount(of[hit], counts[hit], n).astype(np.int64)
+            lower = np.bincount(of[hit], low[hit], n)
             few = hit & (counts <= K)
-            small += np.bincount(of[few] * K + counts[few] - 1, minlength=small.size).reshape(-1, K).astype(np.uint32)
-            # Without backing off, only whether any count is small matters.
-            brief = np.zeros_like(small)
-            brief[:, 0] = small.any(axis=1)
+            small = np.bincount(of[few] * K + counts[few] - 1, minlength=n * K).reshape(n, K).astype(np.uint32)
             at = where = 0
-            for block, (hh, ww) in zip(blocks, sizes, strict=True):
-                p, b = pair[at : at + hh], back[where : where + ww]
-                wanted = off[at : at + hh] > 0
+            for r in rows:
+                hh, ww = len(expand(r["part"])), len(expand(r["w"]))
+                p, b = hi[at : at + hh], back[where : where + ww]
                 at, where = at + hh, where + ww
-                columns = [counts[b].astype(np.uint32), total[p], np.where(wanted, sums_below[p], 0.0), np.where(wanted[:, None], small[p], brief[p]).ravel()]
-                yield pa.record_batch([pa.array(["answer"]), pa.array([block]), pa.array([bucket], pa.int32()), *(pa.array([squeeze(x)], pa.binary()) for x in columns), pa.nulls(1, pa.list_(pa.int64()))], names=names)
-            sums = np.bincount(np.minimum(counts, K + 2), minlength=K + 3)[1 : K + 2].tolist()
-            columns = [known[:, pairs // width].ravel(), np.bincount(of[hit], minlength=len(pairs)).astype(np.uint32), words[(keys % max(len(words), 1))[hit]], counts[hit].astype(np.uint32)]
-            yield pa.record_batch([pa.array([name]), pa.nulls(1, pa.int64()), pa.array([bucket], pa.int32()), *(pa.array([squeeze(x)], pa.binary()) for x in columns), pa.array([sums], pa.list_(pa.int64()))], names=names)
+                yield row_of(schema, kind=pa.array(["answer"]), block=pa.array([r["block"]]), bucket=pa.array([bucket]), a=blob(counts[b].astype(np.uint64)), b=blob(total[p].astype(np.uint64)), c=blob(lower[p]), d=blob(small[p].ravel()))
+            w = [x[of[hit]] for x in h[: level - 1]][::-1] + [words[word[hit]]]
+            yield row_of(schema, kind=pa.array(["grams"]), bucket=pa.array([bucket]), w=columns(w), counts=longs(counts[hit]), sums=pa.array([counts_of_counts(counts)]))
 
     return run
 
 
-def score_blocks(buckets: int, starts: int, hot: int, unigrams: Unigrams, discounts: list[Discounts], vocabulary: int):
-    def scored(row: dict) -> pa.RecordBatch:
-        x = lower = Words(row, starts)
-        p, whole = unigrams.p(x.count), np.full(len(x.count), float(unigrams.whole))
-        for n, d in enumerate(discounts, 2):
-            g = BlockGrams(x, lower, buckets, hot)
-            answers = g.answered(row.pop(f"level{n}"), x.gid if n <= len(discounts) else None)
-            p, whole = g.p(answers, d, p, whole)
-            lower = g
-        with np.errstate(divide="ignore"):
-            log_p = np.log10(p)
-        score = np.add.reduceat(log_p[lower.back], x.begins)
-        known = np.add.reduceat((x.count[x.tokens] > 0).astype(np.int64), x.begins)
-        base = np.add.reduceat(np.log10((x.count[x.tokens] + 1) / (unigrams.total + vocabulary + 1)), x.begins)
-        held = [is_held_out(i) for i in x.docs]
-        return pa.record_batch([pa.array(x.docs, pa.int64()), pa.array(held), pa.array(x.lens), pa.array(known), pa.array(np.full(len(held), unigrams.total, np.int64)), pa.array(base), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+def score_blocks(order: int, buckets: int, hot: int, starts: tuple[int, int], unigrams: Unigrams, discounts: list[Discounts], vocabulary: int):
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in one_by_one(batches):
-            yield scored(row)
+        for batch in give_back(rows_at_a_time(batches, 1)):
+            row = batch.to_pylist()[0]
+            x = Words(row, starts, order)
+            c = x.count[x.tokens]
+            log_p = np.empty(len(c))
+            with np.errstate(divide="ignore"):
+                if order == 1:
+                    log_p = np.log10(unigrams.p(c))
+                else:
+                    cold = Cold(x, order, buckets, hot)
+                    answers = sorted(row["cold"] or [], key=lambda r: r["bucket"])
+                    if len(cold.order):
+                        own = np.empty(len(cold.order))
+                        own[cold.order] = np.concatenate([expand(r["values"])[expand(r["at"])] for r in answers])
+                        log_p[cold.places] = own[cold.grams.back]
+                if "level2" in row:
+                    g, lower = None, None
+                    for n, d in enumerate(discounts, 2):
+                        up = Hot(x, n, g, buckets, hot)
+                        answers = up.answered(row[f"level{n}"] or [])
+                        if g is None:
+                            p, whole = unigrams.p(x.count[up.grams.word]), np.full(len(up.grams.word), float(unigrams.whole))
+                        else:
+                            p, whole = lower[0][up.below], lower[1][up.below]
+                        lower, g = up.p(answers, d, p, whole), up
+                    log_p[g.places] = np.log10(lower[0])[g.grams.back]
+            score = np.add.reduceat(log_p, x.begins)
+            known = np.add.reduceat((c > 0).astype(np.int64), x.begins)
+            base = np.add.reduceat(np.log10((c + 1) / (unigrams.total + vocabulary + 1)), x.begins)
+            held = [is_held_out(i) for i in x.docs]
+            yield pa.record_batch([pa.array(x.docs, pa.int64()), pa.array(held), pa.array(x.lens), pa.array(known), pa.array(np.full(len(held), unigrams.total, np.int64)), pa.array(base), pa.array(score)], names=names)
 
     return run
 
 
-def score(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, block_tokens: int = BLOCK_TOKENS, order: int = 2) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
+def sums_of(rows: DataFrame, n: int) -> list[int]:
+    """The sums of the first n places of `sums`."""
+    got = rows.agg(*(F.coalesce(F.sum(F.get("sums", F.lit(i))), F.lit(0)).alias(f"s{i}") for i in range(n))).first()
+    return [int(x) for x in got]
 
-    The counts stay in the scratch folder: unigrams/level=unigrams, bigrams/level=bigrams, 3-grams/level=3-grams and so on.
-    """
+
+def score(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, block_tokens: int = BLOCK_TOKENS, order: int = 2, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     if order < 1:
         raise ValueError("the order must be 1 or more")
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = scratch.save(blocks_of(docs, buckets, block_tokens, id_col, text_col), "blocks", "kind")
-    arrow_limits(spark, 1)
-    deal = lambda df: df.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block")
-    words = blocks.where("kind = 'w'").select("block", "bucket", "a", "b")
-    first = scratch.save(deal(words).mapInArrow(count_words, "level string, block long, bucket int, a binary, b binary, sums array<long>"), "unigrams", "level")
-    sums = [F.coalesce(F.sum(F.get("sums", F.lit(i))), F.lit(0)) for i in range(4 + K)]
-    got = [int(x) for x in first.where("level = 'unigrams'").agg(*(s.alias(f"s{i}") for i, s in enumerate(sums))).first()]
-    total, vocabulary, starts, counts = got[0], got[1], got[2], got[3:]
+    shuffle = partitions(docs)
+    deal = lambda df, n: df.repartition(n, "bucket").sortWithinPartitions("bucket", "block")
+    blocks = scratch.save(blocks_of(docs, shuffle, block_tokens, id_col, text_col), "blocks", "kind")
+    words = deal(blocks.where("kind = 'w'").select("block", "bucket", "a", "b"), shuffle)
+    first = scratch.save(words.mapInArrow(count_words(shuffle), UNIGRAMS), "unigrams", "level")
+    table_rows = first.where("level = 'unigrams'")
+    got = sums_of(table_rows, 4 + K)
+    total, vocabulary, counts = got[0], got[1], got[3:]
+    most = table_rows.agg(F.max(F.get("sums", F.lit(4 + K))).alias("top"), F.max(F.get("sums", F.lit(5 + K))).alias("words")).first()
+    starts = got[2], (most.words or 0) * shuffle
     unigrams = Unigrams(total, counts)
-    release()
     answers = first.where("level = 'answer'").groupBy("block").agg(F.collect_list(F.struct("bucket", "a", "b")).alias("words"))
-    scratch.drop("blocks/kind=w")
-    known = whole = blocks.where("kind = 't'").select("block", "a", "docs", "lens").join(answers, "block")
-    fine = GRAIN * buckets
-    request = ", ".join(["block long, bucket int", *(f"{k} binary" for k in REQUEST)])
-    below, discounts = unigrams.discounts, []
-    for level in range(2, order + 1):
-        name = "bigrams" if level == 2 else f"{level}-grams"
-        asked = known.mapInArrow(ask(fine, starts, hot, level), request)
-        saved = scratch.save(deal(asked).mapInArrow(count_grams(level, name, below), "level string, block long, bucket int, a binary, b binary, c binary, d binary, sums array<long>"), name, "level")
-        below = Discounts([int(x) for x in saved.where(F.col("level") == name).agg(*(s.alias(f"s{i}") for i, s in enumerate(sums[: K + 1]))).first()])
-        discounts.append(below)
-        del asked
-        release()
-        # Asking for longer n-grams takes the counts alone.
-        answers = saved.where("level = 'answer'").groupBy("block")
-        known = known.join(answers.agg(F.collect_list(F.struct("bucket", "a")).alias(f"level{level}")), "block")
-        whole = whole.join(answers.agg(F.collect_list(F.struct("bucket", "a", "b", "c", "d")).alias(f"level{level}")), "block")
-    return whole.mapInArrow(score_blocks(fine, starts, hot, unigrams, discounts, vocabulary), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    known = blocks.where("kind = 't'").select("block", "a", "docs", "lens").join(answers, "block")
+    known = scratch.save(known.mapInArrow(settle, KNOWN), "known")
+    scratch.drop("blocks", "unigrams/level=answer")
+    buckets = max(shuffle, -(-total // bucket_tokens))
+    tasks = max(shuffle, buckets // 8)
+    discounts: list[Discounts] = []
+    whole = known
+    if order > 1:
+        asked = known.mapInArrow(ask_cold(order, buckets, hot, starts), REQUEST)
+        cold = scratch.save(deal(asked, tasks).mapInArrow(count_cold(order), COLD), "cold")
+        of_level = np.array(sums_of(cold, (K + 1) * (order - 1))).reshape(order - 1, K + 1)
+        below = unigrams.discounts
+        for level in range(2, order + 1):
+            if max(most.top or 0, starts[0]) > hot:
+                asked = known.mapInArrow(ask_hot(level, order, buckets, hot, starts), ASK_HOT)
+                saved = scratch.save(deal(asked, tasks).mapInArrow(count_hot(level, below), HOT_COUNTS), f"hot{level}", "kind")
+                of_level[level - 2] += sums_of(saved.where("kind = 'grams'"), K + 1)
+                answers = saved.where("kind = 'answer'").groupBy("block").agg(F.collect_list(F.struct("bucket", "a", "b", "c", "d")).alias(f"level{level}"))
+                known = known.join(answers, "block", "left")
+            below = Discounts(of_level[level - 2].tolist())
+            discounts.append(below)
+        told = cold.select("bucket", "w", "c", "last", "last_count", "asked").mapInArrow(answer_cold(unigrams, discounts), ANSWER)
+        told = scratch.save(told.repartition(shuffle, "block"), "told")
+        whole = known.join(told.groupBy("block").agg(F.collect_list(F.struct("bucket", "values", "at")).alias("cold")), "block", "left")
+    return whole.mapInArrow(score_blocks(order, buckets, hot, starts, unigrams, discounts, vocabulary), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def model(spark: SparkSession, scratch: Scratch, level: int) -> DataFrame:
+    """The counts that `score` left: bucket, rank, word, count for level 1; words (the ids of a start mark and of
+    words, rank * buckets + bucket) and count for the order. The counts of levels between are sums of the latter."""
+    if level == 1:
+        rows = spark.read.schema(UNIGRAMS).parquet(f"{scratch.root}/unigrams").where("level = 'unigrams'")
+        each = rows.select("bucket", "first", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x"))
+        return each.select(F.col("bucket").cast("long").alias("bucket"), (F.col("first") + F.col("at")).alias("rank"), F.col("x.words").alias("word"), F.col("x.counts").alias("count")).where("count > 0")
+    read = [spark.read.schema(COLD).parquet(f"{scratch.root}/cold").select("w", "c")]
+    jvm = spark.sparkContext._jvm
+    hot = jvm.org.apache.hadoop.fs.Path(f"{scratch.root}/hot{level}")
+    if hot.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hot):
+        read.append(spark.read.schema(HOT_COUNTS).parquet(hot.toString()).where("kind = 'grams'").select("w", F.col("counts").alias("c")))
+    rows = read[0] if len(read) == 1 else read[0].unionByName(read[1])
+    zipped = F.arrays_zip(*(F.get("w", F.lit(j)).alias(f"w{j}") for j in range(level)), F.col("c"))
+    each = rows.select(F.explode(zipped).alias("x"))
+    return each.select(F.array(*(F.col(f"x.w{j}") for j in range(level))).alias("words"), F.col("x.c").alias("count")).where("count > 0")
 
 
 def op4_katz(spark: SparkSession, sf_dir: str, order: int = 3) -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spangrove.llm import katz
@@ -58,7 +59,7 @@ class Plain:
         return left / (1 - sum(uni[x] for x in p)) * uni.get(w, unseen)
 
 
-@pytest.mark.parametrize("hot,block", [(1 << 18, 1_200_000), (3, 50)])
+@pytest.mark.parametrize("hot,block", [(1 << 18, 1_200_000), (3, 50), (20, 50)])
 def test_against_plain_model(spark, hot, block):
     rng = np.random.default_rng(0)
     words = ["The", "the", "of", "AND", "é", "x1", "run", "a,b", "z"] + [f"w{i}" for i in range(60)]
@@ -85,10 +86,38 @@ def test_against_plain_model(spark, hot, block):
         assert abs(sum(model.p(h, w) for w in vocabulary) - 1) < 1e-9
 
 
+def thue_morse(n, flip=False):
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("hot", [1 << 18, 4])
+def test_tables_of_counts(spark, hot):
+    """The tables that the model leaves hold exactly the training counts."""
+    words = [thue_morse(1024), thue_morse(1024, True), "of", "the", "é"]
+    rng = np.random.default_rng(3)
+    docs = [(i, " ".join(rng.choice(words, 8))) for i in range(60)]
+    scratch = Scratch(spark, "t")
+    katz.score(spark.createDataFrame(docs, "doc_id long, text string"), scratch, order=3, hot=hot, block_tokens=100).count()
+    uni, tri = Counter(), Counter()
+    for i, t in docs:
+        if not katz.is_held_out(i):
+            x = ["<s>", "<s>", *(w or "" for w in tokens(t))]
+            uni.update(x[2:])
+            tri.update(zip(x, x[1:], x[2:]))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = katz.model(spark, scratch, 1).collect()
+    assert {r.word: r["count"] for r in rows} == uni
+    name = {r["rank"] * n + r.bucket: r.word for r in rows}
+    assert {tuple(name.get(w, "<s>") for w in r.words): r["count"] for r in katz.model(spark, scratch, 3).collect()} == tri
+
+
 def test_squeeze():
     for a in (np.arange(7, dtype=np.uint64), np.zeros(0, np.int64), np.array([1.5, -2]), np.array([3], np.uint16)):
         b = katz.expand(katz.squeeze(a))
-        assert b.dtype == a.dtype and np.array_equal(a, b)
+        assert np.array_equal(a, b) and (b.dtype == a.dtype or a.dtype.kind == "u")
+    words = [b"", b"a", "é".encode(), b"", b"long" * 50]
+    assert katz.expand_words(katz.squeeze_words(pa.array(words)[1:])).to_pylist() == words[1:]
+    assert katz.expand_words(katz.squeeze_words(pa.array([b""]))).to_pylist() == [b""]
 
 
 def test_empty(spark):

@@ -37,7 +37,7 @@ class Recursive:
         return p[w] if w in p else a * self.p(h[1:], w) if h else a
 
 
-@pytest.mark.parametrize("order,hot,block", [(1, 1 << 18, 900), (2, 3, 50), (3, 1 << 18, 1_200_000), (3, 3, 50), (4, 5, 300)])
+@pytest.mark.parametrize("order,hot,block", [(1, 1 << 18, 900), (2, 3, 50), (3, 1 << 18, 1_200_000), (3, 3, 50), (3, 40, 300), (4, 25, 300)])
 def test_against_recursion(spark, order, hot, block):
     rng = np.random.default_rng(1)
     words = ["The", "the", "of", "AND", "é", "x1"] + [f"w{i}" for i in range(25)]
