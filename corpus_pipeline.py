@@ -27,7 +27,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
-    return pigeonhole.decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), short=True)
+    return pigeonhole.decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), Scratch(spark, "leaks"), short=True)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
