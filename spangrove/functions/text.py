@@ -1,14 +1,17 @@
 """Text functions as Spark columns. Positions are code points from 0."""
 
-from __future__ import annotations
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..plans.grammar import ESCAPES
 
 #: Code points that stand for an empty production.
-EPSILONS = ["ε", "ϵ", "є", "ԑ", "Ɛ", "ɛ", "𝛆", "𝛜", "𝜀", "𝜖", "𝝐", "𝞊", "𝟄", ""]
+EPSILONS = list("εϵԐԑ𝛆𝛜𝜀𝜖𝜺𝝐𝝴𝞊𝞮𝟄")
+#: Words that stay small in titles unless they come first.
+SMALL_WORDS = ["and", "or", "of", "the", "a", "an", "to", "in", "for", "with", "on"]
 
 
 def prefix(text: Column, at: Column) -> Column:
@@ -37,13 +40,24 @@ def escapes_removed(x: Column) -> Column:
 
 
 def escapes_added(x: Column) -> Column:
-    for a, b in reversed(ESCAPES):
+    for a, b in [*reversed(ESCAPES), ("\\'", "'")]:
         x = F.replace(x, F.lit(b), F.lit(a))
     return x
 
 
 def html(x: Column) -> Column:
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        x = F.replace(x, F.lit(a), F.lit(b))
+    return x
+
+
+def graphviz_html(x: Column) -> Column:
+    """For labels: entities, breaks for line feeds, and escapes resolved."""
+    return escapes_removed(F.replace(html(x), F.lit("\n"), F.lit("<br/>")))
+
+
+def harvest_unescape(x: Column) -> Column:
+    for a, b in (('\\"', '"'), ("\\\\", "\\"), ("\\u{feff}", "\ufeff"), ("\\t", "\t")):
         x = F.replace(x, F.lit(a), F.lit(b))
     return x
 
@@ -62,17 +76,35 @@ def strip(x: Column) -> Column:
 
 
 def kebab(x: Column) -> Column:
-    return F.lower(F.regexp_replace(F.regexp_replace(x, r"([a-z0-9])([A-Z])", "$1-$2"), r"[^A-Za-z0-9]+", "-"))
+    """Small words joined by hyphens, cut before a capital after a small letter or digit, or before the last of several."""
+    cut = F.regexp_replace(x, r"(?<=[\p{Ll}\p{N}])(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})", "-")
+    return F.translate(F.lower(cut), "_ ", "--")
 
 
 def title_case(x: Column) -> Column:
-    return F.initcap(F.lower(x))
+    words = F.filter(F.split(F.lower(x), " "), lambda w: w != "")
+    big = lambda w: F.concat(F.upper(w.substr(1, 1)), w.substr(F.lit(2), F.length(w)))
+    return F.array_join(F.transform(words, lambda w, i: F.when((i > 0) & w.isin(*SMALL_WORDS), w).otherwise(big(w))), " ")
 
 
 def identifier(x: Column) -> Column:
-    """A name made of letters, digits and underscores that does not begin with a digit."""
-    y = F.regexp_replace(x, r"[^\p{L}\p{N}_]", "_")
-    return F.when(y.rlike(r"^\p{N}"), F.concat(F.lit("_"), y)).otherwise(y)
+    """A name for any text: letters and digits stay, other characters give their Unicode names in capitals' style, the
+    first letter is small, and a digit gets an underscore before it."""
+    return F.pandas_udf(_identifiers, "string")(x)
+
+
+def _identifiers(x: pd.Series) -> pd.Series:
+    def one(text: str | None) -> str | None:
+        if text is None:
+            return None
+        out = "".join(c if c.isalpha() or c.isnumeric() else name_of(c) for c in text)
+        return "_empty" if not out else "_" + out if out[0].isnumeric() else out[0].lower() + out[1:]
+
+    def name_of(c: str) -> str:
+        name = unicodedata.name(c, "")
+        return "".join(w.capitalize() for w in name.replace("-", " ").split(" ")) if name else f"U{ord(c):X}"
+
+    return x.map(one)
 
 
 def stripped(kind: Column, image: Column) -> Column:

@@ -6,6 +6,7 @@ all the parallelism there is and nothing is shuffled before the spans are. Equal
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql.types import StructType
 from ..plans.forest import Trees, choices, disambiguate, sppf
 from ..plans.grammar import Grammar, compile_grammar
 from ..plans.kernel import Kernel, Parse, TooLarge
+from ..sources.scratch import free_name
 
 SPAN = "struct<slot: int, i: int, k: int, j: int>"
 COMMIT = "struct<terminal: int, trivia_start: int, start: int, end: int, trivia_end: int>"
@@ -39,16 +41,52 @@ def kernel(text: str, builders: tuple = (), start: str = "", most_items: int = 5
     return _kernels[key]
 
 
+NAMES = ("accepted", "exact", "matches", "tokens", "descriptors", "duplicates", "suppressed", "clusters", "spans", "failed", "furthest", "pruned")
+#: What can be carried over from a text of the same shape.
+CARRIED = frozenset(("bsr", "commits", "diagnostics"))
+MOST_SHAPES = 4096
+MOST_PLACES = 4096
+_shapes: dict[tuple, tuple[dict, list[int]]] = {}
+
+
 def outcome(k: Kernel, text: str | None, resolve: bool, keep: frozenset[str], trees: int) -> dict | None:
-    """The result row of one message; None for null."""
+    """The result row of one message; None for null. What one text needs never fails the others."""
     if text is None:
         return None
-    names = ("accepted", "exact", "matches", "tokens", "descriptors", "duplicates", "suppressed", "clusters", "spans", "failed", "furthest", "pruned")
-    out: dict = dict.fromkeys(names, 0) | {"source_len": len(text), "too_large": False, "expected": None} | dict.fromkeys(("bsr", "commits", "diagnostics", "trees", "nodes", "edges", "tree"))
+    sys.setrecursionlimit(1_000_000_000)  # Python's own frames are on the heap
     try:
-        p = k.parse(text)
-    except TooLarge:
-        return out | {"too_large": True, "accepted": None, "exact": None}
+        if not k.shaped or not keep <= CARRIED or len(text) > MOST_PLACES:
+            return parsed_outcome(k, text, resolve, keep, trees)
+        shape, places, matches = k.shape(text)
+        key = id(k), shape, resolve, keep
+        if key not in _shapes:
+            if len(_shapes) >= MOST_SHAPES:
+                _shapes.clear()
+            _shapes[key] = parsed_outcome(k, text, resolve, keep, trees), places
+            return _shapes[key][0]
+        return carried(k, *_shapes[key], text, places, matches)
+    except (TooLarge, RecursionError, MemoryError):
+        return dict.fromkeys(NAMES, 0) | {"source_len": len(text), "too_large": True, "accepted": None, "exact": None, "expected": None} | dict.fromkeys(("bsr", "commits", "diagnostics", "trees", "nodes", "edges", "tree"))
+
+
+def carried(k: Kernel, row: dict, old: list[int], text: str, new: list[int], matches: dict) -> dict:
+    """The result row of a text from that of another one of the same shape: places for places."""
+    at = dict(zip(old, new, strict=True))
+    out = row | {"source_len": len(text), "furthest": at[row["furthest"]]}
+    if row["bsr"] is not None:
+        out["bsr"] = [(n, at[i], at[x], at[j]) for n, i, x, j in row["bsr"]]
+    if row["commits"] is not None:
+        names = k.names
+        out["commits"] = [(t, at[a], (m := matches[names[t], at[a]]).start, m.end, at[after]) for t, a, _, _, after in row["commits"]]
+    if row["diagnostics"] is not None:
+        out["diagnostics"] = [(n, m, at[s], at[e], c, sig) for n, m, s, e, c, sig in row["diagnostics"]]
+    return out
+
+
+def parsed_outcome(k: Kernel, text: str, resolve: bool, keep: frozenset[str], trees: int) -> dict | None:
+    """The result row of one message."""
+    out: dict = dict.fromkeys(NAMES, 0) | {"source_len": len(text), "too_large": False, "expected": None} | dict.fromkeys(("bsr", "commits", "diagnostics", "trees", "nodes", "edges", "tree"))
+    p = k.parse(text)
     out |= {"accepted": p.accepted, "exact": p.exact, "matches": len(p.ends()), "tokens": len({c[2:4] for c in p.commits}), "descriptors": p.items, "duplicates": p.duplicates, "suppressed": p.suppressed, "clusters": p.needs, "failed": p.failed, "furthest": p.furthest, "expected": sorted(p.expected)}
     if resolve:
         out["pruned"] = disambiguate(p)
@@ -97,7 +135,9 @@ def parse(df: DataFrame, grammar: str, text_col: str = "text", resolve: bool = F
     """df with a column `parse`. keep: what of bsr, commits, diagnostics, ast (one tree as text), tree (the same as
     rows), trees (up to `trees` of all) and forest comes with it.
 
-    A null text has a null parse. A message of more than most_items items is reported as too_large, with null verdicts. spread deals the
+    A column `parse` that df has is replaced. A null text has a null parse. Texts in which the same terminals match in the
+    same order are parsed once by each worker where nothing else decides (Kernel.shaped), and their places are mapped.
+    A message of more than most_items items is reported as too_large, with null verdicts. spread deals the
     messages to all shuffle partitions first: after an aggregation they may be few bytes but are still much work.
     """
     if spread:
@@ -107,6 +147,7 @@ def parse(df: DataFrame, grammar: str, text_col: str = "text", resolve: bool = F
     wanted = frozenset(keep)
     field = "parse"
     row = StructType.fromDDL(RESULT)
+    df = df.drop("parse") if "parse" in [c.lower() for c in df.columns] and text_col.lower() != "parse" else df
     whole = StructType([*df.schema.fields]).add(field, row)
     at = df.columns.index(text_col)
 
@@ -115,19 +156,20 @@ def parse(df: DataFrame, grammar: str, text_col: str = "text", resolve: bool = F
 
         kind = to_arrow_type(row)
         k = kernel(grammar, held, start, most_items)
-        for batch in batches:
+        for batch in (b.slice(i, batch_rows) for b in batches for i in range(0, b.num_rows, batch_rows)):
             found = [outcome(k, t, resolve, wanted, trees) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, structs(found, kind)], names=[*batch.schema.names, field])
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
     return df.mapInArrow(run, whole)
 
 
 def parse_distinct(df: DataFrame, grammar: str, text_col: str = "text", **options) -> DataFrame:
     """As parse, but each distinct text is parsed once and the results are joined back by its hash."""
-    keyed = df.withColumn("__hash", F.sha2(F.col(text_col), 256))
-    once = parse(keyed.where(F.col(text_col).isNotNull()).groupBy("__hash").agg(F.first(text_col).alias("text")), grammar, "text", spread=True, **options)
-    return keyed.join(once.select("__hash", "parse"), "__hash", "left").drop("__hash")
+    df = df.drop("parse") if text_col.lower() != "parse" else df
+    key = free_name(df, "text_hash")
+    keyed = df.withColumn(key, F.sha2(F.col(text_col), 256))
+    once = parse(keyed.where(F.col(text_col).isNotNull()).groupBy(key).agg(F.first(text_col).alias("text")), grammar, "text", spread=True, **options)
+    return keyed.join(once.select(key, "parse"), key, "left").drop(key)
 
 
 def spans(parsed: DataFrame, *ids: str) -> DataFrame:

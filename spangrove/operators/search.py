@@ -1,7 +1,7 @@
 """Chunks of documents, an inverted index over them, and ranked search.
 
 Everything is DataFrame work: chunks are a generated table, postings one aggregation, a query filters the postings
-by its terms (MAX_TERMS at most) and takes the best with a bounded sort.
+by its terms and takes the best with a bounded sort.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from ..functions.text import strip
 
 SIZE, OVERLAP = 1400, 250
-MAX_TERMS = 64
 #: Fixed values of BM25.
 K1, B = 1.2, 0.75
 
@@ -66,8 +65,6 @@ class Query:
         self.tree = self._or() if self.tokens else None
         if self.at < len(self.tokens):
             raise ValueError(f"unexpected {self.tokens[self.at]!r}")
-        if len(self.exact | self.prefixes) > MAX_TERMS:
-            raise ValueError(f"more than {MAX_TERMS} terms")
 
     def _peek(self) -> str | None:
         return self.tokens[self.at] if self.at < len(self.tokens) else None

@@ -6,24 +6,27 @@ on one message id shuffle once.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.forest import Choice
+from ..sources.scratch import free_name
 
 
 def extent(spans: DataFrame, ids: list[str], longest: bool) -> DataFrame:
     """Per start, the spans with the greatest (least) end."""
     w = Window.partitionBy(*ids, "slot", "i")
-    best = (F.max if longest else F.min)("j").over(w)
-    return spans.withColumn("__best", best).where("j = __best").drop("__best")
+    best = free_name(spans, "best")
+    return spans.withColumn(best, (F.max if longest else F.min)("j").over(w)).where(F.col("j") == F.col(best)).drop(best)
 
 
 def pivot(spans: DataFrame, ids: list[str], left: bool) -> DataFrame:
     """Per start and end, the spans with the greatest (left) or least (right) pivot."""
     w = Window.partitionBy(*ids, "slot", "i", "j")
-    best = (F.max if left else F.min)("k").over(w)
-    return spans.withColumn("__best", best).where("k = __best").drop("__best")
+    best = free_name(spans, "best")
+    return spans.withColumn(best, (F.max if left else F.min)("k").over(w)).where(F.col("k") == F.col(best)).drop(best)
 
 
 def prefer(others: DataFrame, preferred: DataFrame, ids: list[str]) -> DataFrame:
@@ -50,30 +53,29 @@ def call_return(returns: DataFrame, pops: DataFrame) -> DataFrame:
     return returns.join(pops, ["x", "k"]).select("slot", "i", "k", "j").distinct()
 
 
-def closure(edges: DataFrame, roots: DataFrame, save, rounds: int = 200) -> DataFrame:
+def closure(edges: DataFrame, roots: DataFrame, save) -> DataFrame:
     """Nodes reachable from roots (node) over edges (src, dst): semi-naive, a round for each step.
 
     save(df, name) writes a round's rows to a folder that executors share and reads them back, which cuts lineage and
     survives lost executors.
     """
     seen = delta = save(roots.select("node").distinct(), "reach0")
-    for k in range(1, rounds + 1):
+    for k in itertools.count(1):
         step = delta.join(edges, delta["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
         delta = save(step.join(seen, "node", "left_anti"), f"reach{k}")
         if delta.isEmpty():
             return seen
-        seen = seen.unionByName(delta)
-    raise RuntimeError(f"not closed after {rounds} rounds")
+        seen = save(seen.unionByName(delta), f"seen{k}")
 
 
-def derive(tokens: DataFrame, binary: DataFrame, unary: DataFrame, save, rounds: int = 200) -> DataFrame:
+def derive(tokens: DataFrame, binary: DataFrame, unary: DataFrame, save) -> DataFrame:
     """All spans (msg, sym, i, j) of a grammar in binary form, as joins: parsing without the kernel.
 
     tokens: (msg, sym, i, j) as lexed. binary: (sym, left, right). unary: (sym, child). For small inputs: each round is
     a few joins.
     """
     seen = delta = save(tokens.select("msg", "sym", "i", "j").distinct(), "derive0")
-    for k in range(1, rounds + 1):
+    for k in itertools.count(1):
         up = delta.join(F.broadcast(unary), delta["sym"] == unary["child"]).select("msg", unary["sym"], "i", "j")
         out = up
         for here, there, a, b in ((delta, seen, "left", "right"), (seen, delta, "left", "right")):
@@ -84,4 +86,3 @@ def derive(tokens: DataFrame, binary: DataFrame, unary: DataFrame, save, rounds:
         if delta.isEmpty():
             return seen
         seen = save(seen.unionByName(delta), f"seen{k}")
-    raise RuntimeError(f"not closed after {rounds} rounds")

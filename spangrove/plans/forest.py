@@ -7,7 +7,7 @@ over [k, j] is a chain of iterations.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -52,27 +52,47 @@ class Forest:
     def target(self, e: Element) -> Owner | None:
         return self.g.rules[e.name] if e.kind == "call" else e if e.bracket else None
 
+    @cached_property
+    def by_end(self) -> dict[tuple[int, int, int], list[int]]:
+        """(element, i, j) -> pivots."""
+        out: dict[tuple[int, int, int], list[int]] = defaultdict(list)
+        for number, found in self.spans.items():
+            for i, k, j in found:
+                out[number, i, j].append(k)
+        return out
+
     def chains(self, a: Alternative, i: int, j: int) -> bool:
-        return bool(self._tiles(a, 0, i, i, j))
+        return i in self._steps(a, i, j)[0]
 
     def _tiles(self, a: Alternative, p: int, i: int, k: int, j: int) -> list[int]:
         """The ends of element p from k from which the rest of the alternative reaches j."""
+        return self._steps(a, i, j)[p].get(k, [])
+
+    def _steps(self, a: Alternative, i: int, j: int) -> list[dict[int, list[int]]]:
+        """For each element, from which pivot to which ends it goes on whole tilings; found from the end back, so spans
+        that lead elsewhere are not looked at."""
         memo = self._memo
-        key = a.number, p, i, k, j
+        key = a.number, i, j
         if key not in memo:
-            memo[key] = []
-            out = []
-            e = a.elements[p]
-            own = self.spans.get(self.g.rules[e.name].number, ()) if e.kind == "call" else None
-            for m in self.by_start.get((e.number, i, k), ()):
-                # A use of a rule and the rule itself must both have the stretch.
-                if m <= j and (own is None or (k, k, m) in own) and (m == j if p + 1 == len(a.elements) else bool(self._tiles(a, p + 1, i, m, j))):
-                    out.append(m)
-            memo[key] = out
+            steps: list[dict[int, list[int]]] = []
+            goals = [j]
+            for e in reversed(a.elements):
+                own = self.spans.get(self.g.rules[e.name].number, ()) if e.kind == "call" else None
+                step: dict[int, list[int]] = {}
+                for m in goals:
+                    for k in self.by_end.get((e.number, i, m), ()):
+                        # A use of a rule and the rule itself must both have the stretch.
+                        if own is None or (k, k, m) in own:
+                            step.setdefault(k, []).append(m)
+                for ends in step.values():
+                    ends.sort()
+                steps.append(step)
+                goals = sorted(step)
+            memo[key] = steps[::-1]
         return memo[key]
 
     @cached_property
-    def _memo(self) -> dict[tuple[int, int, int, int, int], list[int]]:
+    def _memo(self) -> dict[tuple[int, int, int], list[dict[int, list[int]]]]:
         return {}
 
     def iterations(self, e: Element, k: int, j: int) -> list[int]:
@@ -293,16 +313,20 @@ class Tree:
     missing: bool = False
 
     def dump(self, depth: int = 0) -> str:
-        shown = "" if self.image is None else f" {self.image!r}"
-        marks = " ?" * self.ambiguous + " !" * self.missing
-        return "\n".join([f"{'  ' * depth}{self.name} [{self.start}..{self.end}]{shown}{marks}", *(c.dump(depth + 1) for c in self.children)])
+        out, todo = [], [(self, depth)]
+        while todo:
+            t, d = todo.pop()
+            shown = "" if t.image is None else f" {t.image!r}"
+            out.append(f"{'  ' * d}{t.name} [{t.start}..{t.end}]{shown}{' ?' * t.ambiguous}{' !' * t.missing}")
+            todo += [(c, d + 1) for c in reversed(t.children)]
+        return "\n".join(out)
 
     def rows(self) -> Iterator[tuple[int, int | None, int, str, int, int, str | None, bool]]:
         """(id, parent, place among siblings, name, start, end, image, ambiguous), parents first."""
-        todo: list[tuple[Tree, int | None, int]] = [(self, None, 0)]
+        todo: deque[tuple[Tree, int | None, int]] = deque([(self, None, 0)])
         number = 0
         while todo:
-            t, parent, place = todo.pop(0)
+            t, parent, place = todo.popleft()
             yield number, parent, place, t.name, t.start, t.end, t.image, t.ambiguous
             todo += [(c, number, p) for p, c in enumerate(t.children)]
             number += 1
@@ -478,8 +502,8 @@ def sppf(parse: Parse) -> tuple[list[tuple[str, str, str, int, int]], list[tuple
         return key
 
     def packs(parent: str, a: Alternative, p: int, i: int, j: int, whole: int) -> None:
-        for k in sorted({k for x, k, m in parse.spans.get(a.elements[p].number, ()) if x == i and m == j}):
-            if p and not any(x == i and m == k for x, _, m in parse.spans.get(a.elements[p - 1].number, ())):
+        for k in sorted(f.by_end.get((a.elements[p].number, i, j), ())):
+            if p and (a.elements[p - 1].number, i, k) not in f.by_end:
                 continue
             if not p and k != i:
                 continue

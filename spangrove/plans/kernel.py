@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections import deque
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from .grammar import EOS, EPS, Alternative, Element, Grammar, Rule
 from .lexing import Lexer, Match, Patterns
@@ -71,6 +72,41 @@ class Kernel:
         self.patterns = Patterns(grammar)
         self.looks_back = any(e.kind == "gap" for e in grammar.elements) or any(t.behind for t in grammar.terminals.values())
 
+    @cached_property
+    def names(self) -> dict[int, str]:
+        """Terminals by their symbol numbers."""
+        return {n: name for name, n in self.g.symbols.items()}
+
+    @cached_property
+    def shaped(self) -> bool:
+        """Does a parse depend on nothing but which terminals match where?"""
+        rules, terminals = self.g.rules.values(), self.g.terminals.values()
+        return not (self.looks_back or self.g.layout or any(r.trivia for r in rules) or any(t.lexical_rule or t.split_before for t in terminals))
+
+    def shape(self, text: str) -> tuple[tuple, list[int], dict[tuple[str, int], Match]]:
+        """What decides about the parse of a text: the places that tokens lead to, in order, and the terminals that match
+        at each, by the numbers of the places they lead to. Also the places themselves, and each match."""
+        lexer = Lexer(self.g, self.patterns, text, lambda *_: None)
+        names = [EOS, *self.patterns.literals, *self.patterns.regexes]
+        found: dict[int, list[tuple[str, int]]] = {}
+        matches: dict[tuple[str, int], Match] = {}
+        todo = [0]
+        while todo:
+            at = todo.pop()
+            if at in found:
+                continue
+            found[at] = here = []
+            for name in names:
+                for m in lexer.lex(at, name):
+                    here.append((name, m.after))
+                    matches[name, at] = m
+                    if m.after not in found:
+                        todo.append(m.after)
+        n = len(text)
+        places = sorted(found)
+        number = {at: i for i, at in enumerate(places)}
+        return tuple((at == n, *((name, number[after]) for name, after in found[at])) for at in places), places, matches
+
     def parse(self, text: str) -> Parse:
         known: dict[tuple[str, int], int | None] = {}
         inner = Lexer(self.g, self.patterns, text, None)

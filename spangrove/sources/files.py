@@ -13,8 +13,8 @@ from .scratch import scratch_save
 #: Which files make the index, and which folders do not.
 SUFFIXES = (".txt", ".md", ".swift", ".grammar", ".gv")
 EXCLUDED = (".git", ".build", "DerivedData", "Products")
-#: Tried in this order.
-ENCODINGS = ("utf-8", "utf-16", "utf-32", "iso-8859-1", "windows-1252", "iso-2022-jp", "shift_jis", "euc_jp", "mac_roman")
+#: Tried in this order.
+ENCODINGS = ("utf-8", "mac_roman", "iso-8859-1", "iso-8859-2", "ascii", "utf-16", "utf-16-be", "utf-16-le", "utf-32", "utf-32-be", "utf-32-le", "windows-1250", "windows-1251", "windows-1252", "windows-1253", "windows-1254")
 
 
 def source_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = SUFFIXES, excluded: tuple[str, ...] = EXCLUDED) -> DataFrame:

@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_save(spark: SparkSession) -> Callable[[DataFrame, str], DataFrame]:
-    """save(df, name) below spark.checkpoint.dir; a folder of this machine only where that is not set."""
+    """save(df, name) below spark.checkpoint.dir; a folder of this machine only where that is not set and the session
+    runs within one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spangrove-")
-        spark.conf.set("spark.checkpoint.dir", base)
     root = f"{base.rstrip('/')}/rounds-{uuid.uuid4().hex}"
 
     def save(df: DataFrame, name: str) -> DataFrame:
@@ -22,3 +25,11 @@ def scratch_save(spark: SparkSession) -> Callable[[DataFrame, str], DataFrame]:
         return spark.read.schema(df.schema).parquet(f"{root}/{name}")
 
     return save
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

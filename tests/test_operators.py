@@ -173,7 +173,7 @@ def test_emitters(spark):
 def test_scalars(spark):
     df = spark.createDataFrame([("a\r\nb\tc😀d", 6)], "t string, at int")
     row = df.select(tx.line_position(F.col("t"), F.col("at")).alias("p"), tx.column_of(F.col("t"), F.col("at")).alias("c"), tx.escapes_removed(F.lit("\\\\n")).alias("e"), tx.strip(F.lit("\n a \t")).alias("s"), tx.csv_field(F.lit('a"b')).alias("q"), tx.whitespace_visible(F.lit(" \t\n")).alias("w"), tx.is_epsilon(F.lit("ε")).alias("i"), tx.kebab(F.lit("fooBar baz")).alias("k"), tx.identifier(F.lit("9-a")).alias("n"), tx.snippet(F.lit("ab cd"), F.lit(0)).alias("x"), tx.stripped(F.lit("literal"), F.lit('"ab"')).alias("l"), tx.title_case(F.lit("ALL CAPS")).alias("tc"), tx.html(F.lit("<a&")).alias("h")).first()
-    assert row.p == "L1P3" and row.c == 9 and row.e == "\\\n" and row.s == "a" and row.q == '"a""b"' and row.w == "·→↵" and row.i and row.k == "foo-bar-baz" and row.n == "_9_a" and row.x == "ab" and row.l == "ab" and row.tc == "All Caps" and row.h == "&lt;a&amp;"
+    assert row.p == "L1P3" and row.c == 9 and row.e == "\\\n" and row.s == "a" and row.q == '"a""b"' and row.w == "·→↵" and row.i and row.k == "foo-bar-baz" and row.n == "_9HyphenMinusa" and row.x == "ab" and row.l == "ab" and row.tc == "All Caps" and row.h == "&lt;a&amp;"
     events = spark.createDataFrame([([0, 4, 2, 2],), ([],), ([3, None, 5, 0],)], "c array<int>").select(tx.indent_events(F.col("c")).alias("e")).collect()
     assert [r.e for r in events] == [["I", "D", "I", "D"], [], ["I", "I", "D", "D"]]
 
