@@ -154,6 +154,13 @@ def search(index: DataFrame, sizes: DataFrame, query: str, ids: list[str], limit
     return found.where(q.holds(F.col("found"))).select(*ids, (-F.col("bm25")).alias("score")).orderBy("score", *ids).limit(limit)
 
 
+def matching(index: DataFrame, query: str, ids: list[str]) -> DataFrame:
+    """ids of all chunks that a query holds for, unranked. index: postings. A query that only denies finds nothing."""
+    q = Query(query)
+    found = index.where(q.wanted(F.col("term"))).groupBy(*ids).agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("found"))
+    return found.where(q.holds(F.col("found"))).select(*ids)
+
+
 def snippet(text: Column, words: list[str], tokens: int = 18) -> Column:
     """A window of words around the first hit, hits in [ ], cut ends as ' ... '."""
     parts = F.split(strip(text), r"(?U)\s+")

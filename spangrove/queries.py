@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import text as tx
 from .operators import corpus, search
 from .operators import spans as sp
-from .operators.parse import commits, diagnostics, forest_edges, forest_nodes, metrics, parse, parse_distinct, summary
+from .operators.parse import commits, diagnostics, forest_edges, forest_nodes, metrics, parse, parse_distinct, summary, terminal_text, tree_nodes
 from .operators.parse import spans as spans_of
 from .plans.analysis import conflicts, first_rows, follow_rows, rule_references
 from .plans.grammar import compile_grammar
@@ -106,11 +106,6 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fts_three_way_join(spark: SparkSession, sf: str) -> DataFrame:
-    """The 20 first of fts_three_way_join_every, most frequent first."""
-    return fts_three_way_join_every(spark, sf).orderBy(F.desc("tf"), "doc_id", "chunk_index").limit(20)
-
-
-def fts_three_way_join_every(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks that hold both words, with their documents' source."""
     d = _table(spark, sf, "documents")
     c = search.chunks(d)
@@ -210,13 +205,7 @@ def parse_expressions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def parse_ambiguous(spark: SparkSession, sf: str) -> DataFrame:
-    """Spans left after disambiguation, as counts for each distinct expression."""
-    e = _expressions(spark, sf).where("l_linenumber % 3 <> 0").select(F.regexp_replace("text", "[()]", "").alias("text")).distinct()
-    return metrics(parse(e, AMBIGUOUS, resolve=True, keep=(), spread=True), "text").select("text", "exact", (F.col("pruned") > 0).alias("pruned"))
-
-
-def parse_ambiguous_every(spark: SparkSession, sf: str) -> DataFrame:
-    """As parse_ambiguous, with the expressions that are rejected."""
+    """Whether disambiguation dropped spans, for each distinct expression; rejected ones have none."""
     e = _expressions(spark, sf).select(F.regexp_replace("text", "[()]", "").alias("text")).distinct()
     return metrics(parse(e, AMBIGUOUS, resolve=True, keep=(), spread=True), "text").select("text", "exact", (F.col("pruned") > 0).alias("pruned"))
 
@@ -252,12 +241,7 @@ def forest_tables(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def token_commits(spark: SparkSession, sf: str) -> DataFrame:
-    e = _expressions(spark, sf).where("l_linenumber % 3 <> 0").select("text").distinct()
-    return commits(parse(e, ARITHMETIC, keep=("commits",), spread=True), "text").groupBy("text").agg(F.count("*").alias("tokens"), F.max("end").cast("long").alias("last_end"))
-
-
-def token_commits_every(spark: SparkSession, sf: str) -> DataFrame:
-    """As token_commits, with what was committed of the expressions that are rejected."""
+    """Tokens of each distinct expression, of rejected ones those that were committed."""
     e = _expressions(spark, sf).select("text").distinct()
     return commits(parse(e, ARITHMETIC, keep=("commits",), spread=True), "text").groupBy("text").agg(F.count("*").alias("tokens"), F.max("end").cast("long").alias("last_end"))
 
@@ -287,12 +271,117 @@ def indent_events(spark: SparkSession, sf: str) -> DataFrame:
 
 def scalar_functions(spark: SparkSession, sf: str) -> DataFrame:
     d = _table(spark, sf, "documents")
-    at = F.least(F.length("text"), F.lit(200))
     text = F.col("text")
+    at = F.length(text)
     whole: Column = tx.whitespace_visible(tx.escapes_added(tx.html(text)))
     return d.select("doc_id", tx.line_position(text, at).alias("position"), tx.column_of(text, at).cast("long").alias("column_at"), F.md5(whole).alias("shown_md5"))
 
 
+def label_functions(spark: SparkSession, sf: str) -> DataFrame:
+    """Names, titles, CSV fields, labels and epsilons made of each part's columns."""
+    p = _table(spark, sf, "part").select("p_partkey", F.concat(F.initcap("p_name"), F.lit("HTTPServer_x"), F.col("p_size").cast("string"), F.lit("Of THE \"Line\"")).alias("x"))
+    symbol = F.when(F.col("p_partkey") % 3 == 0, "ε").when(F.col("p_partkey") % 3 == 1, "ԑ").otherwise("e")
+    return p.select("p_partkey", tx.kebab(F.col("x")).alias("kebab"), tx.title_case(F.col("x")).alias("title"), tx.csv_field(F.col("x")).alias("field"), tx.graphviz_html(F.concat(F.lit("<"), F.col("x"), F.lit("&\n"))).alias("label"), tx.is_epsilon(symbol).alias("epsilon"), tx.stripped(F.lit("literal"), F.concat(F.lit('"'), F.col("x"), F.lit('"'))).alias("inner"))
+
+
+def _numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """q, n: the distinct pairs of a quantity and a line number."""
+    return _table(spark, sf, "lineitem").select(F.col("l_quantity").cast("long").alias("q"), F.col("l_linenumber").cast("long").alias("n")).distinct()
+
+
+_SPACED = r"space : /\s+/ . number - /[0-9]+/ . "
+#: Name, grammar, message from q and n.
+PREDICATES = [
+    ("lookbehind", _SPACED + r'day - /[0-9]+\./ . <+<("at") S = ("at" | "on") day .', lambda q, n: F.concat(F.when(n % 2 == 0, "at ").otherwise("on "), q, F.lit("."))),
+    ("no_lookbehind", _SPACED + r'day - /[0-9]+\./ . <-<("at") S = ("at" | "on") day .', lambda q, n: F.concat(F.when(n % 2 == 0, "at ").otherwise("on "), q, F.lit("."))),
+    ("exclusion", _SPACED + r'word - /[a-z]+/ . S = { w | "end" "!" } . w = word ---("end") .', lambda q, n: F.concat(F.repeat(F.lit("so "), (n % 3).cast("int")), F.when(q % 2 == 0, "end").otherwise("endless"))),
+    ("predict", _SPACED + r'word - /[a-z]+/ . S = key ( "=" | ":" ) number . key = word >+>("=") .', lambda q, n: F.concat(F.lit("ab "), F.when(n % 2 == 0, "= ").otherwise(": "), q)),
+    ("negative", _SPACED + r'word - /[a-z]+/ . S = key ( "=" | ":" ) number . key = word >->("=") .', lambda q, n: F.concat(F.lit("ab "), F.when(n % 2 == 0, "= ").otherwise(": "), q)),
+    ("gap", _SPACED + r'S = number <s> "%" .', lambda q, n: F.concat(q, F.repeat(F.lit(" "), (n % 3).cast("int")), F.lit("%"))),
+    ("no_gap", _SPACED + r'S = number >s< "%" .', lambda q, n: F.concat(q, F.repeat(F.lit(" "), (n % 3).cast("int")), F.lit("%"))),
+    ("line_gap", _SPACED + r'S = number <n> "%" .', lambda q, n: F.concat(q, F.when(n % 2 == 0, "\n").otherwise(" "), F.lit("%"))),
+    ("split", _SPACED + r'@splitBefore(">") close - />+/ . S = number | "<" S close .', lambda q, n: F.concat(F.repeat(F.lit("<"), (n % 4).cast("int")), q, F.repeat(F.lit(">"), (q % 4).cast("int")))),
+    ("longest_word", _SPACED + r'@lexicalClass word - /[a-z]+/ . S = "in" number .', lambda q, n: F.concat(F.when(n % 2 == 0, "in ").otherwise("inn "), q)),
+    ("trivia_rule", r'nested =: "(" { /[^()]/ | nested } ")" . number - /[0-9]+/ . S = number .', lambda q, n: F.concat(F.repeat(F.lit("("), (n % 3).cast("int")), F.lit("x"), F.repeat(F.lit(")"), (q % 3).cast("int")), q)),
+    ("lexical_rule", _SPACED + r'pair =| number "-" number . S = pair pair .', lambda q, n: F.concat(q, F.when(n % 2 == 0, "-").otherwise(" - "), n, F.lit(" 3-4"))),
+    ("layout", r'space : /\s+/ . word - /[a-z]+/ . S = word >>| word |<< word .', lambda q, n: F.concat(F.lit("a\n"), F.repeat(F.lit(" "), (n % 3).cast("int")), F.lit("b\n"), F.repeat(F.lit(" "), (q % 3).cast("int")), F.lit("c"))),
+]
+
+
+def terminal_predicates(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdicts of grammars that look at what stands before, after and between tokens."""
+    out, numbers = None, _numbers(spark, sf)
+    for name, grammar, message in PREDICATES:
+        texts = numbers.select(message(F.col("q"), F.col("n")).alias("text")).distinct()
+        got = parse(texts, grammar, keep=()).select(F.lit(name).alias("predicate"), "text", F.col("parse.accepted").alias("accepted"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def furthest_mismatch(spark: SparkSession, sf: str) -> DataFrame:
+    """Where rejected expressions stop, and what could have stood there."""
+    e = _expressions(spark, sf).select("text").distinct()
+    p = parse(e, ARITHMETIC, keep=(), spread=True).where(~F.col("parse.accepted"))
+    return p.select("text", F.col("parse.furthest").cast("long").alias("furthest"), F.array_join("parse.expected", " ").alias("expected"))
+
+
+def terminal_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The tokens of each distinct expression without what was skipped between them."""
+    e = _expressions(spark, sf).select("text").distinct()
+    return terminal_text(parse(e, ARITHMETIC, keep=("commits",), spread=True), "text", "text")
+
+
+def all_trees(spark: SparkSession, sf: str) -> DataFrame:
+    """How many trees the doubling grammar has over as many letters as regions have characters, ten at most by the limit,
+    and that each is another one."""
+    m = _table(spark, sf, "region").select("r_regionkey", F.repeat(F.lit("b"), F.least(F.length("r_name"), F.lit(6))).alias("text"))
+    p = parse(m, DOUBLING, keep=("trees",), trees=10)
+    return p.select("r_regionkey", F.size("parse.trees").cast("long").alias("trees"), F.size(F.array_distinct("parse.trees")).cast("long").alias("distinct_trees"))
+
+
+def single_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes of the one tree of each nation's name under a right-recursive rule: a leaf and a rule for each letter."""
+    m = _table(spark, sf, "nation").select("n_nationkey", F.regexp_replace(F.upper("n_name"), "[^A-Z]", "").alias("text"))
+    t = tree_nodes(parse(m, 'letter - /[A-Z]/ . S = letter | letter S .', keep=("tree",)), "n_nationkey")
+    return t.groupBy("n_nationkey").agg(F.count("*").alias("nodes"), F.sum((F.col("name") == "letter").cast("long")).alias("leaves"), F.max("end").cast("long").alias("last_end"))
+
+
+def avoided_option(spark: SparkSession, sf: str) -> DataFrame:
+    """An option that is avoided: of two readings of 'n n' the one without it stays, and no choice is left."""
+    texts = _numbers(spark, sf).select(F.concat_ws(" ", "q", "n").alias("text")).distinct()
+    p = parse(texts, _SPACED + "S = [ @avoid number ] rest . rest = number | number number .", resolve=True, keep=("diagnostics",))
+    return p.select("text", F.col("parse.exact").alias("exact"), (F.col("parse.pruned") > 0).alias("pruned"), F.size("parse.diagnostics").cast("long").alias("left"))
+
+
+def parse_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """Counters of the kernel on the doubling grammar that have closed forms: tokens, matches and needs."""
+    m = spark.range(1, 9).select("id", F.repeat(F.lit("b"), F.col("id").cast("int")).alias("text"))
+    return metrics(parse(m, DOUBLING, keep=()), "id").select("id", F.col("matches").cast("long").alias("matches"), F.col("tokens").cast("long").alias("tokens"), F.col("source_len").cast("long").alias("source_len"))
+
+
+def _matching(spark: SparkSession, sf: str, query: str) -> DataFrame:
+    return search.matching(search.postings(_table(spark, sf, "documents"), "doc_id"), query, ["doc_id"])
+
+
+def search_phrase(spark: SparkSession, sf: str) -> DataFrame:
+    return _matching(spark, sf, '"of the"')
+
+
+def search_or(spark: SparkSession, sf: str) -> DataFrame:
+    return _matching(spark, sf, "worthless OR (que AND par)")
+
+
+def search_prefix(spark: SparkSession, sf: str) -> DataFrame:
+    return _matching(spark, sf, "ent* NOT que")
+
+
+def ranked_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """The eight best chunks with their documents' paths."""
+    d = _table(spark, sf, "documents").withColumn("path", F.concat_ws("/", "source", F.col("doc_id").cast("string")))
+    h = search.hits(d, search.chunks(d), "the of NOT worthless")
+    return h.select("path", F.col("chunk_index").cast("long").alias("chunk_index"), F.round("score", 6).alias("score"))
+
+
 def text_positions(spark: SparkSession, sf: str) -> DataFrame:
     """Line positions and columns with tab stops at each quarter of every document, its end included."""
     d = _table(spark, sf, "documents").select("doc_id", "text", F.explode(F.array(*(F.lit(q).cast("long") for q in range(1, 5)))).alias("quarter"))
@@ -321,7 +410,61 @@ def _window(order: str, by: str, fn: str, value: str) -> str:
     return f"WITH {_SPANS_SQL} SELECT msg, slot, i, k, j FROM (SELECT *, {fn}({value}) OVER (PARTITION BY msg, slot, {by}) AS best FROM s) WHERE {value} = best"
 
 
+_PREDICATES_SQL = """
+WITH m AS (SELECT DISTINCT CAST(l_quantity AS BIGINT) AS q, CAST(l_linenumber AS BIGINT) AS n FROM lineitem)
+SELECT DISTINCT 'lookbehind' AS predicate, concat(CASE WHEN n % 2 = 0 THEN 'at ' ELSE 'on ' END, q, '.') AS text, n % 2 = 0 AS accepted FROM m
+UNION ALL SELECT DISTINCT 'no_lookbehind', concat(CASE WHEN n % 2 = 0 THEN 'at ' ELSE 'on ' END, q, '.'), n % 2 <> 0 FROM m
+UNION ALL SELECT DISTINCT 'exclusion', concat(repeat('so ', n % 3), CASE WHEN q % 2 = 0 THEN 'end' ELSE 'endless' END), q % 2 <> 0 FROM m
+UNION ALL SELECT DISTINCT 'predict', concat('ab ', CASE WHEN n % 2 = 0 THEN '= ' ELSE ': ' END, q), n % 2 = 0 FROM m
+UNION ALL SELECT DISTINCT 'negative', concat('ab ', CASE WHEN n % 2 = 0 THEN '= ' ELSE ': ' END, q), n % 2 <> 0 FROM m
+UNION ALL SELECT DISTINCT 'gap', concat(q, repeat(' ', n % 3), '%'), n % 3 > 0 FROM m
+UNION ALL SELECT DISTINCT 'no_gap', concat(q, repeat(' ', n % 3), '%'), n % 3 = 0 FROM m
+UNION ALL SELECT DISTINCT 'line_gap', concat(q, CASE WHEN n % 2 = 0 THEN chr(10) ELSE ' ' END, '%'), n % 2 = 0 FROM m
+UNION ALL SELECT DISTINCT 'split', concat(repeat('<', n % 4), q, repeat('>', q % 4)), CASE WHEN n % 4 = 0 THEN q % 4 = 0 ELSE q % 4 >= n % 4 END FROM m
+UNION ALL SELECT DISTINCT 'longest_word', concat(CASE WHEN n % 2 = 0 THEN 'in ' ELSE 'inn ' END, q), n % 2 = 0 FROM m
+UNION ALL SELECT DISTINCT 'trivia_rule', concat(repeat('(', n % 3), 'x', repeat(')', q % 3), q), false FROM m WHERE n % 3 = 0 OR n % 3 <> q % 3
+UNION ALL SELECT DISTINCT 'trivia_rule', concat(repeat('(', n % 3), 'x', repeat(')', q % 3), q), true FROM m WHERE n % 3 > 0 AND n % 3 = q % 3
+UNION ALL SELECT DISTINCT 'lexical_rule', concat(q, CASE WHEN n % 2 = 0 THEN '-' ELSE ' - ' END, n, ' 3-4'), n % 2 = 0 FROM m
+UNION ALL SELECT DISTINCT 'layout', concat('a', chr(10), repeat(' ', n % 3), 'b', chr(10), repeat(' ', q % 3), 'c'), q % 3 < n % 3 FROM m
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "terminal_predicates": _PREDICATES_SQL,
+    "furthest_mismatch": """SELECT DISTINCT concat(q, ' + * ', p) AS text, CAST(length(q) AS BIGINT) + 1 AS furthest, '"*" "+"' AS expected
+        FROM (SELECT CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS q, CAST(l_partkey AS VARCHAR) AS p, l_linenumber AS n FROM lineitem) WHERE n % 3 = 0""",
+    "terminal_texts": """SELECT DISTINCT CASE WHEN n % 3 = 0 THEN concat(q, ' + * ', p) ELSE concat(q, ' + ', n, ' * (', p, '+', q, ')') END AS text, CASE WHEN n % 3 = 0 THEN q ELSE concat(q, '+', n, '*(', p, '+', q, ')') END AS image
+        FROM (SELECT CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS q, CAST(l_partkey AS VARCHAR) AS p, l_linenumber AS n FROM lineitem)""",
+    "all_trees": """SELECT r_regionkey, CAST(least(10, factorial(2 * k) / (factorial(k) * factorial(k + 1))) AS BIGINT) AS trees, CAST(least(10, factorial(2 * k) / (factorial(k) * factorial(k + 1))) AS BIGINT) AS distinct_trees
+        FROM (SELECT r_regionkey, CAST(least(length(r_name), 6) - 1 AS INTEGER) AS k FROM region)""",
+    "single_tree": """SELECT n_nationkey, CAST(2 * n AS BIGINT) AS nodes, CAST(n AS BIGINT) AS leaves, CAST(n AS BIGINT) AS last_end FROM (SELECT n_nationkey, length(regexp_replace(upper(n_name), '[^A-Z]', '', 'g')) AS n FROM nation)""",
+    "avoided_option": """SELECT DISTINCT concat(CAST(l_quantity AS BIGINT), ' ', l_linenumber) AS text, true AS exact, true AS pruned, CAST(0 AS BIGINT) AS "left" FROM lineitem""",
+    "parse_counters": """SELECT n AS id, CAST(1 AS BIGINT) AS matches, n AS tokens, n AS source_len FROM (SELECT unnest(range(1, 9)) AS n)""",
+    "search_phrase": f"""SELECT doc_id FROM documents WHERE contains(' ' || array_to_string({_WORDS.format("text")}, ' ') || ' ', ' of the ')""",
+    "search_or": f"""WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents) SELECT doc_id FROM d WHERE list_contains(w, 'worthless') OR (list_contains(w, 'que') AND list_contains(w, 'par'))""",
+    "search_prefix": f"""WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents) SELECT doc_id FROM d WHERE contains(' ' || array_to_string(w, ' '), ' ent') AND NOT list_contains(w, 'que')""",
+    "ranked_hits": f"""WITH {_CHUNKS_SQL}, d AS (SELECT doc_id, chunk_index, {_WORDS.format("piece")} AS words FROM chunks), w AS (SELECT doc_id, chunk_index, unnest(words) AS term FROM d),
+        p AS (SELECT doc_id, chunk_index, term, count(*) AS tf FROM w WHERE term IN ('the', 'of', 'worthless') GROUP BY ALL),
+        f AS (SELECT term, count(*) AS df FROM p GROUP BY term), n AS (SELECT count(*) AS n, avg(len(words)) AS a FROM d),
+        s AS (SELECT p.doc_id, p.chunk_index, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(words) / a))) AS b,
+          bool_or(p.term = 'the') AND bool_or(p.term = 'of') AND NOT bool_or(p.term = 'worthless') AS ok FROM p JOIN f USING (term) JOIN d USING (doc_id, chunk_index), n GROUP BY p.doc_id, p.chunk_index)
+        SELECT concat(source, '/', doc_id) AS path, chunk_index, round(-b, 6) AS score FROM s JOIN documents USING (doc_id) WHERE ok ORDER BY -b, doc_id, chunk_index LIMIT 8""",
+    "label_functions": """WITH p AS (SELECT p_partkey, concat(array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(left(w, 1)) || lower(substring(w, 2))), ' '), 'HTTPServer_x', p_size, 'Of THE "Line"') AS x FROM part)
+        SELECT p_partkey, translate(lower(regexp_replace(regexp_replace(x, '([a-z0-9])([A-Z])', '\\1-\\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1-\\2', 'g')), '_ ', '--') AS kebab,
+        array_to_string(list_transform(list_filter(string_split(lower(x), ' '), lambda w: w <> ''), lambda w, i: CASE WHEN i > 1 AND w IN ('and', 'or', 'of', 'the', 'a', 'an', 'to', 'in', 'for', 'with', 'on') THEN w ELSE upper(left(w, 1)) || substring(w, 2) END), ' ') AS title,
+        concat('"', replace(x, '"', '""'), '"') AS field, concat('&lt;', x, '&amp;<br/>') AS label, p_partkey % 3 < 2 AS epsilon, x AS inner FROM p""",
+    "residual_ambiguity": """SELECT CAST(count(DISTINCT concat(q, '/', l_linenumber, '/', l_partkey)) AS BIGINT) AS count, node, 'ambiguous pivot' AS kind, signature FROM (SELECT CAST(l_quantity AS BIGINT) AS q, l_linenumber, l_partkey FROM lineitem WHERE l_linenumber % 3 <> 0),
+        (VALUES ('E', 'body=[E "+" E]'), ('T', 'body=[T "*" T]')) v(node, signature) GROUP BY node, signature""",
+    "forest_tables": """SELECT n AS id, CAST(n * (n + 1) // 2 AS BIGINT) AS symbols, CAST(2 * n + (n - 1) * n * (n + 1) // 2 + n * (n - 1) AS BIGINT) AS edges FROM (SELECT unnest(range(1, 9)) AS n)""",
+    "indent_events": """WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
+        c AS (SELECT doc_id, line, CASE WHEN length(t) > 0 THEN CAST(length(t) % 5 AS INTEGER) END AS c FROM l),
+        s(doc_id, line, levels, events) AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT), [0], '' FROM c
+          UNION ALL SELECT s.doc_id, CAST(c.line AS BIGINT), CASE WHEN c.c IS NULL THEN levels WHEN c.c > levels[-1] THEN list_append(levels, c.c) ELSE list_filter(levels, lambda x: x <= c.c) END,
+            CASE WHEN c.c IS NULL THEN events WHEN c.c > levels[-1] THEN events || 'I' ELSE events || repeat('D', len(list_filter(levels, lambda x: x > c.c))) END
+          FROM s JOIN c ON c.doc_id = s.doc_id AND c.line = s.line + 1)
+        SELECT doc_id, arg_max(events || repeat('D', len(levels) - 1), line) AS events FROM s GROUP BY doc_id""",
+    "scalar_functions": """WITH l AS (SELECT doc_id, text, regexp_split_to_array(text, '\r\n|\n|\r') AS lines FROM documents), p AS (SELECT *, string_split(lines[-1], chr(9)) AS pieces FROM l)
+        SELECT doc_id, concat('L', len(lines) - 1, 'P', length(lines[-1])) AS position, CAST(coalesce(list_sum(list_transform(pieces[:-2], lambda x: (length(x) // 8 + 1) * 8)), 0) + length(pieces[-1]) AS BIGINT) AS column_at,
+        md5(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(13), chr(92) || 'r'), chr(10), chr(92) || 'n'), chr(9), chr(92) || 't'), chr(39), chr(92) || chr(39)), ' ', '·')) AS shown_md5 FROM p""",
     "doc_fingerprint": "SELECT doc_id, sha256(text) AS sha256, CAST(octet_length(encode(text)) AS BIGINT) AS size, CAST(length(text) AS BIGINT) AS chars FROM documents",
     "chunk_documents": f"WITH {_CHUNKS_SQL} SELECT doc_id, chunk_index, CAST(start_offset AS BIGINT) AS start_offset, CAST(end_offset AS BIGINT) AS end_offset, md5(piece) AS text_md5 FROM chunks",
     "token_offsets": f"WITH {_TOKENS_SQL} SELECT conv_id, turn, pos, token, start, stop FROM tokens",
@@ -339,9 +482,6 @@ ORACLE_SQL: dict[str, str] = {
           bool_or(p.term = 'the') AND bool_or(p.term = 'of') AND NOT bool_or(p.term = 'worthless') AS ok FROM p JOIN f USING (term) JOIN d USING (doc_id), n GROUP BY p.doc_id)
         SELECT doc_id, round(-b, 6) AS score FROM s WHERE ok ORDER BY -b, doc_id LIMIT 8""",
     "fts_three_way_join": f"""WITH {_CHUNKS_SQL}, w AS (SELECT doc_id, chunk_index, start_offset, unnest({_WORDS.format("piece")}) AS term FROM chunks),
-        p AS (SELECT doc_id, chunk_index, start_offset, count(*) AS tf FROM w WHERE term IN ('that', 'with') GROUP BY ALL HAVING count(DISTINCT term) = 2)
-        SELECT doc_id, chunk_index, CAST(start_offset AS BIGINT) AS start_offset, source, CAST(tf AS BIGINT) AS tf FROM p JOIN documents USING (doc_id) ORDER BY tf DESC, doc_id, chunk_index LIMIT 20""",
-    "fts_three_way_join_every": f"""WITH {_CHUNKS_SQL}, w AS (SELECT doc_id, chunk_index, start_offset, unnest({_WORDS.format("piece")}) AS term FROM chunks),
         p AS (SELECT doc_id, chunk_index, start_offset, count(*) AS tf FROM w WHERE term IN ('that', 'with') GROUP BY ALL HAVING count(DISTINCT term) = 2)
         SELECT doc_id, chunk_index, CAST(start_offset AS BIGINT) AS start_offset, source, CAST(tf AS BIGINT) AS tf FROM p JOIN documents USING (doc_id)""",
     "longest_extent": _window("", "i", "max", "j"),
@@ -365,22 +505,16 @@ ORACLE_SQL: dict[str, str] = {
     "signature_harvest": """WITH e AS (SELECT event_type AS node, concat('body=', user_id % 5) AS signature, CASE WHEN event_id % 2 = 0 THEN concat('t', event_id) ELSE concat('?', event_id) END AS label FROM events),
         r AS (SELECT *, row_number() OVER (PARTITION BY node, signature ORDER BY label) AS r, count(*) OVER (PARTITION BY node, signature) AS n FROM (SELECT DISTINCT * FROM e))
         SELECT CAST(max(n) AS BIGINT) AS count, node, 'ambiguous pivot' AS kind, signature, string_agg(label, ',' ORDER BY label) AS example_tests FROM r WHERE r <= 4 GROUP BY node, signature""",
-    "token_commits": """SELECT text, CAST(9 AS BIGINT) AS tokens, CAST(length(text) AS BIGINT) AS last_end FROM (SELECT DISTINCT concat(q, ' + ', n, ' * (', p, '+', q, ')') AS text FROM (SELECT CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS q,
-        CAST(l_partkey AS VARCHAR) AS p, CAST(l_linenumber AS VARCHAR) AS n FROM lineitem WHERE l_linenumber % 3 <> 0))""",
     "performance_summary": """SELECT broken, count(*) AS runs, CAST(sum(CASE WHEN broken THEN 0 ELSE 1 END) AS BIGINT) AS accepted FROM (SELECT DISTINCT l_linenumber % 3 = 0 AS broken, CASE WHEN l_linenumber % 3 = 0 THEN concat(q, ' + * ', p) ELSE concat(q, ' + ', n, ' * (', p, '+', q, ')') END AS text
         FROM (SELECT *, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS q, CAST(l_partkey AS VARCHAR) AS p, CAST(l_linenumber AS VARCHAR) AS n FROM lineitem)) GROUP BY broken""",
-    "parse_ambiguous": """SELECT DISTINCT concat(CAST(l_quantity AS BIGINT), ' + ', l_linenumber, ' * ', l_partkey, '+', CAST(l_quantity AS BIGINT)) AS text, true AS exact, true AS pruned FROM lineitem WHERE l_linenumber % 3 <> 0""",
-    "token_commits_every": """SELECT DISTINCT CASE WHEN broken THEN concat(q, ' + * ', p) ELSE good END AS text, CAST(CASE WHEN broken THEN 1 ELSE 9 END AS BIGINT) AS tokens, CAST(length(CASE WHEN broken THEN q ELSE good END) AS BIGINT) AS last_end
+    "token_commits": """SELECT DISTINCT CASE WHEN broken THEN concat(q, ' + * ', p) ELSE good END AS text, CAST(CASE WHEN broken THEN 1 ELSE 9 END AS BIGINT) AS tokens, CAST(length(CASE WHEN broken THEN q ELSE good END) AS BIGINT) AS last_end
         FROM (SELECT *, concat(q, ' + ', n, ' * (', p, '+', q, ')') AS good FROM (SELECT l_linenumber % 3 = 0 AS broken, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS q, CAST(l_partkey AS VARCHAR) AS p, CAST(l_linenumber AS VARCHAR) AS n FROM lineitem))""",
-    "parse_ambiguous_every": """SELECT DISTINCT CASE WHEN l_linenumber % 3 = 0 THEN concat(CAST(l_quantity AS BIGINT), ' + * ', l_partkey) ELSE concat(CAST(l_quantity AS BIGINT), ' + ', l_linenumber, ' * ', l_partkey, '+', CAST(l_quantity AS BIGINT)) END AS text,
+    "parse_ambiguous": """SELECT DISTINCT CASE WHEN l_linenumber % 3 = 0 THEN concat(CAST(l_quantity AS BIGINT), ' + * ', l_partkey) ELSE concat(CAST(l_quantity AS BIGINT), ' + ', l_linenumber, ' * ', l_partkey, '+', CAST(l_quantity AS BIGINT)) END AS text,
         l_linenumber % 3 <> 0 AS exact, l_linenumber % 3 <> 0 AS pruned FROM lineitem""",
     "section_asof": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
         m AS (SELECT doc_id, line FROM l WHERE regexp_full_match(t, '[A-Z][A-Z !?.,]+'))
         SELECT l.doc_id, CAST(l.line AS BIGINT) AS line, CAST(m.line AS BIGINT) AS section FROM l ASOF LEFT JOIN m ON l.doc_id = m.doc_id AND l.line >= m.line""",
     "relational_twin": """SELECT n AS msg, i, j FROM (SELECT unnest(range(1, 11)) AS n), LATERAL (SELECT unnest(range(0, n + 1)) AS i), LATERAL (SELECT unnest(range(0, n + 1)) AS j) WHERE i < j""",
-    "scalar_functions": """WITH d AS (SELECT doc_id, text, substring(text, 1, 200) AS p FROM documents), l AS (SELECT *, string_split(p, chr(10)) AS lines FROM d)
-        SELECT doc_id, concat('L', len(lines) - 1, 'P', length(lines[-1])) AS position, CAST(length(lines[-1]) AS BIGINT) AS column_at,
-        md5(translate(replace(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '\\', '\\\\'), chr(10), '\\n'), ' ', '·')) AS shown_md5 FROM l""",
     "text_positions": """WITH d AS (SELECT doc_id, text, unnest([1, 2, 3, 4]) AS quarter FROM documents),
         l AS (SELECT *, regexp_split_to_array(left(text, length(text) * quarter // 4), '\r\n|\n|\r') AS lines FROM d), p AS (SELECT *, string_split(lines[-1], chr(9)) AS pieces FROM l)
         SELECT doc_id, CAST(quarter AS BIGINT) AS quarter, concat('L', len(lines) - 1, 'P', length(lines[-1])) AS position,
@@ -390,8 +524,9 @@ ORACLE_SQL: dict[str, str] = {
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        doc_fingerprint, chunk_documents, token_offsets, boundary_gaps, munch_literals, postings, bm25_topk, fts_three_way_join, fts_three_way_join_every, longest_extent, shortest_extent, left_pivot, right_pivot, prefer_same_span, call_return_join,
-        catalan_spans, first_sets, follow_sets, ll1_conflicts, reachable_rules, parse_expressions, parse_ambiguous, parse_ambiguous_every, parse_turns, residual_ambiguity, signature_harvest, forest_tables, token_commits, token_commits_every, performance_summary,
-        section_asof, indent_events, scalar_functions, text_positions, relational_twin,
+        doc_fingerprint, chunk_documents, token_offsets, boundary_gaps, munch_literals, postings, bm25_topk, fts_three_way_join, longest_extent, shortest_extent, left_pivot, right_pivot, prefer_same_span, call_return_join,
+        catalan_spans, first_sets, follow_sets, ll1_conflicts, reachable_rules, parse_expressions, parse_ambiguous, parse_turns, residual_ambiguity, signature_harvest, forest_tables, token_commits, performance_summary,
+        section_asof, indent_events, scalar_functions, text_positions, relational_twin, label_functions, terminal_predicates, furthest_mismatch, terminal_texts, all_trees, single_tree, avoided_option, parse_counters,
+        search_phrase, search_or, search_prefix, ranked_hits,
     )
     return {f.__name__: f for f in every}

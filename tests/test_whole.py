@@ -16,11 +16,11 @@ def test_rejected_expressions(spark):
     every = queries.queries()
     bad = texts(spark).where("text like '%+ * %'").count()
     assert bad
-    for name in ("token_commits_every", "parse_ambiguous_every"):
+    for name in ("token_commits", "parse_ambiguous"):
         out = every[name](spark, SF).cache()
         assert out.where("text like '%+ * %'").count() == bad, name
         assert out.count() == texts(spark).count(), name
-    assert {r.tokens for r in every["token_commits_every"](spark, SF).where("text like '%+ * %'").select("tokens").distinct().collect()} == {1}
+    assert {r.tokens for r in every["token_commits"](spark, SF).where("text like '%+ * %'").select("tokens").distinct().collect()} == {1}
 
 
 def test_residual_ambiguity_parses_all(spark, monkeypatch):
@@ -41,6 +41,5 @@ def test_positions_after_200_characters(spark, tmp_path):
     assert got == {(a, b): (c, d) for a, b, c, d in want} and len(got) == 28
 
 
-def test_join_has_more_than_the_first_20(spark):
-    every = queries.queries()["fts_three_way_join_every"](spark, SF)
-    assert every.count() > 20 and queries.queries()["fts_three_way_join"](spark, SF).exceptAll(every).isEmpty()
+def test_join_has_all_rows(spark):
+    assert queries.queries()["fts_three_way_join"](spark, SF).count() > 20
