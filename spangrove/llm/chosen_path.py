@@ -133,7 +133,7 @@ def paths(reps: DataFrame, scratch: Scratch, runs: range, small: int) -> DataFra
             rep, n = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             tokens = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(len(rep), MOST_RUNS, DEPTH)
             for r in runs:
-                key = mix(tokens[:, r, 0] + np.uint64(r + 1) * _C)
+                key = mix(tokens[:, r, 0] + _ADDENDS[r])
                 rest = pa.array([x.tobytes() for x in tokens[:, r, 1:]], pa.binary())
                 yield pa.record_batch([pa.array(rep), pa.array(n), pa.array(np.full(len(rep), r, np.int32)), pa.array(key.view(np.int64)), rest], names=["rep", "n", "run", "key", "rest"])
 

@@ -32,7 +32,7 @@ from .common import SPACE, arrow_bytes, mix, spans_array, table, texts_at_a_time
 from .token_counts import balanced, worker_tokenizer
 
 WINDOW = 16
-MASK = np.uint64(511)
+MASK = np.uint64(2047)
 BATCH_BYTES = 1 << 20
 STORE_BYTES = 128 << 20
 

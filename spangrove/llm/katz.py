@@ -53,9 +53,9 @@ FOLDS, HELD_OUT = 7, 2
 K = 5
 BLOCK_TOKENS = 1_200_000
 SLICE_BYTES = 4 << 20
-HOT = 1 << 21
+HOT = 1 << 19
 #: Training tokens whose n-grams a bucket gets, on average.
-BUCKET_TOKENS = 400_000
+BUCKET_TOKENS = 200_000
 END = b""
 
 

@@ -1,7 +1,7 @@
 """Token counts: Arrow functions that return lengths only.
 
-Texts longer than a batch are split at safe boundaries (white space after another character, where the tokenizers'
-patterns always end a piece), and the pieces go to the library in batches that are balanced by bytes. Ids never leave
+Texts longer than PIECE_BYTES are split at safe boundaries (white space after another character, where the tokenizers'
+patterns always end a piece), and the pieces go to the library in batches of about BATCH_BYTES. Ids never leave
 the function. Byte-level tokenizers join one space to the word after it; a piece begins with its white space, so this
 holds across cuts.
 
@@ -23,11 +23,13 @@ from .common import arrow_bytes, pieces, slices, table, texts_at_a_time
 from .units import load_tokenizer
 
 BATCH_BYTES = 1 << 20
+#: The library takes pieces of about this size fastest.
+PIECE_BYTES = 1 << 10
 
 
-def balanced(buf: np.ndarray, offsets: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(bytes, offsets of pieces, row of each piece) of about `most` bytes at a time."""
-    cut = pieces(buf, offsets, most)
+def balanced(buf: np.ndarray, offsets: np.ndarray, most: int, piece: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, offsets of pieces, row of each piece) of about `most` bytes at a time, pieces of `piece` at most if given."""
+    cut = pieces(buf, offsets, piece or most)
     if not cut:
         return
     rows, starts, ends = (np.array(x, np.int64) for x in zip(*cut, strict=True))
@@ -61,7 +63,7 @@ def count_tokens(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
         for batch in texts_at_a_time(batches, 1):
             buf, offsets = arrow_bytes(batch.column(1))
             counts = np.zeros(batch.num_rows, np.int64)
-            for part, bounds, rows in balanced(buf, offsets, BATCH_BYTES):
+            for part, bounds, rows in balanced(buf, offsets, BATCH_BYTES, PIECE_BYTES):
                 np.add.at(counts, rows, lengths(tok, part, bounds))
             yield pa.record_batch([batch.column(0), pa.array(np.diff(offsets)), pa.array(counts), pa.array(counts > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
