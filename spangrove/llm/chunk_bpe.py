@@ -1,8 +1,9 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling hash over the last WINDOW bytes cuts texts where its low bits are zero, so that a passage is cut alike in
-every document that holds it. Each distinct chunk, told apart by its bytes, is encoded once by the library, in batches,
-and its ids are kept for the documents that hold it too (by each worker process, up to STORE_BYTES).
+every document that holds it. Each distinct chunk, told apart by its bytes, is encoded once and its ids
+are kept for the documents that hold it too (by each worker process, up to STORE_BYTES). Chunks are encoded in batches by
+the library, which a memo of units (units.py) spares what it has encoded before: words are much fewer than chunks.
 
 A cut may fall inside a word, so chunk joins are repaired: the stretch from a word before to a word after a torn one is
 encoded again as a whole, and so are its parts in the first and the last chunk. If the chunks' ids end (begin) exactly with
@@ -29,10 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE, arrow_bytes, mix, spans_array, table, texts_at_a_time
-from .token_counts import balanced, worker_tokenizer
+from .token_counts import balanced
+from .units import UnitMemo
 
 WINDOW = 16
-MASK = np.uint64(2047)
+MASK = np.uint64(1023)
 BATCH_BYTES = 1 << 20
 STORE_BYTES = 128 << 20
 
@@ -59,8 +61,8 @@ def chunk_cuts(buf: np.ndarray) -> np.ndarray:
 class ChunkEncoder:
     """Encodes rows of a buffer through a store of chunks. spaced: the tokenizer joins a space to the word after it."""
 
-    def __init__(self, tok, spaced: bool = False, store_bytes: int = STORE_BYTES):
-        self.tok, self.spaced, self.store_bytes = tok, spaced, store_bytes
+    def __init__(self, tok, spaced: bool = False, store_bytes: int = STORE_BYTES, memo: UnitMemo | None = None):
+        self.tok, self.spaced, self.store_bytes, self.memo = tok, spaced, store_bytes, memo
         self.store: dict[bytes, np.ndarray] = {}
         self.seams: dict[tuple[bytes, bytes, bytes], list[np.ndarray]] = {}
         self.held = 0
@@ -69,6 +71,10 @@ class ChunkEncoder:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         self.encoded += len(texts)
+        if self.memo:
+            if self.memo.full():
+                self.memo.clear()
+            return self.memo.encoded(texts)
         found = self.tok.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
         return [np.array(x.ids, np.int32) for x in found]
 
@@ -191,7 +197,8 @@ _encoders: dict[tuple[str, bool], ChunkEncoder] = {}
 def worker_encoder(tokenizer: str, spaced: bool) -> ChunkEncoder:
     """The encoder of this worker process; tasks that run after each other go on with its store."""
     if (tokenizer, spaced) not in _encoders:
-        _encoders[tokenizer, spaced] = ChunkEncoder(worker_tokenizer(tokenizer), spaced)
+        memo = UnitMemo(tokenizer, spaced, cap=600_000)
+        _encoders[tokenizer, spaced] = ChunkEncoder(memo.tok, spaced, memo=memo)
     return _encoders[tokenizer, spaced]
 
 

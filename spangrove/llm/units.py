@@ -88,7 +88,7 @@ def shared_memo(tokenizer: str, spaced: bool) -> UnitMemo:
 
 
 class UnitMemo:
-    def __init__(self, tokenizer: str, spaced: bool, cap: int = 1_500_000):
+    def __init__(self, tokenizer: str, spaced: bool, cap: int = 1_000_000):
         self.tok, self.spaced, self.cap = load_tokenizer(tokenizer), spaced, cap
         names = [self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size())]
         #: Ids that begin a word after a space, or end a word.
@@ -167,6 +167,15 @@ class UnitMemo:
         none = [np.zeros(0, np.int64)]
         return np.array(order, np.int64), np.concatenate(lens or none).astype(np.int64), np.concatenate(flat or none).astype(np.int32)
 
+    def encoded(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text."""
+        bounds = np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64)
+        buf = np.frombuffer(b"".join(texts), np.uint8)
+        s, e = self.spans(buf, bounds)
+        slots = self.slots(buf, s, e)
+        ids, ends = self.ids(slots), np.append(0, np.cumsum(self.lens[slots]))[np.searchsorted(s, bounds)].tolist()
+        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
     def ids(self, slots: np.ndarray) -> np.ndarray:
         """The ids of all units, one after another."""
         lens = self.lens[slots].astype(np.int64)
