@@ -711,7 +711,8 @@ def score(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: s
     known = scratch.save(known.mapInArrow(settle, KNOWN), "known")
     scratch.drop("blocks", "unigrams/level=answer")
     buckets = max(shuffle, -(-total // bucket_tokens))
-    tasks = max(shuffle, buckets // 8)
+    # A reader holds the rows of a file at once, and a task writes one file: few buckets for each task.
+    tasks = max(shuffle, buckets // 2)
     discounts: list[Discounts] = []
     whole = known
     if order > 1:
