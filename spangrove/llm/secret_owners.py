@@ -26,7 +26,8 @@ PATTERNS = {
     "assign": ASSIGN,
     "access": r"AKIA[A-Z0-9]{14,}",  # a shorter match holds no other start that could reach 18 characters
     "hex": r"[0-9a-f]{16,}",
-    "key": r"gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}",
+    # the last shape starts a run, so that each run is read at most three times however often eyJ stands in it
+    "key": r"gh[pousr]_[A-Za-z0-9]{30,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk_(?:live|test)_[A-Za-z0-9]{16,}+|AIza[A-Za-z0-9_-]{35}|(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+",
 }
 KINDS = list(PATTERNS)
 BASE = 3

@@ -63,3 +63,17 @@ def test_query(spark):
         want = plain(texts[r.doc_id])
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == i for _, k, _ in want) for i in range(3)]
         assert [x for x in r.spans.split(",") if x and not x.startswith("key")] == [f"{so.KINDS[k]}:{s}:{e}" for s, k, e in want]
+
+
+def test_long_texts_in_linear_time(spark):
+    """A million characters of what each pattern starts with; twice as many must not take four times as long."""
+    import time
+
+    starts = ["eyJ", "eyJabcdefghijkl.", "eyJabcdefghijkl.eyJabcdefghijkl.!", "sk_live_", "ghp_", "xoxb-", "AIza", "password", "password = ", "api_key=" + " " * 99, "0123456789abcdef", "AKIA", "AKIAABCDEFGHIJKLMN "]
+    for s in starts:
+        text = s * (1_000_000 // len(s)) + " password=0123456789abcdef"
+        df = spark.createDataFrame([(1, text, "o", "en")], "doc_id long, text string, source string, lang string")
+        began = time.time()
+        found = so.scan(df).selectExpr("size(m_assign) n", "element_at(v_assign, -1) v").first()
+        assert time.time() - began < 10, s
+        assert found.n >= 1 and found.v.endswith("0123456789abcdef")
