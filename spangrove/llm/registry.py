@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .apportion import op12_sainte_lague
 from .chosen_path import op9_chosen_path
 from .chunk_bpe import op7_chunk_bpe
 from .katz import op4_katz
@@ -20,7 +21,7 @@ from .token_counts import op6_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_site_quality, op2_weak_pii, op3_simple8b, op4_katz, op5_secret_owners, op6_token_counts, op7_chunk_bpe, op8_pivot_search, op9_chosen_path, op10_pigeonhole, op11_prefix_trie)
+    every = (op1_site_quality, op2_weak_pii, op3_simple8b, op4_katz, op5_secret_owners, op6_token_counts, op7_chunk_bpe, op8_pivot_search, op9_chosen_path, op10_pigeonhole, op11_prefix_trie, op12_sainte_lague)
     return {f.__name__: f for f in every}
 
 
