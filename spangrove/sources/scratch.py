@@ -9,16 +9,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
-def scratch_save(spark: SparkSession) -> Callable[[DataFrame, str], DataFrame]:
-    """save(df, name) below spark.checkpoint.dir; a folder of this machine only where that is not set and the session
-    runs within one machine."""
+def scratch_root(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir; of this machine only where that is not set and the session runs within
+    one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         master = spark.conf.get("spark.master", "")
         if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spangrove-")
-    root = f"{base.rstrip('/')}/rounds-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/rounds-{uuid.uuid4().hex}"
+
+
+def scratch_save(spark: SparkSession) -> Callable[[DataFrame, str], DataFrame]:
+    """save(df, name) writes a table in a folder of its own below spark.checkpoint.dir and reads it back."""
+    root = scratch_root(spark)
 
     def save(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{root}/{name}")
