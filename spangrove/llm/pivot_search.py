@@ -112,12 +112,19 @@ def unpack(b: bytes, rows: int) -> np.ndarray:
 BLOCKS = "kind string, block long, dim int, n long, rids binary, ids binary, v binary, d binary, home binary, tops array<struct<at:int,score:long,id:long>>, lo array<double>, hi array<double>, norm double, floor double"
 
 
+def component(x: Column) -> Column:
+    """floor(256 x); an error where that leaves 64 bits, which a cast would clip in silence."""
+    y = F.floor(x.cast("double") * 256)
+    far = F.abs(x.cast("double") * 256) >= 2.0**63
+    return F.when(far, F.raise_error(F.lit("a component leaves 64 bits")).cast("long")).otherwise(y.cast("long"))
+
+
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, is_query: Column) -> DataFrame:
     """rid, id, v, is_query of the vectors that take part."""
     v = F.col(vector_col)
     whole = v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.where(whole & F.col(id_col).isNotNull())
-    return rows.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * 256).cast("long")).alias("v"), is_query.alias("is_query"))
+    return rows.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"), F.transform(v, component).alias("v"), is_query.alias("is_query"))
 
 
 def matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:

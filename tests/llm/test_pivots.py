@@ -78,3 +78,16 @@ def test_query_equals_its_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
     assert sorted(con.execute(f"SELECT query_id, rank, vec_id, score FROM ({ps.SQL8})").fetchall()) == got
+
+
+def test_components_beyond_64_bits_are_an_error(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from spangrove.llm import pivot_search as ps
+    from spangrove.llm.common import Scratch
+
+    held = spark.createDataFrame([(0, [2.0**54, 1.0]), (1, [-(2.0**54), 2.0])], "vec_id long, v array<double>")
+    assert [r.v for r in ps.quantised(held, "vec_id", "v", F.lit(True)).orderBy("id").collect()] == [[2**62, 256], [-(2**62), 512]]
+    with pytest.raises(Exception, match="64 bits"):
+        ps.quantised(held.unionByName(spark.createDataFrame([(2, [1e17, 2e17])], "vec_id long, v array<double>")), "vec_id", "v", F.lit(True)).collect()
