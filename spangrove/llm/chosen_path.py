@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import LOWER, Scratch, arrow_bytes, clear_name, distinct_spans, keyed_hash, mix, numbered, partitions, rows_at_a_time, slices, table, texts_at_a_time, word_spans
+from .common import LOWER, Scratch, arrow_bytes, clear_name, distinct_spans, join_facts, keyed_hash, mix, numbered, partitions, rows_at_a_time, slices, table, texts_at_a_time, word_spans
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -426,10 +426,12 @@ def join(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: st
         every, edges = every.unionByName(x), edges.unionByName(y)
     linked = components(edges, scratch)
     facts = reps.select("rep", "rep_doc", "fp1", "fp2", "n", "copies").join(every.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left").join(linked.withColumnRenamed("a", "rep"), "rep", "left").where("copies > 1 or links > 0")
-    facts = scratch.save(facts.select("fp1", "fp2", "n", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.struct("rep_doc", "rep").alias("me"), F.coalesce("root", "rep").alias("root")), "facts")
+    facts = scratch.save(facts.select("fp1", "fp2", "n", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.struct("rep_doc", "rep").alias("me"), F.coalesce("root", "rep").alias("root")), "facts")
     least = facts.groupBy("root").agg(F.min("me").alias("class"))
-    facts = facts.join(least, "root").select("fp1", "fp2", "n", "n_links", "class")
-    out = sets.select("rid", "doc_id", "fp1", "fp2", "n").join(facts, ["fp1", "fp2", "n"], "left")
+    facts = scratch.save(facts.join(least, "root").select("fp1", "fp2", "n", "copies", "n_links", "class"), "classes")
+    rows = sets.select("rid", "doc_id", "fp1", "fp2", "n")
+    # Texts without words have no facts and would all share a key; sets that many rows hold get theirs by broadcast.
+    out = join_facts(rows.where("n > 0"), facts, ["fp1", "fp2", "n"], "copies", "left").unionByName(rows.where("n = 0"), allowMissingColumns=True)
     single = F.col("class").isNull()
     return out.select("doc_id", F.when(single, F.col("doc_id")).otherwise(F.col("class.rep_doc")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (single | (F.col("rid") == F.col("class.rep"))).alias("kept"))
 

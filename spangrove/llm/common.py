@@ -89,8 +89,9 @@ def partitions(df: DataFrame, most: int = 32 << 20) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), wanted)
 
 
-def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], count: str) -> DataFrame:
-    """rows with the one row of facts for each key; `count` says how many rows hold the key.
+def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
+    """rows with the one row of facts for each key; `count` says how many rows hold the key. how: inner, or left for rows
+    without facts, whose keys must not be held by many.
 
     Keys of more than a fourth of a partition's share, at most four for each partition, are sent to the rows by
     broadcast; the rest meet in a shuffle, where no key is large. rows and facts are read several times: save them first.
@@ -99,7 +100,7 @@ def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], count: str) -
     total = facts.agg(F.sum(count)).first()[0] or 0
     heavy = facts.where(F.col(count) > total / most).drop(count)  # fewer than `most` rows, since counts add up to total
     light = facts.where(F.col(count) <= total / most).drop(count)
-    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys)
+    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys, how)
     return rows.join(F.broadcast(heavy), keys).unionByName(rest)
 
 
