@@ -16,11 +16,12 @@ import re
 from dataclasses import dataclass
 from functools import cached_property, partial
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.grammar import EOS, EPS, Grammar
 from ..plans.kernel import looks_back_ok
+from ..sources.scratch import free_name
 
 END = 0
 EDGE = "array<struct<t:int,start:int,end:int,after:int,gap:int>>"
@@ -154,67 +155,65 @@ def lex_edges(df: DataFrame, ids: list[str], text_col: str, terminals: Terminals
     return rows.where("at = e.start").select(*ids, "e.start", "e.t", "e.end", "e.after", "e.gap")
 
 
-# Filters, in the order in which they apply. Each takes and gives candidates (ids, start, t, end, after, ...): what stands
-# at one place is compared in windows over the texts' ids and places, so that a partitioning on the ids lasts.
+# Filters, in the order in which they apply. Each takes and gives all edges with a flag `alive`, since a filter asks for
+# what matches at a place, not for what is left of it; what stands at one place meets in windows over the texts' ids and
+# places, so a partitioning on the ids lasts through all of them.
 
 
-def with_before(edges: DataFrame, ids: list[str]) -> DataFrame:
-    """edges with `before`, the terminals that lead to their start: a semi-join on the predecessor's end, as one window
-    over both roles of an edge. Nothing leads to the first token, which is said by -1."""
-    from pyspark.sql import Window
+def by_place(edges: DataFrame, ids: list[str], led: Column, what: Column, name: str) -> DataFrame:
+    """edges with the set of `what` (of other edges) that stand where this edge has `led`: a semi-join of the edges with
+    themselves as one window over both roles, the one who asks and the one who answers."""
+    place, asks = free_name(edges, "place"), free_name(edges, "asks")
+    answer = F.col("after") if name == "before" else F.col("start")
+    roles = F.array(F.struct(led.alias("at"), F.lit(True).alias("asks")), F.struct(answer.alias("at"), F.lit(False).alias("asks")))
+    rows = edges.withColumn(place, F.explode(roles)).withColumn(asks, F.col(f"{place}.asks")).withColumn(place, F.col(f"{place}.at"))
+    met = F.array_sort(F.collect_set(F.when(~F.col(asks), what)).over(Window.partitionBy(*ids, place)))
+    return rows.withColumn(name, met).where(asks).drop(place, asks)
 
-    both = F.array(F.struct(F.col("start").alias("at"), F.lit(True).alias("own")), F.struct(F.col("after").alias("at"), F.lit(False).alias("own")))
-    rows = edges.withColumn("role", F.explode(both)).select("*", F.col("role.at").alias("place"), F.col("role.own").alias("own")).drop("role")
-    w = Window.partitionBy(*ids, "place")
-    led = rows.withColumn("before", F.array_sort(F.collect_set(F.when(~F.col("own"), F.col("t"))).over(w)))
-    return led.where("own").withColumn("before", F.when(F.size("before") == 0, F.array(F.lit(-1))).otherwise(F.col("before"))).drop("place", "own")
 
+def with_before(edges: DataFrame, ids: list[str]) -> DataFrame:
+    """edges, all alive, with `before`: the terminals that lead to their start, -1 where none does."""
+    led = by_place(edges, ids, F.col("start"), F.col("t"), "before")
+    return led.withColumn("before", F.when(F.size("before") == 0, F.array(F.lit(-1))).otherwise(F.col("before"))).withColumn("alive", F.lit(True))
 
-def lookbehind(cands: DataFrame, ids: list[str], terminals: Terminals) -> DataFrame:
-    """Candidates whose terminal may stand behind one of those that lead to it; of a split one the longest match stays."""
-    from pyspark.sql import Window
 
+def lookbehind(edges: DataFrame, ids: list[str], terminals: Terminals) -> DataFrame:
+    """Alive stay those whose terminal may stand behind one of those that lead to it; of a split one the longest match."""
     allowed, split = F.lit(None).cast("array<int>"), F.lit(False)
     for n, i in terminals.number.items():
         some = terminals.behind(n)
         if some is not None:
-            allowed = F.when(F.col("t") == i, F.array(*map(F.lit, some)).cast("array<int>")).otherwise(allowed)
+            allowed = F.when(F.col("t") == i, numbers(some)).otherwise(allowed)
             if terminals.g.terminals[n].split_before:
                 split = F.when(F.col("t") == i, F.lit(True)).otherwise(split)
     longest = F.col("end") == F.max("end").over(Window.partitionBy(*ids, "start", "t"))
-    ok = allowed.isNull() | F.arrays_overlap(allowed, "before")
-    return cands.withColumn("ok", ok | (split & longest)).where("ok").drop("ok")
+    ok = allowed.isNull() | F.arrays_overlap(allowed, "before") | (split & longest)
+    return edges.withColumn("alive", F.col("alive") & ok)
 
 
-def exclude(cands: DataFrame, ids: list[str], excluded: dict[int, list[int]]) -> DataFrame:
-    """Candidates without those at whose place an excluded terminal matches with the same end: an anti-join on place and end."""
-    from pyspark.sql import Window
-
-    there = F.collect_set("t").over(Window.partitionBy(*ids, "start", "after"))
-    taken = F.lit(False)
+def exclude(edges: DataFrame, ids: list[str], excluded: dict[int, list[int]]) -> DataFrame:
+    """Alive stay those at whose place no excluded terminal matches with the same end: an anti-join on place and end."""
+    there, taken = F.collect_set("t").over(Window.partitionBy(*ids, "start", "after")), F.lit(False)
     for t, others in excluded.items():
-        others = [o for o in others if o != t]
-        if others:
-            taken = F.when(F.col("t") == t, F.arrays_overlap("there", F.array(*map(F.lit, others)).cast("array<int>"))).otherwise(taken)
-    return cands.withColumn("there", there).where(~taken).drop("there")
-
-
-def ahead(cands: DataFrame, edges: DataFrame, ids: list[str], wanted: dict[int, list[int]], keep: bool) -> DataFrame:
-    """Candidates behind which one of the wanted terminals matches (keep), or none of them does; terminals that are not
-    named stay, as does what ends the text. A semi- or anti-join on the place behind, with the candidates' own partitioning."""
-    from pyspark.sql import Window
-
-    a = cands.withColumn("own", F.lit(True)).withColumn("place", F.col("after"))
-    b = edges.select(*ids, F.col("start").alias("place"), F.col("t").alias("next")).withColumn("own", F.lit(False))
-    rows = a.withColumn("next", F.lit(None).cast("int")).unionByName(b, allowMissingColumns=True)
-    rows = rows.withColumn("seen", F.collect_set("next").over(Window.partitionBy(*ids, "place"))).where("own")
-    ok = F.lit(True)
+        taken = F.when(F.col("t") == t, F.arrays_overlap(there, numbers(o for o in others if o != t))).otherwise(taken)
+    return edges.withColumn("alive", F.col("alive") & ~taken)
+
+
+def ahead(edges: DataFrame, ids: list[str], wanted: dict[int, list[int]], keep: bool) -> DataFrame:
+    """Alive stay those behind which one of the wanted terminals matches (keep), or none of them does; terminals that are
+    not named stay, as does what ends the text."""
+    seen = free_name(edges, "seen")
+    rows, ok = by_place(edges, ids, F.col("after"), F.col("t"), seen), F.lit(True)
     for t, some in wanted.items():
-        met = F.arrays_overlap("seen", F.array(*map(F.lit, some)).cast("array<int>")) if some else F.lit(False)
-        ok = F.when(F.col("t") == t, (met if keep else ~met) | F.array_contains("seen", END)).otherwise(ok)
-    return rows.where(ok).drop("own", "place", "next", "seen")
+        met = F.arrays_overlap(F.col(seen), numbers(some))
+        ok = F.when(F.col("t") == t, (met if keep else ~met) | F.array_contains(seen, END)).otherwise(ok)
+    return rows.withColumn("alive", F.col("alive") & ok).drop(seen)
+
+
+def distinct_ends(edges: DataFrame, ids: list[str]) -> DataFrame:
+    """Of what is alive, one candidate for each terminal, place and end of its trivia: the longest."""
+    return edges.where("alive").groupBy(*ids, "start", "t", "after").agg(F.max("end").alias("end"))
 
 
-def distinct_ends(cands: DataFrame, ids: list[str]) -> DataFrame:
-    """One candidate for each terminal, place and end of its trivia: the longest."""
-    return cands.groupBy(*ids, "start", "t", "after").agg(F.max("end").alias("end"))
+def numbers(some) -> Column:
+    return F.array(*map(F.lit, some)).cast("array<int>")
