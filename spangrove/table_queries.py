@@ -7,9 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import forest_tables as ft
 from .operators import lexedges as le
 from .operators.chart import chart
+from .operators.index_store import Index
+from .operators.search import Query
 from .plans.grammar import compile_grammar
+from .queries import _CHUNKS_SQL, _WORDS
+from .sources.scratch import scratch_root, scratch_save
 
 #: Words, numbers and marks of running text; small words are also literals, hidden where a longer word stands.
 PROSE = r"""
@@ -93,6 +98,87 @@ def chart_spans(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("text", "accepted", "exact", "i", "j")
 
 
+DOUBLING = 'S = "b" | S S .'
+
+
+def _doubled(spark: SparkSession, sf: str):
+    """The chart of as many b as each nation's name has characters, its spans, forest and roots."""
+    texts = _table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.repeat(F.lit("b"), F.length("n_name")).alias("text"))
+    c, save = chart(texts, "id", "text", DOUBLING), scratch_save(spark)
+    spans, lengths = save(c.spans(), "spans"), c.verdicts().select("msg", F.col("source_len").alias("n"))
+    return c, ft.forest(spans, c.slots.g, lengths, save), ft.roots_of(spans, c.slots.g, lengths), save
+
+
+def shared_forest(spark: SparkSession, sf: str) -> DataFrame:
+    """The packed edges of all ways to cut the names' stretches in two, and the nodes that they share, by joins alone."""
+    c, edges, _, _ = _doubled(spark, sf)
+    pair = c.slots.g.rules["S"].alternatives[1].number
+    _, o, d, i, j = ft.parts("parent")
+    cut = edges.withColumn("o", o).withColumn("d", d).withColumn("at", i).withColumn("to", j).where((F.substring("parent", 1, 1) == "P") & (F.col("o") == pair) & (F.col("d") == 2))
+    sharing = cut.groupBy("msg", "right").agg(F.count("*").alias("shared"))
+    return cut.join(sharing, ["msg", "right"]).select(F.col("msg").alias("n_nationkey"), F.col("at").cast("long").alias("i"), F.col("k").cast("long").alias("k"), F.col("to").cast("long").alias("j"), "shared")
+
+
+def derivation_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """How many derivations each name's letters have (all of them, as decimals), and the first ten trees, unranked."""
+    _, edges, roots, save = _doubled(spark, sf)
+    counted = ft.counts(edges, save)
+    listed = ft.trees(edges, counted, roots, 10, save)
+    whole = listed.groupBy("msg", "tree").agg(F.sum(F.col("node").startswith("T:").cast("long")).alias("leaves"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "path", "node"))), " "), 256).alias("shape"))
+    trees = whole.groupBy("msg").agg(F.count("*").alias("trees"), F.countDistinct("shape").alias("distinct_trees"), F.min("leaves").alias("leaves"))
+    rows = roots.join(counted, ["msg", "node"]).join(trees, "msg")
+    return rows.select(F.col("msg").alias("n_nationkey"), F.col("n").cast("long").alias("derivations"), "trees", "distinct_trees", "leaves")
+
+
+SUMS = r"""
+space : /\s+/ .
+number - /[0-9]+/ .
+@left E = E "+" E | number .
+"""
+
+
+def resolved_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Sums of the line items' quantities, as many as the line number says, parsed with all ambiguity, pruned, resolved to
+    the left and pruned again: the spans of sums that are left."""
+    q, n = F.col("l_quantity").cast("long").cast("string"), F.col("l_linenumber")
+    texts = _table(spark, sf, "lineitem").select(F.array_join(F.array_repeat(q, n.cast("int")), "+").alias("text")).distinct().withColumn("id", F.sha2("text", 256))
+    c, save = chart(texts, "id", "text", SUMS), scratch_save(spark)
+    lengths = c.verdicts().select("msg", F.col("source_len").alias("n"))
+    kept = ft.resolve(save(c.spans(), "spans"), c.slots.g, lengths, save)
+    rows = kept.where(F.col("slot") == c.slots.g.rules["E"].number).join(texts.withColumnRenamed("id", "msg"), "msg")
+    return rows.select("text", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"))
+
+
+def closure_ends(spark: SparkSession, sf: str) -> DataFrame:
+    """Where chains of adjoining intervals of each order can end: from each line's number on, by one or two."""
+    li, save = _table(spark, sf, "lineitem"), scratch_save(spark)
+    steps = li.select(F.col("l_orderkey").alias("msg"), F.col("l_linenumber").cast("long").alias("s"), (F.col("l_linenumber") + 1 + F.col("l_suppkey") % 2).cast("long").alias("m"))
+    return ft.closure_ends(steps, save, ["msg"])
+
+
+def _stored(spark: SparkSession, sf: str) -> Index:
+    """An index of all documents under the shared folder, brought up to date in two steps."""
+    index = Index(spark, f"{scratch_root(spark)}/index")
+    d = _table(spark, sf, "documents").select("doc_id", "text")
+    index.rebuild(d.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("old "), "text")).otherwise(F.col("text"))))
+    index.update(d)
+    return index
+
+
+def stored_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """The eight best chunks from the stored index, after a third of the documents were replaced, with their best windows."""
+    hits = _stored(spark, sf).hits("the of NOT worthless")
+    return hits.select(F.col("id").cast("long").alias("doc_id"), F.col("chunk_index").cast("long").alias("chunk_index"), F.round("score", 6).alias("score"), "snippet")
+
+
+def stored_phrase(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of the stored index that hold a phrase, after every fifth document was deleted."""
+    index = _stored(spark, sf)
+    index.delete(_table(spark, sf, "documents").where("doc_id % 5 = 0"))
+    found = index.matching('"of the"').groupBy("id", "chunk_index").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("found"))
+    return found.where(Query('"of the"').holds(F.col("found"))).select(F.col("id").cast("long").alias("doc_id"), F.col("chunk_index").cast("long").alias("chunk_index"))
+
+
 _LETTER = "[A-Za-zÀ-ÿ]"
 _EDGES_SQL = rf"""
   p AS (SELECT source, id, turn, line, text, unnest(range(0, length(text))) AS start FROM lines),
@@ -127,8 +213,30 @@ ORACLE_SQL: dict[str, str] = {
         s AS (SELECT text, unnest([0, a + 3, a + b + 6, a + b + 7, a + b + c + 8]) AS i, unnest([a + 1, a + b + 4, length(text), a + b + c + 7, a + b + c + 8 + a]) AS j FROM g)
       SELECT DISTINCT text, true AS accepted, true AS exact, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j FROM s
       UNION ALL SELECT DISTINCT concat(q, ' + * ', p), false, false, CAST(0 AS BIGINT), CAST(length(q) + 1 AS BIGINT) FROM x WHERE broken""",
+    "shared_forest": """WITH n AS (SELECT n_nationkey, length(n_name) AS n FROM nation),
+        t AS (SELECT n_nationkey, n, i, k, j FROM n, LATERAL (SELECT unnest(range(0, n)) AS i), LATERAL (SELECT unnest(range(i + 1, n)) AS k), LATERAL (SELECT unnest(range(k + 1, n + 1)) AS j))
+      SELECT n_nationkey, i, k, j, count(*) OVER (PARTITION BY n_nationkey, k, j) AS shared FROM t""",
+    "derivation_counts": """WITH n AS (SELECT n_nationkey, length(n_name) AS n, length(n_name) - 1 AS m FROM nation)
+      SELECT n_nationkey, CAST(round(factorial(CAST(2 * m AS INTEGER)) / (factorial(CAST(m AS INTEGER)) * factorial(CAST(m + 1 AS INTEGER)))) AS BIGINT) AS derivations, CAST(least(10, factorial(CAST(2 * m AS INTEGER)) / (factorial(CAST(m AS INTEGER)) * factorial(CAST(m + 1 AS INTEGER)))) AS BIGINT) AS trees,
+        CAST(least(10, factorial(CAST(2 * m AS INTEGER)) / (factorial(CAST(m AS INTEGER)) * factorial(CAST(m + 1 AS INTEGER)))) AS BIGINT) AS distinct_trees, n AS leaves FROM n""",
+    "resolved_spans": """WITH t AS (SELECT DISTINCT CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS q, l_linenumber AS n FROM lineitem), x AS (SELECT *, length(q) AS a, array_to_string(list_transform(range(n), lambda _: q), '+') AS text FROM t),
+        k AS (SELECT *, unnest(range(0, n)) AS nth FROM x)
+      SELECT DISTINCT text, CAST(i AS BIGINT) AS i, CAST(nth * (a + 1) + a AS BIGINT) AS j FROM k, LATERAL (SELECT unnest([0, nth * (a + 1)]) AS i)""",
+    "closure_ends": """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS msg, CAST(l_linenumber AS BIGINT) AS s, CAST(l_linenumber + 1 + l_suppkey % 2 AS BIGINT) AS m FROM lineitem),
+        r AS (SELECT msg, s, m FROM e UNION SELECT r.msg, r.s, e.m FROM r JOIN e ON e.msg = r.msg AND e.s = r.m) SELECT msg, s, m FROM r""",
+    "stored_hits": f"""WITH {_CHUNKS_SQL}, d AS (SELECT doc_id, chunk_index, piece, {_WORDS.format("piece")} AS words FROM chunks), w AS (SELECT doc_id, chunk_index, unnest(words) AS term FROM d),
+        p AS (SELECT doc_id, chunk_index, term, count(*) AS tf FROM w WHERE term IN ('the', 'of', 'worthless') GROUP BY ALL),
+        f AS (SELECT term, count(*) AS df FROM p GROUP BY term), n AS (SELECT count(*) AS n, avg(len(words)) AS a FROM d),
+        s AS (SELECT p.doc_id, p.chunk_index, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(words) / a))) AS b,
+          bool_or(p.term = 'the') AND bool_or(p.term = 'of') AND NOT bool_or(p.term = 'worthless') AS ok FROM p JOIN f USING (term) JOIN d USING (doc_id, chunk_index), n GROUP BY p.doc_id, p.chunk_index),
+        best AS (SELECT doc_id, chunk_index, b, piece FROM s JOIN d USING (doc_id, chunk_index) WHERE ok ORDER BY -b, CAST(doc_id AS VARCHAR), chunk_index LIMIT 8),
+        x AS (SELECT *, regexp_split_to_array(piece, '[ \t\n\r]+') AS t, list_transform(regexp_split_to_array(piece, '[ \t\n\r]+'), lambda y: regexp_replace(lower(y), '[^a-z0-9]', '', 'g')) AS u FROM best),
+        v AS (SELECT *, list_max(list_transform(range(0, greatest(len(t) - 18, 0) + 1), lambda i: {{'d': len(list_distinct(list_filter(u[i + 1:i + 18], lambda y: y IN ('the', 'of', 'worthless')))), 'h': len(list_filter(u[i + 1:i + 18], lambda y: y IN ('the', 'of', 'worthless'))), 'i': -i}})) AS m FROM x)
+      SELECT doc_id, chunk_index, round(-b, 6) AS score, concat(CASE WHEN m.i < 0 THEN ' ... ' ELSE '' END, array_to_string(list_transform(range(1 - m.i, least(18 - m.i, len(t)) + 1), lambda i: CASE WHEN u[i] IN ('the', 'of', 'worthless') THEN concat('[', t[i], ']') ELSE t[i] END), ' '),
+        CASE WHEN 18 - m.i < len(t) THEN ' ... ' ELSE '' END) AS snippet FROM v""",
+    "stored_phrase": f"""WITH {_CHUNKS_SQL} SELECT doc_id, chunk_index FROM chunks WHERE doc_id % 5 <> 0 AND contains(' ' || array_to_string({_WORDS.format("piece")}, ' ') || ' ', ' of the ')""",
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (lex_edges, filter_chain, chart_spans)}
+    return {f.__name__: f for f in (lex_edges, filter_chain, chart_spans, shared_forest, derivation_counts, resolved_spans, closure_ends, stored_hits, stored_phrase)}

@@ -8,6 +8,14 @@ from spangrove.operators.lexedges import Terminals, lex_places
 from spangrove.plans.grammar import compile_grammar
 from spangrove.plans.kernel import Kernel
 
+
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
 #: Many small grammars in one, told apart by the first token, so that one chart parses them all.
 GRAMMAR = r"""
 space : /\s+/ . note : /#[^\n]*/ .

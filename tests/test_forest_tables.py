@@ -10,6 +10,14 @@ from spangrove.plans.grammar import compile_grammar
 from spangrove.plans.kernel import Kernel
 from spangrove.sources.scratch import scratch_save
 
+
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
 GRAMMAR = r"""
 space : /\s+/ . n - /[0-9]/ .
 S = "①" Twin | "②" Sum | "③" Pick | "④" Shut | "⑤" Long .

@@ -6,12 +6,20 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from spangrove import queries
+from spangrove import queries, table_queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
@@ -20,15 +28,18 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(queries.queries()))
+EVERY, SQL = queries.queries() | table_queries.queries(), queries.ORACLE_SQL | table_queries.ORACLE_SQL
+
+
+@pytest.mark.parametrize("name", sorted(EVERY))
 def test_query(spark, duck, name):
-    df = queries.queries()[name](spark, SF)
+    df = EVERY[name](spark, SF)
     columns = sorted(df.columns)
     got = [tuple(r[c] for c in columns) for r in df.collect()]
-    if name not in queries.ORACLE_SQL:
+    if name not in SQL:
         assert got
         return
-    out = duck.execute(queries.ORACLE_SQL[name])
+    out = duck.execute(SQL[name])
     names = [d[0] for d in out.description]
     assert sorted(names) == columns
     want = [tuple(r[names.index(c)] for c in columns) for r in out.fetchall()]
