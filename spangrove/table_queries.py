@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .operators import forest_tables as ft
 from .operators import lexedges as le
+from .operators.brackets import pairs
 from .operators.chart import chart
 from .operators.index_store import Index
 from .operators.search import Query
@@ -179,6 +180,14 @@ def stored_phrase(spark: SparkSession, sf: str) -> DataFrame:
     return found.where(Query('"of the"').holds(F.col("found"))).select(F.col("id").cast("long").alias("doc_id"), F.col("chunk_index").cast("long").alias("chunk_index"))
 
 
+def bracket_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs of brackets of all pages and documents, outside quoted strings."""
+    texts = _table(spark, sf, "pages").select(F.lit("page").alias("source"), F.col("page_id").alias("id"), F.col("html").alias("text"))
+    texts = texts.unionByName(_table(spark, sf, "documents").select(F.lit("document").alias("source"), F.col("doc_id").alias("id"), "text"))
+    found = pairs(texts, ["source", "id"], "text")
+    return found.select("source", "id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("depth").cast("long").alias("depth"), "alike")
+
+
 _LETTER = "[A-Za-zÀ-ÿ]"
 _EDGES_SQL = rf"""
   p AS (SELECT source, id, turn, line, text, unnest(range(0, length(text))) AS start FROM lines),
@@ -235,8 +244,16 @@ ORACLE_SQL: dict[str, str] = {
       SELECT doc_id, chunk_index, round(-b, 6) AS score, concat(CASE WHEN m.i < 0 THEN ' ... ' ELSE '' END, array_to_string(list_transform(range(1 - m.i, least(18 - m.i, len(t)) + 1), lambda i: CASE WHEN u[i] IN ('the', 'of', 'worthless') THEN concat('[', t[i], ']') ELSE t[i] END), ' '),
         CASE WHEN 18 - m.i < len(t) THEN ' ... ' ELSE '' END) AS snippet FROM v""",
     "stored_phrase": f"""WITH {_CHUNKS_SQL} SELECT doc_id, chunk_index FROM chunks WHERE doc_id % 5 <> 0 AND contains(' ' || array_to_string({_WORDS.format("piece")}, ' ') || ' ', ' of the ')""",
+    "bracket_pairs": r"""WITH t AS (SELECT 'page' AS source, page_id AS id, html AS text FROM pages UNION ALL SELECT 'document', doc_id, text FROM documents),
+        c AS (SELECT source, id, regexp_extract_all(text, '(?s)"(?:[^"\\\n]|\\.)*(?:"|\z)?|[()\[\]{}]|[^"()\[\]{}]+') AS x FROM t),
+        p AS (SELECT source, id, unnest(x) AS piece, generate_subscripts(x, 1) AS nth FROM c), o AS (SELECT *, sum(length(piece)) OVER (PARTITION BY source, id ORDER BY nth) - length(piece) AS pos FROM p),
+        b AS (SELECT source, id, pos, piece, row_number() OVER (PARTITION BY source, id ORDER BY pos) AS n FROM o WHERE piece IN ('(', ')', '[', ']', '{', '}')),
+        d AS (SELECT *, sum(CASE WHEN piece IN ('(', '[', '{') THEN 1 ELSE -1 END) OVER (PARTITION BY source, id ORDER BY n) AS s FROM b),
+        l AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY source, id ORDER BY n)) AS depth FROM d)
+      SELECT a.source, a.id, CAST(a.pos AS BIGINT) AS start, CAST(z.pos AS BIGINT) AS "end", CAST(a.depth AS BIGINT) AS depth, concat(a.piece, z.piece) IN ('()', '[]', '{}') AS alike
+      FROM l a LEFT JOIN l z ON z.source = a.source AND z.id = a.id AND z.n = (SELECT min(y.n) FROM l y WHERE y.source = a.source AND y.id = a.id AND y.n > a.n AND y.depth < a.depth) WHERE a.piece IN ('(', '[', '{')""",
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (lex_edges, filter_chain, chart_spans, shared_forest, derivation_counts, resolved_spans, closure_ends, stored_hits, stored_phrase)}
+    return {f.__name__: f for f in (lex_edges, filter_chain, chart_spans, shared_forest, derivation_counts, resolved_spans, closure_ends, stored_hits, stored_phrase, bracket_pairs)}
