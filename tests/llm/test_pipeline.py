@@ -67,5 +67,5 @@ def test_stages_on_odd_tables(spark, tmp_path):
 def test_entry_has_every_query():
     import __spark_entry__ as e
 
-    assert {f"op{n}_" for n in range(1, 11)} == {q.split("_")[0] + "_" for q in e.queries() if q.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 14)} == {q.split("_")[0] + "_" for q in e.queries() if q.startswith("op")}
     assert "pipeline" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
