@@ -13,6 +13,7 @@ from .operators.brackets import pairs
 from .operators.chart import chart
 from .operators.index_store import Index
 from .operators.search import Query
+from .operators.telemetry import observed_places, report
 from .plans.grammar import compile_grammar
 from .queries import _CHUNKS_SQL, _WORDS
 from .sources.scratch import scratch_root, scratch_save
@@ -188,6 +189,15 @@ def bracket_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("source", "id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("depth").cast("long").alias("depth"), "alike")
 
 
+def scanner_telemetry(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each terminal was tried and matched on all lines of all turns, as the scanning tasks counted it. Where a
+    match can be split, every place is one at which a token may begin."""
+    terminals = le.Terminals(compile_grammar(PROSE))
+    rows, seen = observed_places(_lines(spark, sf, False), _IDS, "text", terminals)
+    scratch_save(spark)(rows, "places")
+    return report(spark, seen, terminals)
+
+
 _LETTER = "[A-Za-zÀ-ÿ]"
 _EDGES_SQL = rf"""
   p AS (SELECT source, id, turn, line, text, unnest(range(0, length(text))) AS start FROM lines),
@@ -252,8 +262,10 @@ ORACLE_SQL: dict[str, str] = {
         l AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY source, id ORDER BY n)) AS depth FROM d)
       SELECT a.source, a.id, CAST(a.pos AS BIGINT) AS start, CAST(z.pos AS BIGINT) AS "end", CAST(a.depth AS BIGINT) AS depth, concat(a.piece, z.piece) IN ('()', '[]', '{}') AS alike
       FROM l a LEFT JOIN l z ON z.source = a.source AND z.id = a.id AND z.n = (SELECT min(y.n) FROM l y WHERE y.source = a.source AND y.id = a.id AND y.n > a.n AND y.depth < a.depth) WHERE a.piece IN ('(', '[', '{')""",
+    "scanner_telemetry": f"""WITH lines AS ({_TURN_LINES}), {_EDGES_SQL}, c AS (SELECT CAST(sum(length(text) + 1) AS BIGINT) AS n FROM lines)
+      SELECT terminal, c.n AS calls, (SELECT count(*) FROM edges e WHERE e.terminal = t.terminal) AS matches FROM (SELECT unnest(['word', 'number', 'comma', 'dots', 'the', 'de', 'in']) AS terminal) t, c""",
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (lex_edges, filter_chain, chart_spans, shared_forest, derivation_counts, resolved_spans, closure_ends, stored_hits, stored_phrase, bracket_pairs)}
+    return {f.__name__: f for f in (lex_edges, filter_chain, chart_spans, shared_forest, derivation_counts, resolved_spans, closure_ends, stored_hits, stored_phrase, bracket_pairs, scanner_telemetry)}
