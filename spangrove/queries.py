@@ -12,7 +12,6 @@ from .operators import corpus, search
 from .operators import spans as sp
 from .operators.parse import commits, diagnostics, forest_edges, forest_nodes, metrics, parse, parse_distinct, summary, terminal_text, tree_nodes
 from .operators.parse import spans as spans_of
-from .plans.analysis import conflicts, first_rows, follow_rows, rule_references
 from .plans.grammar import compile_grammar
 
 ARITHMETIC = r"""
@@ -33,7 +32,6 @@ word - /[a-z]+/ .
 S = word { word | "," } "." .
 """
 DOUBLING = 'S = "b" | S S .'
-DEMO = 'A = B "c" | "d" A . B = C [ "x" ] | ε . C = "c" "e" | A "y" . D = { C } "." | C .'
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -154,42 +152,23 @@ def call_return_join(spark: SparkSession, sf: str) -> DataFrame:
     return sp.call_return(returns, pops)
 
 
+def _letters(spark: SparkSession, sf: str) -> DataFrame:
+    """p_partkey, text: as many b as each part's name has characters but for blanks."""
+    return _table(spark, sf, "part").select("p_partkey", F.repeat(F.lit("b"), F.length(F.replace("p_name", F.lit(" "), F.lit("")))).alias("text"))
+
+
 def catalan_spans(spark: SparkSession, sf: str) -> DataFrame:
-    """Spans of S S in S = "b" | S S over n letters: i < k < j, one for each kernel message of n = 1 to 12."""
-    m = spark.range(1, 13).select("id", F.repeat(F.lit("b"), F.col("id").cast("int")).alias("text"))
+    """Spans of S S in S = "b" | S S over n letters, for each part: i < k < j."""
+    m = _letters(spark, sf)
     g = compile_grammar(DOUBLING)
     second = g.rules["S"].alternatives[1].elements[1].number
-    return spans_of(parse(m, DOUBLING), "id").where(F.col("slot") == second).select("id", *(F.col(c).cast("long").alias(c) for c in "ikj"))
+    return spans_of(parse(m, DOUBLING), "p_partkey").where(F.col("slot") == second).select("p_partkey", *(F.col(c).cast("long").alias(c) for c in "ikj"))
 
 
 def _rows(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
 
 
-def first_sets(spark: SparkSession, sf: str) -> DataFrame:
-    return _rows(spark, [x for x in first_rows(compile_grammar(DEMO)) if x[1]], ["name", "token"])
-
-
-def follow_sets(spark: SparkSession, sf: str) -> DataFrame:
-    return _rows(spark, follow_rows(compile_grammar(DEMO)), ["name", "token"])
-
-
-def ll1_conflicts(spark: SparkSession, sf: str) -> DataFrame:
-    """Tokens that more than one alternative of a rule starts with."""
-    g = compile_grammar(DEMO)
-    rows = [(r.name, str(n), t) for r in g.rules.values() for n, a in enumerate(r.alternatives) for t in a.first if t]
-    found = _rows(spark, rows, ["name", "alternative", "token"]).groupBy("name", "token").agg(F.count("*").alias("n")).where("n > 1")
-    known = {(n, t) for n, kind, t in conflicts(g) if kind == "alternatives"}
-    return found.where(F.concat_ws(" ", "name", "token").isin(*(f"{n} {t}" for n, t in known))).select("name", "token", "n")
-
-
-def reachable_rules(spark: SparkSession, sf: str) -> DataFrame:
-    from .sources.scratch import scratch_save
-
-    edges = _rows(spark, rule_references(compile_grammar(DEMO)), ["src", "dst"])
-    return sp.closure(edges, _rows(spark, [("A",)], ["node"]), scratch_save(spark))
-
-
 def _expressions(spark: SparkSession, sf: str) -> DataFrame:
     li = _table(spark, sf, "lineitem")
     q, p, n = (F.col(c).cast("long").cast("string") for c in ("l_quantity", "l_partkey", "l_linenumber"))
@@ -232,12 +211,11 @@ def signature_harvest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def forest_tables(spark: SparkSession, sf: str) -> DataFrame:
-    """Nodes and edges of the shared forests of the doubling grammar."""
-    m = spark.range(1, 9).select("id", F.repeat(F.lit("b"), F.col("id").cast("int")).alias("text"))
-    p = parse(m, DOUBLING, keep=("forest",))
-    n = forest_nodes(p, "id").groupBy("id").agg(F.sum((F.col("kind") == "symbol").cast("long")).alias("symbols"))
-    e = forest_edges(p, "id").groupBy("id").agg(F.count("*").alias("edges"))
-    return n.join(e, "id")
+    """Nodes and edges of the shared forests of the doubling grammar, for each part's letters."""
+    p = parse(_letters(spark, sf), DOUBLING, keep=("forest",))
+    n = forest_nodes(p, "p_partkey").groupBy("p_partkey").agg(F.sum((F.col("kind") == "symbol").cast("long")).alias("symbols"))
+    e = forest_edges(p, "p_partkey").groupBy("p_partkey").agg(F.count("*").alias("edges"))
+    return n.join(e, "p_partkey")
 
 
 def token_commits(spark: SparkSession, sf: str) -> DataFrame:
@@ -334,7 +312,7 @@ def terminal_texts(spark: SparkSession, sf: str) -> DataFrame:
 def all_trees(spark: SparkSession, sf: str) -> DataFrame:
     """How many trees the doubling grammar has over as many letters as regions have characters, ten at most by the limit,
     and that each is another one."""
-    m = _table(spark, sf, "region").select("r_regionkey", F.repeat(F.lit("b"), F.least(F.length("r_name"), F.lit(6))).alias("text"))
+    m = _table(spark, sf, "region").select("r_regionkey", F.repeat(F.lit("b"), F.length("r_name")).alias("text"))
     p = parse(m, DOUBLING, keep=("trees",), trees=10)
     return p.select("r_regionkey", F.size("parse.trees").cast("long").alias("trees"), F.size(F.array_distinct("parse.trees")).cast("long").alias("distinct_trees"))
 
@@ -355,8 +333,7 @@ def avoided_option(spark: SparkSession, sf: str) -> DataFrame:
 
 def parse_counters(spark: SparkSession, sf: str) -> DataFrame:
     """Counters of the kernel on the doubling grammar that have closed forms: tokens, matches and needs."""
-    m = spark.range(1, 9).select("id", F.repeat(F.lit("b"), F.col("id").cast("int")).alias("text"))
-    return metrics(parse(m, DOUBLING, keep=()), "id").select("id", F.col("matches").cast("long").alias("matches"), F.col("tokens").cast("long").alias("tokens"), F.col("source_len").cast("long").alias("source_len"))
+    return metrics(parse(_letters(spark, sf), DOUBLING, keep=()), "p_partkey").select("p_partkey", F.col("matches").cast("long").alias("matches"), F.col("tokens").cast("long").alias("tokens"), F.col("source_len").cast("long").alias("source_len"))
 
 
 def _matching(spark: SparkSession, sf: str, query: str) -> DataFrame:
@@ -390,10 +367,10 @@ def text_positions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def relational_twin(spark: SparkSession, sf: str) -> DataFrame:
-    """S = "b" | S S by joins alone, over 1 to 10 letters."""
+    """S = "b" | S S by joins alone, over the letters of each part."""
     from .sources.scratch import scratch_save
 
-    tokens = spark.range(1, 11).select(F.col("id").alias("msg"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("id") - 1)).alias("i")).select("msg", F.lit("b").alias("sym"), "i", (F.col("i") + 1).alias("j"))
+    tokens = _letters(spark, sf).select(F.col("p_partkey").alias("msg"), F.posexplode(F.split("text", "")).alias("i", "sym")).select("msg", "sym", F.col("i").cast("long").alias("i"), (F.col("i") + 1).cast("long").alias("j"))
     binary, unary = _rows(spark, [("S", "S", "S")], ["sym", "left", "right"]), _rows(spark, [("S", "b")], ["sym", "child"])
     return sp.derive(tokens, binary, unary, scratch_save(spark)).where("sym = 'S'").select("msg", "i", "j")
 
@@ -435,10 +412,10 @@ ORACLE_SQL: dict[str, str] = {
     "terminal_texts": """SELECT DISTINCT CASE WHEN n % 3 = 0 THEN concat(q, ' + * ', p) ELSE concat(q, ' + ', n, ' * (', p, '+', q, ')') END AS text, CASE WHEN n % 3 = 0 THEN q ELSE concat(q, '+', n, '*(', p, '+', q, ')') END AS image
         FROM (SELECT CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS q, CAST(l_partkey AS VARCHAR) AS p, l_linenumber AS n FROM lineitem)""",
     "all_trees": """SELECT r_regionkey, CAST(least(10, factorial(2 * k) / (factorial(k) * factorial(k + 1))) AS BIGINT) AS trees, CAST(least(10, factorial(2 * k) / (factorial(k) * factorial(k + 1))) AS BIGINT) AS distinct_trees
-        FROM (SELECT r_regionkey, CAST(least(length(r_name), 6) - 1 AS INTEGER) AS k FROM region)""",
+        FROM (SELECT r_regionkey, CAST(length(r_name) - 1 AS INTEGER) AS k FROM region)""",
     "single_tree": """SELECT n_nationkey, CAST(2 * n AS BIGINT) AS nodes, CAST(n AS BIGINT) AS leaves, CAST(n AS BIGINT) AS last_end FROM (SELECT n_nationkey, length(regexp_replace(upper(n_name), '[^A-Z]', '', 'g')) AS n FROM nation)""",
     "avoided_option": """SELECT DISTINCT concat(CAST(l_quantity AS BIGINT), ' ', l_linenumber) AS text, true AS exact, true AS pruned, CAST(0 AS BIGINT) AS "left" FROM lineitem""",
-    "parse_counters": """SELECT n AS id, CAST(1 AS BIGINT) AS matches, n AS tokens, n AS source_len FROM (SELECT unnest(range(1, 9)) AS n)""",
+    "parse_counters": """SELECT p_partkey, CAST(1 AS BIGINT) AS matches, n AS tokens, n AS source_len FROM (SELECT p_partkey, length(replace(p_name, ' ', '')) AS n FROM part)""",
     "search_phrase": f"""SELECT doc_id FROM documents WHERE contains(' ' || array_to_string({_WORDS.format("text")}, ' ') || ' ', ' of the ')""",
     "search_or": f"""WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents) SELECT doc_id FROM d WHERE list_contains(w, 'worthless') OR (list_contains(w, 'que') AND list_contains(w, 'par'))""",
     "search_prefix": f"""WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents) SELECT doc_id FROM d WHERE contains(' ' || array_to_string(w, ' '), ' ent') AND NOT list_contains(w, 'que')""",
@@ -454,7 +431,7 @@ ORACLE_SQL: dict[str, str] = {
         concat('"', replace(x, '"', '""'), '"') AS field, concat('&lt;', x, '&amp;<br/>') AS label, p_partkey % 3 < 2 AS epsilon, x AS inner FROM p""",
     "residual_ambiguity": """SELECT CAST(count(DISTINCT concat(q, '/', l_linenumber, '/', l_partkey)) AS BIGINT) AS count, node, 'ambiguous pivot' AS kind, signature FROM (SELECT CAST(l_quantity AS BIGINT) AS q, l_linenumber, l_partkey FROM lineitem WHERE l_linenumber % 3 <> 0),
         (VALUES ('E', 'body=[E "+" E]'), ('T', 'body=[T "*" T]')) v(node, signature) GROUP BY node, signature""",
-    "forest_tables": """SELECT n AS id, CAST(n * (n + 1) // 2 AS BIGINT) AS symbols, CAST(2 * n + (n - 1) * n * (n + 1) // 2 + n * (n - 1) AS BIGINT) AS edges FROM (SELECT unnest(range(1, 9)) AS n)""",
+    "forest_tables": """SELECT p_partkey, CAST(n * (n + 1) // 2 AS BIGINT) AS symbols, CAST(2 * n + (n - 1) * n * (n + 1) // 2 + n * (n - 1) AS BIGINT) AS edges FROM (SELECT p_partkey, length(replace(p_name, ' ', '')) AS n FROM part)""",
     "indent_events": """WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
         c AS (SELECT doc_id, line, CASE WHEN length(t) > 0 THEN CAST(length(t) % 5 AS INTEGER) END AS c FROM l),
         s(doc_id, line, levels, events) AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT), [0], '' FROM c
@@ -491,13 +468,8 @@ ORACLE_SQL: dict[str, str] = {
     "prefer_same_span": f"WITH {_SPANS_SQL} SELECT msg, slot, i, k, j FROM s WHERE slot <> 0 AND NOT EXISTS (SELECT 1 FROM s p WHERE p.slot = 0 AND p.msg = s.msg AND p.i = s.i AND p.j = s.j)",
     "call_return_join": """SELECT DISTINCT l_suppkey % 5 AS slot, CAST(l_linenumber AS BIGINT) AS i, l_orderkey AS k, o_orderkey + o_custkey % 9 AS j
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND l_orderkey % 97 = o_orderkey % 97""",
-    "catalan_spans": """SELECT n AS id, i, k, j FROM (SELECT unnest(range(1, 13)) AS n), LATERAL (SELECT unnest(range(0, n + 1)) AS i), LATERAL (SELECT unnest(range(0, n + 1)) AS k), LATERAL (SELECT unnest(range(0, n + 1)) AS j)
+    "catalan_spans": """SELECT p_partkey, i, k, j FROM (SELECT p_partkey, length(replace(p_name, ' ', '')) AS n FROM part), LATERAL (SELECT unnest(range(0, n + 1)) AS i), LATERAL (SELECT unnest(range(0, n + 1)) AS k), LATERAL (SELECT unnest(range(0, n + 1)) AS j)
         WHERE i < k AND k < j""",
-    "first_sets": """SELECT * FROM (VALUES ('A', '"c"'), ('A', '"d"'), ('B', '"c"'), ('B', '"d"'), ('C', '"c"'), ('C', '"d"'), ('D', '"."'), ('D', '"c"'), ('D', '"d"')) v(name, token)""",
-    "follow_sets": """SELECT * FROM (VALUES ('A', '○'), ('A', '"y"'), ('B', '"c"'), ('C', '"c"'), ('C', '"d"'), ('C', '"x"'), ('C', '"."')) v(name, token)""",
-    "ll1_conflicts": """SELECT name, token, CAST(count(*) AS BIGINT) AS n FROM (VALUES ('A', 0, '"c"'), ('A', 0, '"d"'), ('A', 1, '"d"'), ('B', 0, '"c"'), ('B', 0, '"d"'), ('C', 0, '"c"'), ('C', 1, '"c"'), ('C', 1, '"d"'),
-        ('D', 0, '"."'), ('D', 0, '"c"'), ('D', 0, '"d"'), ('D', 1, '"c"'), ('D', 1, '"d"')) v(name, alternative, token) GROUP BY name, token HAVING count(*) > 1""",
-    "reachable_rules": """WITH RECURSIVE e(src, dst) AS (VALUES ('A', 'A'), ('A', 'B'), ('B', 'C'), ('C', 'A'), ('D', 'C')), r(node) AS (SELECT 'A' UNION SELECT dst FROM r JOIN e ON node = src) SELECT node FROM r""",
     "parse_expressions": """SELECT l_orderkey, l_linenumber, l_linenumber % 3 <> 0 AS accepted, CAST(length(CASE WHEN l_linenumber % 3 = 0 THEN concat(q, ' + * ', p) ELSE concat(q, ' + ', n, ' * (', p, '+', q, ')') END) AS BIGINT) AS source_len
         FROM (SELECT *, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS q, CAST(l_partkey AS VARCHAR) AS p, CAST(l_linenumber AS VARCHAR) AS n FROM lineitem)""",
     "parse_turns": """WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line_text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM conversations)
@@ -514,7 +486,7 @@ ORACLE_SQL: dict[str, str] = {
     "section_asof": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
         m AS (SELECT doc_id, line FROM l WHERE regexp_full_match(t, '[A-Z][A-Z !?.,]+'))
         SELECT l.doc_id, CAST(l.line AS BIGINT) AS line, CAST(m.line AS BIGINT) AS section FROM l ASOF LEFT JOIN m ON l.doc_id = m.doc_id AND l.line >= m.line""",
-    "relational_twin": """SELECT n AS msg, i, j FROM (SELECT unnest(range(1, 11)) AS n), LATERAL (SELECT unnest(range(0, n + 1)) AS i), LATERAL (SELECT unnest(range(0, n + 1)) AS j) WHERE i < j""",
+    "relational_twin": """SELECT p_partkey AS msg, i, j FROM (SELECT p_partkey, length(replace(p_name, ' ', '')) AS n FROM part), LATERAL (SELECT unnest(range(0, n + 1)) AS i), LATERAL (SELECT unnest(range(0, n + 1)) AS j) WHERE i < j""",
     "text_positions": """WITH d AS (SELECT doc_id, text, unnest([1, 2, 3, 4]) AS quarter FROM documents),
         l AS (SELECT *, regexp_split_to_array(left(text, length(text) * quarter // 4), '\r\n|\n|\r') AS lines FROM d), p AS (SELECT *, string_split(lines[-1], chr(9)) AS pieces FROM l)
         SELECT doc_id, CAST(quarter AS BIGINT) AS quarter, concat('L', len(lines) - 1, 'P', length(lines[-1])) AS position,
@@ -525,7 +497,7 @@ ORACLE_SQL: dict[str, str] = {
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         doc_fingerprint, chunk_documents, token_offsets, boundary_gaps, munch_literals, postings, bm25_topk, fts_three_way_join, longest_extent, shortest_extent, left_pivot, right_pivot, prefer_same_span, call_return_join,
-        catalan_spans, first_sets, follow_sets, ll1_conflicts, reachable_rules, parse_expressions, parse_ambiguous, parse_turns, residual_ambiguity, signature_harvest, forest_tables, token_commits, performance_summary,
+        catalan_spans, parse_expressions, parse_ambiguous, parse_turns, residual_ambiguity, signature_harvest, forest_tables, token_commits, performance_summary,
         section_asof, indent_events, scalar_functions, text_positions, relational_twin, label_functions, terminal_predicates, furthest_mismatch, terminal_texts, all_trees, single_tree, avoided_option, parse_counters,
         search_phrase, search_or, search_prefix, ranked_hits,
     )

@@ -11,6 +11,7 @@ from .operators import forest_tables as ft
 from .operators import lexedges as le
 from .operators.brackets import pairs
 from .operators.chart import chart
+from .operators.grammar_tables import Grammars
 from .operators.index_store import Index
 from .operators.search import Query
 from .operators.telemetry import observed_places, report
@@ -198,6 +199,45 @@ def scanner_telemetry(spark: SparkSession, sf: str) -> DataFrame:
     return report(spark, seen, terminals)
 
 
+def _order_grammars(spark: SparkSession, sf: str) -> tuple[Grammars, DataFrame]:
+    """A grammar for each order and its first rule: a rule for each line number, whose line items give two alternatives
+    each. One begins with a call, the other one is empty or two calls. Numbers that the order does not have are tokens."""
+    q, p, s = (F.col(c).cast("long") for c in ("l_quantity", "l_partkey", "l_suppkey"))
+    call = lambda x: F.concat(F.lit("r"), (x % 7 + 1).cast("string"))
+    rows = lambda *names: F.array(*(F.struct(F.lit(k).alias("pos"), n.alias("name")) for k, n in enumerate(names)))
+    second = F.when(q % 4 == 0, rows(F.lit(None).cast("string"))).otherwise(rows(call(s), call(p + s)))
+    of = F.concat_ws("/", p, s, q)
+    both = F.array(F.struct(F.concat(of, F.lit("a")).alias("alt"), rows(call(p), F.concat(F.lit("t"), (s % 9).cast("string"))).alias("x")), F.struct(F.concat(of, F.lit("b")).alias("alt"), second.alias("x")))
+    li = _table(spark, sf, "lineitem")
+    made = li.select("l_orderkey", F.concat(F.lit("r"), F.col("l_linenumber").cast("string")).alias("rule"), F.explode(both).alias("a"))
+    starts = li.groupBy("l_orderkey").agg(F.concat(F.lit("r"), F.min("l_linenumber").cast("string")).alias("rule"))
+    return Grammars(made.select("l_orderkey", "rule", "a.alt", F.inline("a.x")), ["l_orderkey"], scratch_save(spark)), starts
+
+
+def first_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """What the rules of each order's grammar can begin with; "" where one can be nothing."""
+    g, _ = _order_grammars(spark, sf)
+    return g.first.unionByName(g.empty.withColumn("token", F.lit(""))).select("l_orderkey", "rule", "token")
+
+
+def follow_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """What can stand after the rules of each order's grammar."""
+    g, starts = _order_grammars(spark, sf)
+    return g.follow(starts)
+
+
+def ll1_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens that do not say which alternative of a rule comes, or whether a rule that can be nothing does."""
+    g, starts = _order_grammars(spark, sf)
+    return g.conflicts(starts)
+
+
+def reachable_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """The rules of each order's grammar that its first rule leads to."""
+    g, starts = _order_grammars(spark, sf)
+    return g.reachable(starts)
+
+
 _LETTER = "[A-Za-zÀ-ÿ]"
 _EDGES_SQL = rf"""
   p AS (SELECT source, id, turn, line, text, unnest(range(0, length(text))) AS start FROM lines),
@@ -214,7 +254,40 @@ _EDGES_SQL = rf"""
 _TURN_LINES = "SELECT 'turn' AS source, conv_id AS id, turn, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM conversations"
 _SAME = "x.id = f.id AND x.turn = f.turn AND x.line = f.line"
 
+_GRAMMAR_SQL = (
+    """
+  li AS (SELECT l_orderkey AS g, concat('r', l_linenumber) AS rule, CAST(l_quantity AS BIGINT) AS q, l_partkey AS p, l_suppkey AS s FROM lineitem),
+  w0 AS (SELECT g, rule, concat(p, '/', s, '/', q, 'a') AS alt, concat('r', p % 7 + 1) AS x, concat('t', s % 9) AS y FROM li
+    UNION SELECT g, rule, concat(p, '/', s, '/', q, 'b'), CASE WHEN q % 4 > 0 THEN concat('r', s % 7 + 1) END, CASE WHEN q % 4 > 0 THEN concat('r', (p + s) % 7 + 1) END FROM li),
+  rules AS MATERIALIZED (SELECT DISTINCT g, rule FROM w0), n0 AS (SELECT g, rule FROM rules WHERE false),"""
+    # A grammar has at most seven rules, so seven rounds find all that can be empty.
+    + "".join(f" n{k} AS MATERIALIZED (SELECT DISTINCT g, rule FROM w0 WHERE (x IS NULL OR (g, x) IN (SELECT (g, rule) FROM n{k - 1})) AND (y IS NULL OR (g, y) IN (SELECT (g, rule) FROM n{k - 1})))," for k in range(1, 8))
+    + """
+  w AS MATERIALIZED (SELECT w0.*, cx.rule IS NOT NULL AS callx, cy.rule IS NOT NULL AS cally, x IS NULL OR vx.rule IS NOT NULL AS voidx, y IS NULL OR vy.rule IS NOT NULL AS voidy FROM w0
+    LEFT JOIN rules cx ON cx.g = w0.g AND cx.rule = x LEFT JOIN rules cy ON cy.g = w0.g AND cy.rule = y LEFT JOIN n7 vx ON vx.g = w0.g AND vx.rule = x LEFT JOIN n7 vy ON vy.g = w0.g AND vy.rule = y),
+  lead AS MATERIALIZED (SELECT g, rule, x AS name, callx AS call FROM w WHERE x IS NOT NULL UNION SELECT g, rule, y, cally FROM w WHERE voidx AND y IS NOT NULL),
+  first(g, rule, token) AS (SELECT g, rule, name FROM lead WHERE NOT call UNION SELECT lead.g, lead.rule, first.token FROM first JOIN lead ON lead.call AND lead.g = first.g AND lead.name = first.rule)"""
+)
+_FOLLOW_SQL = f"""{_GRAMMAR_SQL},
+  ofx AS MATERIALIZED (SELECT w.g, w.rule, alt, token FROM w JOIN first f ON f.g = w.g AND f.rule = x UNION SELECT g, rule, alt, x FROM w WHERE x IS NOT NULL AND NOT callx),
+  ofy AS MATERIALIZED (SELECT w.g, w.rule, alt, token FROM w JOIN first f ON f.g = w.g AND f.rule = y UNION SELECT g, rule, alt, y FROM w WHERE y IS NOT NULL AND NOT cally),
+  up AS MATERIALIZED (SELECT g, x AS low, rule FROM w WHERE callx AND voidy UNION SELECT g, y, rule FROM w WHERE cally),
+  start AS (SELECT l_orderkey AS g, concat('r', min(l_linenumber)) AS rule FROM lineitem GROUP BY l_orderkey),
+  follow(g, rule, token) AS (SELECT g, rule, '○' FROM start UNION SELECT w.g, x, token FROM w JOIN ofy USING (g, rule, alt) WHERE callx UNION SELECT up.g, up.low, follow.token FROM follow JOIN up ON up.g = follow.g AND up.rule = follow.rule)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "first_sets": f"WITH RECURSIVE {_GRAMMAR_SQL} SELECT g AS l_orderkey, rule, token FROM first UNION ALL SELECT g, rule, '' FROM n7",
+    "follow_sets": f"WITH RECURSIVE {_FOLLOW_SQL} SELECT g AS l_orderkey, rule, token FROM follow",
+    "ll1_conflicts": f"""WITH RECURSIVE {_FOLLOW_SQL},
+        af AS (SELECT g, rule, alt, token FROM ofx UNION SELECT ofy.g, ofy.rule, ofy.alt, token FROM ofy JOIN w USING (g, rule, alt) WHERE voidx UNION SELECT g, rule, alt, '' FROM w WHERE voidx AND voidy),
+        ways AS (SELECT g, rule, token FROM af UNION ALL SELECT f.g, f.rule, token FROM follow f JOIN n7 USING (g, rule)),
+        stands AS (SELECT w.g, rule, alt, 0 AS pos, x AS name, token FROM w JOIN ofy USING (g, rule, alt) WHERE callx AND voidx UNION SELECT w.g, rule, alt, 0, x, token FROM w JOIN follow USING (g, rule) WHERE callx AND voidx AND voidy
+          UNION SELECT w.g, rule, alt, 1, y, token FROM w JOIN follow USING (g, rule) WHERE cally AND voidy)
+        SELECT g AS l_orderkey, rule, 'alternatives' AS kind, token, count(*) AS n FROM ways GROUP BY ALL HAVING count(*) > 1
+        UNION ALL SELECT s.g, s.name, 'use', s.token, count(*) FROM stands s JOIN first f ON f.g = s.g AND f.rule = s.name AND f.token = s.token GROUP BY ALL""",
+    "reachable_rules": f"""WITH RECURSIVE {_GRAMMAR_SQL}, down AS (SELECT g, rule, x AS low FROM w WHERE callx UNION SELECT g, rule, y FROM w WHERE cally),
+        reached(g, rule) AS (SELECT l_orderkey, concat('r', min(l_linenumber)) FROM lineitem GROUP BY l_orderkey UNION SELECT d.g, d.low FROM reached r JOIN down d ON d.g = r.g AND d.rule = r.rule)
+        SELECT g AS l_orderkey, rule FROM reached""",
     "lex_edges": f"""WITH lines AS ({_TURN_LINES} UNION ALL SELECT 'document', doc_id, 0, unnest(string_split(text, chr(10))), generate_subscripts(string_split(text, chr(10)), 1) - 1 FROM documents), {_EDGES_SQL}
         SELECT source, id, turn, terminal, count(*) AS n, CAST(sum(start) AS BIGINT) AS starts, CAST(sum(stop) AS BIGINT) AS ends, CAST(sum(after) AS BIGINT) AS afters FROM edges GROUP BY ALL""",
     "filter_chain": f"""WITH lines AS ({_TURN_LINES}), {_EDGES_SQL},
@@ -268,4 +341,4 @@ ORACLE_SQL: dict[str, str] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (lex_edges, filter_chain, chart_spans, shared_forest, derivation_counts, resolved_spans, closure_ends, stored_hits, stored_phrase, bracket_pairs, scanner_telemetry)}
+    return {f.__name__: f for f in (first_sets, follow_sets, ll1_conflicts, reachable_rules, lex_edges, filter_chain, chart_spans, shared_forest, derivation_counts, resolved_spans, closure_ends, stored_hits, stored_phrase, bracket_pairs, scanner_telemetry)}
