@@ -4,8 +4,10 @@ A logistic model of surface statistics and of hashed words, fitted on at most `m
 with the smallest hashes of their ids), gives each document's own evidence: its log odds less those of the labelled mean.
 Labels where there are any, and the model's probabilities elsewhere, are summed for every path of every host, for every
 host and over the corpus. A host's rate is shrunk toward the corpus's, a path's toward its host's, each by a prior
-strength estimated by the method of moments, so a site with few documents says what its parent says. A document is kept
-if its evidence and its path's posterior together give a probability of at least `threshold`.
+strength estimated by the method of moments, so a site with few documents says what its parent says. The rates that a
+document meets leave out its own evidence, which would count twice otherwise: the only document of a site meets what the
+rest of the corpus says. A document is kept if its evidence and its path's posterior together give a probability of at
+least `threshold`; every document has its row, those that are not kept too.
 
 Where documents have a URL, with_site splits it into host and path; those of op1 have none, so `source` is the host and
 `lang` the path; other columns can be named. A null host or path is one of its own (the empty string). A null text is
@@ -144,20 +146,27 @@ def judge(docs: DataFrame, labels: DataFrame, scratch: Scratch, threshold: float
     if not model:
         half = [F.lit(0.5).alias(c) for c in ("doc_prob", "host_posterior", "path_posterior", "quality")]
         return scored.select(*out, *half, F.col("words").alias("keep"))
+    # Rows without an id have no label; apart, they do not all meet in one task.
     soft = F.coalesce("y", 1 / (1 + F.exp(-F.col("odds"))))
-    paths = scratch.save(scored.join(known, "doc_id", "left").groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), F.sum(soft).alias("good")), "paths")
+    told = scored.where("doc_id is not null").join(known, "doc_id", "left").unionByName(scored.where("doc_id is null").withColumn("y", F.lit(None).cast("double")))
+    scored = scratch.save(told.select(*scored.columns, soft.alias("own")), "weighed")
+    paths = scratch.save(scored.groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), F.sum("own").alias("good")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good"))
     total = hosts.agg(F.sum("host_n").alias("n"), F.sum("host_good").alias("good")).first()
     rate = total.good / total.n if total.n else 0.5
+    shrunk = lambda good, n, m, parent: (good + m * parent) / (n + m)
     m = strength(hosts.withColumn("parent", F.lit(rate)), "host_n", "host_good", "parent")
-    hosts = hosts.withColumn("host_posterior", (F.col("host_good") + m * rate) / (F.col("host_n") + m))
-    sites = paths.join(hosts, "host")
-    m2 = strength(sites, "n", "good", "host_posterior")
-    sites = scratch.save(sites.select("host", "path", "n", "host_posterior", ((F.col("good") + m2 * F.col("host_posterior")) / (F.col("n") + m2)).alias("path_posterior")), "sites")
+    hosts = hosts.withColumn("parent", shrunk(F.col("host_good"), F.col("host_n"), m, F.lit(rate)))
+    sites = scratch.save(paths.join(hosts, "host"), "sites")
+    m2 = strength(sites, "n", "good", "parent")
+    met = join_facts(scored, sites.drop("parent").withColumn("rows", F.col("n")), ["host", "path"], "rows")
+    others = (F.lit(total.good) - F.col("own")) / (total.n - 1) if total.n and total.n > 1 else F.lit(0.5)
+    met = met.withColumn("host_posterior", shrunk(F.col("host_good") - F.col("own"), F.col("host_n") - 1, m, others))
+    met = met.withColumn("path_posterior", shrunk(F.col("good") - F.col("own"), F.col("n") - 1, m2, F.col("host_posterior")))
     inside = F.least(F.greatest("path_posterior", F.lit(1e-9)), F.lit(1 - 1e-9))
     odds = F.col("odds") - model.base + F.log(inside / (1 - inside))
     quality = 1 / (1 + F.exp(-odds))
-    return join_facts(scored, sites, ["host", "path"], "n").select(*out, (1 / (1 + F.exp(-F.col("odds")))).alias("doc_prob"), "host_posterior", "path_posterior", quality.alias("quality"), (F.col("words") & (quality >= threshold)).alias("keep"))
+    return met.select(*out, (1 / (1 + F.exp(-F.col("odds")))).alias("doc_prob"), "host_posterior", "path_posterior", quality.alias("quality"), (F.col("words") & (quality >= threshold)).alias("keep"))
 
 
 def fitted(rows: DataFrame, known: DataFrame, max_labels: int) -> Logistic | None:
@@ -193,6 +202,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame
 
 
 def op1_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that are kept, with what speaks for them."""
-    judged = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark, "op1"))
-    return judged.where("keep")
+    """Every document with what speaks for it, and whether it is kept."""
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark, "op1"))

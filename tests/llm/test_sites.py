@@ -69,14 +69,14 @@ def test_posteriors_equal_plain_python(spark):
     hosts, paths = tally(lambda r: r.host), tally(lambda r: (r.host, r.path))
     rate = sum(good.values()) / len(good)
     m = moments([(n, g, rate) for n, g in hosts.values()])
-    of_host = {h: (g + m * rate) / (n + m) for h, (n, g) in hosts.items()}
-    m2 = moments([(n, g, of_host[h]) for (h, _), (n, g) in paths.items()])
-    of_path = {k: (g + m2 * of_host[k[0]]) / (n + m2) for k, (n, g) in paths.items()}
+    m2 = moments([(n, g, (hosts[h][1] + m * rate) / (hosts[h][0] + m)) for (h, _), (n, g) in paths.items()])
     sample = [np.mean(y) for i, y in known.items() if i < 600]
     base = np.log((sum(sample) + 0.5) / (len(sample) - sum(sample) + 0.5))
     for r in got.values():
-        assert abs(r.host_posterior - of_host[r.host]) < 1e-9 and abs(r.path_posterior - of_path[r.host, r.path]) < 1e-9
-        p = of_path[r.host, r.path]
+        own, (n, g), (k, w) = good[r.doc_id], hosts[r.host], paths[r.host, r.path]
+        of_host = (g - own + m * (sum(good.values()) - own) / (len(good) - 1)) / (n - 1 + m)
+        p = (w - own + m2 * of_host) / (k - 1 + m2)
+        assert abs(r.host_posterior - of_host) < 1e-9 and abs(r.path_posterior - p) < 1e-9
         want = 1 / (1 + np.exp(-(np.log(r.doc_prob / (1 - r.doc_prob)) - base + np.log(p / (1 - p)))))
         assert abs(r.quality - want) < 1e-6 and r.keep == (r.quality >= 0.5)
 
@@ -96,3 +96,20 @@ def test_odd_tables(spark):
     assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()].count(3) == 2
     assert {r.keep for r in sq.judge(docs, labels.limit(0), Scratch(spark, "t")).where("doc_id >= 3").collect()} == {True}
     assert sq.judge(docs.limit(0), labels, Scratch(spark, "t")).count() == 0
+
+
+def test_own_evidence_is_left_out(spark):
+    """A document that is alone on its site meets the rate of all others; of two equal sites the rest decides."""
+    words = "some plain good words here. " * 4
+    docs = [(i, words if i % 3 else "BAD!! | 77 $$ || " * 4, f"h{i}", "p") for i in range(60)] + [(100, "fair words " * 200_000, "long", None)]
+    labels = [(i, int(i % 3 > 0)) for i in range(0, 60, 2)]
+    rows = sq.judge(spark.createDataFrame(docs, "doc_id long, text string, source string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int"), Scratch(spark, "t")).collect()
+    y = dict(labels)
+    own = {r.doc_id: y.get(r.doc_id, r.doc_prob) for r in rows}
+    assert len(rows) == 61
+    for r in rows:
+        rest = (sum(own.values()) - own[r.doc_id]) / 60
+        assert abs(r.host_posterior - rest) < 1e-9 and abs(r.path_posterior - rest) < 1e-9
+    one = sq.judge(spark.createDataFrame(docs[1:2], "doc_id long, text string, source string, lang string"), spark.createDataFrame([(1, 1)], "doc_id long, quality int"), Scratch(spark, "t")).first()
+    assert abs(one.path_posterior - 0.5) < 1e-9
+    assert {r.keep for r in sq.op1_site_quality(spark, "/root/testdata/sf0.001").collect()} == {True, False}
