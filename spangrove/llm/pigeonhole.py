@@ -10,9 +10,9 @@ items go to every task, whose Aho-Corasick automaton of all pieces reads each te
 and texts meet on hashes of the pieces' first characters (those of a text that no piece has are left out by a bit table
 of at most FILTER_BITS), and texts are read again only for the candidates.
 
-Null or empty items match nothing. Items of fewer than MIN_CHARS characters, which prose holds by chance, match nothing
-either unless `short` is set, as op10 and the pipeline do: then they match without edits where no letter or digit goes on
-at either end. Null and empty texts match nothing; of equally good passages the first counts. Rows that repeat give rows
+Null or empty items match nothing. Items of fewer than RATE characters have no edits and match where no letter or digit
+goes on at either end. Where `short` is not set, items of fewer than MIN_CHARS characters, which prose may hold by chance,
+match nothing; it is set unless a caller says otherwise. Null and empty texts match nothing; of equally good passages the first counts. Rows that repeat give rows
 that repeat, an empty table on either side none. Other columns are kept or not read, whatever their names. Texts of any
 length are read whole.
 """
@@ -32,7 +32,7 @@ from .common import Scratch, clear_name, mix, numbered, partitions, rows_at_a_ti
 RATE = 16
 MIN_CHARS = 24
 HELD_CHARS = 4 << 20
-#: No piece of an item of MIN_CHARS or more is shorter.
+#: Pieces meet on their first SEED characters, shorter ones on all.
 SEED = 10
 FILTER_BITS = 1 << 26
 
@@ -78,7 +78,7 @@ def clean(text: str) -> str:
 
 
 def edits(item: str) -> int:
-    return len(item) // RATE if len(item) >= MIN_CHARS else 0
+    return len(item) // RATE
 
 
 def cut(item: str) -> list[tuple[int, int]]:
@@ -90,7 +90,7 @@ def cut(item: str) -> list[tuple[int, int]]:
 def best_passage(text: str, item: str, begins: set[int]) -> tuple[int, int] | None:
     """(distance, end) of the best match of an item that may begin about some places of the text."""
     most = edits(item)
-    if len(item) < MIN_CHARS:
+    if not most:
         whole = [b + len(item) for b in begins if text.startswith(item, b) and stands_alone(text, b, b + len(item))]
         return (0, min(whole)) if whole else None
     best = None
@@ -112,7 +112,7 @@ def best_passage(text: str, item: str, begins: set[int]) -> tuple[int, int] | No
 class Matcher:
     """Items by id; an automaton of their pieces."""
 
-    def __init__(self, items: list[tuple[int, str]], short: bool = False):
+    def __init__(self, items: list[tuple[int, str]], short: bool = True):
         import ahocorasick
 
         self.items: list[tuple[int, str]] = []
@@ -246,7 +246,7 @@ def held_items(items: DataFrame, most: int) -> list[tuple[int, str]] | None:
     return [(r.item_id, r.item) for r in items.collect()] if total <= most else None
 
 
-def matches(docs: DataFrame, items: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", short: bool = False, held_chars: int = HELD_CHARS) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", short: bool = True, held_chars: int = HELD_CHARS) -> DataFrame:
     """doc_id, item_id, distance, end (in the folded text) for each pair within the item's edit budget."""
     chosen = chosen_items(items, item_col, item_text_col, short)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -266,7 +266,7 @@ def matches(docs: DataFrame, items: DataFrame, scratch: Scratch, id_col: str = "
     return rows.mapInArrow(run, "doc_id long, item_id long, distance long, end long")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, scratch: Scratch, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", short: bool = False, held_chars: int = HELD_CHARS) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, scratch: Scratch, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", short: bool = True, held_chars: int = HELD_CHARS) -> DataFrame:
     """The rows of docs whose text holds a passage of no item, whatever their other columns."""
     chosen = chosen_items(items, item_col, item_text_col, short)
     held = held_items(chosen, held_chars)
@@ -286,4 +286,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, scratch: Scratch, text_col:
 
 
 def op10_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark, "op10"), short=True)
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark, "op10"))

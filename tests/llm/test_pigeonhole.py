@@ -47,7 +47,7 @@ def test_finds_all_within_budget():
     words = ["then", "thing", "ever", "ation", "ble", "of", "the", "and", "é"]
     items = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(8, 50)))) for i in range(30)]
     items = [x for x in items if len(x[1]) >= ph.MIN_CHARS]
-    own = ph.Matcher([*items, (900, None), (901, ""), (902, "too short")])
+    own = ph.Matcher([*items, (900, None), (901, ""), (902, "too short")], short=False)
     for _ in range(60):
         i, item = rng.choice(items)
         text = " ".join(rng.choice(words) for _ in range(40)) + " " + edited(rng, item, rng.randrange(5)) + " " + " ".join(rng.choice(words) for _ in range(20))
@@ -62,13 +62,13 @@ def test_tables(spark, held):
     item = "The quick brown fox jumps over the lazy dog and runs away"
     docs = spark.createDataFrame([(1, "x " + item.upper().replace(" ", "\n ") + " y", 5), (2, None, 5), (3, "", 5), (4, "clean text", 5), (1, "again " + item, 6), (6, item[:40], 1), (7, "z " * 200_000 + item, 1)], "doc_id long, text string, Row int")
     items = spark.createDataFrame([(7, item), (8, None), (9, "clean"), (7, item), (None, item[3:])], "item_id long, text string")
-    got = ph.matches(docs, items, scratch, held_chars=held)
+    got = ph.matches(docs, items, scratch, short=False, held_chars=held)
     assert sorted((r.doc_id, r.item_id or 0, r.distance) for r in got.collect()) == sorted([(1, 7, 0)] * 4 + [(7, 7, 0)] * 2 + [(1, 0, 0)] * 2 + [(7, 0, 0)])
-    kept = ph.decontaminate(docs, items, scratch, held_chars=held)
+    kept = ph.decontaminate(docs, items, scratch, short=False, held_chars=held)
     assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 4, 6] and kept.columns == docs.columns
     same = spark.createDataFrame([(1, item), (1, "clean"), (None, item), (None, "clean")], "doc_id long, text string")
-    assert [r.text for r in ph.decontaminate(same, items, scratch, held_chars=held).collect()] == ["clean", "clean"]
-    assert ph.matches(docs.limit(0), items, scratch, held_chars=held).count() == 0 and ph.matches(docs, items.limit(0), scratch, held_chars=held - 1).count() == 0
+    assert [r.text for r in ph.decontaminate(same, items, scratch, short=False, held_chars=held).collect()] == ["clean", "clean"]
+    assert ph.matches(docs.limit(0), items, scratch, short=False, held_chars=held).count() == 0 and ph.matches(docs, items.limit(0), scratch, short=False, held_chars=held - 1).count() == 0
 
 
 def test_pieces_meet_as_tables(spark):
