@@ -183,11 +183,11 @@ def stored_phrase(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bracket_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """All pairs of brackets of all pages and documents, outside quoted strings."""
+    """All pairs of brackets of all pages and documents, outside quoted strings. One that nothing closes is not alike."""
     texts = _table(spark, sf, "pages").select(F.lit("page").alias("source"), F.col("page_id").alias("id"), F.col("html").alias("text"))
     texts = texts.unionByName(_table(spark, sf, "documents").select(F.lit("document").alias("source"), F.col("doc_id").alias("id"), "text"))
     found = pairs(texts, ["source", "id"], "text")
-    return found.select("source", "id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("depth").cast("long").alias("depth"), "alike")
+    return found.select("source", "id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("depth").cast("long").alias("depth"), F.coalesce("alike", F.lit(False)).alias("alike"))
 
 
 def scanner_telemetry(spark: SparkSession, sf: str) -> DataFrame:
