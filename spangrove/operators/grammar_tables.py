@@ -80,15 +80,16 @@ class Grammars:
 
     @cached_property
     def elements(self) -> DataFrame:
-        """The rows with: void (the element can be nothing), leads (all before it can), ends (all after it can)."""
+        """The rows with: void (the element can be nothing), leads (all before it can), ends (all after it can), then (the
+        next position), inner (there is one before it)."""
         key = [*self.ids, "rule", "alt"]
         known = self.empty.select(*self.ids, F.col("rule").alias("name"), F.lit(True).alias("void"))
         rows = self.rows.join(known, [*self.ids, "name"], "left").withColumn("void", F.col("name").isNull() | F.coalesce("void", F.lit(False)))
         w = Window.partitionBy(*key)
         before, after = (w.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col("pos"), F.col("pos").desc()))
         every = lambda over: F.coalesce(F.min("void").over(over), F.lit(True))
-        then = F.lead("pos").over(w.orderBy("pos"))
-        return self.save(rows.withColumn("leads", every(before)).withColumn("ends", every(after)).withColumn("then", then), "elements")
+        then, inner = F.lead("pos").over(w.orderBy("pos")), F.lag("pos").over(w.orderBy("pos")).isNotNull()
+        return self.save(rows.withColumn("leads", every(before)).withColumn("ends", every(after)).withColumn("then", then).withColumn("inner", inner), "elements")
 
     @cached_property
     def first(self) -> DataFrame:
@@ -120,7 +121,8 @@ class Grammars:
         held = self.__dict__.setdefault("_held", {})
         if key not in held:
             ids, e = self.ids, self.elements
-            facts = self._own(e).select(*ids, _place("S", F.col("rule"), F.col("alt"), F.col("pos")).alias("node"), "token")
+            # Nothing leads to an alternative's first element, so what it begins with stands after nothing.
+            facts = self._own(e.where("inner")).select(*ids, _place("S", F.col("rule"), F.col("alt"), F.col("pos")).alias("node"), "token")
             facts = facts.unionByName(starts.dropna().select(*ids, _place("F", F.col("rule").cast("string")).alias("node"), F.lit(EOS).alias("token")))
             rest = _place("S", F.col("rule"), F.col("alt"), F.col("then"))
             edges = e.where("void and then is not null").select(*ids, _place("S", F.col("rule"), F.col("alt"), F.col("pos")).alias("src"), rest.alias("dst"))
