@@ -212,10 +212,12 @@ def signature_harvest(spark: SparkSession, sf: str) -> DataFrame:
 
 def forest_tables(spark: SparkSession, sf: str) -> DataFrame:
     """Nodes and edges of the shared forests of the doubling grammar, for each part's letters."""
-    p = parse(_letters(spark, sf), DOUBLING, keep=("forest",))
-    n = forest_nodes(p, "p_partkey").groupBy("p_partkey").agg(F.sum((F.col("kind") == "symbol").cast("long")).alias("symbols"))
-    e = forest_edges(p, "p_partkey").groupBy("p_partkey").agg(F.count("*").alias("edges"))
-    return n.join(e, "p_partkey")
+    letters = _letters(spark, sf)
+    p = parse(letters.where("text is not null").select("text").distinct(), DOUBLING, keep=("forest",), spread=True)  # equal texts have one forest
+    n = forest_nodes(p, "text").groupBy("text").agg(F.sum((F.col("kind") == "symbol").cast("long")).alias("symbols"))
+    e = forest_edges(p, "text").groupBy("text").agg(F.count("*").alias("edges"))
+    rows = letters.where("p_partkey is not null").join(n.join(e, "text"), "text")
+    return rows.groupBy("p_partkey").agg(F.sum("symbols").alias("symbols"), F.sum("edges").alias("edges"))
 
 
 def token_commits(spark: SparkSession, sf: str) -> DataFrame:
