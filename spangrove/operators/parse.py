@@ -164,12 +164,13 @@ def parse(df: DataFrame, grammar: str, text_col: str = "text", resolve: bool = F
 
 
 def parse_distinct(df: DataFrame, grammar: str, text_col: str = "text", **options) -> DataFrame:
-    """As parse, but each distinct text is parsed once and the results are joined back by its hash."""
+    """As parse, but each distinct text is parsed once and the results are joined back by its hash. Spark takes the few
+    columns that are read of the results for small however many texts there are, so they are never sent by broadcast."""
     df = df.drop("parse") if text_col.lower() != "parse" else df
     key = free_name(df, "text_hash")
     keyed = df.withColumn(key, F.sha2(F.col(text_col), 256))
     once = parse(keyed.where(F.col(text_col).isNotNull()).groupBy(key).agg(F.first(text_col).alias("text")), grammar, "text", spread=True, **options)
-    return keyed.join(once.select(key, "parse"), key, "left").drop(key)
+    return keyed.join(once.select(key, "parse").hint("merge"), key, "left").drop(key)
 
 
 def spans(parsed: DataFrame, *ids: str) -> DataFrame:
