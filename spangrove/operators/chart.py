@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..plans.grammar import EPS, Alternative, Element, Grammar, Rule, compile_grammar
 from ..sources.scratch import scratch_root
-from .lexedges import END, Terminals, lex_places
+from .lexedges import END, Terminals, _once, lex_places, places
 
 B, V = ["b0", "b1", "b2"], ["v0", "v1", "v2"]
 KEY = ["msg", "rel", "o", "d", *B, *V]
@@ -259,6 +259,25 @@ def chart(df: DataFrame, id_col: str, text_col: str, grammar: str | Grammar, bui
     return out
 
 
+def shape(text: Column, terminals: Terminals) -> Column:
+    """shape, places: what decides about the chart of a text, as a hash, and the places that occur in it in order. Texts of
+    one shape have one chart but for their places: it compares places with each other and nothing else."""
+
+    def listed(x: Column) -> Column:
+        of = lambda e: F.array(e["start"], e["end"], e["after"])
+        seen = F.flatten(F.transform(x["found"], lambda p: F.concat(F.array(p["at"]), F.flatten(F.transform(p["edges"], of)))))
+        return F.struct(x["found"].alias("found"), F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0), x["n"]), seen))).alias("places"))
+
+    def ranked(z: Column) -> Column:
+        rank = lambda v: F.array_position(z["places"], v)
+        edge = lambda e: F.struct(e["t"].alias("t"), rank(e["start"]).alias("s"), rank(e["end"]).alias("e"), rank(e["after"]).alias("a"), e["gap"].alias("g"))
+        same = F.transform(z["found"], lambda p: F.struct(rank(p["at"]).alias("p"), p["gap"].alias("g"), F.transform(p["edges"], edge).alias("x")))
+        return F.struct(F.sha2(F.to_json(F.struct(same.alias("s"), F.size(z["places"]).alias("n"))), 256).alias("shape"), z["places"].alias("places"))
+
+    first = F.struct(places(text, terminals).alias("found"), F.length(text).alias("n"))
+    return _once(_once(first, listed), ranked)
+
+
 def fresh(new: DataFrame, facts: DataFrame, here: DataFrame, slots: Slots, buckets: int) -> DataFrame:
     """What follows from the new facts and is not known; the candidates are dealt to the buckets, and nothing else."""
     found = candidates(new, facts, here, slots).repartition(buckets, "msg").dropDuplicates(KEY)
