@@ -13,6 +13,7 @@ from .operators.brackets import pairs
 from .operators.chart import chart, shape
 from .operators.grammar_tables import Grammars
 from .operators.index_store import Index
+from .operators.lexruns import lex_runs
 from .operators.search import Query
 from .operators.telemetry import observed_places, report
 from .plans.grammar import compile_grammar
@@ -53,16 +54,17 @@ def _named(terminals: le.Terminals, t: str = "t"):
     return out
 
 
-def _sums(rows: DataFrame, terminals: le.Terminals, *by: str) -> DataFrame:
-    sums = [F.count("*").alias("n"), F.sum("start").cast("long").alias("starts"), F.sum("end").cast("long").alias("ends"), F.sum("after").cast("long").alias("afters")]
-    return rows.where(f"t <> {le.END}").groupBy(*by, _named(terminals).alias("terminal")).agg(*sums)
+#: The sum of a run's starts.
+_STARTS = "cast(start as long) * places + cast(places as long) * (places - 1) div 2"
 
 
 def lex_edges(spark: SparkSession, sf: str) -> DataFrame:
     """All matches of all terminals at all places of all lines, summed for each line and terminal."""
     terminals = le.Terminals(compile_grammar(PROSE))
-    edges = le.lex_edges(_lines(spark, sf), _IDS, "text", terminals)
-    return _sums(edges, terminals, "source", "id", "turn").select("source", "id", "turn", "terminal", "n", "starts", "ends", "afters")
+    runs = lex_runs(_lines(spark, sf), _IDS, "text", terminals).where(f"t <> {le.END}")
+    many = lambda c: F.sum(F.col(c).cast("long") * F.col("places"))
+    sums = runs.groupBy("source", "id", "turn", "t").agg(F.sum("places").alias("n"), F.sum(F.expr(_STARTS)).alias("starts"), many("end").alias("ends"), many("after").alias("afters"))
+    return sums.select("source", "id", "turn", _named(terminals).alias("terminal"), "n", "starts", "ends", "afters")
 
 
 def filter_chain(spark: SparkSession, sf: str) -> DataFrame:
@@ -70,7 +72,7 @@ def filter_chain(spark: SparkSession, sf: str) -> DataFrame:
     terminals = le.Terminals(compile_grammar(PROSE))
     number = terminals.number
     ids = ["id", "turn", "line"]
-    edges = le.lex_edges(_lines(spark, sf, False).drop("source").repartition(*ids[:1]), ids, "text", terminals)
+    edges = lex_runs(_lines(spark, sf, False).drop("source"), ids, "text", terminals, cut=True, by="id")
     word, small = number["word"], [number[f'"{x}"'] for x in ("the", "de", "in")]
     stage = le.with_before(edges, ids)
     kept = []
@@ -83,10 +85,12 @@ def filter_chain(spark: SparkSession, sf: str) -> DataFrame:
     ):
         kept.append(f"kept{len(kept)}")
         stage = f(stage).withColumn(kept[-1], F.col("alive"))
-    last = stage.groupBy(*ids, "start", "t", "after").agg(*(F.max_by("end", F.when(F.col(k), F.col("end"))).alias(k) for k in kept[-1:]), *(F.sum(F.col(k).cast("long")).alias(f"n_{k}") for k in kept), F.sum("end").alias("end"))
+    # A row stands for as many candidates as it has places, which the filters took alike.
+    last = stage.groupBy(*ids, "start", "places", "t", "after").agg(F.max_by("end", F.when(F.col(kept[-1]), F.col("end"))).alias(kept[-1]), *(F.sum(F.col(k).cast("long") * F.col("places")).alias(f"n_{k}") for k in kept))
     named = last.withColumn("terminal", _named(terminals)).where(f"t <> {le.END}")
     sums = [F.sum(f"n_{k}").alias(f"after_{i}") for i, k in enumerate(kept)]
-    return named.groupBy("id", "turn", "terminal").agg(*sums, F.count(kept[-1]).alias("after_5"), F.sum(F.when(F.col(kept[-1]).isNotNull(), F.col("start"))).cast("long").alias("starts"), F.sum(kept[-1]).cast("long").alias("ends"))
+    left = lambda x: F.sum(F.when(F.col(kept[-1]).isNotNull(), x))
+    return named.groupBy("id", "turn", "terminal").agg(*sums, F.coalesce(left(F.col("places").cast("long")), F.lit(0).cast("long")).alias("after_5"), left(F.expr(_STARTS)).alias("starts"), left(F.col(kept[-1]).cast("long") * F.col("places")).alias("ends"))
 
 
 def chart_spans(spark: SparkSession, sf: str) -> DataFrame:
