@@ -1,15 +1,17 @@
 """An index of chunks that stays: built once, brought up to date by what has changed, read by the terms of a query.
 
-Three tables under one folder, all partitioned by `part`, a hash of the document's id:
+Three tables under one folder:
 
-    docs      id, sha256, chunks, terms                    one row for each document
-    chunks    id, chunk_index, start_offset, end_offset, text
-    postings  id, chunk_index, term, tf, positions, len    also partitioned by `bucket`, a hash of the term
+    docs      id, sha256, chunks, terms, part, gen                one row for each document
+    chunks    id, chunk_index, start_offset, end_offset, text     in folders by gen and by part, a hash of the id
+    postings  id, chunk_index, term, tf, positions, len           in folders by gen, part and bucket, a hash of the term
 
 A query reads the buckets of its terms and nothing else of the postings (a prefix reads all buckets); lengths stand beside
-the postings, so scores need no join. An update finds unchanged documents by their hashes; of the others, and of deleted
-ones, the parts that hold them are written anew and put in the place of the old ones, so a document's chunks and postings
-go with it. What replaces a part is complete before the old one goes.
+the postings, so scores need no join. An update finds unchanged documents by their hashes and writes chunks and postings of
+the others under a new name, gen; docs says which gen of a document counts, and it changes last. So rows of a replaced or
+deleted document are dead at once: they are left out where the tables are read, and when fewer than half of the chunks
+live, those are written anew and the rest goes. A text is dealt out by its id, and its chunks and postings are made and
+written where it lies.
 
 Ids are unique: of rows that share one the first by text counts, and null ids take no part; a null text is empty, and
 a document without words has a row and no chunks.
@@ -17,18 +19,47 @@ a document without words has a row and no chunks.
 
 from __future__ import annotations
 
+import uuid
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import scratch_save
+from ..sources.scratch import cleaned, scratch_save
 from . import search as se
 
 DOCS = "id string, sha256 string, chunks long, terms long, part int"
 CHUNKS = "id string, chunk_index int, start_offset int, end_offset int, text string, part int"
 POSTINGS = "id string, chunk_index int, term string, tf long, positions array<int>, len int, bucket int, part int"
+#: Chunks whose words are put in order at once.
+AT_ONCE = 2000
+
+
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each chunk and different word of it, from the chunks' words in order."""
+    for whole in batches:
+        for begin in range(0, whole.num_rows, AT_ONCE):
+            batch = whole.slice(begin, AT_ONCE)
+            words = batch.column("words")
+            size = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = words.flatten().dictionary_encode()
+            chunk = np.repeat(np.arange(len(size)), size)
+            at = np.arange(len(chunk)) - np.repeat(np.cumsum(size) - size, size)
+            key = chunk * max(len(coded.dictionary), 1) + coded.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            ends, here = np.append(first, len(key)), chunk[order[first]]
+            columns = {c: batch.column(c).take(pa.array(here)) for c in ("id", "chunk_index", "part")}
+            columns["term"] = coded.dictionary.take(coded.indices.take(pa.array(order[first])))
+            columns["tf"] = pa.array(np.diff(ends))
+            columns["positions"] = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(at[order].astype(np.int32)))
+            columns["len"] = pa.array(size[here].astype(np.int32))
+            yield pa.RecordBatch.from_pydict(columns)
 
 
 @dataclass
@@ -40,88 +71,111 @@ class Index:
     size: int = se.SIZE
     overlap: int = se.OVERLAP
 
-    def _exists(self, name: str) -> bool:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/_SUCCESS")
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    def _path(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        if not self._exists(name):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+        """All rows, dead ones too, with their gen."""
+        path, fs = self._path("docs/_SUCCESS")
+        if not fs.exists(path):
+            return self.spark.createDataFrame([], f"{schema}, gen string")
+        return self.spark.read.schema(f"{schema}, gen string").parquet(f"{self.root}/{name}")
+
+    def _living(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self._read("docs", DOCS).select("id", "gen"), ["id", "gen"], "left_semi").drop("gen")
 
     def docs(self) -> DataFrame:
-        return self._read("docs", DOCS)
+        return self._read("docs", DOCS).drop("gen")
 
     def chunks(self) -> DataFrame:
-        return self._read("chunks", CHUNKS)
+        return self._living(self._read("chunks", CHUNKS))
 
     def postings(self) -> DataFrame:
-        return self._read("postings", POSTINGS)
+        return self._living(self._read("postings", POSTINGS))
 
     def _part(self) -> Column:
         return F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(self.parts)).cast("int")
 
     def rebuild(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         """Everything anew, from these documents alone."""
-        self._replace(self._clean(df, id_col, text_col), None)
+        gen = uuid.uuid4().hex
+        self._set(self._add(self._clean(df, id_col, text_col), gen))
+        self._drop_others(gen)
 
     def update(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> int:
         """Documents that are new or have another text than before; their number is returned. Others stay."""
         new = self._clean(df, id_col, text_col)
         known = self.docs().select("id", F.col("sha256").alias("held"))
-        changed = scratch_save(self.spark)(new.join(known, "id", "left").where("held is null or held <> sha256").drop("held"), "changed")
-        n = changed.count()
+        changed = new.join(known, "id", "left").where("held is null or held <> sha256").drop("held")
+        added = scratch_save(self.spark)(self._add(changed, uuid.uuid4().hex), "added")
+        n = added.count()
         if n:
-            self._replace(changed, changed.select("id", "part"))
+            self._set(self._read("docs", DOCS).join(added.select("id"), "id", "left_anti").unionByName(added))
+            self._compact()
         return n
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> None:
         """Documents go, with their chunks and postings."""
-        gone = ids.select(F.col(id_col).cast("string").alias("id")).where("id is not null").distinct().withColumn("part", self._part())
-        gone = scratch_save(self.spark)(gone.join(self.docs().select("id"), "id", "left_semi"), "gone")
-        self._replace(None, gone)
+        gone = ids.select(F.col(id_col).cast("string").alias("id")).where("id is not null").distinct()
+        self._set(self._read("docs", DOCS).join(gone, "id", "left_anti"))
+        self._compact()
 
     def _clean(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         rows = df.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null")
         return rows.groupBy("id").agg(F.min("text").alias("text")).withColumn("sha256", F.sha2("text", 256)).withColumn("part", self._part())
 
-    def _made(self, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        chunks = se.chunks(rows, "id", "text", self.size, self.overlap).withColumn("part", self._part())
-        words = se.terms(F.col("text"))
-        placed = chunks.select("id", "chunk_index", "part", F.size(words).alias("len"), F.posexplode(words).alias("at", "term"))
-        found = placed.groupBy("id", "chunk_index", "part", "len", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
-        bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(self.buckets)).cast("int")
-        totals = chunks.groupBy("id").agg(F.count("*").alias("chunks"), F.sum(F.size(words)).cast("long").alias("terms"))
-        docs = rows.drop("text").join(totals, "id", "left").select("id", "sha256", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("terms", F.lit(0)).alias("terms"), "part")
-        return docs, chunks, found.withColumn("bucket", bucket)
-
-    def _replace(self, new: DataFrame | None, gone: DataFrame | None) -> None:
-        """Write the parts that hold any of `gone` (all, if None) anew: their other rows, and what is new."""
-        stage = scratch_save(self.spark)
-        touched = None if gone is None else [r.part for r in gone.select("part").distinct().collect()]  # at most `parts`
-        made = self._made(stage(new, "new")) if new is not None else (None, None, None)
-        staged = []
-        for name, schema, rows, by in zip(("docs", "chunks", "postings"), (DOCS, CHUNKS, POSTINGS), made, (["part"], ["part"], ["part", "bucket"]), strict=True):
-            columns = [c.split(" ")[0] for c in schema.split(", ")]
-            rows = rows.select(*columns) if rows is not None else None
-            if touched is not None:
-                kept = self._read(name, schema).where(F.col("part").isin(touched)).join(gone.select("id"), "id", "left_anti").select(*columns)
-                rows = kept if rows is None else kept.unionByName(rows)
-            staged.append((name, by, stage(rows.repartition(*by), name)))
-        for name, by, rows in staged:
-            if touched is not None and self._exists(name):
-                self._drop_emptied(name, touched, rows)
-            mode = {"partitionOverwriteMode": "dynamic" if touched is not None else "static"}
-            rows.repartition(*by).sortWithinPartitions(*(["bucket", "term", "id"] if name == "postings" else ["id"])).write.options(**mode).mode("overwrite").partitionBy(*by).parquet(f"{self.root}/{name}")
-
-    def _drop_emptied(self, name: str, touched: list[int], rows: DataFrame) -> None:
-        """Remove partitions that were there and get no rows any more; a dynamic overwrite leaves them as they are."""
+    def _add(self, rows: DataFrame, gen: str) -> DataFrame:
+        """Write chunks and postings of these documents; their rows for docs are returned."""
+        # Each task has one part or few, so it writes few files; a part is dealt to several tasks where there are many.
+        shares = -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.parts)
+        new = scratch_save(self.spark)(rows.repartition("part", F.pmod(F.xxhash64("id"), F.lit(shares))), "new")
+        self._write("chunks", gen, se.chunks(new, "id", "text", self.size, self.overlap).withColumn("part", self._part()))
+        words = self._of("chunks", CHUNKS, gen).select("id", "chunk_index", "part", se.terms(F.col("text")).alias("words"))
+        found = words.mapInArrow(_occurrences, "id string, chunk_index int, part int, term string, tf long, positions array<int>, len int")
+        self._write("postings", gen, found.withColumn("bucket", self._bucket()))
+        chunks = self._of("chunks", CHUNKS, gen).groupBy("id").agg(F.count("*").alias("chunks"))
+        terms = self._of("postings", POSTINGS, gen).groupBy("id").agg(F.sum("tf").alias("terms"))
+        none = F.lit(0).cast("long")
+        return new.drop("text").join(chunks, "id", "left").join(terms, "id", "left").select("id", "sha256", F.coalesce("chunks", none).alias("chunks"), F.coalesce("terms", none).alias("terms"), "part", F.lit(gen).alias("gen"))
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(self.buckets)).cast("int")
+
+    def _of(self, name: str, schema: str, gen: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/gen={gen}")
+
+    def _write(self, name: str, gen: str, rows: DataFrame) -> None:
         by = ["part", "bucket"] if name == "postings" else ["part"]
-        schema = {"docs": DOCS, "chunks": CHUNKS, "postings": POSTINGS}[name]
-        before = self._read(name, schema).where(F.col("part").isin(touched)).select(*by).distinct()
-        for r in before.join(rows.select(*by).distinct(), by, "left_anti").collect():  # at most parts x buckets
-            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join([f"{self.root}/{name}", *(f"{c}={r[c]}" for c in by)]))
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        order = [*by, "term", "id"] if name == "postings" else [*by, "id"]
+        with cleaned(self.spark):
+            rows.sortWithinPartitions(*order).write.option("compression", "zstd").partitionBy(*by).parquet(f"{self.root}/{name}/gen={gen}")
+
+    def _set(self, docs: DataFrame) -> None:
+        """These are the documents from now on; what replaces docs is complete before the old one goes."""
+        new = f"docs-{uuid.uuid4().hex}"
+        with cleaned(self.spark):
+            docs.repartition("part").sortWithinPartitions("id").write.parquet(f"{self.root}/{new}")
+        (old, fs), (path, _) = self._path("docs"), self._path(new)
+        fs.delete(old, True)
+        fs.rename(path, old)
+
+    def _compact(self) -> None:
+        """Write what lives anew if that is less than half of the chunks."""
+        living = self.docs().agg(F.sum("chunks")).first()[0] or 0
+        if 2 * living < self._read("chunks", CHUNKS).count():
+            gen = uuid.uuid4().hex
+            self._write("chunks", gen, self.chunks().repartition("part"))
+            self._write("postings", gen, self.postings().repartition("part", "bucket"))
+            self._set(self._read("docs", DOCS).withColumn("gen", F.lit(gen)))
+            self._drop_others(gen)
+
+    def _drop_others(self, gen: str) -> None:
+        for name in ("chunks", "postings"):
+            path, fs = self._path(name)
+            for x in fs.listStatus(path):
+                if x.getPath().getName() != f"gen={gen}":
+                    fs.delete(x.getPath(), True)
 
     def bucket_of(self, term: str) -> int:
         return zlib.crc32(term.encode()) % self.buckets
@@ -149,7 +203,7 @@ class Index:
         """id, chunk_index, score, snippet: the best chunks with their best windows; only the parts of the hits are read."""
         best = self.search(query, limit).withColumn("part", self._part())
         words = sorted(se.Query(query).exact)
-        out = self.chunks().join(F.broadcast(best), ["part", "id", "chunk_index"])  # at most `limit` rows
+        out = self._living(self._read("chunks", CHUNKS).join(F.broadcast(best), ["part", "id", "chunk_index"]))  # at most `limit` rows
         return out.select("id", "chunk_index", "score", best_window(F.col("text"), words, tokens).alias("snippet")).orderBy("score", "id", "chunk_index")
 
 
