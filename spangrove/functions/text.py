@@ -70,9 +70,13 @@ def is_epsilon(x: Column) -> Column:
     return x.isin(*EPSILONS)
 
 
+#: What Unicode calls white space.
+BLANKS = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(x: Column) -> Column:
-    """Without white space of any kind at the ends."""
-    return F.regexp_replace(F.regexp_replace(x, r"^(?U)\s+", ""), r"(?U)\s+$", "")
+    """Without white space of any kind at the ends; only the ends are read."""
+    return F.btrim(x, F.lit(BLANKS))
 
 
 def kebab(x: Column) -> Column:

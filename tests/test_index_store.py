@@ -1,10 +1,13 @@
 """The stored index: what an update or a deletion leaves equals an index built anew; a query reads its buckets."""
 
+import zlib
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from spangrove.operators import search
-from spangrove.operators.index_store import Index, best_window
+from spangrove.operators.index_store import Index, _occurrences, best_window
 
 
 def rows(df):
@@ -74,3 +77,34 @@ def test_best_window(spark):
     assert out(text, ["the", "of"], 4) == " ... l [the] m [of,] ... "
     assert out(text, ["the"], 4) == "a [the] b c ... "
     assert out("short text", ["the"], 18) == "short text" and out("", ["x"], 3) == ""
+
+
+def test_an_update_writes_its_own_rows_only(spark, make):
+    """Before, all rows of every part that held a changed document were written anew."""
+    index = make()
+    index.rebuild(frame(spark, DOCS))
+    before = {f for t in ("chunks", "postings") for f in index._read(t, "id string").inputFiles()}
+    assert index.update(frame(spark, [(3, "another text"), *DOCS[4:]])) == 1
+    now = {f for t in ("chunks", "postings") for f in index._read(t, "id string").inputFiles()}
+    assert before < now and len(now - before) == 3
+    assert [r.text for r in index.chunks().where("id = '3'").collect()] == ["another text"]
+    assert sorted(r.term for r in index.postings().where("id = '3'").collect()) == ["another", "text"]
+    assert "gen" not in index.docs().columns + index.chunks().columns + index.postings().columns
+
+
+def test_dead_rows_go_when_they_are_most(spark, make):
+    index = make()
+    index.rebuild(frame(spark, DOCS))
+    index.delete(frame(spark, DOCS[:20]))
+    assert index._read("chunks", "id string").select("id").distinct().count() == index.chunks().select("id").distinct().count() == 10
+    assert index.docs().agg(F.sum("terms")).first()[0] == index.postings().agg(F.sum("tf")).first()[0]
+
+
+def test_words_in_the_order_of_their_files():
+    """More different words than 16 bits number, and several parts in a batch."""
+    words = [[f"w{i}" for i in range(70_000)] + ["w5"], [], ["w5", "a", "w5"]]
+    batch = pa.RecordBatch.from_pydict({"id": ["x", "y", "z"], "chunk_index": pa.array([0, 0, 0], pa.int32()), "part": pa.array([1, 0, 0], pa.int32()), "words": words})
+    found = [r for b in _occurrences(4)([batch]) for r in b.to_pylist()]
+    assert [(r["part"], r["bucket"], r["term"], r["id"]) for r in found] == sorted((r["part"], r["bucket"], r["term"], r["id"]) for r in found)
+    assert len(found) == 70_002 and all(r["bucket"] == zlib.crc32(r["term"].encode()) % 4 for r in found)
+    assert {(r["id"], r["term"]): (r["tf"], r["positions"], r["len"]) for r in found if r["term"] in ("a", "w5")} == {("x", "w5"): (2, [5, 70_000], 70_001), ("z", "w5"): (2, [0, 2], 3), ("z", "a"): (1, [1], 3)}
