@@ -7,22 +7,32 @@ texts and does all that follows. Other grammars get the rows of `lex_edges` with
 
 With cut=True runs are cut so that all places of a row are alike for the filters: the same runs hold them, and where an edge
 leads to a place, that place has rows of its own. A filter then treats a row as the edge at its start.
+
+A filter asks what stands at a row's place, leads to it or stands behind it, of all edges of the text and whatever other
+filters left. `lex_sets` gives each row these sets as bits of a number, read off the same arrays, so that the filters
+(`behind`, `exclude`, `ahead`) are conditions on a row: no shuffle, no sort.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lexedges import END, Terminals, lex_edges
+from .lexedges import END, Terminals, by_place, lex_edges, lex_places, numbers
 
-RUN = "array<struct<start:int,places:int,t:int,end:int,after:int,gap:int>>"
+FIELDS = ["start", "places", "t", "end", "after", "gap"]
+RUN = ",".join(f"{n}:int" for n in FIELDS)
+#: before, same, next: the terminals that lead to a row's start, that match there with the same `after`, and that match at
+#: `after`, as bits; longest: no match of its terminal at its place has a later end.
+SETS = ["before", "same", "next", "longest"]
+SET = "before:bigint,same:bigint,next:bigint,longest:boolean"
 #: Code points that are read at once; a longer text is read alone.
 MOST = 1 << 20
 #: Stands between texts; no code point.
@@ -54,6 +64,7 @@ class Scanner:
         self.literals = [(terminals.number[n], g.terminals[n].source) for n in names if g.terminals[n].literal and g.terminals[n].source]
         self.trivia = [_class(t) for t in g.terminals.values() if t.skip]
         self.whole = all(c for _, c, _, _ in self.runs) and all(self.trivia)
+        self.splits = [t for t, _, split, _ in self.runs if split]
         self.tables = None
 
     def members(self, codes: np.ndarray) -> list[np.ndarray]:
@@ -70,8 +81,8 @@ class Scanner:
                 table[x] = test is not None and test.fullmatch(chr(x)) is not None
         return [table[codes] for table in self.tables]
 
-    def scan(self, texts: list[bytes], cut: bool) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Where each text's runs begin among all, and the columns of the runs."""
+    def scan(self, texts: list[bytes], cut: bool, sets: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Where each text's runs begin among all, and the columns of the runs; with sets, which need cut runs, theirs too."""
         wide = [t.decode("utf-8", "replace").encode("utf-32-le", "surrogatepass") for t in texts]
         stop = BREAK.to_bytes(4, "little")
         codes = np.frombuffer(stop.join(wide) + stop, np.uint32)
@@ -121,6 +132,8 @@ class Scanner:
         columns = [np.concatenate(c) for c in zip(*rows, strict=True)]
         if cut:
             columns = cut_up(columns, len(codes) + 2)
+        if sets:
+            columns += sets_of(columns, len(codes) + 2, self.splits)
         text = np.searchsorted(firsts, columns[0], "right") - 1
         order = np.argsort(text, kind="stable")
         text = text[order]
@@ -143,7 +156,30 @@ def cut_up(columns: list[np.ndarray], n: int) -> list[np.ndarray]:
     return [cuts[at], cuts[at + 1] - cuts[at], *(c[row] for c in columns[2:])]
 
 
-def _scanned(scanner: Scanner, cut: bool):
+def sets_of(columns: list[np.ndarray], n: int, splits: list[int]) -> list[np.ndarray]:
+    """SETS of cut runs, in which those that hold a place begin alike; splits: the terminals with several ends at a place."""
+    start, _, t, end, after, _ = columns
+    here, led, longest = np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(len(t), bool)
+    for k in range(int(t.max()) + 1):
+        mine = np.flatnonzero(t == k)
+        here[start[mine]] |= 1 << k
+        led[after[mine]] |= 1 << k
+        if k in splits:
+            last = np.zeros(n, np.int64)
+            np.maximum.at(last, start[mine], end[mine])
+            longest[mine] = end[mine] == last[start[mine]]
+    same = np.int64(1) << t
+    several = np.flatnonzero(here[start] != same)
+    if len(several):
+        key = start[several] * n + after[several]
+        several = several[np.argsort(key)]
+        key = start[several] * n + after[several]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        same[several] = np.repeat(np.bitwise_or.reduceat(same[several], first), np.diff(first, append=len(key)))
+    return [led[start], same, here[after], longest]
+
+
+def _scanned(scanner: Scanner, cut: bool, sets: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, begin = np.cumsum(batch.column("text_").cast(pa.binary()).fill_null(b"").to_pandas().str.len().to_numpy(np.int64)), 0
@@ -152,9 +188,9 @@ def _scanned(scanner: Scanner, cut: bool):
                 end = max(begin + 1, int(np.searchsorted(sizes, before + MOST, "right")))
                 part = batch.slice(begin, end - begin)
                 texts = [x or b"" for x in part.column("text_").cast(pa.binary()).to_pylist()]
-                offsets, columns = scanner.scan(texts, cut)
-                names = ("start", "places", "t", "end", "after", "gap")
-                runs = pa.StructArray.from_arrays([pa.array(c.astype(np.int32)) for c in columns], list(names))
+                offsets, columns = scanner.scan(texts, cut, sets)
+                columns[:6] = [c.astype(np.int32) for c in columns[:6]]
+                runs = pa.StructArray.from_arrays([pa.array(c) for c in columns], FIELDS + SETS if sets else FIELDS)
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), runs)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names[:-1]), lists], [*part.schema.names[:-1], "runs_"])
                 begin = end
@@ -162,6 +198,15 @@ def _scanned(scanner: Scanner, cut: bool):
     return run
 
 
+def _runs(df: DataFrame, ids: list[str], text_col: str, scanner: Scanner, cut: bool, sets: bool) -> DataFrame:
+    """ids, runs_: the runs of each text as one array."""
+    keys = [f"id{k}_" for k in range(len(ids))]
+    rows = df.select(*(F.col(i).alias(k) for i, k in zip(ids, keys, strict=True)), F.col(text_col).alias("text_"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    found = rows.mapInArrow(_scanned(scanner, cut, sets), f"{schema}, runs_ array<struct<{f'{RUN},{SET}' if sets else RUN}>>")
+    return found.select(*(F.col(k).alias(i) for i, k in zip(ids, keys, strict=True)), "runs_")
+
+
 def lex_runs(df: DataFrame, ids: list[str], text_col: str, terminals: Terminals, cut: bool = False, by: str | None = None) -> DataFrame:
     """ids, start, places, t, end, after, gap: the matches of `lex_edges`, those that stand side by side and end alike in one
     row. A null text is empty. by: the id that deals out the rows, while a text's runs are still one row."""
@@ -169,9 +214,75 @@ def lex_runs(df: DataFrame, ids: list[str], text_col: str, terminals: Terminals,
     if not scanner.whole:
         edges = lex_edges(df.repartition(by) if by else df, ids, text_col, terminals)
         return edges.select(*ids, "start", F.lit(1).alias("places"), "t", "end", "after", "gap")
-    keys = [f"id{k}_" for k in range(len(ids))]
-    rows = df.select(*(F.col(i).alias(k) for i, k in zip(ids, keys, strict=True)), F.col(text_col).alias("text_"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    found = rows.mapInArrow(_scanned(scanner, cut), f"{schema}, runs_ {RUN}")
-    named = found.select(*(F.col(k).alias(i) for i, k in zip(ids, keys, strict=True)), "runs_")
+    named = _runs(df, ids, text_col, scanner, cut, False)
     return (named.repartition(by) if by else named).select(*ids, F.inline("runs_"))
+
+
+def lex_sets(df: DataFrame, ids: list[str], text_col: str, terminals: Terminals, shared: bool = False) -> DataFrame:
+    """The cut runs of `lex_runs` with their SETS. shared: several texts may have the same ids; a filter then asks the edges
+    of all of them (of none where an id is null, which equals nothing), but each ends at its own end."""
+    if max(terminals.number.values()) > 62:
+        raise ValueError("more than 62 terminals do not fit in a number: use the filters of lexedges")
+    scanner = Scanner(terminals)
+    if scanner.whole and not shared:
+        return _runs(df, ids, text_col, scanner, True, True).select(*ids, F.inline("runs_"))
+    rows = lex_places(df, ids, text_col, terminals).select(*ids, "n", "at", F.explode("edges").alias("e")).where("at = e.start")
+    rows = rows.select(*ids, "n", "e.*").withColumn("places", F.lit(1))
+    rows = by_place(by_place(rows, ids, F.col("start"), F.col("t"), "before"), ids, F.col("after"), F.col("t"), "next")
+    rows = rows.withColumn("same", F.collect_set("t").over(Window.partitionBy(*ids, "start", "after")))
+    if shared:
+        known = reduce(lambda a, b: a & b, (F.col(i).isNotNull() for i in ids))
+        own = F.when(F.col("after") == F.col("n"), F.array(F.lit(END))).otherwise(numbers([]))
+        rows = rows.withColumns({c: F.when(known, F.col(c)).otherwise(numbers([])) for c in SETS[:3]})
+        rows = rows.withColumn("next", F.concat(F.array_remove("next", END), own))
+    one = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t)
+    sets = [F.aggregate(c, F.lit(0).cast("long"), lambda a, t: a.bitwiseOR(one(t))).alias(c) for c in SETS[:3]]
+    longest = F.col("end") == F.max("end").over(Window.partitionBy(*ids, "start", "t"))
+    return rows.select(*ids, *FIELDS, *sets, longest.alias("longest"))
+
+
+def one_end(ids: list[str], alive: str) -> Column:
+    """Whether a row is the longest of those alive with its terminal, place and `after`, once. In one text no two rows share
+    these: a split match ends where its `after` is, before any other match of its terminal; so texts with ids of their own
+    need no such step."""
+    return F.row_number().over(Window.partitionBy(*ids, "start", "t", "after").orderBy(F.desc(alive), F.desc("end"))) == 1
+
+
+def _any(of: str, some: Iterable[int]) -> Column:
+    """Whether one of the terminals is in a set."""
+    return F.col(of).bitwiseAND(F.lit(sum(1 << n for n in set(some))).cast("long")) != 0
+
+
+# The filters of lexedges as conditions on the rows of `lex_sets`.
+
+
+def behind(terminals: Terminals) -> Column:
+    """Whether a row's terminal may stand behind one of those that lead to it; of a split one the longest match may."""
+    ok = F.lit(True)
+    for n, i in terminals.number.items():
+        some = terminals.behind(n)
+        if some is not None:
+            met = _any("before", (x for x in some if x >= 0))
+            if -1 in some:
+                met |= F.col("before") == 0
+            if terminals.g.terminals[n].split_before:
+                met |= F.col("longest")
+            ok = F.when(F.col("t") == i, met).otherwise(ok)
+    return ok
+
+
+def exclude(excluded: dict[int, list[int]]) -> Column:
+    """Whether no excluded terminal matches at a row's place with the same `after`."""
+    ok = F.lit(True)
+    for t, others in excluded.items():
+        ok = F.when(F.col("t") == t, ~_any("same", (o for o in others if o != t))).otherwise(ok)
+    return ok
+
+
+def ahead(wanted: dict[int, list[int]], keep: bool) -> Column:
+    """Whether one of the wanted terminals matches behind a row (keep), or none does, or the text ends there."""
+    ok = F.lit(True)
+    for t, some in wanted.items():
+        met = _any("next", some)
+        ok = F.when(F.col("t") == t, (met if keep else ~met) | _any("next", [END])).otherwise(ok)
+    return ok

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from .operators import forest_tables as ft
 from .operators import lexedges as le
+from .operators import lexruns as lr
 from .operators.brackets import pairs
 from .operators.chart import chart, shape
 from .operators.grammar_tables import Grammars
 from .operators.index_store import Index
-from .operators.lexruns import lex_runs
 from .operators.search import Query
 from .operators.telemetry import observed_places, report
 from .plans.grammar import compile_grammar
@@ -61,7 +61,7 @@ _STARTS = "cast(start as long) * places + cast(places as long) * (places - 1) di
 def lex_edges(spark: SparkSession, sf: str) -> DataFrame:
     """All matches of all terminals at all places of all lines, summed for each line and terminal."""
     terminals = le.Terminals(compile_grammar(PROSE))
-    runs = lex_runs(_lines(spark, sf), _IDS, "text", terminals).where(f"t <> {le.END}")
+    runs = lr.lex_runs(_lines(spark, sf), _IDS, "text", terminals).where(f"t <> {le.END}")
     many = lambda c: F.sum(F.col(c).cast("long") * F.col("places"))
     sums = runs.groupBy("source", "id", "turn", "t").agg(F.sum("places").alias("n"), F.sum(F.expr(_STARTS)).alias("starts"), many("end").alias("ends"), many("after").alias("afters"))
     return sums.select("source", "id", "turn", _named(terminals).alias("terminal"), "n", "starts", "ends", "afters")
@@ -72,25 +72,33 @@ def filter_chain(spark: SparkSession, sf: str) -> DataFrame:
     terminals = le.Terminals(compile_grammar(PROSE))
     number = terminals.number
     ids = ["id", "turn", "line"]
-    edges = lex_runs(_lines(spark, sf, False).drop("source"), ids, "text", terminals, cut=True, by="id")
     word, small = number["word"], [number[f'"{x}"'] for x in ("the", "de", "in")]
-    stage = le.with_before(edges, ids)
-    kept = []
-    for f in (
-        lambda x: x,
-        lambda x: le.lookbehind(x, ids, terminals),
-        lambda x: le.exclude(x, ids, {word: small}),
-        lambda x: le.ahead(x, ids, {word: [number["comma"], number["dots"], word]}, True),
-        lambda x: le.ahead(x, ids, {word: [number["comma"]]}, False),
-    ):
-        kept.append(f"kept{len(kept)}")
-        stage = f(stage).withColumn(kept[-1], F.col("alive"))
+    filters = [
+        F.lit(True),
+        lr.behind(terminals),
+        lr.exclude({word: small}),
+        lr.ahead({word: [number["comma"], number["dots"], word]}, True),
+        lr.ahead({word: [number["comma"]]}, False),
+    ]
+    kept = [f"kept{k}" for k in range(6)]
+    turns = _table(spark, sf, "conversations").select(F.col("conv_id").alias("id"), "turn", "text")
+    # Turns that share their ids, or lack one, meet others or none in the SQL; those are taken through windows.
+    odd = turns.groupBy("id", "turn").count().where("count > 1 or id is null or turn is null").select(F.col("id").alias("id_"), F.col("turn").alias("turn_"))
+    same = F.col("id").eqNullSafe(F.col("id_")) & F.col("turn").eqNullSafe(F.col("turn_"))
+    every = []
+    for how, shared in (("left_anti", False), ("left_semi", True)):
+        lines = turns.join(odd, same, how).select("id", "turn", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+        rows = lr.lex_sets(lines, ids, "text", terminals, shared).where(f"t <> {le.END}")
+        for k, f in enumerate(filters):
+            rows = rows.withColumn(kept[k], f & F.col(kept[k - 1]) if k else f)
+        rows = rows.withColumn(kept[5], F.col(kept[4]) & lr.one_end(ids, kept[4]) if shared else F.col(kept[4]))
+        every.append(rows.select("id", "turn", "start", "places", "t", "end", *kept))
     # A row stands for as many candidates as it has places, which the filters took alike.
-    last = stage.groupBy(*ids, "start", "places", "t", "after").agg(F.max_by("end", F.when(F.col(kept[-1]), F.col("end"))).alias(kept[-1]), *(F.sum(F.col(k).cast("long") * F.col("places")).alias(f"n_{k}") for k in kept))
-    named = last.withColumn("terminal", _named(terminals)).where(f"t <> {le.END}")
-    sums = [F.sum(f"n_{k}").alias(f"after_{i}") for i, k in enumerate(kept)]
-    left = lambda x: F.sum(F.when(F.col(kept[-1]).isNotNull(), x))
-    return named.groupBy("id", "turn", "terminal").agg(*sums, F.coalesce(left(F.col("places").cast("long")), F.lit(0).cast("long")).alias("after_5"), left(F.expr(_STARTS)).alias("starts"), left(F.col(kept[-1]).cast("long") * F.col("places")).alias("ends"))
+    many = lambda k: F.coalesce(F.sum(F.when(F.col(k), F.col("places").cast("long"))), F.lit(0).cast("long"))
+    left = lambda x: F.sum(F.when(F.col(kept[5]), x))
+    counts = [many(k).alias(f"after_{i}") for i, k in enumerate(kept)]
+    sums = every[0].unionByName(every[1]).groupBy("id", "turn", "t").agg(*counts, left(F.expr(_STARTS)).alias("starts"), left(F.col("end").cast("long") * F.col("places")).alias("ends"))
+    return sums.select("id", "turn", _named(terminals).alias("terminal"), *(f"after_{i}" for i in range(6)), "starts", "ends")
 
 
 def chart_spans(spark: SparkSession, sf: str) -> DataFrame:
