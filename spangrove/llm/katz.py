@@ -27,7 +27,7 @@ recurses on.
 
 What travels are the distinct keys of a block, not occurrences, so a frequent word is one entry for each block. The number
 of buckets follows the counted tokens. Driver and broadcasts hold only counts of counts. The counts of words and of n-grams
-stay in the scratch folder as tables, a row for each bucket (model reads them).
+stay in the scratch folder as tables, a row of squeezed arrays for each bucket (model reads them as typed rows).
 
 Null and empty texts have one token, the end. Rows that share an id are scored one by one. A null id counts as ''. An
 empty table gives no rows. Other columns are not read, whatever their names. Texts of any length are taken whole: one text
@@ -75,14 +75,20 @@ def squeeze(a: np.ndarray) -> bytes:
     if a.dtype.kind == "u" and len(a):
         most = int(a.max())
         a = a.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64)
-    planes = a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if len(a) else b""
+    each = a.view(np.uint8).reshape(len(a), a.itemsize)
+    planes = np.empty((a.itemsize, len(a)), np.uint8)
+    for i in range(a.itemsize):  # a plane at a time: numpy's own transposition takes a few bytes at a time
+        planes[i] = each[:, i]
     return a.dtype.char.encode() + packer().compress(planes)
 
 
 def expand(b: bytes) -> np.ndarray:
     kind = np.dtype(b[:1].decode())
-    raw = unpacker().decompress(b[1:]) if len(b) > 1 else b""
-    return np.frombuffer(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, -1).T.tobytes(), kind)
+    planes = np.frombuffer(unpacker().decompress(b[1:]), np.uint8).reshape(kind.itemsize, -1)
+    each = np.empty((planes.shape[1], kind.itemsize), np.uint8)
+    for i in range(kind.itemsize):
+        each[:, i] = planes[i]
+    return each.reshape(-1).view(kind)
 
 
 def expand_ids(b: bytes) -> np.ndarray:
@@ -103,6 +109,36 @@ def expand_words(b: bytes) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(raw[raw != 10]))])
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys (whole numbers, none negative) in order, where each stands first, and which of them each key is.
+    Where a key and its place fit in 64 bits, they are sorted as one number, far quicker than an order is found."""
+    n = len(keys)
+    if not n:
+        return keys, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    bits = (n - 1).bit_length()
+    if int(keys.max()).bit_length() + bits <= 64:
+        both = keys.astype(np.uint64) << bits | np.arange(n, dtype=np.uint64)
+        both.sort()
+        order, keys = (both & np.uint64((1 << bits) - 1)).astype(np.int64), (both >> bits).astype(keys.dtype)
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+    new = np.ones(n, bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    back = np.empty(n, np.int64)
+    back[order] = np.cumsum(new) - 1
+    return keys[new], order[new], back
+
+
+def rising(a: np.ndarray) -> bytes:
+    """Ids that never fall, squeezed as the steps between them."""
+    return squeeze(np.diff(a, prepend=a.dtype.type(0)))
+
+
+def expand_rising(b: bytes) -> np.ndarray:
+    return np.cumsum(expand_ids(b), dtype=np.uint64)
+
+
 def sorted_by(bucket: np.ndarray) -> np.ndarray:
     """The stable order by bucket."""
     return np.argsort(bucket.astype(np.uint16) if len(bucket) and int(bucket.max()) < 1 << 16 else bucket, kind="stable")
@@ -185,6 +221,19 @@ def row_of(schema: pa.Schema, **values: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([values.get(f.name, pa.nulls(1, f.type)).cast(f.type) for f in schema], schema=schema)
 
 
+def rows_of(schema: pa.Schema, rows: Iterator[dict], most: int = 256, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows in batches: a batch for each would cost more than what is in it."""
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += sum(len(x) for x in r.values() if isinstance(x, bytes))
+        if len(held) >= most or size >= most_bytes:
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -227,9 +276,8 @@ def blocks_of(docs: DataFrame, buckets: int, block_tokens: int, id_col: str, tex
             block = pa.array([number])
             yield row_of(schema, kind=pa.array(["t"]), block=block, a=blob(rank[flat]), docs=pa.array([ids], pa.list_(pa.int64())), lens=longs(n))
             ends, counts = np.searchsorted(bucket[order], np.arange(buckets + 1)), counts[order]
-            for k in np.flatnonzero(np.diff(ends)).tolist():
-                mine = slice(ends[k], ends[k + 1])
-                yield row_of(schema, kind=pa.array(["w"]), block=block, bucket=pa.array([k]), a=pa.array([squeeze_words(words[mine])], pa.binary()), b=blob(counts[mine]))
+            parts = ((k, slice(ends[k], ends[k + 1])) for k in np.flatnonzero(np.diff(ends)).tolist())
+            yield from rows_of(schema, ({"kind": "w", "block": number, "bucket": k, "a": squeeze_words(words[mine]), "b": squeeze(counts[mine])} for k, mine in parts))
 
         for batch in give_back(texts_at_a_time(batches, 1, SLICE_BYTES)):
             buf, offsets = arrow_bytes(batch.column(1))
@@ -287,9 +335,8 @@ def count_words(buckets: int):
             rank[order] = np.arange(len(order), dtype=np.uint64)
             gid = rank * np.uint64(buckets) + np.uint64(bucket)
             ends = np.append(0, np.cumsum([len(x) for x in asked]))
-            for r, a, b in zip(rows, ends[:-1], ends[1:], strict=True):
-                at = of[a:b]
-                yield row_of(schema, level=pa.array(["answer"]), block=pa.array([r["block"]]), bucket=pa.array([bucket]), a=blob(gid[at]), b=blob(counts[at].astype(np.uint64)))
+            parts = ((r["block"], of[a:b]) for r, a, b in zip(rows, ends[:-1], ends[1:], strict=True))
+            yield from rows_of(schema, ({"level": "answer", "block": block, "bucket": bucket, "a": squeeze(gid[at]), "b": squeeze(counts[at].astype(np.uint64))} for block, at in parts))
             end = pc.index(known, pa.scalar(END, pa.binary())).as_py()
             sums = [int(counts.sum()), int((counts > 0).sum()), int(counts[end]) if end >= 0 else 0, *counts_of_counts(counts), int(counts.max()), len(known)]
             words = known.cast(pa.string())
@@ -345,21 +392,20 @@ class Grams:
     def __init__(self, words: Words, level: int, places: np.ndarray):
         width = len(words.gid)
         if level == 2:
-            self.h, hid = np.unique(words.before[0][places], return_inverse=True)
-            self.h = [self.h]
+            keys, _, hid = distinct(words.before[0][places])
+            self.h = [keys]
         else:  # two ranks of a block fit in one number
-            keys, hid = np.unique(words.before[0][places] * width + words.before[1][places], return_inverse=True)
+            keys, _, hid = distinct(words.before[0][places] * width + words.before[1][places])
             self.h = [keys // width, keys % width]
         for x in words.before[2 : level - 1]:
-            keys, hid = np.unique(hid * width + x[places], return_inverse=True)
+            keys, _, hid = distinct(hid * width + x[places])
             self.h = [c[keys // width] for c in self.h] + [keys % width]
-        keys, self.back = np.unique(hid * width + words.tokens[places], return_inverse=True)
+        keys, first, self.back = distinct(hid * width + words.tokens[places])
         #: For each n-gram its history and its word.
         self.hist, self.word = keys // width, keys % width
         self.seen = np.bincount(self.back[words.train[places]], minlength=len(keys)).astype(np.uint32)
         #: A place of each n-gram.
-        self.place = np.empty(len(keys), np.int64)
-        self.place[self.back] = places
+        self.place = places[first]
 
 
 class Cold:
@@ -376,7 +422,8 @@ class Cold:
         self.gram_ends = np.searchsorted(of[self.order], np.arange(buckets + 1))
 
 
-REQUEST = "block long, bucket int, h array<binary>, runs binary, w binary, seen binary, last_count binary"
+#: h: the words before, nearest first; runs: how many n-grams each history has; last: their distinct words; w: which of these each has.
+REQUEST = "block long, bucket int, h array<binary>, runs binary, w binary, seen binary, last binary, last_count binary"
 
 
 def ask_cold(order: int, buckets: int, hot: int, starts: tuple[int, int]):
@@ -389,18 +436,21 @@ def ask_cold(order: int, buckets: int, hot: int, starts: tuple[int, int]):
             x = Cold(words, order, buckets, hot)
             g = x.grams
             runs = np.bincount(g.hist, minlength=len(g.h[0])).astype(np.uint32)
-            for k in np.flatnonzero(np.diff(x.ends)).tolist():
-                hs, gs = x.histories[x.ends[k] : x.ends[k + 1]], x.order[x.gram_ends[k] : x.gram_ends[k + 1]]
-                last = np.unique(g.word[gs])
-                yield row_of(
-                    schema, block=pa.array([row["block"]]), bucket=pa.array([k]), h=pa.array([[squeeze(words.gid[c[hs]]) for c in g.h]], pa.list_(pa.binary())), runs=blob(runs[hs]),
-                    w=blob(words.gid[g.word[gs]]), seen=blob(g.seen[gs]), last_count=blob(words.count[last].astype(np.uint64)),
-                )
+            yield from rows_of(schema, (request(row["block"], words, x, runs, k) for k in np.flatnonzero(np.diff(x.ends)).tolist()))
+
+    def request(block: int, words: Words, x: Cold, runs: np.ndarray, k: int) -> dict:
+        g, hs, gs = x.grams, x.histories[x.ends[k] : x.ends[k + 1]], x.order[x.gram_ends[k] : x.gram_ends[k + 1]]
+        last, _, w = distinct(g.word[gs])
+        return {
+            "block": block, "bucket": k, "h": [squeeze(words.gid[c[hs]]) for c in g.h], "runs": squeeze(runs[hs]), "w": squeeze(w.astype(np.uint32)),
+            "seen": squeeze(g.seen[gs]), "last": rising(words.gid[last]), "last_count": squeeze(words.count[last].astype(np.uint64)),
+        }
 
     return run
 
 
-COLD = "bucket int, w array<array<long>>, c array<long>, last array<long>, last_count array<long>, asked array<struct<block:long,at:binary>>, sums array<long>"
+#: h: the words before, nearest first, the nearest as steps; w: which of the distinct words in `last` (as steps) is the last.
+COLD = "bucket int, h array<binary>, w binary, c binary, last binary, last_count binary, asked array<struct<block:long,at:binary>>, sums array<long>"
 
 
 class Merged:
@@ -423,7 +473,7 @@ class Merged:
             every = np.arange(len(hid))
             return hid, every, every
         width = max(len(self.last), 1)
-        keys, first, back = np.unique(hid * width + self.word, return_index=True, return_inverse=True)
+        keys, first, back = distinct(hid * width + self.word)
         return keys // width, first, back
 
 
@@ -434,38 +484,49 @@ def count_cold(order: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in by_bucket(batches):
-            w = [expand_ids(r["w"]) for r in rows]
-            last, word = np.unique(np.concatenate(w), return_inverse=True)
+            lasts = [expand_rising(r["last"]) for r in rows]
+            last, _, of_last = distinct(np.concatenate(lasts))
             last_count = np.zeros(len(last), np.int64)
-            for r, x in zip(rows, w, strict=True):
-                last_count[np.searchsorted(last, np.unique(x))] = expand(r["last_count"]).astype(np.int64)
-            runs = [expand(r["runs"]).astype(np.int64) for r in rows]
-            sizes = [int(x.sum()) for x in runs]
-            hi = np.zeros(sum(map(len, runs)), np.int64)
+            last_count[of_last] = np.concatenate([expand_ids(r["last_count"]) for r in rows]).astype(np.int64)
+            w = [expand(r["w"]).astype(np.int64) for r in rows]
+            sizes = np.array([len(x) for x in w])
+            ends = np.cumsum(sizes)
+            word = of_last[np.concatenate(w) + np.repeat(np.cumsum([0, *map(len, lasts[:-1])]), sizes)]
+            runs = np.concatenate([expand(r["runs"]).astype(np.int64) for r in rows])
             h: list[np.ndarray] = []
             for j in range(order - 1):
-                column, at = np.unique(np.concatenate([expand_ids(r["h"][j]) for r in rows]), return_inverse=True)
-                keys, hi = np.unique(hi * len(column) + at, return_inverse=True)
+                column, _, at = distinct(np.concatenate([expand_ids(r["h"][j]) for r in rows]))
+                if not h:
+                    h, hi = [column], at
+                    continue
+                keys, _, hi = distinct(hi * len(column) + at)
                 h = [c[keys // len(column)] for c in h] + [column[keys % len(column)]]
-            keys, back = np.unique(np.repeat(hi, np.concatenate(runs)) * len(last) + word, return_inverse=True)
+            keys, _, back = distinct(np.repeat(hi, runs) * len(last) + word)
             counts = np.bincount(back, np.concatenate([expand(r["seen"]) for r in rows]), len(keys)).astype(np.int64)
             of, word = keys // len(last), keys % len(last)
             merged = Merged([c[of] for c in h], word, last)
-            del hi, keys, w, h
+            del hi, keys, w, h, lasts
             sums = []
             for level in range(2, order + 1):
                 _, first, pair = merged.pairs(level)
                 sums += counts_of_counts(np.bincount(pair, counts, len(first)).astype(np.int64))
-            asked, at = [], 0
-            for r, size in zip(rows, sizes, strict=True):
-                asked.append({"block": r["block"], "at": squeeze(np.diff(back[at : at + size], prepend=0).astype(np.uint32))})
-                at += size
-            w = merged.h[::-1] + [last[word]]
-            yield row_of(schema, bucket=pa.array([bucket]), w=columns(w), c=longs(counts), last=longs(last), last_count=longs(last_count), asked=pa.array([asked], schema.field("asked").type), sums=pa.array([sums]))
+            begins = ends - sizes
+            steps = np.diff(back, prepend=0)
+            steps[begins] = back[begins]
+            steps = steps.astype(np.uint32)
+            asked = [{"block": r["block"], "at": squeeze(steps[a:b])} for r, a, b in zip(rows, begins, ends, strict=True)]
+            h = [rising(merged.h[0]), *(squeeze(c) for c in merged.h[1:])]
+            yield pa.RecordBatch.from_pylist([{"bucket": bucket, "h": h, "w": squeeze(word.astype(np.uint32)), "c": squeeze(counts.astype(np.uint64)), "last": rising(last), "last_count": squeeze(last_count.astype(np.uint64)), "asked": asked, "sums": sums}], schema=schema)
 
     return run
 
 
+def grams_of(row: dict) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Of a row of COLD the words before, nearest first, the places of the last words, these words, and the counts."""
+    h = [expand_rising(row["h"][0]), *(expand_ids(x) for x in row["h"][1:])]
+    return h, expand(row["w"]).astype(np.int64), expand_rising(row["last"]), expand_ids(row["c"]).astype(np.int64)
+
+
 def evaluate(m: Merged, counts: np.ndarray, last_count: np.ndarray, unigrams: Unigrams, discounts: list[Discounts]) -> np.ndarray:
     """P of each n-gram, by recursion from the unigrams up."""
     p = unigrams.p(last_count)[m.word]
@@ -492,16 +553,16 @@ def answer_cold(unigrams: Unigrams, discounts: list[Discounts]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in give_back(rows_at_a_time(batches, 1)):
-            row = {c: batch.column(c) for c in batch.schema.names}
-            flat = lambda c: np.asarray(row[c].flatten())
-            w = [np.asarray(x.values).view(np.uint64) for x in row["w"][0].values]
-            last = flat("last").view(np.uint64)
-            m = Merged(w[-2::-1], np.searchsorted(last, w[-1]), last)
+            row = batch.to_pylist()[0]
+            h, w, last, c = grams_of(row)
+            last_count = expand_ids(row["last_count"]).astype(np.int64)
             with np.errstate(divide="ignore"):
-                log_p = np.log10(evaluate(m, flat("c"), flat("last_count"), unigrams, discounts))
-            for x in row["asked"][0].as_py():
-                values, at = np.unique(log_p[np.cumsum(expand(x["at"]).astype(np.int64))], return_inverse=True)
-                yield row_of(schema, block=pa.array([x["block"]]), bucket=row["bucket"], values=blob(values), at=blob(at.astype(np.uint32)))
+                log_p = np.log10(evaluate(Merged(h, w, last), c, last_count, unigrams, discounts))
+            yield from rows_of(schema, (answer(row["bucket"], x, log_p) for x in row["asked"]))
+
+    def answer(bucket: int, x: dict, log_p: np.ndarray) -> dict:
+        values, at = np.unique(log_p[np.cumsum(expand(x["at"]).astype(np.int64))], return_inverse=True)
+        return {"block": x["block"], "bucket": bucket, "values": squeeze(values), "at": squeeze(at.astype(np.uint32))}
 
     return run
 
@@ -592,12 +653,17 @@ def ask_hot(level: int, order: int, buckets: int, hot: int, starts: tuple[int, i
             runs = np.bincount(x.of, minlength=len(x.ph)).astype(np.uint32)
             ends = np.searchsorted(x.pb, np.arange(buckets + 1))
             begin = np.append(0, np.cumsum(runs.astype(np.int64)))[ends]
-            for k in np.flatnonzero(np.diff(ends)).tolist():
-                p, b = slice(ends[k], ends[k + 1]), x.order[begin[k] : begin[k + 1]]
-                yield row_of(
-                    schema, block=pa.array([row["block"]]), bucket=pa.array([k]), h=pa.array([[squeeze(c[x.ph[p]]) for c in x.gids]], pa.list_(pa.binary())), part=blob(x.pp[p]),
-                    runs=blob(runs[p]), w=blob(words.gid[g.word[b]]), seen=blob(g.seen[b]), c=blob(x.c[b]),
-                )
+            parts = ((k, slice(ends[k], ends[k + 1]), x.order[begin[k] : begin[k + 1]]) for k in np.flatnonzero(np.diff(ends)).tolist())
+            yield from rows_of(
+                schema,
+                (
+                    {
+                        "block": row["block"], "bucket": k, "h": [squeeze(c[x.ph[p]]) for c in x.gids], "part": squeeze(x.pp[p]),
+                        "runs": squeeze(runs[p]), "w": squeeze(words.gid[g.word[b]]), "seen": squeeze(g.seen[b]), "c": squeeze(x.c[b]),
+                    }
+                    for k, p, b in parts
+                ),
+            )
 
     return run
 
@@ -618,12 +684,12 @@ def count_hot(level: int, below: Discounts):
             hi = np.zeros(len(part), np.int64)
             h: list[np.ndarray] = []
             for column in [np.concatenate([expand_ids(r["h"][j]) for r in rows]) for j in range(level - 1)] + [part]:
-                column, at = np.unique(column, return_inverse=True)
-                keys, hi = np.unique(hi * len(column) + at, return_inverse=True)
+                column, _, at = distinct(column)
+                keys, _, hi = distinct(hi * len(column) + at)
                 h = [x[keys // len(column)] for x in h] + [column[keys % len(column)]]
             n = len(h[0])
-            words, wi = np.unique(w, return_inverse=True)
-            keys, back = np.unique(np.repeat(hi, runs) * max(len(words), 1) + wi, return_inverse=True)
+            words, _, wi = distinct(w)
+            keys, _, back = distinct(np.repeat(hi, runs) * max(len(words), 1) + wi)
             counts = np.bincount(back, seen, len(keys)).astype(np.int64)
             of, word = keys // max(len(words), 1), keys % max(len(words), 1)
             low = np.zeros(len(keys))
@@ -634,12 +700,16 @@ def count_hot(level: int, below: Discounts):
             lower = np.bincount(of[hit], low[hit], n)
             few = hit & (counts <= K)
             small = np.bincount(of[few] * K + counts[few] - 1, minlength=n * K).reshape(n, K).astype(np.uint32)
-            at = where = 0
-            for r in rows:
-                hh, ww = len(expand(r["part"])), len(expand(r["w"]))
-                p, b = hi[at : at + hh], back[where : where + ww]
-                at, where = at + hh, where + ww
-                yield row_of(schema, kind=pa.array(["answer"]), block=pa.array([r["block"]]), bucket=pa.array([bucket]), a=blob(counts[b].astype(np.uint64)), b=blob(total[p].astype(np.uint64)), c=blob(lower[p]), d=blob(small[p].ravel()))
+            sizes = [(len(expand(r["part"])), len(expand(r["w"]))) for r in rows]
+            at = np.cumsum([(0, 0), *sizes], axis=0)
+            parts = ((r["block"], hi[p:q], back[a:b]) for r, (p, a), (q, b) in zip(rows, at[:-1], at[1:], strict=True))
+            yield from rows_of(
+                schema,
+                (
+                    {"kind": "answer", "block": block, "bucket": bucket, "a": squeeze(counts[b].astype(np.uint64)), "b": squeeze(total[p].astype(np.uint64)), "c": squeeze(lower[p]), "d": squeeze(small[p].ravel())}
+                    for block, p, b in parts
+                ),
+            )
             w = [x[of[hit]] for x in h[: level - 1]][::-1] + [words[word[hit]]]
             yield row_of(schema, kind=pa.array(["grams"]), bucket=pa.array([bucket]), w=columns(w), counts=longs(counts[hit]), sums=pa.array([counts_of_counts(counts)]))
 
@@ -729,12 +799,23 @@ def score(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: s
                 known = known.join(answers, "block", "left")
             below = Discounts(of_level[level - 2].tolist())
             discounts.append(below)
-        told = cold.select("bucket", "w", "c", "last", "last_count", "asked").mapInArrow(answer_cold(unigrams, discounts), ANSWER)
+        told = cold.mapInArrow(answer_cold(unigrams, discounts), ANSWER)
         told = scratch.save(told.repartition(shuffle, "block"), "told")
         whole = known.join(told.groupBy("block").agg(F.collect_list(F.struct("bucket", "values", "at")).alias("cold")), "block", "left")
     return whole.mapInArrow(score_blocks(order, buckets, hot, starts, unigrams, discounts, vocabulary), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
+def told_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """words, count: a row for each n-gram of COLD."""
+    for batch in rows_at_a_time(batches, 1):
+        h, w, last, c = grams_of(batch.to_pylist()[0])
+        words = np.stack([*h[::-1], last[w]], axis=1).astype(np.int64)
+        for i in range(0, len(c), TABLE_ROWS):
+            some = words[i : i + TABLE_ROWS]
+            ends = np.arange(len(some) + 1, dtype=np.int32) * words.shape[1]
+            yield pa.record_batch([pa.ListArray.from_arrays(pa.array(ends), pa.array(some.ravel())), pa.array(c[i : i + TABLE_ROWS])], names=["words", "count"])
+
+
 def model(spark: SparkSession, scratch: Scratch, level: int) -> DataFrame:
     """The counts that `score` left: bucket, rank, word, count for level 1; words (the ids of a start mark and of
     words, rank * buckets + bucket) and count for the order. The counts of levels between are sums of the latter."""
@@ -742,15 +823,15 @@ def model(spark: SparkSession, scratch: Scratch, level: int) -> DataFrame:
         rows = spark.read.schema(UNIGRAMS).parquet(f"{scratch.root}/unigrams").where("level = 'unigrams'")
         each = rows.select("bucket", "first", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x"))
         return each.select(F.col("bucket").cast("long").alias("bucket"), (F.col("first") + F.col("at")).alias("rank"), F.col("x.words").alias("word"), F.col("x.counts").alias("count")).where("count > 0")
-    read = [spark.read.schema(COLD).parquet(f"{scratch.root}/cold").select("w", "c")]
+    cold = spark.read.schema(COLD).parquet(f"{scratch.root}/cold").select("h", "w", "c", "last")
+    rows = cold.mapInArrow(told_grams, "words array<long>, count long")
     jvm = spark.sparkContext._jvm
     hot = jvm.org.apache.hadoop.fs.Path(f"{scratch.root}/hot{level}")
     if hot.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hot):
-        read.append(spark.read.schema(HOT_COUNTS).parquet(hot.toString()).where("kind = 'grams'").select("w", F.col("counts").alias("c")))
-    rows = read[0] if len(read) == 1 else read[0].unionByName(read[1])
-    zipped = F.arrays_zip(*(F.get("w", F.lit(j)).alias(f"w{j}") for j in range(level)), F.col("c"))
-    each = rows.select(F.explode(zipped).alias("x"))
-    return each.select(F.array(*(F.col(f"x.w{j}") for j in range(level))).alias("words"), F.col("x.c").alias("count")).where("count > 0")
+        grams = spark.read.schema(HOT_COUNTS).parquet(hot.toString()).where("kind = 'grams'").select("w", "counts")
+        each = grams.select(F.explode(F.arrays_zip(*(F.get("w", F.lit(j)).alias(f"w{j}") for j in range(level)), F.col("counts").alias("c"))).alias("x"))
+        rows = rows.unionByName(each.select(F.array(*(F.col(f"x.w{j}") for j in range(level))).alias("words"), F.col("x.c").alias("count")))
+    return rows.where("count > 0")
 
 
 def op4_katz(spark: SparkSession, sf_dir: str, order: int = 3) -> DataFrame:

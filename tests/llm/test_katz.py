@@ -125,3 +125,28 @@ def test_empty(spark):
     assert katz.score(df, Scratch(spark, "t")).count() == 0
     one = spark.createDataFrame([(2, "a b"), (9, None)], "doc_id long, text string")
     assert katz.score(one, Scratch(spark, "t")).count() == 2
+
+
+def test_distinct():
+    rng = np.random.default_rng(1)
+    for keys in (np.zeros(0, np.int64), np.array([7]), rng.integers(0, 50, 1000), rng.integers(0, 1 << 62, 1000).repeat(2), rng.integers(0, 1 << 63, 99, dtype=np.uint64) * np.uint64(2), np.array([3, 1, 3], np.uint64)):
+        some, first, back = katz.distinct(keys)
+        want = np.unique(keys, return_index=True, return_inverse=True)
+        assert some.dtype == keys.dtype and all(np.array_equal(a, b) for a, b in zip((some, first, back), want, strict=True))
+        assert np.array_equal(katz.expand_rising(katz.rising(some.astype(np.uint64))), some)
+
+
+def test_requests_travel_in_batches(spark):
+    """Before, a batch for each of a block's requests, and there are as many of these as buckets."""
+    words = 400
+    tokens = np.random.default_rng(2).integers(0, words, 5000).astype(np.uint32)
+    row = {"block": 5, "tokens": katz.squeeze(tokens), "gid": katz.squeeze(np.ones(words, np.uint64)), "count": katz.squeeze(np.full(words, 9, np.uint64)), "docs": [1, 2], "lens": [3000, 2000]}
+    known = pa.RecordBatch.from_pylist([row], schema=katz.arrow_schema(katz.KNOWN))
+    batches = list(katz.ask_cold(3, 300, 1 << 19, (9, words + 1))(iter([known])))
+    assert sum(b.num_rows for b in batches) > 200 and len(batches) <= 2
+
+
+def test_grams_of_a_bucket_are_squeezed(spark):
+    """Before, each bucket's n-grams went through the JVM as lists of longs, value by value."""
+    kinds = {f.name: f.type for f in katz.arrow_schema(katz.COLD)}
+    assert all(kinds[n] == pa.binary() for n in ("w", "c", "last", "last_count")) and kinds["h"].value_type == pa.binary()
