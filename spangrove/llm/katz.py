@@ -117,17 +117,23 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return keys, np.zeros(0, np.int64), np.zeros(0, np.int64)
     bits = (n - 1).bit_length()
     if int(keys.max()).bit_length() + bits <= 64:
-        both = keys.astype(np.uint64) << bits | np.arange(n, dtype=np.uint64)
+        both = keys.astype(np.uint64)
+        both <<= bits
+        both |= np.arange(n, dtype=np.uint64)
         both.sort()
-        order, keys = (both & np.uint64((1 << bits) - 1)).astype(np.int64), (both >> bits).astype(keys.dtype)
+        order = (both & np.uint64((1 << bits) - 1)).view(np.int64)
+        both >>= bits
+        keys = both.astype(keys.dtype, copy=False)
     else:
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
     new = np.ones(n, bool)
     np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    some, first, nth = keys[new], order[new], np.cumsum(new)
+    nth -= 1
     back = np.empty(n, np.int64)
-    back[order] = np.cumsum(new) - 1
-    return keys[new], order[new], back
+    back[order] = nth
+    return some, first, back
 
 
 def rising(a: np.ndarray) -> bytes:
@@ -221,7 +227,7 @@ def row_of(schema: pa.Schema, **values: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([values.get(f.name, pa.nulls(1, f.type)).cast(f.type) for f in schema], schema=schema)
 
 
-def rows_of(schema: pa.Schema, rows: Iterator[dict], most: int = 256, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def rows_of(schema: pa.Schema, rows: Iterator[dict], most: int = 64, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Rows in batches: a batch for each would cost more than what is in it."""
     held, size = [], 0
     for r in rows:
