@@ -2,29 +2,35 @@
 
 A table of productions has a row for each element: the grammar's ids, rule, alt (which alternative), pos (the order
 within it) and name. A name that has productions of its own in the same grammar is a rule, any other one a terminal; an
-alternative of nothing is one row whose name is null. Rows whose ids, rule, alt or pos are null are left out; equal rows
+alternative of nothing is one row whose name is null. A name may be an array: the elements from pos on. Rows whose ids, rule, alt or pos are null are left out; equal rows
 count once. A table of traits (ids, rule, optional, closure) may say which rules are brackets that can be skipped or
 repeated.
 
 Everything but emptiness is the spreading of tokens over a graph whose size is that of the productions: a rule leads to
 what can begin its alternatives, an element to what stands after it, and a rule's FOLLOW to the FOLLOW of rules that end
-with it. A round takes the last round's facts only; `save(df, name)` writes it to a folder that all executors share.
-There are as many rounds as the longest way in a graph.
+with it. Grammars of up to `most` rows are dealt to tasks whole and worked off in batches (`grammar_sets`), many at once;
+a larger one is spread over all tasks: a round takes the last round's facts only, there are as many rounds as the longest
+way in a graph. `save(df, name)` writes a table to a folder that all executors share.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from ..plans.grammar import EOS, EPS, Grammar
+from .grammar_sets import CLOSURE, MARKS, OPTIONAL, SCHEMAS, START, analysed
 
 Save = Callable[[DataFrame, str], DataFrame]
 PRODUCTION = "rule string, alt string, pos int, name string"
+#: Rows of a grammar that goes into a batch with others.
+MOST = 1 << 10
 
 
 def spread(facts: DataFrame, edges: DataFrame, ids: list[str], save: Save, tag: str) -> DataFrame:
@@ -46,19 +52,29 @@ def _place(kind: str, rule: Column | str, alt: Column | str = "", pos: Column |
     return F.struct(F.lit(kind).alias("kind"), as_column(rule).alias("rule"), as_column(alt).alias("alt"), as_column(pos).cast("int").alias("pos"))
 
 
-class Grammars:
-    """The analyses of a table of grammars; each is made once, when it is first asked for."""
+def _listed(productions: DataFrame, ids: list[str], *more: Column) -> DataFrame:
+    """ids, rule, alt, pos, name (an array): whole rows only."""
+    held = F.col("name") if isinstance(productions.schema["name"].dataType, ArrayType) else F.array("name")
+    rows = productions.select(*ids, F.col("rule").cast("string").alias("rule"), F.col("alt").cast("string").alias("alt"), F.col("pos").cast("int").alias("pos"), held.cast("array<string>").alias("name"), *more)
+    return rows.dropna(subset=[*ids, "rule", "alt", "pos"])
+
+
+class Joined:
+    """The analyses of a table of grammars of any size by joins; each is made once, when it is first asked for."""
 
     def __init__(self, productions: DataFrame, ids: list[str], save: Save, traits: DataFrame | None = None):
         self.ids, self.save = ids, save
-        own = [F.col(c) for c in ids]
-        rows = productions.select(*own, F.col("rule").cast("string").alias("rule"), F.col("alt").cast("string").alias("alt"), F.col("pos").cast("int").alias("pos"), F.col("name").cast("string").alias("name"))
-        rows = rows.dropna(subset=[*ids, "rule", "alt", "pos"]).distinct()
-        self.rules = save(rows.select(*ids, "rule").distinct(), "rules")
-        called = self.rules.select(*ids, F.col("rule").alias("name"), F.lit(True).alias("call"))
-        self.rows = save(rows.join(called, [*ids, "name"], "left").withColumn("call", F.coalesce("call", F.lit(False))).select(*ids, "rule", "alt", "pos", "name", "call"), "rows")
+        self.productions = _listed(productions, ids)
         self.traits = None if traits is None else traits.select(*ids, "rule", "optional", "closure")
 
+    @cached_property
+    def rows(self) -> DataFrame:
+        """The distinct productions; call: the name is a rule."""
+        rows = self.productions.select(*self.ids, "rule", "alt", "pos", F.posexplode_outer("name").alias("k", "name")).withColumn("pos", F.col("pos") + F.coalesce("k", F.lit(0))).drop("k").distinct()
+        rules = self.save(rows.select(*self.ids, "rule").distinct(), "rules")
+        called = rules.select(*self.ids, F.col("rule").alias("name"), F.lit(True).alias("call"))
+        return self.save(rows.join(called, [*self.ids, "name"], "left").withColumn("call", F.coalesce("call", F.lit(False))).select(*self.ids, "rule", "alt", "pos", "name", "call"), "rows")
+
     @cached_property
     def empty(self) -> DataFrame:
         """ids, rule: rules that can be nothing. An element that is found to be one leaves the list of what an alternative
@@ -159,6 +175,85 @@ class Grammars:
         return spread(facts, edges, self.ids, self.save, "reached").select(*self.ids, F.col("node").alias("rule"))
 
 
+class Grammars(Joined):
+    """The analyses of a table of grammars: small ones in batches, the others by joins. starting: a column of the productions
+    that says which rows' rules are start rules, for analyses that are not given any."""
+
+    def __init__(self, productions: DataFrame, ids: list[str], save: Save, traits: DataFrame | None = None, starting: str = "", most: int = MOST):
+        super().__init__(productions, ids, save, traits)
+        self.most, self.made = most, {}
+        self.starting = _listed(productions, ids, F.col(starting).alias("_mark")) if starting else None
+
+    def _starts(self, starts: DataFrame | None) -> DataFrame:
+        if starts is None:
+            return self.starting.where("_mark").select(*self.ids, "rule").distinct()
+        return starts.select(*self.ids, F.col("rule").cast("string").alias("rule")).dropna()
+
+    def _dealt(self, starts: DataFrame | None) -> DataFrame:
+        """The rows of each grammar in one place and next to each other, with the number of the rows and marks of rules."""
+        mark = lambda *bits: sum((F.when(c, b).otherwise(0) for c, b in bits), F.lit(0)).cast("int").alias("_mark")
+        columns = [*self.ids, "rule", "alt", "pos", "name"]
+        rows = self.productions.select(*columns, mark()) if self.starting is None else self.starting.select(*columns, mark((F.col("_mark"), START)))
+        nothing = [F.lit(None).cast(t).alias(c) for c, t in (("alt", "string"), ("pos", "int"), ("name", "array<string>"))]
+        if starts is not None:
+            rows = rows.unionByName(self._starts(starts).select(*self.ids, "rule", *nothing, mark((F.lit(True), START))))
+        if self.traits is not None:
+            traits = self.traits.dropna(subset=[*self.ids, "rule"])
+            rows = rows.unionByName(traits.select(*self.ids, F.col("rule").cast("string").alias("rule"), *nothing, mark((F.col("optional"), OPTIONAL), (F.col("closure"), CLOSURE))))
+        size = F.count("*").over(Window.partitionBy(*self.ids))
+        return rows.select(*columns, (size * MARKS + F.col("_mark")).alias("_mark"))
+
+    def _of(self, what: str, starts: DataFrame | None = None, joined: Callable[..., DataFrame] | None = None) -> DataFrame:
+        """The rows of an analysis, of all grammars."""
+        key = what, None if starts is None else starts.semanticHash()
+        if key not in self.made:
+            dealt, ids, most = self._dealt(starts), self.ids, self.most
+            out = StructType([*dealt.select(*ids).schema.fields, *StructType.fromDDL(SCHEMAS[what]).fields])
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                from pyspark.sql.pandas.types import to_arrow_schema
+
+                return analysed(what, len(ids), most, batches, to_arrow_schema(out))
+
+            found = self.save(dealt.mapInArrow(run, out), f"{what}{len(self.made)}")
+            large = found.where("rule is null").select(*ids).distinct()
+            found = found.where("rule is not null")
+            if not large.isEmpty():
+                # A start or trait alone may be all that makes a grammar large.
+                of = lambda df: df.join(large, ids, "left_semi")
+                n = len(self.made)
+                one = Joined(of(self.productions), ids, lambda df, name: self.save(df, f"large{n}_{name}"), None if self.traits is None else of(self.traits))
+                found = found.unionByName(joined(one, of(self._starts(starts))) if what in ("follow", "conflicts", "reached") else joined(one))
+            self.made[key] = found
+        return self.made[key]
+
+    @cached_property
+    def begin(self) -> DataFrame:
+        """ids, rule, token: what rules can begin with; a row without a token where one can be nothing."""
+        return self._of("begin", None, lambda g: g.first.unionByName(g.empty.withColumn("token", F.lit(None).cast("string"))))
+
+    @cached_property
+    def empty(self) -> DataFrame:
+        return self.begin.where("token is null").select(*self.ids, "rule")
+
+    @cached_property
+    def first(self) -> DataFrame:
+        return self.begin.where("token is not null")
+
+    @cached_property
+    def alternative_first(self) -> DataFrame:
+        return self._of("alternative", None, lambda g: g.alternative_first)
+
+    def follow(self, starts: DataFrame | None = None) -> DataFrame:
+        return self._of("follow", starts, lambda g, s: g.follow(s))
+
+    def conflicts(self, starts: DataFrame | None = None) -> DataFrame:
+        return self._of("conflicts", starts, lambda g, s: g.conflicts(s))
+
+    def reachable(self, starts: DataFrame | None = None) -> DataFrame:
+        return self._of("reached", starts, lambda g, s: g.reachable(s))
+
+
 def productions_of(spark: SparkSession, grammars: dict[str, Grammar]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(productions, traits, starts) of compiled grammars by name; brackets are rules named after their numbers."""
     rows, traits, starts = [], [], []

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import forest_tables as ft
@@ -216,43 +216,38 @@ def scanner_telemetry(spark: SparkSession, sf: str) -> DataFrame:
     return report(spark, seen, terminals)
 
 
-def _order_grammars(spark: SparkSession, sf: str) -> tuple[Grammars, DataFrame]:
-    """A grammar for each order and its first rule: a rule for each line number, whose line items give two alternatives
+def _order_grammars(spark: SparkSession, sf: str) -> Grammars:
+    """A grammar for each order, which starts with its first rule: a rule for each line number, whose line items give two alternatives
     each. One begins with a call, the other one is empty or two calls. Numbers that the order does not have are tokens."""
     q, p, s = (F.col(c).cast("long") for c in ("l_quantity", "l_partkey", "l_suppkey"))
     call = lambda x: F.concat(F.lit("r"), (x % 7 + 1).cast("string"))
-    rows = lambda *names: F.array(*(F.struct(F.lit(k).alias("pos"), n.alias("name")) for k, n in enumerate(names)))
-    second = F.when(q % 4 == 0, rows(F.lit(None).cast("string"))).otherwise(rows(call(s), call(p + s)))
+    second = F.when(q % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(call(s), call(p + s)))
     of = F.concat_ws("/", p, s, q)
-    both = F.array(F.struct(F.concat(of, F.lit("a")).alias("alt"), rows(call(p), F.concat(F.lit("t"), (s % 9).cast("string"))).alias("x")), F.struct(F.concat(of, F.lit("b")).alias("alt"), second.alias("x")))
-    li = _table(spark, sf, "lineitem")
-    made = li.select("l_orderkey", F.concat(F.lit("r"), F.col("l_linenumber").cast("string")).alias("rule"), F.explode(both).alias("a"))
-    starts = li.groupBy("l_orderkey").agg(F.concat(F.lit("r"), F.min("l_linenumber").cast("string")).alias("rule"))
-    return Grammars(made.select("l_orderkey", "rule", "a.alt", F.inline("a.x")), ["l_orderkey"], scratch_save(spark)), starts
+    both = F.array(F.struct(F.concat(of, F.lit("a")).alias("alt"), F.array(call(p), F.concat(F.lit("t"), (s % 9).cast("string"))).alias("name")), F.struct(F.concat(of, F.lit("b")).alias("alt"), second.alias("name")))
+    first = F.min("l_linenumber").over(Window.partitionBy("l_orderkey"))  # brings an order together before its items become rows
+    li = _table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey", "l_suppkey", (F.col("l_linenumber") == first).alias("start"))
+    made = li.select("l_orderkey", F.concat(F.lit("r"), F.col("l_linenumber").cast("string")).alias("rule"), "start", F.explode(both).alias("a"))
+    return Grammars(made.select("l_orderkey", "rule", "start", F.lit(0).alias("pos"), "a.*"), ["l_orderkey"], scratch_save(spark), starting="start")
 
 
 def first_sets(spark: SparkSession, sf: str) -> DataFrame:
     """What the rules of each order's grammar can begin with; "" where one can be nothing."""
-    g, _ = _order_grammars(spark, sf)
-    return g.first.unionByName(g.empty.withColumn("token", F.lit(""))).select("l_orderkey", "rule", "token")
+    return _order_grammars(spark, sf).begin.select("l_orderkey", "rule", F.coalesce("token", F.lit("")).alias("token"))
 
 
 def follow_sets(spark: SparkSession, sf: str) -> DataFrame:
     """What can stand after the rules of each order's grammar."""
-    g, starts = _order_grammars(spark, sf)
-    return g.follow(starts)
+    return _order_grammars(spark, sf).follow()
 
 
 def ll1_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens that do not say which alternative of a rule comes, or whether a rule that can be nothing does."""
-    g, starts = _order_grammars(spark, sf)
-    return g.conflicts(starts)
+    return _order_grammars(spark, sf).conflicts()
 
 
 def reachable_rules(spark: SparkSession, sf: str) -> DataFrame:
     """The rules of each order's grammar that its first rule leads to."""
-    g, starts = _order_grammars(spark, sf)
-    return g.reachable(starts)
+    return _order_grammars(spark, sf).reachable()
 
 
 _LETTER = "[A-Za-zÀ-ÿ]"
