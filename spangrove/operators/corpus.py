@@ -159,6 +159,12 @@ def harvest(diagnostics: DataFrame, labels: DataFrame | None = None, index_col:
     return out.select("count", "node", "kind", "signature", "example_tests").orderBy(F.desc("count"), "node", "kind", "signature")
 
 
+def harvest_counts(diagnostics: DataFrame, many: DataFrame, key: str) -> DataFrame:
+    """count, node, kind, signature, most first, of diagnostics that stand for more than one test: many has (key, n)."""
+    once = diagnostics.select(key, "node", F.col("message").alias("kind"), "signature").distinct()
+    return once.join(many, key).groupBy("node", "kind", "signature").agg(F.sum("n").alias("count")).orderBy(F.desc("count"), "node", "kind", "signature")
+
+
 def log_counts(lines: DataFrame, categories: dict[str, str], col: str = "value") -> DataFrame:
     """How many lines hold each category's text; a line counts for the first that fits."""
     kind = F.coalesce(*(F.when(F.col(col).contains(text), name) for name, text in categories.items()))

@@ -10,7 +10,7 @@ import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -18,6 +18,7 @@ from ..plans.forest import Trees, choices, disambiguate, sppf
 from ..plans.grammar import Grammar, compile_grammar
 from ..plans.kernel import Kernel, Parse, TooLarge
 from ..sources.scratch import free_name
+from .alike import form
 
 SPAN = "struct<slot: int, i: int, k: int, j: int>"
 COMMIT = "struct<terminal: int, trivia_start: int, start: int, end: int, trivia_end: int>"
@@ -199,11 +200,28 @@ def tree_nodes(parsed: DataFrame, *ids: str) -> DataFrame:
     return parsed.select(*ids, F.explode("parse.tree").alias("t")).select(*ids, "t.*")
 
 
-def terminal_text(parsed: DataFrame, text_col: str, *ids: str) -> DataFrame:
-    """ids, image: the tokens of each message in order, without what was skipped between them."""
+def parse_forms(df: DataFrame, grammar: str, text_col: str = "text", keep: tuple[str, ...] = ("bsr",), builders: dict[str, str] | None = None, start: str = "", **options) -> DataFrame:
+    """form, parse: the forms of the texts (`alike`), each parsed once. keep: what does not show the texts' characters."""
+    if not CARRIED.issuperset(keep):
+        raise ValueError(f"texts of one form differ in {', '.join(sorted(set(keep) - CARRIED))}")
+    forms = df.select(form(text_col, compile_grammar(grammar, builders, start)).alias("form")).where("form is not null").distinct()
+    return parse(forms, grammar, "form", keep=keep, builders=builders, start=start, spread=True, **options)
+
+
+def token_ranges() -> Column:
+    """Start and end of the tokens of a parse in order, without those within longer ones."""
     tokens = F.array_distinct(F.transform("parse.commits", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"))))
     longest = F.filter(tokens, lambda t: (t["end"] > t["start"]) & ~F.exists(tokens, lambda o: (o["start"] == t["start"]) & (o["end"] > t["end"])))
-    return parsed.select(*ids, F.array_join(F.transform(F.array_sort(longest), lambda t: F.col(text_col).substr(t["start"] + 1, t["end"] - t["start"])), "").alias("image"))
+    return F.array_sort(longest)
+
+
+def image(text_col: str, ranges: Column | str) -> Column:
+    return F.array_join(F.transform(ranges, lambda t: F.col(text_col).substr(t["start"] + 1, t["end"] - t["start"])), "").alias("image")
+
+
+def terminal_text(parsed: DataFrame, text_col: str, *ids: str) -> DataFrame:
+    """ids, image: the tokens of each message in order, without what was skipped between them."""
+    return parsed.select(*ids, image(text_col, token_ranges()))
 
 
 def metrics(parsed: DataFrame, *ids: str) -> DataFrame:
@@ -230,4 +248,4 @@ def verdicts(parsed: DataFrame, expected_col: str) -> DataFrame:
     return parsed.groupBy(F.col(expected_col).alias("expected"), got.alias("got"), residual.alias("ambiguous")).count()
 
 
-__all__ = ["Grammar", "Parse", "choices", "commits", "diagnostics", "forest_edges", "forest_nodes", "metrics", "parse", "parse_distinct", "signature_lines", "spans", "summary", "verdicts"]
+__all__ = ["Grammar", "Parse", "choices", "commits", "diagnostics", "forest_edges", "forest_nodes", "metrics", "parse", "parse_distinct", "parse_forms", "signature_lines", "spans", "summary", "verdicts"]

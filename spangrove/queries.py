@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from .functions import text as tx
 from .operators import corpus, search
 from .operators import spans as sp
-from .operators.parse import commits, diagnostics, forest_edges, forest_nodes, metrics, parse, parse_distinct, summary, terminal_text, tree_nodes
+from .operators.alike import form, with_found
+from .operators.parse import commits, diagnostics, forest_edges, forest_nodes, image, metrics, parse, parse_distinct, parse_forms, summary, token_ranges, tree_nodes
 from .operators.parse import spans as spans_of
 from .plans.grammar import compile_grammar
 
@@ -198,10 +199,11 @@ def parse_turns(spark: SparkSession, sf: str) -> DataFrame:
 
 def residual_ambiguity(spark: SparkSession, sf: str) -> DataFrame:
     """Signatures of what stays ambiguous, with the expressions as labels."""
-    e = _expressions(spark, sf).select(F.concat("text", F.lit(" + 1 * 2 * 3")).alias("text")).distinct()
+    e = _expressions(spark, sf).select(F.concat("text", F.lit(" + 1 * 2 * 3")).alias("text"))
     loose = ARITHMETIC.replace("@left ", "").replace('E "+" T', 'E "+" E').replace('T "*" F', 'T "*" T')
-    d = diagnostics(parse(e.withColumn("msg_index", F.xxhash64("text")), loose, keep=("diagnostics",), spread=True), "msg_index")
-    return corpus.harvest(d).select(F.col("count").cast("long").alias("count"), "node", "kind", "signature")
+    found = diagnostics(parse_forms(e, loose, keep=("diagnostics",)), "form")
+    many = e.distinct().groupBy(form("text", compile_grammar(loose)).alias("form")).agg(F.count("*").alias("n"))
+    return corpus.harvest_counts(found, many, "form").select("count", "node", "kind", "signature")
 
 
 def signature_harvest(spark: SparkSession, sf: str) -> DataFrame:
@@ -307,8 +309,9 @@ def furthest_mismatch(spark: SparkSession, sf: str) -> DataFrame:
 
 def terminal_texts(spark: SparkSession, sf: str) -> DataFrame:
     """The tokens of each distinct expression without what was skipped between them."""
-    e = _expressions(spark, sf).select("text").distinct()
-    return terminal_text(parse(e, ARITHMETIC, keep=("commits",), spread=True), "text", "text")
+    e = _expressions(spark, sf).select("text")
+    found = parse_forms(e, ARITHMETIC, keep=("commits",)).select("form", token_ranges().alias("ranges"))
+    return with_found(e.distinct(), compile_grammar(ARITHMETIC), found).select("text", image("text", "ranges"))
 
 
 def all_trees(spark: SparkSession, sf: str) -> DataFrame:
