@@ -32,6 +32,8 @@ KEY = ["msg", "rel", "o", "d", *B, *V]
 #: What is known at v: the gap before, which tests hold there, its matches, the length of the text.
 HERE = ["gap", "tests", "edges", "n"]
 NEVER, ALWAYS = -1, -2
+#: Characters of texts to a bucket, at least.
+CHARACTERS = 256
 SETTINGS = {
     "requireAllClusterKeysForCoPartition": "false",
     "sources.bucketing.autoBucketedScan.enabled": "false",
@@ -226,7 +228,9 @@ def chart(df: DataFrame, id_col: str, text_col: str, grammar: str | Grammar, bui
     g = grammar if isinstance(grammar, Grammar) else compile_grammar(grammar, builders, start)
     slots, spark = Slots(g), df.sparkSession
     name, root = f"chart_{uuid.uuid4().hex}", scratch_root(spark)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A round has a task for each bucket and step, however little is in it: few short texts share a bucket.
+    n, size = df.agg(F.count(F.lit(1)), F.sum(F.length(text_col))).first()
+    buckets = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n, -(-(size or 0) // CHARACTERS)))
     # Settings of a session of its own: a bucketing by text serves joins on text and place, and tables are listed anew
     # whenever a plan runs, so that the plans of a round are made once.
     own = spark.newSession()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .operators import forest_tables as ft
 from .operators import lexedges as le
 from .operators import lexruns as lr
+from .operators.alike import form, with_found
 from .operators.brackets import pairs
 from .operators.chart import chart, shape
 from .operators.grammar_tables import Grammars
@@ -105,17 +106,20 @@ def chart_spans(spark: SparkSession, sf: str) -> DataFrame:
     """Every distinct expression of the line items parsed by joins: its verdict, and the spans of the rule of factors."""
     from .queries import ARITHMETIC, _expressions
 
-    texts = _expressions(spark, sf).select("text").where("text is not null").distinct()
-    # Each shape is parsed once, on one of its texts; its spans go back to all of them by the order of their places.
-    shaped = scratch_save(spark)(texts.select("text", shape(F.col("text"), le.Terminals(compile_grammar(ARITHMETIC))).alias("x")).select("text", "x.*"), "shapes")
+    texts, g = _expressions(spark, sf).select("text").where("text is not null"), compile_grammar(ARITHMETIC)
+    # Each shape is parsed once, on one of its forms; its spans go back to all of these by the order of their places, and
+    # from a form to its texts as they are.
+    forms = texts.select(form("text", g).alias("text")).distinct()
+    shaped = scratch_save(spark)(forms.select("text", shape(F.col("text"), le.Terminals(g)).alias("x")).select("text", "x.*"), "shapes")
     one = scratch_save(spark)(shaped.groupBy("shape").agg(F.min(F.struct("text", "places")).alias("x")).select("shape", "x.*"), "texts")
     c = chart(one, "shape", "text", ARITHMETIC)
     factor = c.slots.g.rules["F"].number
     spans = c.spans().where(F.col("slot") == factor).join(one.select(F.col("shape").alias("msg"), "places"), "msg")
     rank = lambda p: F.array_position("places", F.col(p)).cast("int")
     found = spans.groupBy("msg").agg(F.collect_list(F.struct(rank("i").alias("i"), rank("j").alias("j"))).alias("spans")).join(c.verdicts(), "msg")
-    rows = shaped.join(found.withColumnRenamed("msg", "shape"), "shape").select("text", "accepted", "exact", "places", F.explode("spans").alias("s"))
-    return rows.select("text", "accepted", "exact", *(F.element_at("places", F.col(f"s.{p}")).cast("long").alias(p) for p in "ij"))
+    at = F.transform("spans", lambda s: F.struct(*(F.element_at("places", s[p]).cast("long").alias(p) for p in "ij")))
+    found = shaped.join(found.withColumnRenamed("msg", "shape"), "shape").select(F.col("text").alias("form"), "accepted", "exact", at.alias("spans"))
+    return with_found(texts.distinct(), g, found).select("text", "accepted", "exact", F.inline("spans"))
 
 
 DOUBLING = 'S = "b" | S S .'
